@@ -42,3 +42,52 @@ def norm_mastodon(spark, sf_dir):
 @register("unified_posts", f"{O.posts_cte()}\nselect * from posts")
 def unified_posts(spark, sf_dir):
     return flat_posts(unified(spark, sf_dir))
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from postlake.operators import quality as QA  # noqa: E402
+
+_SLIM_SQL = f"""{O.posts_cte()}
+select platform, object_id as id, author_handle as author, text as content, created_us,
+       case platform
+         when 'reddit' then to_json(struct_pack(subreddit := subreddit, title := title, is_nsfw := is_nsfw,
+                                                is_comment := is_comment, parent_id := parent_id))
+         when 'bluesky' then to_json(struct_pack(handle := handle, display_name := display_name,
+                                                 is_reply := is_reply, is_repost := is_repost))
+         when 'mastodon' then to_json(struct_pack(instance := instance, handle := handle, is_reply := is_reply,
+                                                  is_reblog := is_reblog, is_sensitive := is_sensitive))
+         else '{{}}' end as metadata
+from posts"""
+
+
+@register("slim_posts", _SLIM_SQL)
+def slim_posts(spark, sf_dir):
+    """Slim normalized view with a metadata JSON."""
+    s = N.slim_view(unified(spark, sf_dir))
+    return s.select("platform", "id", "author", "content",
+                    F.unix_micros("timestamp").alias("created_us"), "metadata")
+
+
+_INV_SQL = f"""{O.posts_cte()},
+c as (select platform, object_id,
+        concat_ws(',',
+          case when platform is null or platform = '' then 'missing_platform' end,
+          case when object_id is null or object_id = '' then 'missing_object_id' end,
+          case when author_handle is null or author_handle = '' then 'missing_author_handle' end,
+          case when text is null then 'missing_text' end,
+          case when created_us is null then 'missing_created_at' end,
+          case when platform = 'reddit' and subreddit is null then 'missing_subreddit' end,
+          case when platform = 'reddit' and title is null then 'missing_title' end,
+          case when platform in ('bluesky', 'mastodon') and (handle is null or handle = '') then 'missing_handle' end,
+          case when platform = 'mastodon' and (instance is null or instance = '') then 'missing_instance' end) as errs,
+        case when created_at_fallback then 'created_at_fallback' end as warns
+      from posts)
+select platform, object_id, concat_ws(',', nullif(errs, ''), warns) as issues, errs <> '' as quarantined
+from c where errs <> '' or warns is not null"""
+
+
+@register("invalid_posts", _INV_SQL)
+def invalid_posts(spark, sf_dir):
+    """Q1/Q2: posts with issues and whether they are quarantined."""
+    return QA.issues_report(unified(spark, sf_dir))
