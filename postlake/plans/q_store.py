@@ -1 +1,69 @@
-"""placeholder"""
+"""Queries over the store, stats and export."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postlake.operators import stats as ST
+from postlake.plans import oracle as O
+from postlake.plans import params as P
+from postlake.plans.common import unified
+from postlake.plans.flat import flat_posts
+from postlake.plans.registry import register
+from postlake.session import scratch_path
+from postlake.sources import export as EX
+from postlake.sources.store import Store
+
+
+def loaded_store(spark, sf_dir, name="store"):
+    """All fixture posts upserted into a fresh store as batch 0."""
+    posts = unified(spark, sf_dir)
+    st = Store(spark, scratch_path(spark, name)).create()
+    st.upsert(posts, 0)
+    return st
+
+
+_STATS_SQL = f"""{O.posts_cte()},
+l(platform) as (values {", ".join(f"('{p}')" for p in P.PLATFORMS)}),
+b as (select case when platform in (select platform from l) then platform else 'other' end as platform from posts),
+c as (select platform, count(*) as n from b group by platform),
+w(platform) as (select platform from l union all select 'other' union all select 'total')
+select w.platform, cast(case when w.platform = 'total' then (select count(*) from b)
+                             else coalesce(c.n, 0) end as bigint) as n
+from w left join c on c.platform = w.platform"""
+
+
+@register("stats_by_platform", _STATS_SQL)
+def stats_by_platform(spark, sf_dir):
+    """Flagship: payloads -> normalized -> upserted store -> counts per
+    platform (zero-filled), other and total."""
+    st = loaded_store(spark, sf_dir)
+    return ST.count_by_platform(spark, st.read(), P.PLATFORMS)
+
+
+PAGE = ("mastodon", 10, 25)
+_PAGE_SQL = f"""{O.posts_cte(("mastodon",))}
+select * from posts where platform = '{PAGE[0]}' order by seq, platform, object_id
+limit {PAGE[2]} offset {PAGE[1]}"""
+
+
+@register("posts_page", _PAGE_SQL)
+def posts_page(spark, sf_dir):
+    st = loaded_store(spark, sf_dir)
+    return flat_posts(st.page(*PAGE))
+
+
+def _roundtrip(suffix):
+    def run(spark, sf_dir):
+        posts = unified(spark, sf_dir)
+        path = scratch_path(spark, "export") + suffix
+        EX.export_posts(posts, path)
+        return flat_posts(EX.from_export(EX.read_export(spark, path)))
+    return run
+
+
+# The export record turns null tags into an empty list.
+_ALL_SQL = f"{O.posts_cte()}\nselect * replace (coalesce(tags, '') as tags) from posts"
+register("export_roundtrip_json", _ALL_SQL)(_roundtrip(".json"))
+register("export_roundtrip_csv", _ALL_SQL)(_roundtrip(".csv"))
+register("export_roundtrip_parquet", _ALL_SQL)(_roundtrip(".parquet"))
