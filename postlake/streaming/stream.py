@@ -172,7 +172,10 @@ def dedup_within_watermark(stream: DataFrame, ts_col: str, delay: str, key: list
     """Drop replays of a key that arrive within ``delay`` of the first
     copy's event time; state is dropped as the watermark passes, so memory
     stays bounded.  (The store's upsert is unbounded in time, T5; this one
-    forgets and must not feed the store.)"""
+    forgets and must not feed the store.)  A batch frame holds all its rows
+    at once, so there it is a plain de-duplication on the key."""
+    if not stream.isStreaming:
+        return stream.dropDuplicates(key)
     return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(key)
 
 
