@@ -37,17 +37,17 @@ def _metrics(pairs: list[tuple[str, Column]]) -> Column:
 
 def to_post_schema(df: DataFrame) -> DataFrame:
     """Conform to the unified schema (N8): missing platform columns null,
-    flags false, column order and types fixed."""
-    cols = []
+    flags false, column order and types fixed.  Built as one SQL projection
+    (one driver call instead of one per expression)."""
+    have = set(df.columns)
+    exprs = []
     for f in S.POST.fields:
-        if f.name in df.columns:
-            c = F.col(f.name).cast(f.dataType)
-        else:
-            c = F.lit(None).cast(f.dataType)
+        typ = f.dataType.simpleString()
+        c = f"CAST(`{f.name}` AS {typ})" if f.name in have else f"CAST(NULL AS {typ})"
         if f.name in _FALSE_DEFAULTS:
-            c = F.coalesce(c, F.lit(False))
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            c = f"COALESCE({c}, false)"
+        exprs.append(f"{c} AS `{f.name}`")
+    return df.selectExpr(*exprs)
 
 
 def _timestamp(raw: Column, collected: Column) -> tuple[Column, Column]:
@@ -211,15 +211,17 @@ def union_posts(*frames: DataFrame) -> DataFrame:
     """One table over platforms (``unionByName``, missing columns null)."""
     out = None
     for f in frames:
-        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
-    return to_post_schema(out)
+        if f.columns != S.POST_COLUMNS:
+            f = to_post_schema(f)
+        out = f if out is None else out.unionByName(f)
+    return out
 
 
 def storage_form(posts: DataFrame) -> DataFrame:
     """Tags kept for Bluesky only, flags non-null."""
-    return to_post_schema(posts.withColumn(
+    return posts.withColumn(
         "tags", F.when(F.col("platform") == "bluesky", F.coalesce(
-            F.col("tags"), F.array().cast("array<string>")))))
+            F.col("tags"), F.array().cast("array<string>"))))
 
 
 def export_record(posts: DataFrame) -> DataFrame:

@@ -82,7 +82,8 @@ def upsert(cur: DataFrame, batch: DataFrame, key: list[str] | None = None, order
            replace_if_reddit=POST_REPLACE_IF_REDDIT, with_outcome: bool = False) -> DataFrame:
     """The store after applying ``batch`` to ``cur`` (same columns as
     ``cur``).  ``with_outcome`` adds ``_outcome`` in
-    {inserted, updated, unchanged, untouched}."""
+    {inserted, updated, unchanged, untouched} and ``_copies`` (rows of the
+    batch for the key)."""
     key = list(key or KEY)
     cols = cur.columns
     missing = [c for c in cols if c not in batch.columns]
@@ -112,6 +113,7 @@ def upsert(cur: DataFrame, batch: DataFrame, key: list[str] | None = None, order
              .when(F.col("s.n").isNull(), F.lit("untouched"))
              .when(win.isNotNull(), F.lit("updated"))
              .otherwise(F.lit("unchanged")).alias("_outcome"))
+        out_cols.append(F.coalesce(F.col("s.n"), F.lit(0)).cast("long").alias("_copies"))
     return j.select(*out_cols)
 
 

@@ -93,7 +93,7 @@ def stream_batch_metrics(spark, sf_dir):
     """K9: one metrics row per micro-batch (durations left out: not
     deterministic)."""
     _, metrics = run_version_stream(spark, sf_dir)
-    m = spark.read.schema(ST.METRICS_SCHEMA).parquet(metrics)
+    m = ST.read_metrics(spark, metrics)
     return m.select("batch_id", "incoming", "inserted", "updated", "unchanged")
 
 

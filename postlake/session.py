@@ -13,6 +13,12 @@ _RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Driver-side only: skip PySpark's per-expression call-site capture (it
+# costs milliseconds per Column built and only enriches error messages).
+_DRIVER_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 # Settings for scale: AQE re-plans joins and coalesces shuffle partitions at
 # runtime and splits skewed join partitions.
 _SCALE_CONF = {
@@ -52,7 +58,7 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the result-affecting settings to an existing session."""
     for k, v in _RESULT_CONF.items():
         spark.conf.set(k, v)
-    for k, v in _SCALE_CONF.items():
+    for k, v in list(_SCALE_CONF.items()) + list(_DRIVER_CONF.items()):
         try:
             spark.conf.set(k, v)
         except Exception:  # static on some deployments; the cluster decides

@@ -25,13 +25,10 @@ def _s(c):
 
 def _conform(df: DataFrame, schema) -> DataFrame:
     """Select the schema's columns in order with its types (missing -> null)."""
-    cols = []
-    for f in schema.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    have = set(df.columns)
+    return df.selectExpr(*[
+        (f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" if f.name in have
+         else f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`") for f in schema.fields])
 
 
 def raw_reddit_submission(spark: SparkSession, sf_dir: str) -> DataFrame:

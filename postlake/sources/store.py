@@ -144,8 +144,11 @@ class Store:
         (merged.repartition("platform", "bucket")
                .write.mode("overwrite").partitionBy("platform", "bucket").parquet(path))
         written = self.spark.read.parquet(path)
-        counts = {r["_outcome"]: r["n"] for r in
-                  written.groupBy("_outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts, incoming = {}, 0
+        for r in written.groupBy("_outcome").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.sum("_copies").alias("copies")).collect():
+            counts[r["_outcome"]] = r["n"]
+            incoming += r["copies"] or 0
         nm = dict(m)
         nm["version"] = version
         nm["last_batch_id"] = batch_id
@@ -155,6 +158,7 @@ class Store:
         nm["bucket_versions"] = bv
         self._publish(nm)
         return {"skipped": False, "batch_id": batch_id, "touched": len(touched),
+                "incoming": int(incoming),
                 "inserted": counts.get("inserted", 0), "updated": counts.get("updated", 0),
                 "unchanged": counts.get("unchanged", 0)}
 

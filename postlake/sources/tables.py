@@ -9,8 +9,18 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; Catalyst prunes columns and pushes filters into the scan."""
+    """Read one table; Catalyst prunes columns and pushes filters into the
+    scan.  The (lazy) DataFrame is reused within a session, so its file
+    listing and footer read happen once."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    df = _READS.get(key)
+    if df is None:
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        _READS[key] = df
+    return df

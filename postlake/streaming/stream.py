@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postlake.operators import normalize as N
+from postlake.session import write_text
 from postlake.sources.store import Store
 
 log = logging.getLogger(__name__)
@@ -93,7 +94,7 @@ class UpsertSink:
             res = self.store.upsert(df, int(batch_id))
             if res.get("skipped"):
                 return  # replayed micro-batch: already applied and recorded
-            incoming = df.count() if res.get("touched") else 0
+            incoming = res.get("incoming", 0)
         except Exception as e:  # noqa: BLE001 -- recorded, then re-raised
             status, err, incoming = "error", str(e)[:30], 0
             self._record(spark, batch_id, t0, incoming, res, status, err)
@@ -101,13 +102,17 @@ class UpsertSink:
         self._record(spark, batch_id, t0, incoming, res, status, err)
 
     def _record(self, spark, batch_id, t0, incoming, res, status, err):
+        """One JSON line per micro-batch, written through the Hadoop FS API
+        (a few hundred bytes: no Spark job).  The file name carries the
+        batch id, so a re-run overwrites instead of duplicating."""
         if not self.metrics_path:
             return
-        row = [(int(batch_id), self.platform_label, None, int(incoming),
-                int(res.get("inserted", 0)), int(res.get("updated", 0)),
-                int(res.get("unchanged", 0)), float(time.time() - t0), status, err)]
-        m = spark.createDataFrame(row, METRICS_SCHEMA).withColumn("ts", F.current_timestamp())
-        m.coalesce(1).write.mode("append").parquet(self.metrics_path)
+        row = {"batch_id": int(batch_id), "platform": self.platform_label,
+               "ts": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
+               "incoming": int(incoming), "inserted": int(res.get("inserted", 0)),
+               "updated": int(res.get("updated", 0)), "unchanged": int(res.get("unchanged", 0)),
+               "duration_s": float(time.time() - t0), "status": status, "error": err}
+        write_text(spark, f"{self.metrics_path}/batch-{int(batch_id):010d}.json", json.dumps(row))
 
 
 def start_upsert(stream: DataFrame, store: Store, checkpoint: str, metrics_path: str | None = None,
@@ -148,12 +153,17 @@ def run_with_retry(start, attempts: int = 3, backoff_s: float = ERROR_PAUSE_S,
 def stop_and_report(spark: SparkSession, query: StreamingQuery, metrics_path: str) -> DataFrame:
     """Stop gracefully, then totals from the metrics table."""
     query.stop()
-    m = spark.read.schema(METRICS_SCHEMA).parquet(metrics_path)
+    m = read_metrics(spark, metrics_path)
     return m.groupBy("platform").agg(F.sum("incoming").alias("incoming"),
                                      F.sum("inserted").alias("inserted"),
                                      F.sum("updated").alias("updated"))
 
 
+def read_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
+    """The metrics table (K9): one row per micro-batch."""
+    return spark.read.schema(METRICS_SCHEMA).json(metrics_path)
+
+
 def progress_summary(query: StreamingQuery) -> dict:
     """Rates from the last progress report."""
     p = query.lastProgress or {}
