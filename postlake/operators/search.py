@@ -274,12 +274,15 @@ def community_feed(posts: DataFrame, subreddits: list[str], sort_by: str, max_po
 def term_matrix(spark: SparkSession, posts: DataFrame, subreddits: list[str], keywords: list[str],
                 max_posts: int, max_subreddits: int = 5, max_keywords: int = 10) -> DataFrame:
     """First 5 communities x first 10 keywords, newest first,
-    ``max_posts`` per pair.  The pair table is a cross join of two small
-    spec tables; it meets the posts in an equi join on the community plus
-    the substring condition."""
-    subs = spark.createDataFrame([(s,) for s in subreddits[:max_subreddits]], "pair_subreddit string")
-    terms = terms_frame(spark, keywords[:max_keywords])
-    pairs = subs.crossJoin(terms)
+    ``max_posts`` per pair.  The pair table (the reference's nested loop
+    over the two lists) meets the posts in an equi join on the community
+    plus the substring condition."""
+    # The pair table is built from the two (capped) spec lists on the driver:
+    # at most max_subreddits x max_keywords rows, so its broadcast is bounded.
+    pair_rows = [(s, i, t) for s in subreddits[:max_subreddits]
+                 for i, t in enumerate(keywords[:max_keywords])]
+    pairs = spark.createDataFrame(pair_rows, "pair_subreddit string, term_pos int, term string") \
+        .withColumn("term_key", F.lower("term"))
     p = posts.where((F.col("platform") == "reddit") & ~F.col("is_comment")) \
         .withColumn("_hay", F.lower(_hay_title_text()))
     m = p.join(F.broadcast(pairs), (p["subreddit"] == pairs["pair_subreddit"]) &

@@ -67,3 +67,13 @@ _ALL_SQL = f"{O.posts_cte()}\nselect * replace (coalesce(tags, '') as tags) from
 register("export_roundtrip_json", _ALL_SQL)(_roundtrip(".json"))
 register("export_roundtrip_csv", _ALL_SQL)(_roundtrip(".csv"))
 register("export_roundtrip_parquet", _ALL_SQL)(_roundtrip(".parquet"))
+
+
+_COLLECTED_SQL = f"""{O.posts_cte()}
+select platform, count(*) as collected from posts group by platform"""
+
+
+@register("collected_per_platform", _COLLECTED_SQL)
+def collected_per_platform(spark, sf_dir):
+    """A3: rows collected per platform in one run, before de-duplication."""
+    return ST.collected_per_platform(unified(spark, sf_dir))

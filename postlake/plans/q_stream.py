@@ -133,3 +133,19 @@ select """ + O.flat_select(
 def firehose_posts(spark, sf_dir):
     configure(spark)
     return flat_posts(ST.firehose_posts(FX.firehose_messages(spark, sf_dir)))
+
+
+_STATUS_SQL = """with post_versions as (select cast(user_id as varchar) as object_id from events)
+select 'all' as platform, 'ok' as status, cast(count(distinct object_id) as bigint) as posts,
+       cast(count(*) as bigint) as incoming from post_versions"""
+
+
+@register("stream_status", _STATUS_SQL)
+def stream_status(spark, sf_dir):
+    """Latest status and totals per platform from the metrics table
+    of the streamed run (the update time is left out: wall clock)."""
+    from postlake.operators.stats import latest_status
+    _, metrics = run_version_stream(spark, sf_dir)
+    s = latest_status(ST.read_metrics(spark, metrics))
+    return s.select("platform", "status", F.col("posts").cast("long").alias("posts"),
+                    F.col("incoming").cast("long").alias("incoming"))

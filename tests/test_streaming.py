@@ -50,3 +50,18 @@ def test_dedup_within_watermark_batch_semantics(spark):
                                 ("j", "2024-01-01 00:00:00")], "key string, ts string") \
         .withColumn("ts", F.to_timestamp("ts"))
     assert ST.dedup_within_watermark(df, "ts", "1 hour", ["key"]).count() == 2
+
+
+def test_landed_json_quarantines_corrupt_lines(spark):
+    import os
+    from postlake.session import local_path
+    from postlake.sources.landed import read_landed
+    path = scratch_path(spark, "land-bad")
+    os.makedirs(local_path(path), exist_ok=True)
+    with open(os.path.join(local_path(path), "part-0.json"), "w") as f:
+        f.write('{"id": "1", "content": "ok", "seq": 1}\n')
+        f.write('{"id": "2", "content": \n')
+        f.write('{"id": "3", "content": "fine", "seq": 3}\n')
+    good, bad = read_landed(spark, path, S.MASTODON_STATUS)
+    assert sorted(r.id for r in good.collect()) == ["1", "3"]
+    assert bad.count() == 1
