@@ -6,7 +6,10 @@ here they are DataFrame plans over landed posts:
 * term match (J4) is a theta join of posts with a small term table.  The term
   table comes from a job spec, so its size is known on the driver: it is
   broadcast in chunks of at most ``MAX_BROADCAST_TERMS`` terms, and the
-  chunks are unioned, so no broadcast grows with the data.
+  chunks are unioned, so no broadcast grows with the data.  From
+  ``AUTOMATON_MIN_TERMS`` terms on, the match runs as one Aho-Corasick pass
+  per text in ``mapInPandas`` instead, so its cost stops growing with the
+  number of terms (both paths give identical rows; tested).
 * per-group caps (L1) are ``row_number() <= n`` windows; Spark plans them as
   WindowGroupLimit, which keeps at most n rows per group in every map task
   before the shuffle, so a hot group never ships all its rows to one task.
@@ -27,10 +30,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake.functions import scalars as X
 
 MAX_BROADCAST_TERMS = 5000
+AUTOMATON_MIN_TERMS = 64
+MAX_AUTOMATON_TERMS = 200_000
 
 # Time filters and their spans; sort orders accepted per source.
 TIME_FILTERS = {"hour": "1 hour", "day": "1 day", "week": "7 days", "month": "30 days",
@@ -94,13 +100,25 @@ def _chunks(terms: list[str], size: int):
 
 
 def substring_matches(spark: SparkSession, posts: DataFrame, terms: list[str],
-                      hay: Column) -> DataFrame:
+                      hay: Column, method: str = "auto") -> DataFrame:
     """Posts x terms where the lower-case ``hay`` contains the term;
-    adds ``term``, ``term_pos`` and ``hits``.  A post matching two terms
-    appears twice (U1)."""
+    adds ``term``, ``term_pos`` and ``hits`` (non-overlapping occurrences).
+    A post matching two terms appears twice (U1).
+
+    ``method``: ``broadcast`` -- a nested-loop join with the (chunked,
+    bounded) broadcast term table, all in the JVM; ``automaton`` -- one
+    Aho-Corasick pass per text inside ``mapInPandas``, whose cost does not
+    grow with the number of terms; ``auto`` picks the automaton from
+    ``AUTOMATON_MIN_TERMS`` terms on."""
     if not terms:
         raise ValueError("no terms")
+    if method == "auto":
+        method = "automaton" if len(terms) >= AUTOMATON_MIN_TERMS else "broadcast"
     base = posts.withColumn("_hay", F.lower(hay))
+    if method == "automaton":
+        return _automaton_matches(spark, base, list(terms))
+    if method != "broadcast":
+        raise ValueError("method must be auto, broadcast or automaton")
     out = None
     for offset, chunk in _chunks(list(terms), MAX_BROADCAST_TERMS):
         t = terms_frame(spark, chunk).withColumn("term_pos", F.col("term_pos") + offset)
@@ -110,6 +128,56 @@ def substring_matches(spark: SparkSession, posts: DataFrame, terms: list[str],
             .drop("_hay", "term_key"))
 
 
+def _automaton_matches(spark: SparkSession, base: DataFrame, terms: list[str]) -> DataFrame:
+    """Aho-Corasick over the JVM-lowered text, per Arrow batch.  The term
+    keys are lowered in the JVM as well, so both paths see the same strings;
+    the function ships only the term list (bounded by the spec, chunked at
+    ``MAX_AUTOMATON_TERMS``)."""
+    keys = [r["term_key"] for r in terms_frame(spark, terms).orderBy("term_pos").collect()]
+    out_schema = T.StructType(base.schema.fields + [
+        T.StructField("term", T.StringType()), T.StructField("term_pos", T.IntegerType()),
+        T.StructField("hits", T.LongType())])
+    out = None
+    for offset in range(0, len(terms), MAX_AUTOMATON_TERMS):
+        fn = _automaton_fn(terms[offset:offset + MAX_AUTOMATON_TERMS],
+                           keys[offset:offset + MAX_AUTOMATON_TERMS], offset)
+        m = base.mapInPandas(fn, out_schema)
+        out = m if out is None else out.unionByName(m)
+    return out.drop("_hay")
+
+
+def _automaton_fn(terms: list[str], keys: list[str], offset: int):
+    def run(batches):
+        import ahocorasick
+        import pandas as pd
+        auto = ahocorasick.Automaton()
+        by_key: dict[str, list[int]] = {}
+        for i, k in enumerate(keys):
+            if k:
+                by_key.setdefault(k, []).append(i)
+        for k in by_key:
+            auto.add_word(k, k)
+        auto.make_automaton()
+        for pdf in batches:
+            idx, pos, hits = [], [], []
+            for r, hay in enumerate(pdf["_hay"].tolist()):
+                if not hay:
+                    continue
+                found = {k for _, k in auto.iter(hay)}
+                for k in found:
+                    n = hay.count(k)
+                    for i in by_key[k]:
+                        idx.append(r)
+                        pos.append(offset + i)
+                        hits.append(n)
+            out = pdf.iloc[idx].reset_index(drop=True)
+            out["term"] = pd.Series([terms[p - offset] for p in pos], dtype=object)
+            out["term_pos"] = pd.Series(pos, dtype="int32")
+            out["hits"] = pd.Series(hits, dtype="int64")
+            yield out
+    return run
+
+
 def _hay_title_text() -> Column:
     # Title and text joined by a control character no term contains.
     return F.concat_ws("\u0001", F.col("title"), F.col("text"))
@@ -153,6 +221,7 @@ class KeywordSearch:
     as_of: str
     reddit_time_filter: str = "week"
     bluesky_cap: int = BLUESKY_TERM_CAP
+    method: str = "auto"
 
     def check(self) -> "KeywordSearch":
         if not self.terms:
@@ -173,8 +242,8 @@ def keyword_search(spark: SparkSession, posts: DataFrame, spec: KeywordSearch) -
     reddit = (F.col("platform") == "reddit") & ~F.col("is_comment") & \
         in_time_filter(F.col("created_at"), spec.as_of, spec.reddit_time_filter)
     bsky = F.col("platform") == "bluesky"
-    cand = posts.where(reddit | bsky)
-    m = substring_matches(spark, cand, list(spec.terms), _hay_title_text())
+    cand = posts.where(reddit | bsky).select("platform", "object_id", "created_at", "title", "text")
+    m = substring_matches(spark, cand, list(spec.terms), _hay_title_text(), spec.method)
     ranked = top_n_per_group(m, ["platform", "term_pos"], relevance_order(), max(q, 1))
     cap = F.when(F.col("platform") == "bluesky", F.lit(min(q, spec.bluesky_cap))).otherwise(F.lit(q))
     return ranked.where(F.col("rank") <= cap)

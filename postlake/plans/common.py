@@ -9,6 +9,9 @@ from postlake.session import configure
 from postlake.sources import fixtures as FX
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
 def raw_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "reddit_submission": FX.raw_reddit_submission(spark, sf_dir),
@@ -19,6 +22,15 @@ def raw_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fixture payloads normalized and unioned in storage form."""
+    """All fixture payloads normalized and unioned in storage form.
+
+    The (lazy) plan is built once per session and directory and reused, as
+    a view would be: nothing is cached or materialized, every query still
+    scans the tables."""
     configure(spark)
-    return N.storage_form(N.all_fixture_posts(raw_frames(spark, sf_dir)))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "unified")
+    df = _PLANS.get(key)
+    if df is None:
+        df = N.storage_form(N.all_fixture_posts(raw_frames(spark, sf_dir)))
+        _PLANS[key] = df
+    return df
