@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None):
 def _load_all() -> None:
     # Importing the query modules fills the registry.
     from postlake.plans import q_normalize, q_search, q_upsert, q_store  # noqa: F401
-    from postlake.plans import q_stream  # noqa: F401
+    from postlake.plans import q_stream, q_collect  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,6 +131,15 @@ class Store:
             return {"skipped": True, "batch_id": batch_id}
         cols = self.schema.fieldNames()
         b = self._bucket(batch.select(*cols)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        # The batch feeds two jobs (bucket ids, merge): keep it for the
+        # duration of the upsert; a lost block is recomputed from lineage.
+        b = b.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._merge_publish(m, b, batch_id)
+        finally:
+            b.unpersist()
+
+    def _merge_publish(self, m: dict, b: DataFrame, batch_id: int) -> dict:
         # Bounded by the bucket count, not by the data.
         touched = sorted(r[0] for r in b.select("bucket").distinct().collect())
         if not touched:

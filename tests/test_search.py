@@ -35,3 +35,24 @@ def test_keyword_search_plan(spark):
 
 def test_quota_never_zero():
     assert Q.quota(3, 10) == 1 and Q.quota(60, 3) == 20
+
+
+def test_collect_spec_checks():
+    import pytest
+    from postlake.spec import CollectSpec, known_platforms
+    ok = CollectSpec(as_of="2024-01-08 00:00:00")
+    assert ok.check() is ok
+    for bad in [dict(max_posts=0), dict(sort_by="best"), dict(time_filter="decade"),
+                dict(platforms=("reddit", "myspace")), dict(subreddits=()), dict(instances=()),
+                dict(keywords=("",))]:
+        with pytest.raises(ValueError):
+            CollectSpec(as_of="2024-01-08 00:00:00", **bad).check()
+    assert known_platforms(("reddit", "myspace")) == ("reddit",)
+
+
+def test_register_platform_adapter():
+    from postlake import schemas as S
+    from postlake.operators import normalize as N
+    from postlake.spec import ADAPTERS, PlatformAdapter, register_platform
+    register_platform(PlatformAdapter("bluesky_feed", S.BLUESKY_FEED_ITEM, N.bluesky_feed_items))
+    assert ADAPTERS["bluesky_feed"].raw_schema is S.BLUESKY_FEED_ITEM
