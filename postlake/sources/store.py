@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,16 +149,19 @@ class Store:
                           self.compare, self.replace, self.replace_if_reddit, with_outcome=True)
         version = m["version"] + 1
         path = f"{self.root}/data/v={version:08d}"
-        # Cut the lineage through the written files: the outcome counts read
-        # them back instead of re-running the merge.
-        (merged.repartition("platform", "bucket")
-               .write.mode("overwrite").partitionBy("platform", "bucket").parquet(path))
-        written = self.spark.read.parquet(path)
-        counts, incoming = {}, 0
-        for r in written.groupBy("_outcome").agg(F.count(F.lit(1)).alias("n"),
-                                                  F.sum("_copies").alias("copies")).collect():
-            counts[r["_outcome"]] = r["n"]
-            incoming += r["copies"] or 0
+        # The outcome counts are observed while the write runs (no second
+        # job over the merge).
+        obs = Observation(f"upsert-{version}")
+        observed = merged.observe(
+            obs,
+            F.count_if(F.col("_outcome") == "inserted").alias("inserted"),
+            F.count_if(F.col("_outcome") == "updated").alias("updated"),
+            F.count_if(F.col("_outcome") == "unchanged").alias("unchanged"),
+            F.coalesce(F.sum("_copies"), F.lit(0)).alias("incoming"))
+        (observed.repartition("platform", "bucket")
+                 .write.mode("overwrite").partitionBy("platform", "bucket").parquet(path))
+        counts = obs.get
+        incoming = counts.get("incoming", 0)
         nm = dict(m)
         nm["version"] = version
         nm["last_batch_id"] = batch_id
