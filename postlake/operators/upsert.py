@@ -164,11 +164,20 @@ def strict_append(cur: DataFrame, batch: DataFrame, key: list[str] | None = None
 # Multi-batch replay (J6) and edit history
 # --------------------------------------------------------------------------
 
+# Column names the replay adds (Spark names are case insensitive).
+_INTERNAL = {"_i", "_t", "_m", "_tl", "_g0", "_g1", "_const", "_c", "_not", "_cum_not", "_reset_c",
+             "_reset_cum", "_bit", "_state", "prev_text", "changed", "version", "_is_last", "first",
+             "last", "alt", "n", "_insert", "_applied_batch"}
+
+
 def _replay_steps(versions: DataFrame, batch_col: str, key: list[str], order: str,
                   compare: str) -> DataFrame:
     """One row per (key, batch) with the state after that batch: ``state``
     (the row whose ``compare`` value is stored), ``version`` (the row last
     applied), ``changed`` and ``prev_text``."""
+    clash = {c.lower() for c in versions.columns} & _INTERNAL
+    if clash:
+        raise ValueError(f"column names reserved by the replay: {sorted(clash)}")
     s = batch_summary(versions, key + [batch_col], order, compare)
     w = Window.partitionBy(*key).orderBy(batch_col)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -194,11 +203,11 @@ def _replay_steps(versions: DataFrame, batch_col: str, key: list[str], order: st
     s = s.withColumn("_reset_c", F.last(F.when(F.col("_const"), F.col("_c")), ignorenulls=True).over(wr)) \
          .withColumn("_reset_cum", F.last(F.when(F.col("_const"), F.col("_cum_not")), ignorenulls=True).over(wr))
     b = F.col("_reset_c") != (((F.col("_cum_not") - F.col("_reset_cum")) % 2) == 1)
-    s = s.withColumn("_b", b)
-    state_row = F.when(F.col("_b"), F.col("alt")).when(first_b, F.col("first")).otherwise(F.col("last"))
+    s = s.withColumn("_bit", b)
+    state_row = F.when(F.col("_bit"), F.col("alt")).when(first_b, F.col("first")).otherwise(F.col("last"))
     s = s.withColumn("_state", state_row)
     prev_text = F.lag(F.col("_state")[compare]).over(w)
-    changed = first_b | F.col("_b") | ~prev_text.eqNullSafe(F.col("_tl"))
+    changed = first_b | F.col("_bit") | ~prev_text.eqNullSafe(F.col("_tl"))
     s = s.withColumn("prev_text", prev_text).withColumn("changed", changed)
     s = s.withColumn("version", F.last(F.when(F.col("changed"), F.col("_state")), ignorenulls=True).over(wr))
     s = s.withColumn("_is_last", F.lead(F.col("_i")).over(w).isNull())
@@ -260,3 +269,58 @@ def canonical_by_fingerprint(posts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_copies"))
     return agg.select("fingerprint", F.col("_c.platform").alias("platform"),
                       F.col("_c.object_id").alias("object_id"), "n_copies")
+
+
+def resolve(versions: DataFrame, batch_col: str, key: list[str] | None = None, order: str = "seq",
+            compare: str = "text", replace=POST_REPLACE, replace_if_reddit=POST_REPLACE_IF_REDDIT) -> DataFrame:
+    """The stored rows after applying every batch of ``versions`` in
+    ``batch_col`` order to an empty store, with rule 3: columns in
+    ``replace`` come from the version last applied, the rest from the row
+    that inserted the key (``replace_if_reddit`` only for Reddit posts).
+
+    A stored row can enter as the only row of an earlier batch; it is then
+    the inserting row and its columns are kept as stored (merge-on-read)."""
+    key = list(key or KEY)
+    steps = _replay_steps(versions, batch_col, key, order, compare)
+    return resolve_steps(steps, [c for c in versions.columns if c != batch_col], batch_col, key,
+                         replace, replace_if_reddit)
+
+
+def resolve_steps(steps: DataFrame, cols: list[str], batch_col: str, key: list[str],
+                  replace=POST_REPLACE, replace_if_reddit=POST_REPLACE_IF_REDDIT) -> DataFrame:
+    """Final rows from replay steps (see ``resolve``)."""
+    w = Window.partitionBy(*key).orderBy(batch_col) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = steps.withColumn("_insert", F.first(F.col("first")).over(w)).where(F.col("_is_last"))
+    out = []
+    for c in cols:
+        if c in key:
+            out.append(F.col(c))
+        elif c in replace:
+            out.append(F.col("version")[c].alias(c))
+        elif c in replace_if_reddit:
+            out.append(F.when(F.col("platform") == "reddit", F.col("version")[c])
+                       .otherwise(F.col("_insert")[c]).alias(c))
+        else:
+            out.append(F.col("_insert")[c].alias(c))
+    return s.select(*out)
+
+
+def replay_steps(versions: DataFrame, batch_col: str, key: list[str] | None = None,
+                 order: str = "seq", compare: str = "text") -> DataFrame:
+    """Public form of the per-(key, batch) replay steps (for callers that
+    derive several results -- rows, outcomes -- from one replay)."""
+    return _replay_steps(versions, batch_col, list(key or KEY), order, compare)
+
+
+def batch_outcomes(steps: DataFrame, batch_col: str, skip_batch=None) -> DataFrame:
+    """J8 for many batches at once, from the replay steps: per batch, rows
+    (incoming), keys inserted, keys updated and keys present but unchanged.
+    ``skip_batch`` leaves out a pseudo-batch (the stored base)."""
+    s = steps if skip_batch is None else steps.where(F.col(batch_col) != F.lit(skip_batch))
+    first = F.col("_i") == 1
+    return s.groupBy(batch_col).agg(
+        F.sum("n").cast("long").alias("incoming"),
+        F.count_if(first).cast("long").alias("inserted"),
+        F.count_if(~first & F.col("changed")).cast("long").alias("updated"),
+        F.count_if(~first & ~F.col("changed")).cast("long").alias("unchanged"))

@@ -61,6 +61,7 @@ def run_version_stream(spark, sf_dir):
     q = ST.start_upsert(src.select(*VERSION_SCHEMA.fieldNames()), store,
                         scratch_path(spark, "ckpt"), metrics, trigger={"availableNow": True})
     q.awaitTermination()
+    store.compact()  # T8: settle pending deltas and their outcome counts
     _RUNS[key] = (store.root, metrics)
     return _RUNS[key]
 
@@ -68,8 +69,12 @@ def run_version_stream(spark, sf_dir):
 @register("stream_upsert", _REPLAY_SQL)
 def stream_upsert(spark, sf_dir):
     root, _ = run_version_stream(spark, sf_dir)
-    store = Store(spark, root, VERSION_SCHEMA, replace=("text", "seq", "value"), replace_if_reddit=())
-    return store.read().select("platform", "object_id", "text", "seq", "value")
+    return _store(spark, root).read().select("platform", "object_id", "text", "seq", "value")
+
+
+def _store(spark, root):
+    return Store(spark, root, VERSION_SCHEMA, replace=("text", "seq", "value"), replace_if_reddit=(),
+                 buckets=8)
 
 
 _SBM_SQL = _STATES + """,
@@ -92,9 +97,10 @@ group by dd.i, inc.n"""
 def stream_batch_metrics(spark, sf_dir):
     """K9: one metrics row per micro-batch (durations left out: not
     deterministic)."""
-    _, metrics = run_version_stream(spark, sf_dir)
-    m = ST.read_metrics(spark, metrics)
-    return m.select("batch_id", "incoming", "inserted", "updated", "unchanged")
+    root, metrics = run_version_stream(spark, sf_dir)
+    m = ST.read_metrics(spark, metrics).select("batch_id", "incoming")
+    o = _store(spark, root).outcomes().select("batch_id", "inserted", "updated", "unchanged")
+    return m.join(o, "batch_id", "left")
 
 
 _SD_SQL = """select distinct user_id, event_type, epoch_us(date_trunc('hour', ts)) as hour_us from events"""
@@ -145,7 +151,9 @@ def stream_status(spark, sf_dir):
     """Latest status and totals per platform from the metrics table
     of the streamed run (the update time is left out: wall clock)."""
     from postlake.operators.stats import latest_status
-    _, metrics = run_version_stream(spark, sf_dir)
-    s = latest_status(ST.read_metrics(spark, metrics))
+    root, metrics = run_version_stream(spark, sf_dir)
+    m = ST.read_metrics(spark, metrics)
+    o = _store(spark, root).outcomes().select("batch_id", "inserted")
+    s = latest_status(m.drop("inserted").join(o, "batch_id", "left"))
     return s.select("platform", "status", F.col("posts").cast("long").alias("posts"),
                     F.col("incoming").cast("long").alias("incoming"))

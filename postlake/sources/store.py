@@ -1,24 +1,40 @@
-"""The post store (K1, K3, K8, S14, L6): a Parquet dataset with a pointer.
+"""The post store (K1, K3, K8, S14, L6): Parquet files plus a manifest.
 
 Layout::
 
-    <root>/_manifest.json           current version, bucket -> data version
-    <root>/_manifests/<version>.json every published manifest (history)
-    <root>/data/v=<version>/platform=<p>/bucket=<b>/part-*.parquet
+    <root>/_manifest.json              the current state (published by rename)
+    <root>/_manifests/<version>.json   every published manifest (history)
+    <root>/data/v=<version>/platform=<p>/bucket=<b>/part-*.parquet   base
+    <root>/deltas/delta=<batch_id>-<tag>/platform=<p>/part-*.parquet deltas
 
-Rows are spread over ``buckets`` hash buckets of the key
+Base rows are spread over ``buckets`` hash buckets of the key
 (``pmod(xxhash64(platform, object_id), buckets)``) and partitioned by
-``platform`` (platform filters prune directories, F1).  An upsert rewrites
-only the buckets its batch touches, into a new version directory, and then
-publishes a new manifest by write-and-rename: until the rename the store
-reads exactly as before, so a failed batch leaves it untouched (K3), and a
-re-run of an applied ``batch_id`` is skipped (idempotent ``foreachBatch``).
+``platform``, so platform filters prune directories (F1) and key lookups read
+only the buckets they need.
+
+Two write strategies, same results (tested against each other):
+
+* ``merge_on_read`` (default): a batch is appended as a delta -- its cost is
+  O(batch), whatever the store size.  A read resolves only the keys that
+  occur in deltas: base rows of other keys pass through (anti join), the
+  rest are replayed with the base row as the first version (the window
+  recurrence of ``upsert.resolve``).  The delta key set is broadcast only
+  when the manifest's recorded delta row count is under
+  ``BROADCAST_DELTA_ROWS``; otherwise the joins shuffle.  ``compact()``
+  folds deltas into a new base, automatically after ``max_deltas``.
+* ``copy_on_write``: an upsert rewrites the buckets its batch touches into a
+  new version directory (cost grows with the touched share of the store).
+
+Either way a new manifest is published by write-and-rename only after all
+files are written: a failed batch leaves the store as it was (K3), and an
+already-applied ``batch_id`` is skipped (idempotent ``foreachBatch``).
 Readers never read a path that a writer overwrites.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -30,15 +46,24 @@ from postlake.operators import upsert as U
 from postlake.session import exists, read_text, write_text
 
 MANIFEST = "_manifest.json"
+OUTCOMES_SCHEMA = T.StructType([
+    T.StructField("batch_id", T.LongType()), T.StructField("incoming", T.LongType()),
+    T.StructField("inserted", T.LongType()), T.StructField("updated", T.LongType()),
+    T.StructField("unchanged", T.LongType())])
+MODES = ("merge_on_read", "copy_on_write")
+BROADCAST_DELTA_ROWS = 2_000_000
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType = S.POST,
                  key: list[str] | None = None, buckets: int = 16, order: str = "seq",
                  compare: str = "text", replace=U.POST_REPLACE,
-                 replace_if_reddit=U.POST_REPLACE_IF_REDDIT):
+                 replace_if_reddit=U.POST_REPLACE_IF_REDDIT, mode: str = "merge_on_read",
+                 max_deltas: int = 32):
         if "platform" not in schema.fieldNames():
             raise ValueError("store schema needs a platform column")
+        if mode not in MODES:
+            raise ValueError(f"mode must be one of {MODES}")
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
@@ -46,6 +71,8 @@ class Store:
         self.buckets = buckets
         self.order, self.compare = order, compare
         self.replace, self.replace_if_reddit = tuple(replace), tuple(replace_if_reddit)
+        self.mode = mode
+        self.max_deltas = max_deltas
         self.data_cols = schema.fieldNames() + ["batch_id"]
 
     # ------------------------------------------------------------ manifest
@@ -65,15 +92,22 @@ class Store:
         """K1: idempotent; an empty store has version 0 and no data."""
         if not self.exists():
             self._publish({"version": 0, "buckets": self.buckets, "last_batch_id": -1,
-                           "bucket_versions": {}})
+                           "bucket_versions": {}, "deltas": [], "mode": self.mode})
         return self
 
     # ------------------------------------------------------------ read
-    def _file_schema(self) -> T.StructType:
+    def _file_schema(self, partitioned_by_bucket: bool = True) -> T.StructType:
         fields = [f for f in self.schema.fields if f.name != "platform"]
-        return T.StructType(fields + [T.StructField("batch_id", T.LongType()),
-                                      T.StructField("platform", T.StringType()),
-                                      T.StructField("bucket", T.IntegerType())])
+        fields.append(T.StructField("batch_id", T.LongType()))
+        if not partitioned_by_bucket:
+            fields.append(T.StructField("bucket", T.IntegerType()))
+        fields.append(T.StructField("platform", T.StringType()))
+        if partitioned_by_bucket:
+            fields.append(T.StructField("bucket", T.IntegerType()))
+        return T.StructType(fields)
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self._file_schema()).select(*self.data_cols, "bucket")
 
     def _read_buckets(self, m: dict, only: set[int] | None = None) -> DataFrame:
         by_version: dict[int, list[int]] = {}
@@ -84,20 +118,73 @@ class Store:
         out = None
         for v, bs in sorted(by_version.items()):
             df = (self.spark.read.schema(self._file_schema())
-                  .parquet(f"{self.root}/data/v={v:08d}")
-                  .where(F.col("bucket").isin(sorted(bs))))
+                  .parquet(f"{self.root}/data/v={v:08d}"))
+            if len(bs) < self.buckets:
+                df = df.where(F.col("bucket").isin(sorted(bs)))
+            df = df.select(*self.data_cols, "bucket")
             out = df if out is None else out.unionByName(df)
-        if out is None:
-            out = self.spark.createDataFrame([], self._file_schema())
-        return out
+        return out if out is not None else self._empty()
+
+    def _read_deltas(self, m: dict) -> DataFrame | None:
+        """All pending deltas in one multi-path scan."""
+        paths = [f"{self.root}/{d['path']}" for d in m.get("deltas", [])]
+        if not paths:
+            return None
+        schema = T.StructType(self._file_schema(False).fields[:-1] + [
+            T.StructField("delta", T.StringType()), T.StructField("platform", T.StringType())])
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/deltas") \
+            .parquet(*paths).select(*self.data_cols, "bucket")
+
+    def _split(self, m: dict):
+        """(rows untouched by deltas, versions to replay or None)."""
+        base = self._read_buckets(m)
+        deltas = self._read_deltas(m)
+        if deltas is None:
+            return base, None
+        rows = sum(d["rows"] for d in m["deltas"])
+        dk = deltas.select(*self.key).distinct()
+        # The delta key set is broadcast only under a recorded row bound.
+        dkb = F.broadcast(dk) if rows <= BROADCAST_DELTA_ROWS else dk
+        untouched = base.join(dkb, self.key, "left_anti")
+        touched = base.join(dkb, self.key, "left_semi")
+        versions = touched.withColumn("_version_order", F.lit(-1).cast("long")) \
+            .unionByName(deltas.withColumn("_version_order", F.col("batch_id")))
+        return untouched, versions
+
+    def _resolve(self, steps: DataFrame) -> DataFrame:
+        return U.resolve_steps(steps, self.data_cols + ["bucket"], "_version_order", self.key,
+                               self.replace, self.replace_if_reddit).select(*self.data_cols, "bucket")
+
+    def _steps(self, versions: DataFrame) -> DataFrame:
+        return U.replay_steps(versions, "_version_order", self.key, self.order, self.compare)
+
+    def _state(self, m: dict) -> DataFrame:
+        """Current rows (data columns + bucket)."""
+        untouched, versions = self._split(m)
+        if versions is None:
+            return untouched
+        return untouched.unionByName(self._resolve(self._steps(versions)))
+
+    def outcomes(self) -> DataFrame:
+        """Inserted / updated / unchanged keys and incoming rows per
+        applied batch (merge-on-read batches appear once compacted)."""
+        path = f"{self.root}/_outcomes"
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], OUTCOMES_SCHEMA)
+        return self.spark.read.schema(OUTCOMES_SCHEMA).json(path)
+
+    def _record_outcomes(self, version: int, rows: list[dict]) -> None:
+        if rows:
+            write_text(self.spark, f"{self.root}/_outcomes/v={version:08d}.json",
+                       "\n".join(json.dumps(r, sort_keys=True) for r in rows))
 
     def read(self, with_meta: bool = False) -> DataFrame:
-        """The current rows (lazy scan; Catalyst pushes filters and
-        prunes the platform and bucket directories)."""
+        """The current rows (lazy; Catalyst pushes filters and prunes
+        the platform and bucket directories of the base)."""
         m = self.manifest()
         if m is None:
             raise FileNotFoundError(f"no store at {self.root}")
-        df = self._read_buckets(m)
+        df = self._state(m)
         cols = self.data_cols + (["bucket"] if with_meta else [])
         if not with_meta:
             cols = [c for c in cols if c != "batch_id"]
@@ -122,22 +209,65 @@ class Store:
     def _bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
 
+    def _write_base(self, df: DataFrame, version: int) -> None:
+        df.repartition("platform", "bucket").write.mode("overwrite") \
+            .partitionBy("platform", "bucket").parquet(f"{self.root}/data/v={version:08d}")
+
     def upsert(self, batch: DataFrame, batch_id: int) -> dict:
-        """K3: apply one batch with the upsert rule; returns the outcome
-        counts.  Skips a ``batch_id`` that is already applied."""
+        """K3: apply one batch with the upsert rule; returns what happened.
+        Skips a ``batch_id`` that is already applied.  Merge-on-read writes
+        are a pure O(batch) append; their outcome counts are derived when
+        the deltas are compacted (``outcomes()``)."""
         self.create()
         m = self.manifest()
         if batch_id <= m["last_batch_id"]:
             return {"skipped": True, "batch_id": batch_id}
         cols = self.schema.fieldNames()
         b = self._bucket(batch.select(*cols)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        # The batch feeds two jobs (bucket ids, merge): keep it for the
-        # duration of the upsert; a lost block is recomputed from lineage.
+        # The batch feeds more than one job: keep it for the duration of the
+        # upsert; a lost block is recomputed from lineage.
         b = b.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return self._merge_publish(m, b, batch_id)
+            if not m["bucket_versions"] and not m.get("deltas"):
+                res = self._bulk_load(m, b, batch_id)
+            elif self.mode == "copy_on_write":
+                res = self._merge_publish(m, b, batch_id)
+            else:
+                res = self._append_delta(m, b, batch_id)
         finally:
             b.unpersist()
+        m = self.manifest()
+        if len(m.get("deltas", [])) >= self.max_deltas:
+            self.compact()
+        return res
+
+    def _bulk_load(self, m: dict, b: DataFrame, batch_id: int) -> dict:
+        """Empty store: rule 1 alone -- the first copy of every key."""
+        version = m["version"] + 1
+        obs = Observation(f"load-{uuid.uuid4().hex[:8]}")
+        firsts = U.first_copies(b.select(*self.data_cols, "bucket"), self.key, self.order)
+        self._write_base(firsts.observe(obs, F.count(F.lit(1)).alias("n")), version)
+        n = obs.get.get("n", 0)
+        incoming = b.count()
+        res = {"batch_id": batch_id, "incoming": int(incoming), "inserted": int(n),
+               "updated": 0, "unchanged": 0}
+        self._record_outcomes(version, [res])
+        nm = dict(m, version=version, last_batch_id=batch_id,
+                  bucket_versions={str(i): version for i in range(self.buckets)})
+        self._publish(nm)
+        return dict(res, skipped=False)
+
+    def _append_delta(self, m: dict, b: DataFrame, batch_id: int) -> dict:
+        path = f"deltas/delta={batch_id:010d}-{uuid.uuid4().hex[:8]}"
+        obs = Observation(f"delta-{uuid.uuid4().hex[:8]}")
+        (b.select(*self.data_cols, "bucket").observe(obs, F.count(F.lit(1)).alias("n"))
+          .repartition("platform").write.mode("overwrite").partitionBy("platform")
+          .parquet(f"{self.root}/{path}"))
+        rows = int(obs.get.get("n", 0))
+        nm = dict(m, version=m["version"] + 1, last_batch_id=batch_id,
+                  deltas=list(m.get("deltas", [])) + [{"batch_id": batch_id, "path": path, "rows": rows}])
+        self._publish(nm)
+        return {"skipped": False, "batch_id": batch_id, "incoming": rows}
 
     def _merge_publish(self, m: dict, b: DataFrame, batch_id: int) -> dict:
         # Bounded by the bucket count, not by the data.
@@ -151,7 +281,7 @@ class Store:
         path = f"{self.root}/data/v={version:08d}"
         # The outcome counts are observed while the write runs (no second
         # job over the merge).
-        obs = Observation(f"upsert-{version}")
+        obs = Observation(f"upsert-{uuid.uuid4().hex[:8]}")
         observed = merged.observe(
             obs,
             F.count_if(F.col("_outcome") == "inserted").alias("inserted"),
@@ -161,32 +291,40 @@ class Store:
         (observed.repartition("platform", "bucket")
                  .write.mode("overwrite").partitionBy("platform", "bucket").parquet(path))
         counts = obs.get
-        incoming = counts.get("incoming", 0)
-        nm = dict(m)
-        nm["version"] = version
-        nm["last_batch_id"] = batch_id
+        res = {"batch_id": batch_id, "incoming": int(counts.get("incoming", 0)),
+               "inserted": int(counts.get("inserted", 0)), "updated": int(counts.get("updated", 0)),
+               "unchanged": int(counts.get("unchanged", 0))}
+        self._record_outcomes(version, [res])
+        nm = dict(m, version=version, last_batch_id=batch_id)
         bv = dict(m["bucket_versions"])
         for t in touched:
             bv[str(t)] = version
         nm["bucket_versions"] = bv
         self._publish(nm)
-        return {"skipped": False, "batch_id": batch_id, "touched": len(touched),
-                "incoming": int(incoming),
-                "inserted": counts.get("inserted", 0), "updated": counts.get("updated", 0),
-                "unchanged": counts.get("unchanged", 0)}
+        return dict(res, skipped=False, touched=len(touched))
 
     def compact(self) -> None:
-        """Rewrite every bucket into one version (bounds the number of
-        version directories a read has to union)."""
+        """Fold every delta and bucket version into one new base version
+        (bounds the paths a read unions and the keys it resolves).  The same
+        replay yields the outcome counts of the folded delta batches."""
         m = self.manifest()
-        if not m or not m["bucket_versions"]:
+        if not m or (not m["bucket_versions"] and not m.get("deltas")):
             return
-        cur = self._read_buckets(m).select(*self.data_cols, "bucket")
         version = m["version"] + 1
-        path = f"{self.root}/data/v={version:08d}"
-        cur.repartition("platform", "bucket").write.mode("overwrite") \
-            .partitionBy("platform", "bucket").parquet(path)
-        nm = dict(m)
-        nm["version"] = version
-        nm["bucket_versions"] = {b: version for b in m["bucket_versions"]}
+        untouched, versions = self._split(m)
+        if versions is None:
+            self._write_base(untouched, version)
+        else:
+            steps = self._steps(versions).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                rows = [dict(r.asDict(), batch_id=int(r["_version_order"])) for r in
+                        U.batch_outcomes(steps, "_version_order", skip_batch=-1).collect()]
+                for r in rows:
+                    r.pop("_version_order", None)
+                self._write_base(untouched.unionByName(self._resolve(steps)), version)
+                self._record_outcomes(version, rows)
+            finally:
+                steps.unpersist()
+        nm = dict(m, version=version, deltas=[],
+                  bucket_versions={str(i): version for i in range(self.buckets)})
         self._publish(nm)

@@ -109,8 +109,8 @@ class UpsertSink:
             return
         row = {"batch_id": int(batch_id), "platform": self.platform_label,
                "ts": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
-               "incoming": int(incoming), "inserted": int(res.get("inserted", 0)),
-               "updated": int(res.get("updated", 0)), "unchanged": int(res.get("unchanged", 0)),
+               "incoming": int(incoming), "inserted": res.get("inserted"),
+               "updated": res.get("updated"), "unchanged": res.get("unchanged"),
                "duration_s": float(time.time() - t0), "status": status, "error": err}
         write_text(spark, f"{self.metrics_path}/batch-{int(batch_id):010d}.json", json.dumps(row))
 
@@ -150,13 +150,14 @@ def run_with_retry(start, attempts: int = 3, backoff_s: float = ERROR_PAUSE_S,
     raise RuntimeError(f"stream failed after {attempts} attempts") from last
 
 
-def stop_and_report(spark: SparkSession, query: StreamingQuery, metrics_path: str) -> DataFrame:
-    """Stop gracefully, then totals from the metrics table."""
+def stop_and_report(spark: SparkSession, query: StreamingQuery, store: Store) -> DataFrame:
+    """Stop gracefully, fold pending deltas (which also settles their
+    outcome counts), then totals from the store's outcome table."""
     query.stop()
-    m = read_metrics(spark, metrics_path)
-    return m.groupBy("platform").agg(F.sum("incoming").alias("incoming"),
-                                     F.sum("inserted").alias("inserted"),
-                                     F.sum("updated").alias("updated"))
+    store.compact()
+    o = store.outcomes()
+    return o.agg(F.sum("incoming").alias("incoming"), F.sum("inserted").alias("inserted"),
+                 F.sum("updated").alias("updated"), F.sum("unchanged").alias("unchanged"))
 
 
 def read_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:

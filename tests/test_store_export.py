@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake import schemas as S
 from postlake.plans.common import unified
@@ -11,9 +12,10 @@ from postlake.sources.store import Store
 from tests.conftest import SF_SMALL
 
 
-def test_store_upsert_idempotent_and_atomic(spark):
+@pytest.mark.parametrize("mode", ["merge_on_read", "copy_on_write"])
+def test_store_upsert_idempotent_and_atomic(spark, mode):
     posts = unified(spark, SF_SMALL)
-    st = Store(spark, scratch_path(spark, "t-store"), buckets=4).create()
+    st = Store(spark, scratch_path(spark, "t-store"), buckets=4, mode=mode).create()
     assert st.read().count() == 0
     r = st.upsert(posts, 0)
     n = posts.count()
@@ -25,8 +27,10 @@ def test_store_upsert_idempotent_and_atomic(spark):
     assert st.manifest()["version"] == v and st.read().count() == n
     edited = posts.where(F.col("platform") == "bluesky").limit(3) \
         .withColumn("text", F.lit("edited")).withColumn("seq", F.lit(10**9))
-    r2 = st.upsert(edited, 2)
-    assert r2["updated"] == 3 and r2["touched"] <= 4
+    st.upsert(edited, 2)
+    st.compact()
+    o = {r.batch_id: r for r in st.outcomes().collect()}
+    assert o[2].updated == 3 and o[2].inserted == 0 and o[0].inserted == n
     assert st.read().where(F.col("text") == "edited").count() == 3
     assert st.read().count() == n
 
@@ -64,3 +68,39 @@ def test_export_round_trip(spark, suffix):
     cols = [c for c in S.POST_COLUMNS if c not in ("metrics",)]
     assert back.select(*cols).exceptAll(expect.select(*cols)).count() == 0
     assert back.count() == posts.count()
+
+
+def _model(batches):
+    from tests.test_upsert import model
+    state, _ = model(batches)
+    return {k: (v[2], v[3]) for k, v in state.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_on_read_equals_copy_on_write_and_model(spark, seed):
+    import random
+    from tests.test_upsert import SCHEMA, random_batches
+    schema = T.StructType([T.StructField("platform", T.StringType()), T.StructField("object_id", T.StringType()),
+                           T.StructField("text", T.StringType()), T.StructField("seq", T.LongType()),
+                           T.StructField("value", T.DoubleType())])
+    rng = random.Random(seed)
+    batches = [(b, rows) for b, rows in random_batches(rng, n_batches=7, n_keys=6) if rows]
+    stores = [Store(spark, scratch_path(spark, "t-mor"), schema, buckets=3, replace=("text", "seq", "value"),
+                    replace_if_reddit=(), mode="merge_on_read", max_deltas=3),
+              Store(spark, scratch_path(spark, "t-cow"), schema, buckets=3, replace=("text", "seq", "value"),
+                    replace_if_reddit=(), mode="copy_on_write")]
+    for b, rows in batches:
+        df = spark.createDataFrame(rows, SCHEMA).drop("batch")
+        for st in stores:
+            st.upsert(df, b)
+    want = _model(batches)
+    got_mid = {(r.platform, r.object_id): (r.text, r.seq) for r in stores[0].read().collect()}
+    assert got_mid == want                                   # read with pending deltas
+    stores[0].compact()
+    outs = [sorted(tuple(r) for r in st.outcomes().select(
+        "batch_id", "incoming", "inserted", "updated", "unchanged").collect()) for st in stores]
+    assert outs[0] == outs[1] and len(outs[0]) == len(batches)
+    for st in stores:
+        got = {(r.platform, r.object_id): (r.text, r.seq) for r in st.read().collect()}
+        assert got == want
+    assert stores[0].manifest()["deltas"] == []
