@@ -287,12 +287,12 @@ def mastodon_hashtag_search(spark: SparkSession, raw_status: DataFrame, hashtags
 def _with_instance(raw_status: DataFrame, instances: list[str] | None) -> DataFrame:
     st = raw_status.withColumn("instance_key", X.strip_scheme(F.col("api_base_url")))
     if instances:
-        keep = [X_strip(i) for i in instances]
+        keep = [strip_scheme_text(i) for i in instances]
         st = st.where(F.col("instance_key").isin(keep))
     return st
 
 
-def X_strip(u: str) -> str:
+def strip_scheme_text(u: str) -> str:
     """E7 on a driver-side value (spec lists)."""
     import re
     return re.sub(r"https?://", "", u)
@@ -300,7 +300,7 @@ def X_strip(u: str) -> str:
 
 def unknown_instances(spark: SparkSession, raw_status: DataFrame, instances: list[str]) -> DataFrame:
     """F6 note: listed instances with no landed statuses (left anti)."""
-    wanted = spark.createDataFrame([(X_strip(i),) for i in instances], "instance_key string")
+    wanted = spark.createDataFrame([(strip_scheme_text(i),) for i in instances], "instance_key string")
     have = raw_status.select(X.strip_scheme(F.col("api_base_url")).alias("instance_key")).distinct()
     return wanted.join(have, "instance_key", "left_anti")
 
@@ -379,7 +379,7 @@ def parse_account(handle: str) -> tuple[str, str]:
     m = re.match(r"^@?([^@]+)@(.+)$", handle)
     if not m:
         raise ValueError(f"not a user@instance handle: {handle!r}")
-    return m.group(1), X_strip(m.group(2))
+    return m.group(1), strip_scheme_text(m.group(2))
 
 
 def account_posts(spark: SparkSession, posts: DataFrame, handles: list[str], max_posts: int) -> DataFrame:

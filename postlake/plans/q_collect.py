@@ -24,7 +24,7 @@ _asof = P.epoch_us(P.SEARCH_AS_OF)
 _rq = Q.quota(BATCH_SPEC.max_posts_per_subreddit, len(P.KEYWORDS))
 _bq = min(Q.quota(BATCH_SPEC.max_posts, len(P.KEYWORDS)), 30)
 _mq = Q.quota(BATCH_SPEC.max_posts_per_instance, len(BATCH_SPEC.hashtags))
-_insts = [Q.X_strip(i) for i in P.INSTANCES]
+_insts = [Q.strip_scheme_text(i) for i in P.INSTANCES]
 
 _BATCH_SQL = f"""{O.posts_cte(("reddit_submission", "bluesky"))},
 raw_mastodon_status as ({O.FIX["raw_mastodon_status"]}),

@@ -182,7 +182,7 @@ def timeline_public(spark, sf_dir):
 
 
 IT_MAX = 15
-_insts = [Q.X_strip(i) for i in P.INSTANCES]
+_insts = [Q.strip_scheme_text(i) for i in P.INSTANCES]
 _IT_SQL = f"""with raw_mastodon_status as ({O.FIX["raw_mastodon_status"]}),
 s as (select *, regexp_replace(api_base_url, 'https?://', '', 'g') as instance from raw_mastodon_status),
 r as (select instance, cast(id as varchar) as object_id,
