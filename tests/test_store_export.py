@@ -104,3 +104,14 @@ def test_merge_on_read_equals_copy_on_write_and_model(spark, seed):
         got = {(r.platform, r.object_id): (r.text, r.seq) for r in st.read().collect()}
         assert got == want
     assert stores[0].manifest()["deltas"] == []
+
+
+def test_platform_filter_prunes_base_and_deltas(spark):
+    import re
+    posts = unified(spark, SF_SMALL)
+    st = Store(spark, scratch_path(spark, "t-store"), buckets=2).create()
+    st.upsert(posts, 0)
+    st.upsert(posts.where(F.col("platform") == "bluesky").limit(3).withColumn("text", F.lit("x")), 1)
+    plan = st.read().where(F.col("platform") == "reddit")._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet .*?PartitionFilters: \[([^\]]*)\]", plan)
+    assert len(scans) >= 2 and all("platform" in s for s in scans)
