@@ -69,6 +69,12 @@ def batch_summary(batch: DataFrame, key: list[str], order: str = "seq",
     return firsts.join(lasts, key)
 
 
+def _insert_side(within_batch: str) -> str:
+    if within_batch not in ("first", "last"):
+        raise ValueError("within_batch must be 'first' or 'last'")
+    return within_batch
+
+
 def _edit_winner(summary_alias: str, stored_compare: Column, compare: str) -> Column:
     last = F.col(f"{summary_alias}.last")
     alt = F.col(f"{summary_alias}.alt")
@@ -79,11 +85,18 @@ def _edit_winner(summary_alias: str, stored_compare: Column, compare: str) -> Co
 
 def upsert(cur: DataFrame, batch: DataFrame, key: list[str] | None = None, order: str = "seq",
            compare: str = "text", replace=POST_REPLACE,
-           replace_if_reddit=POST_REPLACE_IF_REDDIT, with_outcome: bool = False) -> DataFrame:
+           replace_if_reddit=POST_REPLACE_IF_REDDIT, with_outcome: bool = False,
+           within_batch: str = "first", refresh=()) -> DataFrame:
     """The store after applying ``batch`` to ``cur`` (same columns as
     ``cur``).  ``with_outcome`` adds ``_outcome`` in
     {inserted, updated, unchanged, untouched} and ``_copies`` (rows of the
-    batch for the key)."""
+    batch for the key).
+
+    Options (ours; the defaults are the reference's observable rule):
+    ``within_batch='last'`` inserts a new key's latest copy instead of its
+    first (D7); ``refresh`` names columns taken from the latest copy of
+    every key in the batch even without an edit, e.g. ``("metrics",)``
+    (D8)."""
     key = list(key or KEY)
     cols = cur.columns
     missing = [c for c in cols if c not in batch.columns]
@@ -100,13 +113,18 @@ def upsert(cur: DataFrame, batch: DataFrame, key: list[str] | None = None, order
             out_cols.append(F.col(col))
             continue
         stored = F.col(f"c.{col}")
-        if col in replace:
+        if col in refresh:
+            kept = F.when(F.col("s.n").isNotNull(), F.col("s.last")[col]).otherwise(stored)
+        elif col in replace:
             kept = F.when(win.isNotNull(), win[col]).otherwise(stored)
         elif col in replace_if_reddit:
             kept = F.when(win.isNotNull() & (F.col("platform") == "reddit"), win[col]).otherwise(stored)
         else:
             kept = stored
-        out_cols.append(F.when(in_cur, kept).otherwise(F.col("s.first")[col]).alias(col))
+        inserted = F.col(f"s.{_insert_side(within_batch)}")[col]
+        if col in refresh:
+            inserted = F.col("s.last")[col]
+        out_cols.append(F.when(in_cur, kept).otherwise(inserted).alias(col))
     if with_outcome:
         out_cols.append(
             F.when(~in_cur, F.lit("inserted"))
@@ -171,7 +189,7 @@ _INTERNAL = {"_i", "_t", "_m", "_tl", "_g0", "_g1", "_const", "_c", "_not", "_cu
 
 
 def _replay_steps(versions: DataFrame, batch_col: str, key: list[str], order: str,
-                  compare: str) -> DataFrame:
+                  compare: str, within_batch: str = "first") -> DataFrame:
     """One row per (key, batch) with the state after that batch: ``state``
     (the row whose ``compare`` value is stored), ``version`` (the row last
     applied), ``changed`` and ``prev_text``."""
@@ -187,7 +205,8 @@ def _replay_steps(versions: DataFrame, batch_col: str, key: list[str], order: st
     # Candidate texts of each batch: _T (state if b = 0) and _M (state if
     # b = 1); _tl is the batch's latest text.  (Spark names are case
     # insensitive: keep them distinct ignoring case.)
-    s = s.withColumn("_T", F.when(first_b, F.col("first")[compare]).otherwise(F.col("last")[compare])) \
+    ins = _insert_side(within_batch)
+    s = s.withColumn("_T", F.when(first_b, F.col(ins)[compare]).otherwise(F.col("last")[compare])) \
          .withColumn("_M", F.when(first_b, F.lit(None)).otherwise(F.col("alt")[compare])) \
          .withColumn("_tl", F.col("last")[compare])
     prev_T, prev_M = F.lag("_T").over(w), F.lag("_M").over(w)
@@ -204,7 +223,7 @@ def _replay_steps(versions: DataFrame, batch_col: str, key: list[str], order: st
          .withColumn("_reset_cum", F.last(F.when(F.col("_const"), F.col("_cum_not")), ignorenulls=True).over(wr))
     b = F.col("_reset_c") != (((F.col("_cum_not") - F.col("_reset_cum")) % 2) == 1)
     s = s.withColumn("_bit", b)
-    state_row = F.when(F.col("_bit"), F.col("alt")).when(first_b, F.col("first")).otherwise(F.col("last"))
+    state_row = F.when(F.col("_bit"), F.col("alt")).when(first_b, F.col(ins)).otherwise(F.col("last"))
     s = s.withColumn("_state", state_row)
     prev_text = F.lag(F.col("_state")[compare]).over(w)
     changed = first_b | F.col("_bit") | ~prev_text.eqNullSafe(F.col("_tl"))
@@ -272,7 +291,8 @@ def canonical_by_fingerprint(posts: DataFrame) -> DataFrame:
 
 
 def resolve(versions: DataFrame, batch_col: str, key: list[str] | None = None, order: str = "seq",
-            compare: str = "text", replace=POST_REPLACE, replace_if_reddit=POST_REPLACE_IF_REDDIT) -> DataFrame:
+            compare: str = "text", replace=POST_REPLACE, replace_if_reddit=POST_REPLACE_IF_REDDIT,
+            within_batch: str = "first", refresh=()) -> DataFrame:
     """The stored rows after applying every batch of ``versions`` in
     ``batch_col`` order to an empty store, with rule 3: columns in
     ``replace`` come from the version last applied, the rest from the row
@@ -281,21 +301,26 @@ def resolve(versions: DataFrame, batch_col: str, key: list[str] | None = None, o
     A stored row can enter as the only row of an earlier batch; it is then
     the inserting row and its columns are kept as stored (merge-on-read)."""
     key = list(key or KEY)
-    steps = _replay_steps(versions, batch_col, key, order, compare)
+    steps = _replay_steps(versions, batch_col, key, order, compare, within_batch)
     return resolve_steps(steps, [c for c in versions.columns if c != batch_col], batch_col, key,
-                         replace, replace_if_reddit)
+                         replace, replace_if_reddit, within_batch, refresh)
 
 
 def resolve_steps(steps: DataFrame, cols: list[str], batch_col: str, key: list[str],
-                  replace=POST_REPLACE, replace_if_reddit=POST_REPLACE_IF_REDDIT) -> DataFrame:
-    """Final rows from replay steps (see ``resolve``)."""
+                  replace=POST_REPLACE, replace_if_reddit=POST_REPLACE_IF_REDDIT,
+                  within_batch: str = "first", refresh=()) -> DataFrame:
+    """Final rows from replay steps (see ``resolve``; ``refresh`` columns
+    come from the key's latest copy)."""
     w = Window.partitionBy(*key).orderBy(batch_col) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = steps.withColumn("_insert", F.first(F.col("first")).over(w)).where(F.col("_is_last"))
+    ins = _insert_side(within_batch)
+    s = steps.withColumn("_insert", F.first(F.col(ins)).over(w)).where(F.col("_is_last"))
     out = []
     for c in cols:
         if c in key:
             out.append(F.col(c))
+        elif c in refresh:
+            out.append(F.col("last")[c].alias(c))
         elif c in replace:
             out.append(F.col("version")[c].alias(c))
         elif c in replace_if_reddit:
@@ -307,10 +332,10 @@ def resolve_steps(steps: DataFrame, cols: list[str], batch_col: str, key: list[s
 
 
 def replay_steps(versions: DataFrame, batch_col: str, key: list[str] | None = None,
-                 order: str = "seq", compare: str = "text") -> DataFrame:
+                 order: str = "seq", compare: str = "text", within_batch: str = "first") -> DataFrame:
     """Public form of the per-(key, batch) replay steps (for callers that
     derive several results -- rows, outcomes -- from one replay)."""
-    return _replay_steps(versions, batch_col, list(key or KEY), order, compare)
+    return _replay_steps(versions, batch_col, list(key or KEY), order, compare, within_batch)
 
 
 def batch_outcomes(steps: DataFrame, batch_col: str, skip_batch=None) -> DataFrame:

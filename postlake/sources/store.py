@@ -59,7 +59,7 @@ class Store:
                  key: list[str] | None = None, buckets: int = 16, order: str = "seq",
                  compare: str = "text", replace=U.POST_REPLACE,
                  replace_if_reddit=U.POST_REPLACE_IF_REDDIT, mode: str = "merge_on_read",
-                 max_deltas: int = 32):
+                 max_deltas: int = 32, within_batch: str = "first", refresh=()):
         if "platform" not in schema.fieldNames():
             raise ValueError("store schema needs a platform column")
         if mode not in MODES:
@@ -73,6 +73,8 @@ class Store:
         self.replace, self.replace_if_reddit = tuple(replace), tuple(replace_if_reddit)
         self.mode = mode
         self.max_deltas = max_deltas
+        # Upsert options (D7, D8); the defaults are the reference's rule.
+        self.within_batch, self.refresh = within_batch, tuple(refresh)
         self.data_cols = schema.fieldNames() + ["batch_id"]
 
     # ------------------------------------------------------------ manifest
@@ -153,10 +155,12 @@ class Store:
 
     def _resolve(self, steps: DataFrame) -> DataFrame:
         return U.resolve_steps(steps, self.data_cols + ["bucket"], "_version_order", self.key,
-                               self.replace, self.replace_if_reddit).select(*self.data_cols, "bucket")
+                               self.replace, self.replace_if_reddit, self.within_batch,
+                               self.refresh).select(*self.data_cols, "bucket")
 
     def _steps(self, versions: DataFrame) -> DataFrame:
-        return U.replay_steps(versions, "_version_order", self.key, self.order, self.compare)
+        return U.replay_steps(versions, "_version_order", self.key, self.order, self.compare,
+                              self.within_batch)
 
     def _state(self, m: dict) -> DataFrame:
         """Current rows (data columns + bucket)."""
@@ -245,7 +249,9 @@ class Store:
         """Empty store: rule 1 alone -- the first copy of every key."""
         version = m["version"] + 1
         obs = Observation(f"load-{uuid.uuid4().hex[:8]}")
-        firsts = U.first_copies(b.select(*self.data_cols, "bucket"), self.key, self.order)
+        firsts = U.upsert(self._empty(), b.select(*self.data_cols, "bucket"), self.key, self.order,
+                          self.compare, self.replace, self.replace_if_reddit,
+                          within_batch=self.within_batch, refresh=self.refresh)
         self._write_base(firsts.observe(obs, F.count(F.lit(1)).alias("n")), version)
         n = obs.get.get("n", 0)
         incoming = b.count()
@@ -276,7 +282,8 @@ class Store:
             return {"skipped": False, "batch_id": batch_id, "touched": 0}
         cur = self._read_buckets(m, set(touched)).select(*self.data_cols, "bucket")
         merged = U.upsert(cur, b.select(*self.data_cols, "bucket"), self.key, self.order,
-                          self.compare, self.replace, self.replace_if_reddit, with_outcome=True)
+                          self.compare, self.replace, self.replace_if_reddit, with_outcome=True,
+                          within_batch=self.within_batch, refresh=self.refresh)
         version = m["version"] + 1
         path = f"{self.root}/data/v={version:08d}"
         # The outcome counts are observed while the write runs (no second

@@ -115,3 +115,20 @@ def test_platform_filter_prunes_base_and_deltas(spark):
     plan = st.read().where(F.col("platform") == "reddit")._jdf.queryExecution().executedPlan().toString()
     scans = re.findall(r"FileScan parquet .*?PartitionFilters: \[([^\]]*)\]", plan)
     assert len(scans) >= 2 and all("platform" in s for s in scans)
+
+
+def test_store_options_both_modes(spark):
+    import random
+    from tests.test_upsert import SCHEMA, model_opts, random_batches
+    schema = T.StructType([T.StructField("platform", T.StringType()), T.StructField("object_id", T.StringType()),
+                           T.StructField("text", T.StringType()), T.StructField("seq", T.LongType()),
+                           T.StructField("value", T.DoubleType())])
+    batches = [(b, rows) for b, rows in random_batches(random.Random(7), n_batches=5, n_keys=5) if rows]
+    want = model_opts(batches, "last", True)
+    for mode in ("merge_on_read", "copy_on_write"):
+        st = Store(spark, scratch_path(spark, "t-opt"), schema, buckets=2, replace=("text", "seq", "value"),
+                   replace_if_reddit=(), mode=mode, within_batch="last", refresh=("value",))
+        for b, rows in batches:
+            st.upsert(spark.createDataFrame(rows, SCHEMA).drop("batch"), b)
+        got = {(r.platform, r.object_id): (r.text, r.seq, r.value) for r in st.read().collect()}
+        assert got == want, mode

@@ -118,3 +118,56 @@ def test_summary_plan_limits_rows_per_key_before_shuffle(spark):
     plan = U.batch_summary(df, ["platform", "object_id"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "collect_list" not in plan
+
+
+def model_opts(batches, within_batch="first", refresh=False):
+    """Sequential rule with the D7/D8 options (``refresh`` refreshes the
+    value column from the latest copy of every key in a batch)."""
+    state = {}
+    for _, rows in batches:
+        rows = sorted(rows, key=lambda r: r[3])
+        new, edits, latest = {}, {}, {}
+        for r in rows:
+            k = (r[0], r[1])
+            latest[k] = r
+            if k not in state:
+                if within_batch == "first":
+                    new.setdefault(k, r)
+                else:
+                    new[k] = r
+            elif r[2] != state[k][2]:
+                edits[k] = r
+        state.update(new)
+        state.update(edits)
+        if refresh:
+            for k, r in latest.items():
+                s = state[k]
+                state[k] = (s[0], s[1], s[2], s[3], r[4], s[5])
+    return {k: (v[2], v[3], v[4]) for k, v in state.items()}
+
+
+@pytest.mark.parametrize("within_batch,refresh", [("last", False), ("first", True), ("last", True)])
+@pytest.mark.parametrize("seed", range(3))
+def test_options_match_model(spark, seed, within_batch, refresh):
+    rng = random.Random(1000 + seed)
+    batches = [(b, rs) for b, rs in random_batches(rng, n_batches=5, n_keys=5) if rs]
+    rows = [r for _, rs in batches for r in rs]
+    want = model_opts(batches, within_batch, refresh)
+    ref = ("value",) if refresh else ()
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.platform, r.object_id): (r.text, r.seq, r.value) for r in
+           U.resolve(df, "batch", replace=("text", "seq", "value"), replace_if_reddit=(),
+                     within_batch=within_batch, refresh=ref).collect()}
+    assert got == want
+    # single-batch form, batch by batch
+    cur = None
+    for b, rs in batches:
+        bdf = spark.createDataFrame(rs, SCHEMA).drop("batch")
+        if cur is None:
+            cur = spark.createDataFrame([], bdf.schema)
+        # Materialize each small step on the driver (test-sized data) so the
+        # plan does not nest one upsert per batch.
+        step = U.upsert(cur, bdf, replace=("text", "seq", "value"), replace_if_reddit=(),
+                        within_batch=within_batch, refresh=ref)
+        cur = spark.createDataFrame(step.collect(), bdf.schema)
+    assert {(r.platform, r.object_id): (r.text, r.seq, r.value) for r in cur.collect()} == want
