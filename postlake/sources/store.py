@@ -241,7 +241,10 @@ class Store:
         finally:
             b.unpersist()
         m = self.manifest()
-        if len(m.get("deltas", [])) >= self.max_deltas:
+        # Bound what a read has to union: pending deltas (merge-on-read) or
+        # distinct bucket versions (copy-on-write).
+        if len(m.get("deltas", [])) >= self.max_deltas or \
+                len(set(m["bucket_versions"].values())) > self.max_deltas:
             self.compact()
         return res
 
