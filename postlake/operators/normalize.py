@@ -269,3 +269,15 @@ def all_fixture_posts(raw: dict, collected_at=None) -> DataFrame:
     if "mastodon" in raw:
         parts.append(mastodon_status(raw["mastodon"], collected_at))
     return union_posts(*parts)
+
+
+def to_record_json(posts: DataFrame) -> DataFrame:
+    """Each post as one JSON object (null fields kept), plus its key."""
+    return posts.select("platform", "object_id",
+                        F.to_json(F.struct(*[F.col(c) for c in S.POST_COLUMNS]),
+                                  {"ignoreNullFields": "false"}).alias("record"))
+
+
+def from_record_json(records: DataFrame, col: str = "record") -> DataFrame:
+    """JSON objects back to posts, parsed with the explicit schema."""
+    return records.select(F.from_json(F.col(col), S.POST).alias("_p")).select("_p.*")

@@ -99,3 +99,15 @@ def from_export(df: DataFrame) -> DataFrame:
     return df.withColumn("created_at", F.to_timestamp("created_at")) \
              .withColumn("collected_at", F.to_timestamp("collected_at")) \
              .select(*S.POST_COLUMNS)
+
+
+def write_jdbc(posts: DataFrame, url: str, table: str, properties: dict | None = None,
+               mode: str = "append", num_partitions: int | None = None) -> None:
+    """The export records into a relational table (PostgreSQL, MySQL...)
+    through Spark's JDBC writer; arrays and maps become JSON text.  Needs the
+    database's JDBC driver on the classpath (not exercised in this repo's
+    tests: no database server is started)."""
+    df = _csv_ready(export_record(posts))
+    if num_partitions:
+        df = df.repartition(num_partitions)
+    df.write.mode(mode).jdbc(url, table, properties=properties or {})
