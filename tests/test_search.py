@@ -56,3 +56,13 @@ def test_register_platform_adapter():
     from postlake.spec import ADAPTERS, PlatformAdapter, register_platform
     register_platform(PlatformAdapter("bluesky_feed", S.BLUESKY_FEED_ITEM, N.bluesky_feed_items))
     assert ADAPTERS["bluesky_feed"].raw_schema is S.BLUESKY_FEED_ITEM
+
+
+def test_skew_safe_plans(spark):
+    from postlake.operators import upsert as U
+    p = unified(spark, SF_SMALL)
+    fp = U.canonical_by_fingerprint(U.fingerprints(p))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in fp                      # combined map-side before the shuffle
+    feed = Q.community_feed(p, ["all"], "hot", 5, "2024-01-08 00:00:00")
+    plan = feed._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
