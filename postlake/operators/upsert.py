@@ -183,53 +183,69 @@ def strict_append(cur: DataFrame, batch: DataFrame, key: list[str] | None = None
 # --------------------------------------------------------------------------
 
 # Column names the replay adds (Spark names are case insensitive).
-_INTERNAL = {"_i", "_t", "_m", "_tl", "_g0", "_g1", "_const", "_c", "_not", "_cum_not", "_reset_c",
+_INTERNAL = {"_i", "_first", "_pt", "_pm", "_t", "_m", "_tl", "_g0", "_g1", "_const", "_c", "_not", "_cum_not", "_reset_c",
              "_reset_cum", "_bit", "_state", "prev_text", "changed", "version", "_is_last", "first",
              "last", "alt", "n", "_insert", "_applied_batch"}
 
 
 def _replay_steps(versions: DataFrame, batch_col: str, key: list[str], order: str,
                   compare: str, within_batch: str = "first") -> DataFrame:
-    """One row per (key, batch) with the state after that batch: ``state``
+    """One row per (key, batch) with the state after that batch: ``_state``
     (the row whose ``compare`` value is stored), ``version`` (the row last
-    applied), ``changed`` and ``prev_text``."""
+    applied), ``changed``, ``prev_text``, ``_first`` (the key's first batch)
+    and ``_is_last`` (its last batch).
+
+    Five window passes over the same sorted partitions (no re-sort, no
+    extra shuffle): neighbours, running count of "not" transitions, last
+    reset, previous state, last applied version."""
     clash = {c.lower() for c in versions.columns} & _INTERNAL
     if clash:
         raise ValueError(f"column names reserved by the replay: {sorted(clash)}")
     s = batch_summary(versions, key + [batch_col], order, compare)
     w = Window.partitionBy(*key).orderBy(batch_col)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    i = F.row_number().over(w)
-    s = s.withColumn("_i", i)
-    first_b = F.col("_i") == 1
-    # Candidate texts of each batch: _T (state if b = 0) and _M (state if
-    # b = 1); _tl is the batch's latest text.  (Spark names are case
-    # insensitive: keep them distinct ignoring case.)
     ins = _insert_side(within_batch)
-    s = s.withColumn("_T", F.when(first_b, F.col(ins)[compare]).otherwise(F.col("last")[compare])) \
-         .withColumn("_M", F.when(first_b, F.lit(None)).otherwise(F.col("alt")[compare])) \
+    # Pass 1: neighbours.  A row is the key's first batch when it has no
+    # predecessor; the previous row's candidates (_T if its bit is 0, _M if
+    # 1) follow from whether *it* was the first.  (Spark names are case
+    # insensitive: internal names stay distinct ignoring case.)
+    prev1, prev2 = F.lag(batch_col, 1).over(w), F.lag(batch_col, 2).over(w)
+    prev_is_first = prev1.isNotNull() & prev2.isNull()
+    s = s.select(
+        "*",
+        prev1.isNull().alias("_first"),
+        F.when(prev_is_first, F.lag(F.col(ins)[compare]).over(w))
+         .otherwise(F.lag(F.col("last")[compare]).over(w)).alias("_pT"),
+        F.when(prev_is_first, F.lit(None))
+         .otherwise(F.lag(F.col("alt")[compare]).over(w)).alias("_pM"),
+        F.lead(batch_col).over(w).isNull().alias("_is_last"))
+    first_b = F.col("_first")
+    s = s.withColumn("_M", F.when(first_b, F.lit(None)).otherwise(F.col("alt")[compare])) \
          .withColumn("_tl", F.col("last")[compare])
-    prev_T, prev_M = F.lag("_T").over(w), F.lag("_M").over(w)
     has_m = F.col("_M").isNotNull()
-    g0 = has_m & prev_T.eqNullSafe(F.col("_tl"))
-    g1 = has_m & prev_M.isNotNull() & prev_M.eqNullSafe(F.col("_tl"))
-    s = s.withColumn("_g0", F.coalesce(g0, F.lit(False))).withColumn("_g1", F.coalesce(g1, F.lit(False)))
-    is_const = first_b | (F.col("_g0") == F.col("_g1"))
-    s = s.withColumn("_const", is_const) \
+    g0 = F.coalesce(has_m & F.col("_pT").eqNullSafe(F.col("_tl")), F.lit(False))
+    g1 = F.coalesce(has_m & F.col("_pM").isNotNull() & F.col("_pM").eqNullSafe(F.col("_tl")), F.lit(False))
+    s = s.withColumn("_g0", g0).withColumn("_g1", g1)
+    s = s.withColumn("_const", first_b | (F.col("_g0") == F.col("_g1"))) \
          .withColumn("_c", F.when(first_b, F.lit(False)).otherwise(F.col("_g0"))) \
          .withColumn("_not", (~F.col("_const") & F.col("_g0")).cast("int"))
+    # Pass 2: running count of "not" transitions.
     s = s.withColumn("_cum_not", F.sum("_not").over(wr))
-    s = s.withColumn("_reset_c", F.last(F.when(F.col("_const"), F.col("_c")), ignorenulls=True).over(wr)) \
-         .withColumn("_reset_cum", F.last(F.when(F.col("_const"), F.col("_cum_not")), ignorenulls=True).over(wr))
+    # Pass 3: value and count at the last reset (a constant transition).
+    s = s.select("*",
+                 F.last(F.when(F.col("_const"), F.col("_c")), ignorenulls=True).over(wr).alias("_reset_c"),
+                 F.last(F.when(F.col("_const"), F.col("_cum_not")), ignorenulls=True).over(wr)
+                 .alias("_reset_cum"))
     b = F.col("_reset_c") != (((F.col("_cum_not") - F.col("_reset_cum")) % 2) == 1)
     s = s.withColumn("_bit", b)
     state_row = F.when(F.col("_bit"), F.col("alt")).when(first_b, F.col(ins)).otherwise(F.col("last"))
     s = s.withColumn("_state", state_row)
+    # Pass 4: previous state's text.
     prev_text = F.lag(F.col("_state")[compare]).over(w)
-    changed = first_b | F.col("_bit") | ~prev_text.eqNullSafe(F.col("_tl"))
-    s = s.withColumn("prev_text", prev_text).withColumn("changed", changed)
+    s = s.withColumn("prev_text", prev_text)
+    s = s.withColumn("changed", first_b | F.col("_bit") | ~F.col("prev_text").eqNullSafe(F.col("_tl")))
+    # Pass 5: the version last applied.
     s = s.withColumn("version", F.last(F.when(F.col("changed"), F.col("_state")), ignorenulls=True).over(wr))
-    s = s.withColumn("_is_last", F.lead(F.col("_i")).over(w).isNull())
     return s
 
 
@@ -256,7 +272,7 @@ def edit_history(versions: DataFrame, batch_col: str, key: list[str] | None = No
     return s.select(*[F.col(k) for k in key], F.col(batch_col),
                     F.col("_state")[compare].alias(compare), F.col("prev_text"),
                     F.col("_state")[order].alias(order),
-                    F.when(F.col("_i") == 1, F.lit("insert")).otherwise(F.lit("edit")).alias("change"))
+                    F.when(F.col("_first"), F.lit("insert")).otherwise(F.lit("edit")).alias("change"))
 
 
 def first_copies(batch: DataFrame, key: list[str] | None = None, order: str = "seq") -> DataFrame:
@@ -343,7 +359,7 @@ def batch_outcomes(steps: DataFrame, batch_col: str, skip_batch=None) -> DataFra
     (incoming), keys inserted, keys updated and keys present but unchanged.
     ``skip_batch`` leaves out a pseudo-batch (the stored base)."""
     s = steps if skip_batch is None else steps.where(F.col(batch_col) != F.lit(skip_batch))
-    first = F.col("_i") == 1
+    first = F.col("_first")
     return s.groupBy(batch_col).agg(
         F.sum("n").cast("long").alias("incoming"),
         F.count_if(first).cast("long").alias("inserted"),
