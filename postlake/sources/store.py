@@ -52,6 +52,22 @@ OUTCOMES_SCHEMA = T.StructType([
     T.StructField("unchanged", T.LongType())])
 MODES = ("merge_on_read", "copy_on_write")
 BROADCAST_DELTA_ROWS = 2_000_000
+# The platforms the per-platform counters name ("other" for the rest).
+KNOWN_PLATFORMS = ("reddit", "bluesky", "mastodon")
+
+
+def _platform_exprs(weight=None):
+    """Per-platform row counts (or sums of ``weight``) as aggregate
+    expressions, for observations and one-pass aggregations."""
+    w = F.lit(1) if weight is None else weight
+    return [F.sum(F.when(F.col("platform") == p, w).otherwise(F.lit(0))).alias(f"p_{p}")
+            for p in KNOWN_PLATFORMS]
+
+
+def _by_platform(row: dict, total: int) -> dict:
+    out = {p: int(row.get(f"p_{p}") or 0) for p in KNOWN_PLATFORMS}
+    out["other"] = int(total) - sum(out.values())
+    return out
 
 
 class Store:
@@ -257,10 +273,12 @@ class Store:
                           within_batch=self.within_batch, refresh=self.refresh)
         self._write_base(firsts.observe(obs, F.count(F.lit(1)).alias("n")), version)
         n = obs.get.get("n", 0)
-        incoming = b.count()
+        agg = b.agg(F.count(F.lit(1)).alias("n"), *_platform_exprs()).first().asDict()
+        incoming = agg["n"]
         res = {"batch_id": batch_id, "incoming": int(incoming), "inserted": int(n),
                "updated": 0, "unchanged": 0}
         self._record_outcomes(version, [res])
+        res["incoming_by_platform"] = _by_platform(agg, incoming)
         nm = dict(m, version=version, last_batch_id=batch_id,
                   bucket_versions={str(i): version for i in range(self.buckets)})
         self._publish(nm)
@@ -269,14 +287,18 @@ class Store:
     def _append_delta(self, m: dict, b: DataFrame, batch_id: int) -> dict:
         path = f"deltas/delta={batch_id:010d}-{uuid.uuid4().hex[:8]}"
         obs = Observation(f"delta-{uuid.uuid4().hex[:8]}")
-        (b.select(*self.data_cols, "bucket").observe(obs, F.count(F.lit(1)).alias("n"))
+        # Rows per platform are observed during the write (no extra job).
+        (b.select(*self.data_cols, "bucket").observe(obs, F.count(F.lit(1)).alias("n"), *_platform_exprs())
           .repartition("platform").write.mode("overwrite").partitionBy("platform")
           .parquet(f"{self.root}/{path}"))
-        rows = int(obs.get.get("n", 0))
+        got = obs.get
+        rows = int(got.get("n", 0))
+        by_platform = _by_platform(got, rows)
         nm = dict(m, version=m["version"] + 1, last_batch_id=batch_id,
                   deltas=list(m.get("deltas", [])) + [{"batch_id": batch_id, "path": path, "rows": rows}])
         self._publish(nm)
-        return {"skipped": False, "batch_id": batch_id, "incoming": rows}
+        return {"skipped": False, "batch_id": batch_id, "incoming": rows,
+                "incoming_by_platform": by_platform}
 
     def _merge_publish(self, m: dict, b: DataFrame, batch_id: int) -> dict:
         # Bounded by the bucket count, not by the data.
@@ -297,7 +319,8 @@ class Store:
             F.count_if(F.col("_outcome") == "inserted").alias("inserted"),
             F.count_if(F.col("_outcome") == "updated").alias("updated"),
             F.count_if(F.col("_outcome") == "unchanged").alias("unchanged"),
-            F.coalesce(F.sum("_copies"), F.lit(0)).alias("incoming"))
+            F.coalesce(F.sum("_copies"), F.lit(0)).alias("incoming"),
+            *_platform_exprs(F.col("_copies")))
         (observed.repartition("platform", "bucket")
                  .write.mode("overwrite").partitionBy("platform", "bucket").parquet(path))
         counts = obs.get
@@ -305,6 +328,7 @@ class Store:
                "inserted": int(counts.get("inserted", 0)), "updated": int(counts.get("updated", 0)),
                "unchanged": int(counts.get("unchanged", 0))}
         self._record_outcomes(version, [res])
+        res["incoming_by_platform"] = _by_platform(counts, res["incoming"])
         nm = dict(m, version=version, last_batch_id=batch_id)
         bv = dict(m["bucket_versions"])
         for t in touched:

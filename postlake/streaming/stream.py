@@ -45,6 +45,7 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("inserted", T.LongType()), T.StructField("updated", T.LongType()),
     T.StructField("unchanged", T.LongType()), T.StructField("duration_s", T.DoubleType()),
     T.StructField("status", T.StringType()), T.StructField("error", T.StringType()),
+    T.StructField("incoming_by_platform", T.MapType(T.StringType(), T.LongType())),
 ])
 
 
@@ -111,7 +112,8 @@ class UpsertSink:
                "ts": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
                "incoming": int(incoming), "inserted": res.get("inserted"),
                "updated": res.get("updated"), "unchanged": res.get("unchanged"),
-               "duration_s": float(time.time() - t0), "status": status, "error": err}
+               "duration_s": float(time.time() - t0), "status": status, "error": err,
+               "incoming_by_platform": res.get("incoming_by_platform")}
         write_text(spark, f"{self.metrics_path}/batch-{int(batch_id):010d}.json", json.dumps(row))
 
 
@@ -173,6 +175,13 @@ def progress_summary(query: StreamingQuery) -> dict:
             "num_input_rows": p.get("numInputRows")}
 
 
+def live_counters(metrics: DataFrame) -> DataFrame:
+    """Rows received per platform so far and the last update, from the
+    per-batch metrics of a unioned stream."""
+    per = metrics.select("ts", F.explode("incoming_by_platform").alias("platform", "n"))
+    return per.groupBy("platform").agg(F.sum("n").alias("incoming"), F.max("ts").alias("last_update"))
+
+
 def alerts(metrics: DataFrame, slow_s: float = 60.0) -> DataFrame:
     """Micro-batches that failed or took longer than ``slow_s``."""
     return metrics.where((F.col("status") != "ok") | (F.col("duration_s") > slow_s)) \

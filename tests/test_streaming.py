@@ -65,3 +65,20 @@ def test_landed_json_quarantines_corrupt_lines(spark):
     good, bad = read_landed(spark, path, S.MASTODON_STATUS)
     assert sorted(r.id for r in good.collect()) == ["1", "3"]
     assert bad.count() == 1
+
+
+def test_live_counters_per_platform(spark):
+    raw = raw_frames(spark, SF_SMALL)
+    streams = {}
+    for p in ("bluesky", "mastodon"):
+        path = scratch_path(spark, f"land-{p}")
+        raw[p].repartition(2).write.json(path)
+        streams[p] = ST.landed_stream(spark, path, RAW_SCHEMAS[p], max_files_per_trigger=1)
+    store = Store(spark, scratch_path(spark, "lc-store"), buckets=2)
+    metrics = scratch_path(spark, "metrics")
+    q = ST.start_upsert(ST.posts_stream(streams), store, scratch_path(spark, "ckpt"), metrics,
+                        trigger={"availableNow": True})
+    q.awaitTermination()
+    got = {r.platform: r.incoming for r in ST.live_counters(ST.read_metrics(spark, metrics)).collect()}
+    assert got["bluesky"] == raw["bluesky"].count() and got["mastodon"] == raw["mastodon"].count()
+    assert got.get("reddit", 0) == 0
