@@ -82,3 +82,21 @@ def test_live_counters_per_platform(spark):
     got = {r.platform: r.incoming for r in ST.live_counters(ST.read_metrics(spark, metrics)).collect()}
     assert got["bluesky"] == raw["bluesky"].count() and got["mastodon"] == raw["mastodon"].count()
     assert got.get("reddit", 0) == 0
+
+
+def test_replayed_micro_batch_changes_nothing(spark):
+    """foreachBatch may run twice for one batch id after a failure."""
+    raw = raw_frames(spark, SF_SMALL)
+    posts = N.storage_form(N.bluesky_post(raw["bluesky"]))
+    store = Store(spark, scratch_path(spark, "rp-store"), buckets=2)
+    metrics = scratch_path(spark, "metrics")
+    sink = ST.UpsertSink(store, metrics)
+    sink(posts, 0)
+    edited = posts.limit(4).withColumn("text", F.lit("edited"))
+    sink(edited, 1)
+    before = (store.manifest()["version"], sorted(tuple(r) for r in store.read().select("object_id", "text").collect()))
+    sink(edited.withColumn("text", F.lit("other")), 1)          # replay of batch 1 with different data
+    after = (store.manifest()["version"], sorted(tuple(r) for r in store.read().select("object_id", "text").collect()))
+    assert before == after
+    m = ST.read_metrics(spark, metrics)
+    assert sorted(r.batch_id for r in m.collect()) == [0, 1]
