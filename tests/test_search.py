@@ -66,3 +66,22 @@ def test_skew_safe_plans(spark):
     feed = Q.community_feed(p, ["all"], "hot", 5, "2024-01-08 00:00:00")
     plan = feed._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
+
+
+def test_core_plans_stay_in_the_jvm(spark):
+    from postlake.operators import upsert as U
+    p = unified(spark, SF_SMALL)
+    spec = Q.KeywordSearch(("the", "license"), 20, "2024-01-08 00:00:00")
+    frames = [p, Q.keyword_search(spark, p, spec),
+              U.replay(p.select("platform", "object_id", "text", "seq", "is_comment"), "is_comment")]
+    for df in frames:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "MapInPandas" not in plan and "PythonUDF" not in plan
+
+
+def test_long_term_lists_use_the_automaton(spark):
+    p = unified(spark, SF_SMALL).select("platform", "object_id", "title", "text")
+    terms = [f"t{i}" for i in range(Q.AUTOMATON_MIN_TERMS)]
+    m = Q.substring_matches(spark, p, terms, F.concat_ws(" ", "title", "text"))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "BroadcastNestedLoopJoin" not in plan
