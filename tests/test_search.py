@@ -85,3 +85,22 @@ def test_long_term_lists_use_the_automaton(spark):
     m = Q.substring_matches(spark, p, terms, F.concat_ws(" ", "title", "text"))
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_continuous_collect_caps_terms(spark):
+    from postlake.plans.common import raw_frames
+    from postlake.spec import CollectSpec, collect
+    kws = ["the", "and", "de", "der", "la", "et", "of"]          # 7 keywords: first 5 used
+    tags = ["topic0", "topic1", "topic2", "topic3", "topic4", "topic5"]
+    spec = CollectSpec(as_of="2024-01-08 00:00:00", platforms=("reddit", "bluesky"),
+                       subreddits=("all",), keywords=tuple(kws), hashtags=tuple(tags), continuous=True)
+    out = collect(spark, raw_frames(spark, SF_SMALL), spec)
+    rows = out.select("platform", "source", "rank").collect()
+    blue = [r for r in rows if r.platform == "bluesky"]
+    used_kw = {r.source.split(":", 1)[1] for r in blue if r.source.startswith("keyword:")}
+    used_tag = {r.source.split(":", 1)[1].lstrip("#") for r in blue if r.source.startswith("hashtag:")}
+    assert used_kw <= set(kws[:5]) and used_kw and used_tag <= set(tags[:5]) and used_tag
+    assert max(r.rank for r in blue) <= 30
+    reddit = [r for r in rows if r.platform == "reddit"]
+    assert reddit and all(r.source.startswith("feed:") for r in reddit)   # Reddit ignores keywords
+    assert max(r.rank for r in reddit) <= 50
