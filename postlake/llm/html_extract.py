@@ -38,6 +38,7 @@ from postlake.llm.common import chunks
 
 SAMPLE_PAGES, MOST_FEATURES, LEAST_SEEN = 1000, 2000, 20
 CLIP = 3.0
+TAG_COST = -0.3  # of a tag that no labelled page has
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select xmp noembed noframes".split())
@@ -201,7 +202,7 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
     start, span, words = 0, None, 0
     for i, (kind, value, n, _, _) in enumerate(page.events):
         if kind == "t":
-            gain = weights.get(f"tag:{value}", -0.5)
+            gain = weights.get(f"tag:{value}", TAG_COST)
         else:
             state, where, marks = value
             if page.marked:

@@ -93,7 +93,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_r
 
 
 def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], effective: int) -> DataFrame:
-    """Adds ``loglik`` (array<double>, tempered, best is 0) and ``n_letters`` to
+    """Adds ``__loglik`` (array<double>, tempered, best is 0) and ``__letters`` to
     the columns of ``rows``, whose column ``body`` holds the text as binary and goes."""
     languages, table = model
     kept = [c for c in rows.columns if c != "body"]
@@ -116,10 +116,10 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], effective:
                 scores.append((total - total.max()).tolist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(scores, pa.list_(pa.float64())), pa.array(letters, pa.int64())],
-                names=[*kept, "loglik", "n_letters"])
+                names=[*kept, "__loglik", "__letters"])
 
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "loglik array<double>", "n_letters bigint"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "__loglik array<double>", "__letters bigint"])
     return rows.mapInArrow(run, schema)
 
 
@@ -179,21 +179,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                                 "id_probability": F.lit(0.0), "id_rejected": F.lit(True)})
     body = F.col(text_col).cast("binary").alias("body")
     host = (F.lower(F.col(host_col)) if host_col else F.lit(None).cast("string")).alias("host")
-    decided = text_scores(docs.select(host, body), model, effective).where("n_letters > 0").select(
-        "host", argmax(F.col("loglik")).alias("best")).where("host is not null")
-    priors = host_priors(decided, n)
+    decided = text_scores(docs.select(host, body), model, effective).where("__letters > 0").select(
+        "host", argmax(F.col("__loglik")).alias("best")).where("host is not null")
+    priors = host_priors(decided, n).toDF("__host", "__counts", "__up")
     scored = text_scores(own.withColumns({"__host": host, "body": body}) if "body" not in names else
                          own.withColumnRenamed("body", "__body").withColumns({"__host": host, "body": body}), model, effective)
     if priors.count() <= BROADCAST_HOSTS:
         priors = F.broadcast(priors)
-    joined = scored.join(priors.withColumnRenamed("host", "__host"), "__host", "left")
-    best_text = F.when(F.col("n_letters") > 0, argmax(F.col("loglik"))).otherwise(F.lit(0))
+    joined = scored.join(priors, "__host", "left")
+    best_text = F.when(F.col("__letters") > 0, argmax(F.col("__loglik"))).otherwise(F.lit(0))
     flat = F.array(*[F.lit(1.0 / n)] * n)
     # The row's own decision does not count for its own prior.
-    others = F.transform("counts", lambda c, i: F.greatest(c - (i + 1 == best_text).cast("double"), F.lit(0.0)))
+    others = F.transform("__counts", lambda c, i: F.greatest(c - (i + 1 == best_text).cast("double"), F.lit(0.0)))
     size = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
-    prior = F.coalesce(F.zip_with(others, "up", lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT)), flat)
-    log = F.zip_with("loglik", prior, lambda l, p: l + F.log(p))
+    prior = F.coalesce(F.zip_with(others, "__up", lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT)), flat)
+    log = F.zip_with("__loglik", prior, lambda l, p: l + F.log(p))
 
     def says(value: Column, right: float) -> Column:
         """Log likelihood of a declared value under each language."""
@@ -209,8 +209,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     log = F.zip_with(log, says(suffix, SUFFIX_RIGHT), lambda a, p: a + F.log(p))
     out = joined.withColumn("__log", log)
     weights = F.transform("__log", lambda x: F.exp(x - F.array_max("__log")))
-    probability = F.when(F.col("n_letters") > 0, 1 / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
-    best = F.when(F.col("n_letters") > 0, F.element_at(F.array(*map(F.lit, languages)), argmax(F.col("__log"))))
+    probability = F.when(F.col("__letters") > 0, 1 / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
+    best = F.when(F.col("__letters") > 0, F.element_at(F.array(*map(F.lit, languages)), argmax(F.col("__log"))))
     out = out.withColumn("id_best", best).withColumn("id_probability", probability)
     rejected = F.col("id_best").isNull() | (F.col("id_probability") < least)
     out = out.withColumn("id_rejected", rejected).withColumn("id_lang", F.when(~F.col("id_rejected"), F.col("id_best")))

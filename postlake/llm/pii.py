@@ -133,9 +133,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, spans): every candidate span of every row, ordered by start and
     kind, with the kind's place in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tagged = [F.transform(spans, lambda x, k=k: F.struct(
-        x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"),
-        x["before"].alias("before"), x["after"].alias("after"))) for k, spans in enumerate(candidates(text))]
+
+    def tag(spans: Column, k: int) -> Column:
+        return F.transform(spans, lambda x: F.struct(
+            x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"),
+            x["before"].alias("before"), x["after"].alias("after")))
+
+    tagged = [tag(spans, k) for k, spans in enumerate(candidates(text))]
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.array_sort(F.concat(*tagged)).alias("spans"))
 
 
@@ -254,6 +258,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return split.select("doc_id", "base", stays.alias("spans"))
 
 
+def count_kind(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint")
+
+
 def digest(spans: Column) -> Column:
     """kind:start:end of the spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -55,8 +55,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_personal_data")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, sf_dir, "documents"))
-    held = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{name}")
-            for k, name in enumerate(pii.BASE_KINDS)]
+    held = [pii.count_kind(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)]
     return found.select("doc_id", *held, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"),
                         pii.digest(F.col("spans")).alias("spans"))
 
@@ -89,8 +88,7 @@ p as (
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
 r(h, q, v, own) as (values
   ('net', '/', 'block', true), ('example.net', '/en/', 'allow', true), ('example.com', '/de/', 'block', true), ('org', '/fr/', 'allow', true),
-  ('spam-farm.example.org', '/', 'block', false), ('spam-farm.example.com', '/', 'block', false),
-  ('cheap-pills.example.com', '/', 'block', false), ('cheap-pills.example.org', '/', 'block', false)),
+  LISTED),
 x as (select distinct host, path from p),
 m as (
   select host, path, max(struct_pack(n := length(h) + length(q), h := h, q := q, v := v)) filter (own) as a,
@@ -98,7 +96,7 @@ m as (
   from x join r on (host = h or host like '%.' || h) and starts_with(path, q) group by host, path)
 select p.page_id, p.url, p.host, p.path, m.a.h || m.a.q as rule, coalesce(m.a.v, m.b.v, 'allow') as verdict
 from p left join m on p.host = m.host and p.path = m.path
-""")
+""".replace("LISTED", ", ".join(f"('{h}', '{p}', '{v}', false)" for h, p, v in url_filter.LISTED)))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "host string, path string, verdict string"
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(url_filter.RULES, schema),
@@ -118,11 +116,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_decontamination", r"""
 with d as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from documents),
+  select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w from documents),
 b as (
-  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from benchmark),
+  select item_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w from benchmark),
 bw as (
   select distinct item_id, least(len(w), 10) as n, list_slice(w, i, i + 9) as win
   from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)),

@@ -26,8 +26,8 @@ BLOCKS = 1 << 13  # of 64 bytes: half a megabyte
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 # The method's own list, for URLs that no rule fits.
-LISTED = [("spam-farm.example.org", "/", "block"), ("spam-farm.example.com", "/", "block"),
-          ("cheap-pills.example.com", "/", "block"), ("cheap-pills.example.org", "/", "block")]
+SPAM_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED = [(f"{name}.example.{top}", "/", "block") for name in SPAM_NAMES for top in ("com", "net", "org")]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
