@@ -30,8 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm.common import chunks, stored
@@ -160,14 +161,17 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def without_lines(text: Column, gone: Column) -> Column:
+def without_lines(text: bytes, gone: set[int]) -> bytes:
     """The text without the numbered lines; other lines, blank ones included, stay."""
-    lines = F.split(text, "\n", -1)
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    full = F.filter(every, lambda i: F.length(F.trim(F.regexp_replace(F.get(lines, i), r"[\t\x0B\f\r]", " "))) > 0)
-    drop = F.transform(gone, lambda k: F.get(full, k))
-    kept = F.array_except(every, drop)
-    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    kept, n = [], 0
+    for line in text.split(b"\n"):
+        if not line.strip():
+            kept.append(line)
+            continue
+        if n not in gone:
+            kept.append(line)
+        n += 1
+    return b"\n".join(kept)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -175,10 +179,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     column ``lines_gone`` (bigint) with the number of deleted lines."""
     gone = repeated_blocks(docs, id_col, text_col, **options).select(
         F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    names = [F.col(f"`{c}`") for c in docs.columns if c != "lines_gone"]
-    joined = docs.select(*names).join(
+    names = [c for c in docs.columns if c != "lines_gone"]
+    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(
         gone.hint("shuffle_hash"),
         (F.col(f"`{id_col}`").cast("bigint") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col("__gone")))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "lines_gone"],
-                         F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("lines_gone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "__text"):
+            texts = [without_lines(t, set(g)) if g else t
+                     for t, g in zip(batch.column("__text").to_pylist(), batch.column("__gone").to_pylist())]
+            sizes = pc.fill_null(pc.list_value_length(batch.column("__gone")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names if c != text_col), pa.array(texts, pa.binary()), sizes],
+                names=[*(c for c in names if c != text_col), "__text", "lines_gone"])
+
+    types = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names if c != text_col), "__text binary", "lines_gone bigint"])
+    sent = joined.select(*[F.col(f"`{c}`") for c in names if c != text_col], F.col(text_col).cast("binary").alias("__text"), "__gone")
+    done = sent.mapInArrow(run, schema)
+    return done.select(*[F.col("__text").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], "lines_gone")
