@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import chunks
+from postlake.llm.common import chunks, map_arrow
 
 NO_RANK = np.int32(2**31 - 1)
 BUCKETS = (4, 8, 16, 32, 64, 128, 256)
 CELLS = 1 << 20  # of one matrix
-CACHED = 300_000  # pieces that a worker remembers
+CACHED = 200_000  # pieces that a worker remembers
 
 SCHEMA = "doc_id bigint, ids array<int>, decoded binary"
 
@@ -239,4 +239,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                  pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, SCHEMA)
+    return map_arrow(narrow, run, SCHEMA)

@@ -50,6 +50,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), WORD_GAP), "")
 
 
+#: Rows and bytes of the Arrow batches that go to Python.  Texts are long, and an
+#: executor holds a batch several times over, outside its heap.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """``mapInArrow`` with small batches; sets the session's batch limits."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named binary column has about ``limit``
     bytes in each (one row at least); no row is cut."""

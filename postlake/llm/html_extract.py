@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import chunks
+from postlake.llm.common import chunks, map_arrow
 
 SAMPLE_PAGES, MOST_FEATURES, LEAST_SEEN = 1000, 2000, 20
 CLIP = 3.0
@@ -249,8 +249,8 @@ def fit(pages: DataFrame, id_col: str, html_col: str, sample_pages: int = SAMPLE
             [pa.array(list(total), pa.string()), pa.array([x[0] for x in total.values()], pa.int64()),
              pa.array([x[1] for x in total.values()], pa.int64())], names=["feature", "a", "b"])
 
-    counts = (pages.where(draw < share).select(F.col(html_col).cast("binary").alias("html"))
-              .mapInArrow(run, "feature string, a bigint, b bigint").groupBy("feature")
+    sample = pages.where(draw < share).select(F.col(html_col).cast("binary").alias("html"))
+    counts = (map_arrow(sample, run, "feature string, a bigint, b bigint").groupBy("feature")
               .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_SEEN)
               .orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(MOST_FEATURES))
     return weights_of({r["feature"]: (r["a"], r["b"]) for r in counts.collect()})
@@ -269,4 +269,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     narrow = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"),
                           F.col(html_col).cast("binary").alias("html"))
-    return narrow.mapInArrow(run, "page_id bigint, url string, text string")
+    return map_arrow(narrow, run, "page_id bigint, url string, text string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import ASCII_LOWER, chunks, stored
+from postlake.llm.common import ASCII_LOWER, chunks, map_arrow, stored
 
 CELLS = 1 << 14  # hashed trigrams
 SAMPLE_ROWS = 500
@@ -83,7 +83,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_r
         for lang in languages:
             share = F.when(F.col("lang") == lang, F.lit(sample_rows / sizes[lang])).otherwise(share)
         draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
-        sums = (rows.where(draw < share).select("lang", "text").mapInArrow(_counts, "lang string, cell bigint, n bigint")
+        sums = (map_arrow(rows.where(draw < share).select("lang", "text"), _counts, "lang string, cell bigint, n bigint")
                 .groupBy("lang", "cell").agg(F.sum("n").alias("n")).groupBy("lang")
                 .agg(F.collect_list(F.struct("cell", "n")).alias("cells")))
         for r in sums.collect():  # at most LANGUAGES rows of CELLS numbers
@@ -120,7 +120,7 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], effective:
 
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "__loglik array<double>", "__letters bigint"])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def argmax(scores: Column) -> Column:

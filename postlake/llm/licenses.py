@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import ASCII_LOWER, WORD_BYTES, chunks
+from postlake.llm.common import ASCII_LOWER, WORD_BYTES, chunks, map_arrow
 
 # The phrases of the contract.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -194,4 +194,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found after identifier tags, and a score from 0 to 1 that grows with the
     evidence.  One map-only pass."""
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(_scan, SCHEMA)
+    return map_arrow(narrow, _scan, SCHEMA)

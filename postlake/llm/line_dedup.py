@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.common import chunks, stored
+from postlake.llm.common import chunks, map_arrow, stored
 
 RARE_DOCS, RARE_WORDS, MIN_WORDS = 8, 8, 5
 
@@ -135,7 +135,7 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbers of those lines, counted from 0 among the lines that are not blank."""
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"),
                          F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    lines = stored(narrow.mapInArrow(_lines, LINES), "lines")
+    lines = stored(map_arrow(narrow, _lines, LINES), "lines")
     # The owner of every shared line, and whether the line is rare.
     shared = (lines.groupBy("h1", "h2")
               .agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.max("doc_id").alias("last"),
@@ -157,7 +157,7 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     matched = common.join(places, ["h1", "h2", "owner"]).select(*rare.columns)
     rows = F.array_sort(F.collect_set(F.struct("pos", "owner_pos", "words", "rare")))
     pairs = rare.unionByName(matched).groupBy("doc_id", "th", "owner").agg(rows.alias("rows"))
-    gone = pairs.mapInArrow(_align(min_words), "doc_id bigint, th bigint, gone array<int>").where("size(gone) > 0")
+    gone = map_arrow(pairs, _align(min_words), "doc_id bigint, th bigint, gone array<int>").where("size(gone) > 0")
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
@@ -196,5 +196,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names if c != text_col), "__text binary", "lines_gone bigint"])
     sent = joined.select(*[F.col(f"`{c}`") for c in names if c != text_col], F.col(text_col).cast("binary").alias("__text"), "__gone")
-    done = sent.mapInArrow(run, schema)
+    done = map_arrow(sent, run, schema)
     return done.select(*[F.col("__text").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], "lines_gone")

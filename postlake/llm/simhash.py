@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import ASCII_LOWER, chunks, stored
+from postlake.llm.common import ASCII_LOWER, chunks, map_arrow, stored
 from postlake.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -68,7 +68,7 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", shingle_words: int
                 [batch.column("doc_id"), batch.column("th"), pa.array(signed)], names=["doc_id", "th", "fp"])
 
     narrow = docs.select("doc_id", F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
+    return map_arrow(narrow, run, "doc_id bigint, th bigint, fp bigint")
 
 
 def _prefix(key: Column, depth: int) -> Column:
