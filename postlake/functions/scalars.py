@@ -19,6 +19,11 @@ REDDIT_BASE = "https://reddit.com"
 BSKY_PROFILE = "https://bsky.app/profile/"
 
 
+# Full date, then optionally a time with fraction and zone.
+ISO_SHAPE = (r"^\d{4}-\d{2}-\d{2}"
+             r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?)?$")
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -30,8 +35,9 @@ def epoch_to_ts(c) -> Column:
 
 def parse_iso_ts(c) -> Column:
     """ISO-8601 text (``Z`` or an offset allowed) to an instant; null when
-    it does not parse (callers fall back, D11)."""
-    return F.try_to_timestamp(_c(c))
+    it does not parse or has no full date (callers fall back, D11).  The shape
+    is checked first: a bare time would otherwise become a time of today."""
+    return F.when(_c(c).rlike(ISO_SHAPE), F.try_to_timestamp(_c(c)))
 
 
 def first_non_empty(a, b) -> Column:

@@ -45,6 +45,14 @@ def _row(cols: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
+def _arrival(order: str, compare: str) -> Column:
+    """Arrival order of a row, never null: ``min_by``/``max_by`` ignore rows
+    whose order is null, which would lose the row.  Rows without a sequence
+    number come first, by a hash of the compared value."""
+    return F.struct(F.coalesce(F.col(order).cast("bigint"), F.lit(-(2**63))).alias("seq"),
+                    F.xxhash64(F.col(compare)).alias("tie"))
+
+
 def batch_summary(batch: DataFrame, key: list[str], order: str = "seq",
                   compare: str = "text") -> DataFrame:
     """Per key of ``key`` (which may include a batch column): ``first`` (row
@@ -54,8 +62,8 @@ def batch_summary(batch: DataFrame, key: list[str], order: str = "seq",
     cols = batch.columns
     row = _row(cols)
     per_text = batch.groupBy(*key, compare).agg(
-        F.max_by(row, F.col(order)).alias("_last"), F.max(order).alias("_last_seq"),
-        F.min_by(row, F.col(order)).alias("_first"), F.min(order).alias("_first_seq"),
+        F.max_by(row, _arrival(order, compare)).alias("_last"), F.max(_arrival(order, compare)).alias("_last_seq"),
+        F.min_by(row, _arrival(order, compare)).alias("_first"), F.min(_arrival(order, compare)).alias("_first_seq"),
         F.count(F.lit(1)).alias("_n"))
     firsts = per_text.groupBy(*key).agg(
         F.min_by("_first", F.col("_first_seq")).alias("first"),
@@ -280,7 +288,8 @@ def first_copies(batch: DataFrame, key: list[str] | None = None, order: str = "s
     a partial aggregation -- unlike ``dropDuplicates`` it is deterministic)."""
     key = list(key or KEY)
     cols = batch.columns
-    agg = batch.groupBy(*key).agg(F.min_by(_row(cols), F.col(order)).alias("_r"))
+    compare = "text" if "text" in cols else cols[0]
+    agg = batch.groupBy(*key).agg(F.min_by(_row(cols), _arrival(order, compare)).alias("_r"))
     return agg.select(*[F.col("_r")[c].alias(c) for c in cols])
 
 

@@ -15,8 +15,8 @@ NEWS_KEYWORDS = ["the"]
 NEWS_DOMAINS = ["example.com"]
 NEWS_WINDOW = ("2024-01-05", "2024-01-20")
 
-AS_OF = "2024-01-03 00:00:00"
-SEARCH_AS_OF = "2024-01-08 00:00:00"
+AS_OF = "2024-01-29 00:00:00"
+SEARCH_AS_OF = "2024-01-29 00:00:00"
 
 
 def epoch_us(ts: str) -> int:

@@ -17,24 +17,24 @@ REPLACE = ("text", "seq", "value")
 
 
 def day_batches(spark, sf_dir):
-    """(cur, batch): the store after the first day, and the second day's
-    versions.  The days are scalar subqueries, not driver-side values."""
+    """(cur, batch): the store after the first half of the days, and the
+    versions of all later days.  The middle is a scalar subquery, not a
+    driver-side value."""
     configure(spark)
     v = FX.post_versions(spark, sf_dir)
-    d1 = v.agg(F.min("batch_day")).scalar()
-    d2 = v.where(F.col("batch_day") > d1).agg(F.min("batch_day")).scalar()
-    cur = U.first_copies(v.where(F.col("batch_day") == d1).select(*VCOLS))
-    batch = v.where(F.col("batch_day") == d2).select(*VCOLS)
+    span = F.datediff(F.max("batch_day"), F.min("batch_day"))
+    mid = v.agg(F.date_add(F.min("batch_day"), F.floor(span / 2).cast("int"))).scalar()
+    cur = U.first_copies(v.where(F.col("batch_day") <= mid).select(*VCOLS))
+    batch = v.where(F.col("batch_day") > mid).select(*VCOLS)
     return cur, batch
 
 
 _DAYS = f"""with post_versions as ({O.FIX["post_versions"]}),
-d1 as (select min(batch_day) as d from post_versions),
-d2 as (select min(batch_day) as d from post_versions where batch_day > (select d from d1)),
+d1 as (select cast(min(batch_day) as date) + cast(floor(date_diff('day', cast(min(batch_day) as date), cast(max(batch_day) as date)) / 2) as integer) as d from post_versions),
 cur as (select platform, object_id, text, seq, value from (
           select *, row_number() over (partition by platform, object_id order by seq) as rn
-          from post_versions where batch_day = (select d from d1)) where rn = 1),
-batch as (select platform, object_id, text, seq, value from post_versions where batch_day = (select d from d2)),
+          from post_versions where cast(batch_day as date) <= (select d from d1)) where rn = 1),
+batch as (select platform, object_id, text, seq, value from post_versions where cast(batch_day as date) > (select d from d1)),
 e as (select b.*, row_number() over (partition by b.platform, b.object_id order by b.seq desc) as rn
       from batch b join cur c on c.platform = b.platform and c.object_id = b.object_id
       where b.text <> c.text),

@@ -78,6 +78,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="postlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
@@ -113,7 +115,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small text file atomically (write then rename) via Hadoop FS."""
+    """Write a small text file atomically (write, then rename over) via Hadoop FS."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -124,10 +126,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(tmp, target):
-        raise IOError(f"could not publish {path}")
+    # One atomic rename over the old file: a crash leaves the old or the new
+    # one, never none.
+    option = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    overwrite = jvm.java.lang.reflect.Array.newInstance(option, 1)
+    overwrite[0] = next(x for x in option.getEnumConstants() if x.toString() == "OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(tmp, target, overwrite)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
