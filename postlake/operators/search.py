@@ -3,13 +3,9 @@
 The remote services of the reference did the matching, ranking and capping;
 here they are DataFrame plans over landed posts:
 
-* term match (J4) is a theta join of posts with a small term table.  The term
-  table comes from a job spec, so its size is known on the driver: it is
-  broadcast in chunks of at most ``MAX_BROADCAST_TERMS`` terms, and the
-  chunks are unioned, so no broadcast grows with the data.  From
-  ``AUTOMATON_MIN_TERMS`` terms on, the match runs as one Aho-Corasick pass
-  per text in ``mapInPandas`` instead, so its cost stops growing with the
-  number of terms (both paths give identical rows; tested).
+* term match (J4) is a theta join of posts with the term table of a job spec,
+  which the driver program holds as a list.  Every list length takes the same
+  JVM plan: the table is broadcast, the posts are read once and never shuffled.
 * per-group caps (L1) are ``row_number() <= n`` windows; Spark plans them as
   WindowGroupLimit, which keeps at most n rows per group in every map task
   before the shuffle, so a hot group never ships all its rows to one task.
@@ -30,14 +26,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postlake.functions import scalars as X
 
-MAX_BROADCAST_TERMS = 5000
-AUTOMATON_MIN_TERMS = 64
-MAX_AUTOMATON_TERMS = 200_000
-
 # Time filters and their spans; sort orders accepted per source.
 TIME_FILTERS = {"hour": "1 hour", "day": "1 day", "week": "7 days", "month": "30 days",
                 "year": "365 days", "all": None}
@@ -94,90 +85,20 @@ def terms_frame(spark: SparkSession, terms: list[str], kind: str = "keyword") ->
     return df.withColumn("term_key", key)
 
 
-def _chunks(terms: list[str], size: int):
-    for i in range(0, len(terms), size):
-        yield i, terms[i:i + size]
-
-
 def substring_matches(spark: SparkSession, posts: DataFrame, terms: list[str],
-                      hay: Column, method: str = "auto") -> DataFrame:
+                      hay: Column) -> DataFrame:
     """Posts x terms where the lower-case ``hay`` contains the term;
     adds ``term``, ``term_pos`` and ``hits`` (non-overlapping occurrences).
-    A post matching two terms appears twice (U1).
-
-    ``method``: ``broadcast`` -- a nested-loop join with the (chunked,
-    bounded) broadcast term table, all in the JVM; ``automaton`` -- one
-    Aho-Corasick pass per text inside ``mapInPandas``, whose cost does not
-    grow with the number of terms; ``auto`` picks the automaton from
-    ``AUTOMATON_MIN_TERMS`` terms on."""
+    A post matching two terms appears twice (U1).  Empty terms match nothing."""
     if not terms:
         raise ValueError("no terms")
-    if method == "auto":
-        method = "automaton" if len(terms) >= AUTOMATON_MIN_TERMS else "broadcast"
-    base = posts.withColumn("_hay", F.lower(hay))
-    if method == "automaton":
-        return _automaton_matches(spark, base, list(terms))
-    if method != "broadcast":
-        raise ValueError("method must be auto, broadcast or automaton")
-    out = None
-    for offset, chunk in _chunks(list(terms), MAX_BROADCAST_TERMS):
-        t = terms_frame(spark, chunk).withColumn("term_pos", F.col("term_pos") + offset)
-        m = base.join(F.broadcast(t), F.col("_hay").contains(F.col("term_key")))
-        out = m if out is None else out.unionByName(m)
-    return (out.withColumn("hits", X.count_hits(F.col("_hay"), F.col("term_key")))
+    t = terms_frame(spark, list(terms)).where(F.col("term_key") != "")
+    m = posts.withColumn("_hay", F.lower(hay)).join(
+        F.broadcast(t), F.col("_hay").contains(F.col("term_key")))
+    return (m.withColumn("hits", X.count_hits(F.col("_hay"), F.col("term_key")))
             .drop("_hay", "term_key"))
 
 
-def _automaton_matches(spark: SparkSession, base: DataFrame, terms: list[str]) -> DataFrame:
-    """Aho-Corasick over the JVM-lowered text, per Arrow batch.  The term
-    keys are lowered in the JVM as well, so both paths see the same strings;
-    the function ships only the term list (bounded by the spec, chunked at
-    ``MAX_AUTOMATON_TERMS``)."""
-    keys = [r["term_key"] for r in terms_frame(spark, terms).orderBy("term_pos").collect()]
-    out_schema = T.StructType(base.schema.fields + [
-        T.StructField("term", T.StringType()), T.StructField("term_pos", T.IntegerType()),
-        T.StructField("hits", T.LongType())])
-    out = None
-    for offset in range(0, len(terms), MAX_AUTOMATON_TERMS):
-        fn = _automaton_fn(terms[offset:offset + MAX_AUTOMATON_TERMS],
-                           keys[offset:offset + MAX_AUTOMATON_TERMS], offset)
-        m = base.mapInPandas(fn, out_schema)
-        out = m if out is None else out.unionByName(m)
-    return out.drop("_hay")
-
-
-def _automaton_fn(terms: list[str], keys: list[str], offset: int):
-    def run(batches):
-        import ahocorasick
-        import pandas as pd
-        auto = ahocorasick.Automaton()
-        by_key: dict[str, list[int]] = {}
-        for i, k in enumerate(keys):
-            if k:
-                by_key.setdefault(k, []).append(i)
-        for k in by_key:
-            auto.add_word(k, k)
-        auto.make_automaton()
-        for pdf in batches:
-            idx, pos, hits = [], [], []
-            for r, hay in enumerate(pdf["_hay"].tolist()):
-                if not hay:
-                    continue
-                found = {k for _, k in auto.iter(hay)}
-                for k in found:
-                    n = hay.count(k)
-                    for i in by_key[k]:
-                        idx.append(r)
-                        pos.append(offset + i)
-                        hits.append(n)
-            out = pdf.iloc[idx].reset_index(drop=True)
-            out["term"] = pd.Series([terms[p - offset] for p in pos], dtype=object)
-            out["term_pos"] = pd.Series(pos, dtype="int32")
-            out["hits"] = pd.Series(hits, dtype="int64")
-            yield out
-    return run
-
-
 def _hay_title_text() -> Column:
     # Title and text joined by a control character no term contains.
     return F.concat_ws("\u0001", F.col("title"), F.col("text"))
@@ -220,8 +141,7 @@ class KeywordSearch:
     max_posts: int
     as_of: str
     reddit_time_filter: str = "week"
-    bluesky_cap: int = BLUESKY_TERM_CAP
-    method: str = "auto"
+    bluesky_cap: int | None = BLUESKY_TERM_CAP
 
     def check(self) -> "KeywordSearch":
         if not self.terms:
@@ -235,7 +155,7 @@ class KeywordSearch:
 
 def keyword_search(spark: SparkSession, posts: DataFrame, spec: KeywordSearch) -> DataFrame:
     """S2 (Reddit: submissions, last ``reddit_time_filter``, relevance) and S5
-    (Bluesky: ``min(quota, 30)`` per term), one plan: the term join runs once
+    (Bluesky: quota, at most ``bluesky_cap`` per term), one plan: the term join runs once
     over both platforms and the cap is a per-(platform, term) window."""
     spec.check()
     q = quota(spec.max_posts, len(spec.terms))
@@ -243,21 +163,23 @@ def keyword_search(spark: SparkSession, posts: DataFrame, spec: KeywordSearch) -
         in_time_filter(F.col("created_at"), spec.as_of, spec.reddit_time_filter)
     bsky = F.col("platform") == "bluesky"
     cand = posts.where(reddit | bsky).select("platform", "object_id", "created_at", "title", "text")
-    m = substring_matches(spark, cand, list(spec.terms), _hay_title_text(), spec.method)
+    m = substring_matches(spark, cand, list(spec.terms), _hay_title_text())
     ranked = top_n_per_group(m, ["platform", "term_pos"], relevance_order(), max(q, 1))
-    cap = F.when(F.col("platform") == "bluesky", F.lit(min(q, spec.bluesky_cap))).otherwise(F.lit(q))
+    least = q if spec.bluesky_cap is None else min(q, spec.bluesky_cap)
+    cap = F.when(F.col("platform") == "bluesky", F.lit(least)).otherwise(F.lit(q))
     return ranked.where(F.col("rank") <= cap)
 
 
 def hashtag_search_posts(spark: SparkSession, posts: DataFrame, hashtags: list[str],
-                         max_posts: int, cap: int = BLUESKY_TERM_CAP) -> DataFrame:
+                         max_posts: int, cap: int | None = BLUESKY_TERM_CAP) -> DataFrame:
     """Bluesky hashtag search.  Terms get their ``#`` normalized (E8);
     a post matches when one of its text hashtags equals the term, case
     insensitive.  Equi join on the exploded tags, then newest first,
-    ``min(quota, 30)`` per term."""
+    the quota, at most ``cap``, per term (no cap: None)."""
     if not hashtags:
         raise ValueError("no hashtags")
-    q = min(quota(max_posts, len(hashtags)), cap)
+    q = quota(max_posts, len(hashtags))
+    q = q if cap is None else min(q, cap)
     tags = posts.where(F.col("platform") == "bluesky").select(
         "*", F.explode(X.hashtags_of("text")).alias("_tag"))
     t = terms_frame(spark, hashtags, "hashtag")
@@ -341,15 +263,15 @@ def community_feed(posts: DataFrame, subreddits: list[str], sort_by: str, max_po
 
 
 def term_matrix(spark: SparkSession, posts: DataFrame, subreddits: list[str], keywords: list[str],
-                max_posts: int, max_subreddits: int = 5, max_keywords: int = 10) -> DataFrame:
-    """First 5 communities x first 10 keywords, newest first,
-    ``max_posts`` per pair.  The pair table (the reference's nested loop
+                max_posts: int, max_subreddits: int | None = None,
+                max_keywords: int | None = None) -> DataFrame:
+    """Communities x keywords, newest first, ``max_posts`` per pair;
+    the first ``max_subreddits`` and ``max_keywords`` only, if given.  The pair table (the reference's nested loop
     over the two lists) meets the posts in an equi join on the community
     plus the substring condition."""
-    # The pair table is built from the two (capped) spec lists on the driver:
-    # at most max_subreddits x max_keywords rows, so its broadcast is bounded.
+    # The pair table is built from the two spec lists on the driver.
     pair_rows = [(s, i, t) for s in subreddits[:max_subreddits]
-                 for i, t in enumerate(keywords[:max_keywords])]
+                 for i, t in enumerate(keywords[:max_keywords]) if t]
     pairs = spark.createDataFrame(pair_rows, "pair_subreddit string, term_pos int, term string") \
         .withColumn("term_key", F.lower("term"))
     p = posts.where((F.col("platform") == "reddit") & ~F.col("is_comment")) \

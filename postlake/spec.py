@@ -7,14 +7,18 @@ payloads are a DataFrame and the same selection rules become one plan:
 * batch (S15): Reddit searches the keywords (quota ``max // n`` per term,
   last week, relevance) when keywords are given, otherwise reads each
   community's feed (``sort_by`` / ``time_filter``, ``max`` each); Bluesky
-  searches the keywords (``min(quota, 30)`` per term) or reads the timeline
+  searches the keywords (quota, at most ``bluesky_cap`` per term) or reads the timeline
   (first ``max``); Mastodon reads, per known instance, the hashtag timelines
   (``max // n`` per tag) or the public timeline (``max``).  As in the
   reference, ``keywords`` drive both Reddit and Bluesky.
-* continuous (S16): fixed batch sizes 50 / 30 / 15; Reddit ignores keywords;
-  Bluesky searches the first 5 keywords, then the first 5 hashtags (30
-  each), and reads the public feed only when both are empty; Mastodon as in
-  batch with 15 per instance.
+* continuous (S16): the batch sizes of the spec's ``continuous_batch``; Reddit
+  ignores keywords; Bluesky searches the keywords, then the hashtags (a full
+  batch each; the first ``term_limit`` of each list, if the spec has a limit),
+  and reads the public feed only when both are empty; Mastodon as in batch.
+
+A platform is an adapter in ``ADAPTERS``; batch collection and streams look it
+up there.  A registered platform without selection rules of its own is collected
+as its first ``max_posts`` posts in arrival order.
 
 Quotas never drop to 0 (D15).  The result keeps one row per (post,
 selection) -- a post selected twice appears twice (U1) until the upsert.
@@ -22,6 +26,7 @@ selection) -- a post selected twice appears twice (U1) until the upsert.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -33,9 +38,10 @@ from postlake import schemas as S
 from postlake.operators import normalize as N
 from postlake.operators import search as Q
 
-# Continuous batch sizes and list caps of the reference.
+log = logging.getLogger(__name__)
+
+# Default batch sizes of continuous collection.
 CONTINUOUS_BATCH = {"reddit": 50, "bluesky": 30, "mastodon": 15}
-CONTINUOUS_TERM_CAP = 5
 PLATFORMS = ("reddit", "bluesky", "mastodon")
 
 
@@ -75,12 +81,15 @@ class CollectSpec:
     sort_by: str = "hot"
     time_filter: str = "day"
     continuous: bool = False
+    continuous_batch: dict = field(default_factory=lambda: dict(CONTINUOUS_BATCH))
+    term_limit: int | None = None
+    bluesky_cap: int | None = Q.BLUESKY_TERM_CAP
     extra: dict = field(default_factory=dict)
 
     def check(self) -> "CollectSpec":
         """Limits positive, sort and time filter allowed, lists
-        non-empty where a platform needs them; unknown platforms rejected
-        (F13 skips them only when the caller asks for ``known_platforms``)."""
+        non-empty where a platform needs them.  Unknown platforms are no
+        error: ``collect`` skips them with a note (F13)."""
         for name in ("max_posts_per_subreddit", "max_posts", "max_posts_per_instance"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
@@ -88,9 +97,6 @@ class CollectSpec:
             raise ValueError(f"sort_by must be one of {Q.REDDIT_SORTS}")
         if self.time_filter not in Q.TIME_FILTERS:
             raise ValueError(f"time_filter must be one of {sorted(Q.TIME_FILTERS)}")
-        unknown = [p for p in self.platforms if p not in PLATFORMS]
-        if unknown:
-            raise ValueError(f"unknown platforms {unknown}")
         if "reddit" in self.platforms and not self.subreddits:
             raise ValueError("reddit needs at least one subreddit")
         if "mastodon" in self.platforms and not self.instances:
@@ -100,8 +106,13 @@ class CollectSpec:
         return self
 
 
-def known_platforms(platforms, enabled=PLATFORMS) -> tuple[str, ...]:
-    """keep enabled platforms, skip the rest."""
+def known_platforms(platforms, enabled=None) -> tuple[str, ...]:
+    """keep enabled platforms (default: built-in and registered ones),
+    skip the rest with a note."""
+    enabled = {*PLATFORMS, *ADAPTERS} if enabled is None else enabled
+    skipped = [p for p in platforms if p not in enabled]
+    if skipped:
+        log.warning("unknown platforms skipped: %s", ", ".join(skipped))
     return tuple(p for p in platforms if p in enabled)
 
 
@@ -114,13 +125,17 @@ def collect(spark: SparkSession, raw: dict[str, DataFrame], spec: CollectSpec,
     """The selected posts of every platform of ``spec``, in the
     unified schema plus ``source`` (what selected it) and ``rank``."""
     spec.check()
+    platforms = known_platforms(spec.platforms)
     parts = []
-    if "reddit" in spec.platforms and "reddit_submission" in raw:
+    if "reddit" in platforms and "reddit_submission" in raw:
         parts.append(_reddit(spark, N.storage_form(N.reddit_submission(raw["reddit_submission"], collected_at)), spec))
-    if "bluesky" in spec.platforms and "bluesky" in raw:
+    if "bluesky" in platforms and "bluesky" in raw:
         parts.append(_bluesky(spark, N.storage_form(N.bluesky_post(raw["bluesky"], collected_at)), spec))
-    if "mastodon" in spec.platforms and "mastodon" in raw:
+    if "mastodon" in platforms and "mastodon" in raw:
         parts.append(_mastodon(spark, raw["mastodon"], spec, collected_at))
+    for name in platforms:
+        if name not in PLATFORMS and name in raw:
+            parts.append(_registered(ADAPTERS[name], raw[name], spec, collected_at))
     out = None
     cols = S.POST_COLUMNS + ["source", "rank"]
     for p in parts:
@@ -131,30 +146,38 @@ def collect(spark: SparkSession, raw: dict[str, DataFrame], spec: CollectSpec,
     return out
 
 
+def _registered(adapter: PlatformAdapter, raw: DataFrame, spec: CollectSpec, collected_at) -> DataFrame:
+    n = spec.continuous_batch.get(adapter.name, spec.max_posts) if spec.continuous else spec.max_posts
+    posts = N.storage_form(adapter.normalizer(raw, collected_at)).orderBy("seq", "object_id").limit(n)
+    # A global rank over at most n rows (a top-n first).
+    ranked = posts.withColumn("rank", F.row_number().over(Window.orderBy("seq", "object_id")))
+    return _sel(ranked, F.lit(f"timeline:{adapter.name}"))
+
+
 def _reddit(spark, posts: DataFrame, spec: CollectSpec) -> DataFrame:
     if spec.keywords and not spec.continuous:
         ks = Q.KeywordSearch(tuple(spec.keywords), spec.max_posts_per_subreddit, spec.as_of)
         m = Q.keyword_search(spark, posts.where(F.col("platform") == "reddit"), ks)
         keys = m.select("platform", "object_id", "term", "rank")
         return _sel(posts.join(keys, ["platform", "object_id"]), F.concat(F.lit("keyword:"), F.col("term")))
-    n = CONTINUOUS_BATCH["reddit"] if spec.continuous else spec.max_posts_per_subreddit
+    n = spec.continuous_batch["reddit"] if spec.continuous else spec.max_posts_per_subreddit
     f = Q.community_feed(posts, list(spec.subreddits), spec.sort_by, n, spec.as_of, spec.time_filter)
     return _sel(f, F.concat(F.lit("feed:"), F.col("subreddit")))
 
 
 def _bluesky(spark, posts: DataFrame, spec: CollectSpec) -> DataFrame:
-    kw = list(spec.keywords[:CONTINUOUS_TERM_CAP] if spec.continuous else spec.keywords)
-    tags = list(spec.hashtags[:CONTINUOUS_TERM_CAP]) if spec.continuous else []
-    n = CONTINUOUS_BATCH["bluesky"] if spec.continuous else spec.max_posts
+    kw = list(spec.keywords[:spec.term_limit] if spec.continuous else spec.keywords)
+    tags = list(spec.hashtags[:spec.term_limit]) if spec.continuous else []
+    n = spec.continuous_batch["bluesky"] if spec.continuous else spec.max_posts
     parts = []
     if kw:
         # Continuous mode asks each term for a full batch (no quota split).
         total = n * len(kw) if spec.continuous else n
-        ks = Q.KeywordSearch(tuple(kw), total, spec.as_of)
+        ks = Q.KeywordSearch(tuple(kw), total, spec.as_of, bluesky_cap=spec.bluesky_cap)
         m = Q.keyword_search(spark, posts, ks).select("platform", "object_id", "term", "rank")
         parts.append(_sel(posts.join(m, ["platform", "object_id"]), F.concat(F.lit("keyword:"), F.col("term"))))
     if tags:
-        h = Q.hashtag_search_posts(spark, posts, tags, n * len(tags))
+        h = Q.hashtag_search_posts(spark, posts, tags, n * len(tags), spec.bluesky_cap)
         parts.append(_sel(h, F.concat(F.lit("hashtag:"), F.col("term"))))
     if not kw and not tags:
         # A global rank over at most n rows (the timeline is a top-n first).
@@ -169,7 +192,7 @@ def _bluesky(spark, posts: DataFrame, spec: CollectSpec) -> DataFrame:
 
 
 def _mastodon(spark, raw_status: DataFrame, spec: CollectSpec, collected_at) -> DataFrame:
-    n = CONTINUOUS_BATCH["mastodon"] if spec.continuous else spec.max_posts_per_instance
+    n = spec.continuous_batch["mastodon"] if spec.continuous else spec.max_posts_per_instance
     sel = Q.collect_from_instances(spark, raw_status, list(spec.instances), n, list(spec.hashtags))
     src = F.when(F.col("term").isNotNull(),
                  F.concat(F.lit("hashtag:"), F.regexp_replace(F.lower("term"), "^#+", ""),

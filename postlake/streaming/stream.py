@@ -31,13 +31,12 @@ from pyspark.sql.streaming import StreamingQuery
 from postlake.operators import normalize as N
 from postlake.session import write_text
 from postlake.sources.store import Store
+from postlake.spec import ADAPTERS
 
 log = logging.getLogger(__name__)
 
-# The reference's pauses between cycles (normal, after an
-# error, display-driven loop), and the firehose window.
-PAUSE_S, ERROR_PAUSE_S, DISPLAY_PAUSE_S = 5, 10, 10
-FIREHOSE_WINDOW_S, FIREHOSE_MAX_POSTS = 15, 50
+# The reference's pauses between cycles (normal, after an error).
+PAUSE_S, ERROR_PAUSE_S = 5, 10
 
 METRICS_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()), T.StructField("platform", T.StringType()),
@@ -60,17 +59,10 @@ def landed_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     return r.load(path)
 
 
-NORMALIZERS = {
-    "reddit_submission": N.reddit_submission,
-    "reddit_comment": N.reddit_comment,
-    "bluesky": N.bluesky_post,
-    "mastodon": N.mastodon_status,
-}
-
-
 def posts_stream(raw_streams: dict[str, DataFrame], collected_at=None) -> DataFrame:
-    """Normalize each platform's stream and union them into one."""
-    parts = [NORMALIZERS[p](df, collected_at) for p, df in raw_streams.items()]
+    """Normalize each platform's stream by its registered adapter (X1) and
+    union them into one."""
+    parts = [ADAPTERS[p].normalizer(df, collected_at) for p, df in raw_streams.items()]
     return N.union_posts(*parts)
 
 
@@ -197,7 +189,3 @@ def dedup_within_watermark(stream: DataFrame, ts_col: str, delay: str, key: list
     if not stream.isStreaming:
         return stream.dropDuplicates(key)
     return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(key)
-
-
-def write_json(path: str, obj: dict) -> str:
-    return json.dumps(obj)

@@ -14,16 +14,15 @@ def _words(spark, n):
     return [r.w for r in w.collect()]
 
 
-def test_automaton_equals_broadcast(spark):
+def test_long_term_list_equals_brute_force(spark):
     posts = unified(spark, SF_SMALL).select("platform", "object_id", "title", "text")
-    terms = _words(spark, 80) + ["The", "the and", "zzz", "ß", "é"]
+    terms = _words(spark, 80) + ["The", "the and", "zzz", "ß", "é", ""]
     hay = F.concat_ws("\\u0001", F.col("title"), F.col("text"))
-    a = Q.substring_matches(spark, posts, terms, hay, "broadcast") \
-        .select("platform", "object_id", "term", "term_pos", "hits")
-    b = Q.substring_matches(spark, posts, terms, hay, "automaton") \
-        .select("platform", "object_id", "term", "term_pos", "hits")
-    assert a.count() > 0
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    rows = posts.select("platform", "object_id", F.lower(hay).alias("hay")).collect()
+    want = sorted((r.platform, r.object_id, t, i, r.hay.count(t.lower()))
+                  for r in rows for i, t in enumerate(terms) if t and t.lower() in r.hay)
+    got = Q.substring_matches(spark, posts, terms, hay).select("platform", "object_id", "term", "term_pos", "hits")
+    assert want and sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_keyword_search_plan(spark):
@@ -43,11 +42,12 @@ def test_collect_spec_checks():
     ok = CollectSpec(as_of="2024-01-08 00:00:00")
     assert ok.check() is ok
     for bad in [dict(max_posts=0), dict(sort_by="best"), dict(time_filter="decade"),
-                dict(platforms=("reddit", "myspace")), dict(subreddits=()), dict(instances=()),
-                dict(keywords=("",))]:
+                dict(subreddits=()), dict(instances=()), dict(keywords=("",))]:
         with pytest.raises(ValueError):
             CollectSpec(as_of="2024-01-08 00:00:00", **bad).check()
+    # An unknown platform is skipped with a note (F13), in the spec as well.
     assert known_platforms(("reddit", "myspace")) == ("reddit",)
+    CollectSpec(as_of="2024-01-08 00:00:00", platforms=("reddit", "myspace")).check()
 
 
 def test_register_platform_adapter():
@@ -79,21 +79,39 @@ def test_core_plans_stay_in_the_jvm(spark):
         assert "EvalPython" not in plan and "MapInPandas" not in plan and "PythonUDF" not in plan
 
 
-def test_long_term_lists_use_the_automaton(spark):
+def test_term_plan_does_not_depend_on_list_length(spark):
     p = unified(spark, SF_SMALL).select("platform", "object_id", "title", "text")
-    terms = [f"t{i}" for i in range(Q.AUTOMATON_MIN_TERMS)]
-    m = Q.substring_matches(spark, p, terms, F.concat_ws(" ", "title", "text"))
-    plan = m._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" in plan and "BroadcastNestedLoopJoin" not in plan
+    for n in (3, 300):
+        m = Q.substring_matches(spark, p, [f"t{i}" for i in range(n)], F.concat_ws(" ", "title", "text"))
+        plan = m._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastNestedLoopJoin") == 1 and "MapInPandas" not in plan
 
 
-def test_continuous_collect_caps_terms(spark):
+def test_registered_platform_runs_and_unknown_is_skipped(spark):
+    from postlake import schemas as S
+    from postlake.operators import normalize as N
+    from postlake.plans.common import raw_frames
+    from postlake.spec import ADAPTERS, CollectSpec, PlatformAdapter, collect, register_platform
+    from postlake.streaming import stream as ST
+    raw = {"sky2": raw_frames(spark, SF_SMALL)["bluesky"]}
+    register_platform(PlatformAdapter("sky2", S.BLUESKY_POST, N.bluesky_post))
+    try:
+        spec = CollectSpec(as_of="2024-01-29 00:00:00", platforms=("sky2", "nosuch"), max_posts=7)
+        out = collect(spark, raw, spec)
+        assert sorted(r["rank"] for r in out.collect()) == list(range(1, 8))
+        assert ST.posts_stream(raw).count() == raw["sky2"].count()
+    finally:
+        del ADAPTERS["sky2"]
+
+
+def test_continuous_collect_term_limit(spark):
     from postlake.plans.common import raw_frames
     from postlake.spec import CollectSpec, collect
     kws = ["the", "and", "de", "der", "la", "et", "of"]          # 7 keywords: first 5 used
     tags = ["topic0", "topic1", "topic2", "topic3", "topic4", "topic5"]
     spec = CollectSpec(as_of="2024-01-08 00:00:00", platforms=("reddit", "bluesky"),
-                       subreddits=("all",), keywords=tuple(kws), hashtags=tuple(tags), continuous=True)
+                       subreddits=("all",), keywords=tuple(kws), hashtags=tuple(tags), continuous=True,
+                       term_limit=5)
     out = collect(spark, raw_frames(spark, SF_SMALL), spec)
     rows = out.select("platform", "source", "rank").collect()
     blue = [r for r in rows if r.platform == "bluesky"]
