@@ -5,6 +5,8 @@ import datetime as _dt
 
 # Search terms, hashtags, communities, platforms of the tests.
 KEYWORDS = ["the", "license", "zzz"]
+# All pairs of ten consonants and ten vowels or endings: 100 terms.
+MANY_KEYWORDS = [a + b for a in "bcdfglmnrt" for b in ("a", "e", "i", "o", "u", "an", "en", "er", "es", "on")]
 HASHTAGS = ["topic1", "#topic2"]
 SUBREDDITS = ["src0", "src1", "nosuch"]
 PLATFORMS = ["reddit", "bluesky", "mastodon", "lemmy"]

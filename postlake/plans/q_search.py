@@ -28,8 +28,10 @@ KW_MAX = 60
 _kq = Q.quota(KW_MAX, len(P.KEYWORDS))
 _asof = P.epoch_us(P.SEARCH_AS_OF)
 
-_KW_SQL = f"""{O.posts_cte()},
-{_terms_cte(P.KEYWORDS)},
+
+def _keyword_sql(terms, q) -> str:
+    return f"""{O.posts_cte()},
+{_terms_cte(terms)},
 cand as (select p.*, lower(concat_ws(chr(1), title, text)) as hay from posts p
          where (platform = 'reddit' and not is_comment and created_us <= {_asof}
                 and created_us > {_asof - 7 * P.DAY_US}) or platform = 'bluesky'),
@@ -39,7 +41,10 @@ m as (select c.platform, c.object_id, c.created_us, t.term, t.term_pos,
 r as (select *, row_number() over (partition by platform, term_pos
                                    order by hits desc, created_us desc, platform, object_id) as rank from m)
 select platform, term, object_id, hits, cast(rank as integer) as rank from r
-where rank <= case when platform = 'bluesky' then {min(_kq, 30)} else {_kq} end"""
+where rank <= case when platform = 'bluesky' then {min(q, 30)} else {q} end"""
+
+
+_KW_SQL = _keyword_sql(P.KEYWORDS, _kq)
 
 
 @register("keyword_search", _KW_SQL)
@@ -49,6 +54,18 @@ def keyword_search(spark, sf_dir):
     return r.select("platform", "term", "object_id", "hits", "rank")
 
 
+# A long list takes the same plan.
+KW_MANY_MAX = 300
+_kmq = Q.quota(KW_MANY_MAX, len(P.MANY_KEYWORDS))
+
+
+@register("keyword_search_many", _keyword_sql(P.MANY_KEYWORDS, _kmq))
+def keyword_search_many(spark, sf_dir):
+    spec = Q.KeywordSearch(tuple(P.MANY_KEYWORDS), KW_MANY_MAX, P.SEARCH_AS_OF)
+    r = Q.keyword_search(spark, unified(spark, sf_dir), spec)
+    return r.select("platform", "term", "object_id", "hits", "rank")
+
+
 _TERM_HITS_SQL = _KW_SQL.replace(
     "select platform, term, object_id, hits, cast(rank as integer) as rank from r",
     "select platform, term, count(*) as n from r").replace(

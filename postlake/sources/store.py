@@ -18,17 +18,18 @@ Two write strategies, same results (tested against each other):
   O(batch), whatever the store size.  A read resolves only the keys that
   occur in deltas: base rows of other keys pass through (anti join), the
   rest are replayed with the base row as the first version (the window
-  recurrence of ``upsert.resolve``).  The delta key set is broadcast only
-  when the manifest's recorded delta row count is under
-  ``BROADCAST_DELTA_ROWS``; otherwise the joins shuffle.  ``compact()``
-  folds deltas into a new base, automatically after ``max_deltas``.
+  recurrence of ``upsert.resolve``).  ``compact()`` folds deltas into a new
+  base, automatically after ``max_deltas``.
 * ``copy_on_write``: an upsert rewrites the buckets its batch touches into a
   new version directory (cost grows with the touched share of the store).
 
 Either way a new manifest is published by write-and-rename only after all
-files are written: a failed batch leaves the store as it was (K3), and an
-already-applied ``batch_id`` is skipped (idempotent ``foreachBatch``).
-Readers never read a path that a writer overwrites.
+files are written: a failed batch leaves the store as it was (K3), and a
+``batch_id`` that its source (a stream's query id) has already applied is
+skipped (idempotent ``foreachBatch``).  A new source starts its ids anew; rows
+carry the store's own ascending batch number.  Readers never read a path that a
+writer overwrites.  The settings that decide where a row lies and how it is
+merged are part of the manifest; opening a store with others is an error.
 """
 
 from __future__ import annotations
@@ -51,7 +52,6 @@ OUTCOMES_SCHEMA = T.StructType([
     T.StructField("inserted", T.LongType()), T.StructField("updated", T.LongType()),
     T.StructField("unchanged", T.LongType())])
 MODES = ("merge_on_read", "copy_on_write")
-BROADCAST_DELTA_ROWS = 2_000_000
 # The platforms the per-platform counters name ("other" for the rest).
 KNOWN_PLATFORMS = ("reddit", "bluesky", "mastodon")
 
@@ -96,7 +96,16 @@ class Store:
     # ------------------------------------------------------------ manifest
     def manifest(self) -> dict | None:
         txt = read_text(self.spark, f"{self.root}/{MANIFEST}")
-        return json.loads(txt) if txt else None
+        m = json.loads(txt) if txt else None
+        if m and m.get("settings") not in (None, self._settings()):
+            wrong = [k for k, v in self._settings().items() if m["settings"].get(k) != v]
+            raise ValueError(f"the store at {self.root} was created with other values of {wrong}")
+        return m
+
+    def _settings(self) -> dict:
+        return {"buckets": self.buckets, "key": self.key, "order": self.order, "compare": self.compare,
+                "replace": list(self.replace), "replace_if_reddit": list(self.replace_if_reddit),
+                "within_batch": self.within_batch, "refresh": list(self.refresh)}
 
     def _publish(self, m: dict) -> None:
         body = json.dumps(m, sort_keys=True)
@@ -110,7 +119,8 @@ class Store:
         """K1: idempotent; an empty store has version 0 and no data."""
         if not self.exists():
             self._publish({"version": 0, "buckets": self.buckets, "last_batch_id": -1,
-                           "bucket_versions": {}, "deltas": [], "mode": self.mode})
+                           "bucket_versions": {}, "deltas": [], "mode": self.mode,
+                           "sources": {}, "settings": self._settings()})
         return self
 
     # ------------------------------------------------------------ read
@@ -159,12 +169,9 @@ class Store:
         deltas = self._read_deltas(m)
         if deltas is None:
             return base, None
-        rows = sum(d["rows"] for d in m["deltas"])
         dk = deltas.select(*self.key).distinct()
-        # The delta key set is broadcast only under a recorded row bound.
-        dkb = F.broadcast(dk) if rows <= BROADCAST_DELTA_ROWS else dk
-        untouched = base.join(dkb, self.key, "left_anti")
-        touched = base.join(dkb, self.key, "left_semi")
+        untouched = base.join(dk, self.key, "left_anti")
+        touched = base.join(dk, self.key, "left_semi")
         versions = touched.withColumn("_version_order", F.lit(-1).cast("long")) \
             .unionByName(deltas.withColumn("_version_order", F.col("batch_id")))
         return untouched, versions
@@ -233,29 +240,33 @@ class Store:
         df.repartition("platform", "bucket").write.mode("overwrite") \
             .partitionBy("platform", "bucket").parquet(f"{self.root}/data/v={version:08d}")
 
-    def upsert(self, batch: DataFrame, batch_id: int) -> dict:
+    def upsert(self, batch: DataFrame, batch_id: int, source: str = "") -> dict:
         """K3: apply one batch with the upsert rule; returns what happened.
-        Skips a ``batch_id`` that is already applied.  Merge-on-read writes
-        are a pure O(batch) append; their outcome counts are derived when
-        the deltas are compacted (``outcomes()``)."""
+        Skips a ``batch_id`` that ``source`` has already applied.  The store
+        numbers its batches itself: by ``batch_id`` as long as that ascends,
+        else by the next number.  Merge-on-read writes are a pure O(batch)
+        append; their outcome counts are derived when the deltas are compacted
+        (``outcomes()``)."""
         self.create()
         m = self.manifest()
-        if batch_id <= m["last_batch_id"]:
+        sources = m.get("sources", {"": m["last_batch_id"]})
+        if batch_id <= sources.get(source, -1):
             return {"skipped": True, "batch_id": batch_id}
+        m["sources"] = {**sources, source: batch_id}
+        number = max(batch_id, m["last_batch_id"] + 1)
         cols = self.schema.fieldNames()
-        b = self._bucket(batch.select(*cols)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        # The batch feeds more than one job: keep it for the duration of the
-        # upsert; a lost block is recomputed from lineage.
-        b = b.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if not m["bucket_versions"] and not m.get("deltas"):
-                res = self._bulk_load(m, b, batch_id)
-            elif self.mode == "copy_on_write":
-                res = self._merge_publish(m, b, batch_id)
-            else:
-                res = self._append_delta(m, b, batch_id)
-        finally:
-            b.unpersist()
+        b = self._bucket(batch.select(*cols)).withColumn("batch_id", F.lit(number).cast("long"))
+        if self.mode != "copy_on_write" and (m["bucket_versions"] or m.get("deltas")):
+            res = self._append_delta(m, b, number)
+        else:
+            # These feed more than one job: keep the batch for their duration;
+            # a lost block is recomputed from lineage.
+            b = b.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                first = not m["bucket_versions"] and not m.get("deltas")
+                res = (self._bulk_load if first else self._merge_publish)(m, b, number)
+            finally:
+                b.unpersist()
         m = self.manifest()
         # Bound what a read has to union: pending deltas (merge-on-read) or
         # distinct bucket versions (copy-on-write).
@@ -289,7 +300,7 @@ class Store:
         obs = Observation(f"delta-{uuid.uuid4().hex[:8]}")
         # Rows per platform are observed during the write (no extra job).
         (b.select(*self.data_cols, "bucket").observe(obs, F.count(F.lit(1)).alias("n"), *_platform_exprs())
-          .repartition("platform").write.mode("overwrite").partitionBy("platform")
+          .write.mode("overwrite").partitionBy("platform")
           .parquet(f"{self.root}/{path}"))
         got = obs.get
         rows = int(got.get("n", 0))

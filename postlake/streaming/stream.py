@@ -10,7 +10,7 @@ writer through a queue, and de-duplicates against its database.  Here:
   ``foreachBatch`` applies the keyed upsert to the store (T5) -- one writer
   per store keeps it consistent;
 * the checkpoint makes the query resumable (T9); the store skips a batch id
-  it has already applied, so a replayed micro-batch changes nothing;
+  that the same query has already applied, so a replayed micro-batch changes nothing;
 * every micro-batch appends one metrics row (K9), the source of live
   counters, throughput and alerts (A6, A8, T11, T12);
 * bounded de-duplication of replays for append-only outputs uses a
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postlake.operators import normalize as N
-from postlake.session import write_text
+from postlake.session import read_text, write_text
 from postlake.sources.store import Store
 from postlake.spec import ADAPTERS
 
@@ -74,8 +74,11 @@ def firehose_posts(messages: DataFrame, collected_at=None) -> DataFrame:
 class UpsertSink:
     """``foreachBatch`` body: upsert into the store, then one metrics row."""
 
-    def __init__(self, store: Store, metrics_path: str | None = None, platform_label: str = "all"):
+    def __init__(self, store: Store, metrics_path: str | None = None, platform_label: str = "all",
+                 checkpoint: str | None = None):
         self.store = store
+        self.checkpoint = checkpoint
+        self.source: str | None = None
         self.metrics_path = metrics_path
         self.platform_label = platform_label
 
@@ -84,7 +87,7 @@ class UpsertSink:
         spark = df.sparkSession
         status, err, res = "ok", None, {}
         try:
-            res = self.store.upsert(df, int(batch_id))
+            res = self.store.upsert(df, int(batch_id), self._source(spark))
             if res.get("skipped"):
                 return  # replayed micro-batch: already applied and recorded
             incoming = res.get("incoming", 0)
@@ -94,6 +97,14 @@ class UpsertSink:
             raise
         self._record(spark, batch_id, t0, incoming, res, status, err)
 
+    def _source(self, spark) -> str:
+        """The query's id, which its checkpoint keeps: batch ids start anew
+        with a new checkpoint, and must not be taken for old ones."""
+        if self.source is None:
+            text = read_text(spark, f"{self.checkpoint}/metadata") if self.checkpoint else None
+            self.source = json.loads(text)["id"] if text else ""
+        return self.source
+
     def _record(self, spark, batch_id, t0, incoming, res, status, err):
         """One JSON line per micro-batch, written through the Hadoop FS API
         (a few hundred bytes: no Spark job).  The file name carries the
@@ -106,7 +117,8 @@ class UpsertSink:
                "updated": res.get("updated"), "unchanged": res.get("unchanged"),
                "duration_s": float(time.time() - t0), "status": status, "error": err,
                "incoming_by_platform": res.get("incoming_by_platform")}
-        write_text(spark, f"{self.metrics_path}/batch-{int(batch_id):010d}.json", json.dumps(row))
+        name = "-".join(filter(None, ("batch", self.source, f"{int(batch_id):010d}")))
+        write_text(spark, f"{self.metrics_path}/{name}.json", json.dumps(row))
 
 
 def start_upsert(stream: DataFrame, store: Store, checkpoint: str, metrics_path: str | None = None,
@@ -115,7 +127,7 @@ def start_upsert(stream: DataFrame, store: Store, checkpoint: str, metrics_path:
     ``trigger`` e.g. ``{"processingTime": "5 seconds"}`` (the reference's
     pause) or ``{"availableNow": True}`` for bounded runs."""
     store.create()
-    w = stream.writeStream.foreachBatch(UpsertSink(store, metrics_path)) \
+    w = stream.writeStream.foreachBatch(UpsertSink(store, metrics_path, checkpoint=checkpoint)) \
         .option("checkpointLocation", checkpoint)
     if name:
         w = w.queryName(name)

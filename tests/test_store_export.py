@@ -132,3 +132,33 @@ def test_store_options_both_modes(spark):
             st.upsert(spark.createDataFrame(rows, SCHEMA).drop("batch"), b)
         got = {(r.platform, r.object_id): (r.text, r.seq, r.value) for r in st.read().collect()}
         assert got == want, mode
+
+
+def test_other_source_starts_its_batch_ids_anew(spark):
+    posts = unified(spark, SF_SMALL).where(F.col("platform") == "bluesky")
+    st = Store(spark, scratch_path(spark, "t-src"), buckets=2).create()
+    st.upsert(posts, 0, "a")
+    st.upsert(posts.limit(2).withColumn("text", F.lit("x")), 5, "a")
+    assert st.upsert(posts, 0, "a")["skipped"]
+    new = posts.limit(3).withColumn("object_id", F.concat(F.lit("new"), "object_id"))
+    assert not st.upsert(new, 0, "b")["skipped"] and st.upsert(new, 0, "b")["skipped"]
+    assert st.read().count() == posts.count() + 3
+    assert not st.upsert(posts.limit(1).withColumn("text", F.lit("y")), 6, "a")["skipped"]
+    assert st.read().where(F.col("text") == "y").count() == 1
+
+
+def test_reopening_with_other_settings_is_an_error(spark):
+    root = scratch_path(spark, "t-open")
+    Store(spark, root, buckets=4).create()
+    with pytest.raises(ValueError, match="buckets"):
+        Store(spark, root, buckets=8).upsert(unified(spark, SF_SMALL), 0)
+
+
+def test_delta_write_uses_many_tasks(spark):
+    import glob
+    from postlake.session import local_path
+    posts = unified(spark, SF_SMALL)
+    st = Store(spark, scratch_path(spark, "t-delta"), buckets=2).create()
+    st.upsert(posts.limit(5), 0)
+    st.upsert(posts.where(F.col("platform") == "bluesky").repartition(6), 1)
+    assert len(glob.glob(f"{local_path(st.root)}/deltas/*/platform=bluesky/part-*")) == 6

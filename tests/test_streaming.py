@@ -100,3 +100,16 @@ def test_replayed_micro_batch_changes_nothing(spark):
     assert before == after
     m = ST.read_metrics(spark, metrics)
     assert sorted(r.batch_id for r in m.collect()) == [0, 1]
+
+
+def test_new_checkpoint_is_a_new_source(spark):
+    raw = raw_frames(spark, SF_SMALL)["bluesky"]
+    store = Store(spark, scratch_path(spark, "nc-store"), buckets=2)
+    metrics = scratch_path(spark, "metrics")
+    for part in (raw.where("seq % 2 = 0"), raw.where("seq % 2 = 1")):
+        path = scratch_path(spark, "land-nc")
+        part.write.json(path)
+        src = ST.posts_stream({"bluesky": ST.landed_stream(spark, path, S.BLUESKY_POST)})
+        ST.start_upsert(src, store, scratch_path(spark, "ckpt"), metrics, trigger={"availableNow": True}).awaitTermination()
+    assert store.read().count() == raw.count()
+    assert sum(r.incoming for r in ST.read_metrics(spark, metrics).collect()) == raw.count()
