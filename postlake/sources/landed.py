@@ -2,7 +2,8 @@
 
 Q3: a malformed line never stops a read.  Lines that do not parse are kept
 whole in ``_corrupt_record`` (PERMISSIVE mode) and split off, so the good
-rows go on and the bad ones can be quarantined with their raw text.
+rows go on and the bad ones can be quarantined with their raw text.  The same
+parsing serves batch and stream; blank lines are no records.
 """
 
 from __future__ import annotations
@@ -14,14 +15,19 @@ from pyspark.sql import types as T
 CORRUPT = "_corrupt_record"
 
 
+def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The lines of column ``value`` parsed into ``schema`` plus CORRUPT."""
+    s = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.where(F.trim("value") != "").select(parsed.alias("p")).select("p.*")
+
+
+def split_corrupt(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, corrupt lines with their raw text): two filters."""
+    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return good, parsed.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+
+
 def read_landed(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows in ``schema``, corrupt lines with their raw text)."""
-    s = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(s).option("mode", "PERMISSIVE") \
-        .option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    # Spark rejects queries that reference only the corrupt column of a raw
-    # JSON scan; caching the parsed rows once is the documented remedy.
-    df = df.cache()
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
-    return good, bad
+    return split_corrupt(parse_lines(spark.read.text(path), schema))

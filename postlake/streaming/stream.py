@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from postlake import schemas as S
 from postlake.operators import normalize as N
-from postlake.session import read_text, write_text
+from postlake.operators.quality import split_valid
+from postlake.session import exists, read_text, write_text
+from postlake.sources.landed import parse_lines, split_corrupt
 from postlake.sources.store import Store
 from postlake.spec import ADAPTERS
 
@@ -50,15 +53,30 @@ METRICS_SCHEMA = T.StructType([
 
 def landed_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json",
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """T1 source: landed payload files, explicit schema, bounded batches."""
+    """T1 source: landed payload files, explicit schema, bounded batches.  Of
+    JSON the lines that parse; ``corrupt_stream`` has the others (Q3)."""
+    if fmt == "json":
+        return split_corrupt(_lines(spark, path, schema, max_files_per_trigger))[0]
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    if fmt == "json":
-        r = r.option("mode", "PERMISSIVE")
     return r.load(path)
 
 
+def corrupt_stream(spark: SparkSession, path: str, schema: T.StructType,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """Q3: the raw text of the landed JSON lines that do not parse, as a stream
+    to be written to a quarantine folder."""
+    return split_corrupt(_lines(spark, path, schema, max_files_per_trigger))[1]
+
+
+def _lines(spark, path, schema, max_files_per_trigger) -> DataFrame:
+    r = spark.readStream.format("text")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return parse_lines(r.load(path), schema)
+
+
 def posts_stream(raw_streams: dict[str, DataFrame], collected_at=None) -> DataFrame:
     """Normalize each platform's stream by its registered adapter (X1) and
     union them into one."""
@@ -71,8 +89,24 @@ def firehose_posts(messages: DataFrame, collected_at=None) -> DataFrame:
     return N.bluesky_post(N.firehose_to_post_view(messages), collected_at)
 
 
+def quarantine_path(store: Store) -> str:
+    return f"{store.root}/_quarantine"
+
+
+def read_quarantine(spark: SparkSession, store: Store) -> DataFrame:
+    """Posts that streams kept out of the store, with ``errors``, ``warnings``
+    and the ``batch`` that brought them."""
+    schema = T.StructType(S.POST.fields + [
+        T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("warnings", T.ArrayType(T.StringType())),
+        T.StructField("batch", T.StringType())])
+    path = quarantine_path(store)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 class UpsertSink:
-    """``foreachBatch`` body: upsert into the store, then one metrics row."""
+    """``foreachBatch`` body: posts without a required field go to the store's
+    quarantine folder (Q1, Q2), the others are upserted, then one metrics row.
+    A store of another schema than that of posts takes every row."""
 
     def __init__(self, store: Store, metrics_path: str | None = None, platform_label: str = "all",
                  checkpoint: str | None = None):
@@ -87,11 +121,18 @@ class UpsertSink:
         spark = df.sparkSession
         status, err, res = "ok", None, {}
         try:
-            res = self.store.upsert(df, int(batch_id), self._source(spark))
+            source = self._source(spark)
+            if self.store.schema == S.POST:
+                df, bad = split_valid(df)
+                # One folder per batch, overwritten if the batch runs again.
+                bad.write.mode("overwrite").parquet(
+                    f"{quarantine_path(self.store)}/batch={source or 'none'}-{int(batch_id):010d}")
+            res = self.store.upsert(df, int(batch_id), source)
             if res.get("skipped"):
                 return  # replayed micro-batch: already applied and recorded
             incoming = res.get("incoming", 0)
         except Exception as e:  # noqa: BLE001 -- recorded, then re-raised
+            log.exception("micro-batch %s failed", batch_id)  # the row keeps a short form
             status, err, incoming = "error", str(e)[:30], 0
             self._record(spark, batch_id, t0, incoming, res, status, err)
             raise

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from postlake import schemas as S
 from postlake.operators import normalize as N
+from postlake.operators.quality import split_valid
 from postlake.plans.common import raw_frames
 from postlake.session import scratch_path
 from postlake.sources import fixtures as FX
@@ -27,7 +28,8 @@ def test_posts_stream_equals_batch(spark):
                         scratch_path(spark, "metrics"), trigger={"availableNow": True})
     q.awaitTermination()
     got = store.read()
-    want = N.storage_form(N.all_fixture_posts(raw))
+    want, bad = split_valid(N.storage_form(N.all_fixture_posts(raw)))
+    assert ST.read_quarantine(spark, store).count() == bad.count()
     cols = [c for c in S.POST_COLUMNS if c != "metrics"]
     assert got.count() == want.count()
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
@@ -113,3 +115,23 @@ def test_new_checkpoint_is_a_new_source(spark):
         ST.start_upsert(src, store, scratch_path(spark, "ckpt"), metrics, trigger={"availableNow": True}).awaitTermination()
     assert store.read().count() == raw.count()
     assert sum(r.incoming for r in ST.read_metrics(spark, metrics).collect()) == raw.count()
+
+
+def test_stream_quarantines_broken_lines_and_blank_ids(spark):
+    import os
+    from postlake.session import local_path
+    path = scratch_path(spark, "land-broken")
+    os.makedirs(local_path(path), exist_ok=True)
+    row = '{"id": %s, "content": "ok", "account": {"acct": "a"}, "created_at": "2024-01-01T00:00:00Z", ' \
+          '"api_base_url": "https://m.example", "seq": 1}\n'
+    with open(os.path.join(local_path(path), "part-0.json"), "w") as f:
+        f.write(row % '"1"' + '{"id": "2", "content": \n' + "\n" + row % '""' + "no json\n")
+    store = Store(spark, scratch_path(spark, "br-store"), buckets=2)
+    src = ST.posts_stream({"mastodon": ST.landed_stream(spark, path, S.MASTODON_STATUS)})
+    ST.start_upsert(src, store, scratch_path(spark, "ckpt"), trigger={"availableNow": True}).awaitTermination()
+    assert [r.object_id for r in store.read().collect()] == ["1"]
+    assert [r.errors for r in ST.read_quarantine(spark, store).collect()] == [["missing_object_id"]]
+    out = scratch_path(spark, "corrupt")
+    ST.corrupt_stream(spark, path, S.MASTODON_STATUS).writeStream.format("parquet").option("path", out) \
+        .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["no json", '{"id": "2", "content": ']
