@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 __all__ = [
     "epoch_to_ts", "parse_iso_ts", "first_non_empty", "author_or_deleted",
     "last_path_segment", "strip_scheme", "hashtag_with_prefix", "hashtag_bare",
-    "truthy_id", "truthy_str", "json_of", "iso_text", "split_handle",
+    "truthy_id", "json_of", "iso_text", "split_handle",
     "tag_names", "short_error", "hashtags_of", "norm_text", "count_hits",
-    "url_host",
 ]
 
 # The deleted-author sentinel and the URL bases the reference builds.
@@ -77,11 +76,6 @@ def truthy_id(c) -> Column:
     return c.isNotNull() & (c != F.lit("")) & (c != F.lit("0"))
 
 
-def truthy_str(c) -> Column:
-    c = _c(c)
-    return c.isNotNull() & (c != F.lit(""))
-
-
 def json_of(c) -> Column:
     """JSON text keeping null fields (``views`` must survive)."""
     return F.to_json(_c(c), {"ignoreNullFields": "false"})
@@ -130,8 +124,3 @@ def count_hits(haystack_lower, needle_lower) -> Column:
     return F.coalesce(
         ((F.length(h) - F.length(F.replace(h, n, F.lit("")))) / F.length(n)).cast("long"),
         F.lit(0).cast("long"))
-
-
-def url_host(c) -> Column:
-    """Host part of an http(s) URL."""
-    return F.nullif(F.regexp_extract(_c(c), r"https?://([^/?#]+)", 1), F.lit(""))

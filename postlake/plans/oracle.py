@@ -102,13 +102,6 @@ _ORDER = ["platform", "object_id", "author_handle", "text", "created_us", "tags"
           "is_sensitive", "reblog_of", "seq", "created_at_fallback"] + [f"m_{k}" for k in METRIC_KEYS]
 
 
-def with_fixtures(body: str, *names: str) -> str:
-    """Prefix ``body`` with the named fixture CTEs (body may add its own CTEs
-    after a leading comma-free ``with``-less list)."""
-    ctes = ",\n".join(f"{n} as ({FIX[n]}\n)" for n in names)
-    return f"with {ctes}\n{body}"
-
-
 def flat_select(**exprs: str) -> str:
     """Select list of the flat post shape; unspecified columns null / false."""
     out = []

@@ -110,12 +110,21 @@ _SD_SQL = """select distinct user_id, event_type, epoch_us(date_trunc('hour', ts
 def stream_dedup(spark, sf_dir):
     """Replays of (user, event type, hour) dropped within a watermark,
     on the events table read as a stream."""
+    return run_dedup(spark, f"{sf_dir.rstrip('/')}/events*.parquet", table(spark, sf_dir, "events"))
+
+
+def run_dedup(spark, path: str, events, max_files_per_trigger: int | None = None):
+    """The landed ``events`` files need not come in event-time order, so the
+    watermark's delay covers the whole time span of the table: no row is late,
+    however the files fall into micro-batches."""
     configure(spark)
-    schema = table(spark, sf_dir, "events").schema
-    src = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+    t = events.agg(F.unix_seconds(F.min("ts").cast("timestamp")).alias("a"),
+                   F.unix_seconds(F.max("ts").cast("timestamp")).alias("b")).first()
+    delay = (t["b"] or 0) - (t["a"] or 0) + 3600
+    src = ST.landed_stream(spark, path, events.schema, "parquet", max_files_per_trigger)
     ev = src.withColumn("ts", F.col("ts").cast("timestamp")) \
         .withColumn("hour", F.date_trunc("hour", "ts"))
-    d = ST.dedup_within_watermark(ev, "ts", "1 hour", ["user_id", "event_type", "hour"])
+    d = ST.dedup_within_watermark(ev, "ts", f"{delay} seconds", ["user_id", "event_type", "hour"])
     out = scratch_path(spark, "dedup-out")
     q = d.select("user_id", "event_type", F.unix_micros("hour").alias("hour_us")) \
         .writeStream.format("parquet").option("path", out) \

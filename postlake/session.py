@@ -102,10 +102,6 @@ def local_path(p: str) -> str:
     return p
 
 
-def is_local_fs(p: str) -> bool:
-    return "://" not in p or p.startswith("file:")
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Path existence through Hadoop FS, so it works on any filesystem."""
     jvm = spark.sparkContext._jvm
@@ -152,7 +148,3 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         return "\n".join(lines)
     finally:
         inp.close()
-
-
-def env_master() -> str:
-    return os.environ.get("POSTLAKE_MASTER", "local[8]")

@@ -135,3 +135,14 @@ def test_stream_quarantines_broken_lines_and_blank_ids(spark):
     ST.corrupt_stream(spark, path, S.MASTODON_STATUS).writeStream.format("parquet").option("path", out) \
         .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["no json", '{"id": "2", "content": ']
+
+
+def test_dedup_over_many_micro_batches_loses_nothing(spark):
+    from postlake.plans.q_stream import run_dedup
+    from postlake.sources.tables import table
+    events = table(spark, SF_SMALL, "events")
+    path = scratch_path(spark, "land-events")
+    events.repartition(10).write.parquet(path)                 # no order of time in the files
+    got = run_dedup(spark, path, events, max_files_per_trigger=1)
+    want = events.select("user_id", "event_type", F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp")))).distinct()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
