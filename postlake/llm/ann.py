@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from postlake.llm.common import stored
 
-TABLES, PROBES, BUCKET_ROWS, SALTS = 8, 24, 100, 2
+TABLES, PROBES, BUCKET_ROWS, SALTS = 4, 24, 400, 2
 SEED = 20
 BLOCK_QUERIES = 20_000
 CELLS = 1 << 21  # differences held at a time
