@@ -363,13 +363,14 @@ def replay_steps(versions: DataFrame, batch_col: str, key: list[str] | None = No
     return _replay_steps(versions, batch_col, list(key or KEY), order, compare, within_batch)
 
 
-def batch_outcomes(steps: DataFrame, batch_col: str, skip_batch=None) -> DataFrame:
+def batch_outcomes(steps: DataFrame, batch_col: str, skip_batch=None, by=()) -> DataFrame:
     """J8 for many batches at once, from the replay steps: per batch, rows
     (incoming), keys inserted, keys updated and keys present but unchanged.
-    ``skip_batch`` leaves out a pseudo-batch (the stored base)."""
+    ``skip_batch`` leaves out a pseudo-batch (the stored base); ``by`` names
+    key columns to count by besides the batch."""
     s = steps if skip_batch is None else steps.where(F.col(batch_col) != F.lit(skip_batch))
     first = F.col("_first")
-    return s.groupBy(batch_col).agg(
+    return s.groupBy(batch_col, *by).agg(
         F.sum("n").cast("long").alias("incoming"),
         F.count_if(first).cast("long").alias("inserted"),
         F.count_if(~first & F.col("changed")).cast("long").alias("updated"),

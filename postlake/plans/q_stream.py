@@ -7,7 +7,9 @@ import time
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlake import schemas as S
 from postlake.plans import oracle as O
+from postlake.plans.common import raw_frames
 from postlake.plans.flat import flat_posts
 from postlake.plans.q_upsert import _REPLAY_SQL, _STATES
 from postlake.plans.registry import register
@@ -99,7 +101,8 @@ def stream_batch_metrics(spark, sf_dir):
     deterministic)."""
     root, metrics = run_version_stream(spark, sf_dir)
     m = ST.read_metrics(spark, metrics).select("batch_id", "incoming")
-    o = _store(spark, root).outcomes().select("batch_id", "inserted", "updated", "unchanged")
+    o = _store(spark, root).outcomes().groupBy("batch_id").agg(
+        *[F.sum(c).alias(c) for c in ("inserted", "updated", "unchanged")])
     return m.join(o, "batch_id", "left")
 
 
@@ -150,19 +153,75 @@ def firehose_posts(spark, sf_dir):
     return flat_posts(ST.firehose_posts(FX.firehose_messages(spark, sf_dir)))
 
 
-_STATUS_SQL = """with post_versions as (select cast(user_id as varchar) as object_id from events)
-select 'all' as platform, 'ok' as status, cast(count(distinct object_id) as bigint) as posts,
-       cast(count(*) as bigint) as incoming from post_versions"""
+_VALID = """object_id <> '' and author_handle <> '' and text is not null
+  and (platform <> 'reddit' or (subreddit is not null and title is not null))
+  and (platform not in ('bluesky', 'mastodon') or handle <> '')
+  and (platform <> 'mastodon' or instance <> '')"""
+
+RAW_SCHEMAS = {"reddit_submission": S.REDDIT_SUBMISSION, "reddit_comment": S.REDDIT_COMMENT,
+               "bluesky": S.BLUESKY_POST, "mastodon": S.MASTODON_STATUS}
+
+
+def run_posts_stream(spark, sf_dir):
+    """Land every platform's payloads as JSON lines, stream them all into one
+    store; returns (store, metrics path)."""
+    configure(spark)
+    streams = {}
+    for name, raw in raw_frames(spark, sf_dir).items():
+        path = scratch_path(spark, f"landing-{name}")
+        raw.write.json(path)
+        streams[name] = ST.landed_stream(spark, path, RAW_SCHEMAS[name])
+    store = Store(spark, scratch_path(spark, "store-posts"))
+    metrics = scratch_path(spark, "metrics")
+    ST.start_upsert(ST.posts_stream(streams), store, scratch_path(spark, "ckpt"), metrics,
+                    trigger={"availableNow": True}).awaitTermination()
+    store.compact()
+    return store, metrics
+
+
+_STATUS_SQL = f"""{O.posts_cte()}
+select platform, 'ok' as status, count(distinct object_id) as posts, count(*) as incoming
+from posts where {_VALID} group by platform"""
 
 
 @register("stream_status", _STATUS_SQL)
 def stream_status(spark, sf_dir):
-    """Latest status and totals per platform from the metrics table
-    of the streamed run (the update time is left out: wall clock)."""
-    from postlake.operators.stats import latest_status
-    root, metrics = run_version_stream(spark, sf_dir)
-    m = ST.read_metrics(spark, metrics)
-    o = _store(spark, root).outcomes().select("batch_id", "inserted")
-    s = latest_status(m.drop("inserted").join(o, "batch_id", "left"))
-    return s.select("platform", "status", F.col("posts").cast("long").alias("posts"),
-                    F.col("incoming").cast("long").alias("incoming"))
+    """Latest status and totals per platform of the streamed payloads
+    of all platforms (the update time is left out: wall clock)."""
+    store, metrics = run_posts_stream(spark, sf_dir)
+    s = ST.platform_status(ST.read_metrics(spark, metrics), store.outcomes())
+    return s.select("platform", "status", "posts", "incoming")
+
+
+_QUARANTINE_SQL = f"""{O.posts_cte(("mastodon",))},
+w as (select *, seq % 11 = 0 as broken, seq % 7 = 0 as blank, seq % 13 = 0 or created_at_fallback as undated from posts)
+select 'broken_line' as reason, count(*) as n from w where broken
+union all select 'missing_object_id', count(*) from w where not broken and blank
+union all select 'created_at_fallback', count(distinct object_id) from w where not broken and not blank and undated
+union all select 'stored', count(distinct object_id) from w where not broken and not blank"""
+
+
+@register("quarantine_report", _QUARANTINE_SQL)
+def quarantine_report(spark, sf_dir):
+    """Q1-Q3: what the streamed write does with faulty input.  All statuses are
+    landed as JSON lines, of which every 11th is cut in half, every 7th has a
+    blank id and every 13th a bare time instead of a date."""
+    configure(spark)
+    raw = FX.raw_mastodon_status(spark, sf_dir)
+    faulty = raw.withColumn("id", F.when(F.col("seq") % 7 == 0, "").otherwise(F.col("id"))) \
+        .withColumn("created_at", F.when(F.col("seq") % 13 == 0, "12:30:00").otherwise(F.col("created_at")))
+    line = F.to_json(F.struct(*[F.col(c) for c in raw.columns]))
+    cut = F.when(F.col("seq") % 11 == 0, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
+    path = scratch_path(spark, "landing-faulty")
+    faulty.select(cut.alias("value")).write.text(path)
+    store = Store(spark, scratch_path(spark, "store-faulty"))
+    posts = ST.posts_stream({"mastodon": ST.landed_stream(spark, path, S.MASTODON_STATUS)})
+    ST.start_upsert(posts, store, scratch_path(spark, "ckpt"), trigger={"availableNow": True}).awaitTermination()
+    out = scratch_path(spark, "broken")
+    ST.corrupt_stream(spark, path, S.MASTODON_STATUS).toDF("line").writeStream.format("parquet").option("path", out) \
+        .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    broken = spark.read.schema("line string").parquet(out).select(F.lit("broken_line").alias("reason"))
+    kept_out = ST.read_quarantine(spark, store).select(F.explode("errors").alias("reason"))
+    stored = store.read().select(F.explode(F.array_compact(F.array(
+        F.lit("stored"), F.when(F.col("created_at_fallback"), F.lit("created_at_fallback"))))).alias("reason"))
+    return broken.unionAll(kept_out).unionAll(stored).groupBy("reason").agg(F.count("*").alias("n"))

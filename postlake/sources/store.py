@@ -4,7 +4,7 @@ Layout::
 
     <root>/_manifest.json              the current state (published by rename)
     <root>/_manifests/<version>.json   every published manifest (history)
-    <root>/data/v=<version>/platform=<p>/bucket=<b>/part-*.parquet   base
+    <root>/data/v=<version>/platform=<p>/bucket=<b>/part-*.parquet   base buckets
     <root>/deltas/delta=<batch_id>-<tag>/platform=<p>/part-*.parquet deltas
 
 Base rows are spread over ``buckets`` hash buckets of the key
@@ -12,18 +12,14 @@ Base rows are spread over ``buckets`` hash buckets of the key
 ``platform``, so platform filters prune directories (F1) and key lookups read
 only the buckets they need.
 
-Two write strategies, same results (tested against each other):
+A batch is appended as a delta: its cost is that of the batch, whatever the
+store size.  A read resolves only the keys that occur in deltas: base rows of
+other keys pass through, the rest are replayed with the base row as the first
+version (the window recurrence of ``upsert.resolve``).  ``compact()`` is a job
+of its own, never part of a write: it folds the deltas into new versions of the
+buckets that they touch and leaves all other buckets as they are.
 
-* ``merge_on_read`` (default): a batch is appended as a delta -- its cost is
-  O(batch), whatever the store size.  A read resolves only the keys that
-  occur in deltas: base rows of other keys pass through (anti join), the
-  rest are replayed with the base row as the first version (the window
-  recurrence of ``upsert.resolve``).  ``compact()`` folds deltas into a new
-  base, automatically after ``max_deltas``.
-* ``copy_on_write``: an upsert rewrites the buckets its batch touches into a
-  new version directory (cost grows with the touched share of the store).
-
-Either way a new manifest is published by write-and-rename only after all
+A new manifest is published by write-and-rename only after all
 files are written: a failed batch leaves the store as it was (K3), and a
 ``batch_id`` that its source (a stream's query id) has already applied is
 skipped (idempotent ``foreachBatch``).  A new source starts its ids anew; rows
@@ -48,20 +44,16 @@ from postlake.session import exists, read_text, write_text
 
 MANIFEST = "_manifest.json"
 OUTCOMES_SCHEMA = T.StructType([
-    T.StructField("batch_id", T.LongType()), T.StructField("incoming", T.LongType()),
-    T.StructField("inserted", T.LongType()), T.StructField("updated", T.LongType()),
+    T.StructField("batch_id", T.LongType()), T.StructField("platform", T.StringType()),
+    T.StructField("incoming", T.LongType()), T.StructField("inserted", T.LongType()), T.StructField("updated", T.LongType()),
     T.StructField("unchanged", T.LongType())])
-MODES = ("merge_on_read", "copy_on_write")
 # The platforms the per-platform counters name ("other" for the rest).
 KNOWN_PLATFORMS = ("reddit", "bluesky", "mastodon")
 
 
-def _platform_exprs(weight=None):
-    """Per-platform row counts (or sums of ``weight``) as aggregate
-    expressions, for observations and one-pass aggregations."""
-    w = F.lit(1) if weight is None else weight
-    return [F.sum(F.when(F.col("platform") == p, w).otherwise(F.lit(0))).alias(f"p_{p}")
-            for p in KNOWN_PLATFORMS]
+def _platform_exprs():
+    """Rows per platform as aggregate expressions, for observations."""
+    return [F.count_if(F.col("platform") == p).alias(f"p_{p}") for p in KNOWN_PLATFORMS]
 
 
 def _by_platform(row: dict, total: int) -> dict:
@@ -74,12 +66,9 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType = S.POST,
                  key: list[str] | None = None, buckets: int = 16, order: str = "seq",
                  compare: str = "text", replace=U.POST_REPLACE,
-                 replace_if_reddit=U.POST_REPLACE_IF_REDDIT, mode: str = "merge_on_read",
-                 max_deltas: int = 32, within_batch: str = "first", refresh=()):
+                 replace_if_reddit=U.POST_REPLACE_IF_REDDIT, within_batch: str = "first", refresh=()):
         if "platform" not in schema.fieldNames():
             raise ValueError("store schema needs a platform column")
-        if mode not in MODES:
-            raise ValueError(f"mode must be one of {MODES}")
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
@@ -87,8 +76,6 @@ class Store:
         self.buckets = buckets
         self.order, self.compare = order, compare
         self.replace, self.replace_if_reddit = tuple(replace), tuple(replace_if_reddit)
-        self.mode = mode
-        self.max_deltas = max_deltas
         # Upsert options (D7, D8); the defaults are the reference's rule.
         self.within_batch, self.refresh = within_batch, tuple(refresh)
         self.data_cols = schema.fieldNames() + ["batch_id"]
@@ -119,7 +106,7 @@ class Store:
         """K1: idempotent; an empty store has version 0 and no data."""
         if not self.exists():
             self._publish({"version": 0, "buckets": self.buckets, "last_batch_id": -1,
-                           "bucket_versions": {}, "deltas": [], "mode": self.mode,
+                           "bucket_versions": {}, "deltas": [],
                            "sources": {}, "settings": self._settings()})
         return self
 
@@ -138,20 +125,21 @@ class Store:
         return self.spark.createDataFrame([], self._file_schema()).select(*self.data_cols, "bucket")
 
     def _read_buckets(self, m: dict, only: set[int] | None = None) -> DataFrame:
+        """The current version of every bucket (of ``only``, if given), as one
+        scan whose partition filter names the buckets of each version."""
         by_version: dict[int, list[int]] = {}
         for b, v in m["bucket_versions"].items():
-            b = int(b)
-            if only is None or b in only:
-                by_version.setdefault(int(v), []).append(b)
-        out = None
-        for v, bs in sorted(by_version.items()):
-            df = (self.spark.read.schema(self._file_schema())
-                  .parquet(f"{self.root}/data/v={v:08d}"))
-            if len(bs) < self.buckets:
-                df = df.where(F.col("bucket").isin(sorted(bs)))
-            df = df.select(*self.data_cols, "bucket")
-            out = df if out is None else out.unionByName(df)
-        return out if out is not None else self._empty()
+            if only is None or int(b) in only:
+                by_version.setdefault(int(v), []).append(int(b))
+        if not by_version:
+            return self._empty()
+        schema = T.StructType(self._file_schema().fields + [T.StructField("v", T.IntegerType())])
+        df = self.spark.read.schema(schema).option("basePath", f"{self.root}/data") \
+            .parquet(*[f"{self.root}/data/v={v:08d}" for v in sorted(by_version)])
+        current = F.lit(False)
+        for v, buckets in sorted(by_version.items()):
+            current = current | ((F.col("v") == v) & F.col("bucket").isin(sorted(buckets)))
+        return df.where(current).select(*self.data_cols, "bucket")
 
     def _read_deltas(self, m: dict) -> DataFrame | None:
         """All pending deltas in one multi-path scan."""
@@ -163,9 +151,9 @@ class Store:
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/deltas") \
             .parquet(*paths).select(*self.data_cols, "bucket")
 
-    def _split(self, m: dict):
+    def _split(self, m: dict, only: set[int] | None = None):
         """(rows untouched by deltas, versions to replay or None)."""
-        base = self._read_buckets(m)
+        base = self._read_buckets(m, only)
         deltas = self._read_deltas(m)
         if deltas is None:
             return base, None
@@ -194,7 +182,7 @@ class Store:
 
     def outcomes(self) -> DataFrame:
         """Inserted / updated / unchanged keys and incoming rows per
-        applied batch (merge-on-read batches appear once compacted)."""
+        applied batch and platform (appended batches appear once compacted)."""
         path = f"{self.root}/_outcomes"
         if not exists(self.spark, path):
             return self.spark.createDataFrame([], OUTCOMES_SCHEMA)
@@ -237,15 +225,17 @@ class Store:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
 
     def _write_base(self, df: DataFrame, version: int) -> None:
-        df.repartition("platform", "bucket").write.mode("overwrite") \
+        # Rebalancing puts a bucket into as many files as its size asks for, so
+        # neither a platform nor a bucket is bound to one task.
+        df.hint("rebalance", "platform", "bucket").write.mode("overwrite") \
             .partitionBy("platform", "bucket").parquet(f"{self.root}/data/v={version:08d}")
 
     def upsert(self, batch: DataFrame, batch_id: int, source: str = "") -> dict:
         """K3: apply one batch with the upsert rule; returns what happened.
         Skips a ``batch_id`` that ``source`` has already applied.  The store
         numbers its batches itself: by ``batch_id`` as long as that ascends,
-        else by the next number.  Merge-on-read writes are a pure O(batch)
-        append; their outcome counts are derived when the deltas are compacted
+        else by the next number.  A write is a pure append of the batch; its
+        outcome counts are derived when the deltas are compacted
         (``outcomes()``)."""
         self.create()
         m = self.manifest()
@@ -256,44 +246,42 @@ class Store:
         number = max(batch_id, m["last_batch_id"] + 1)
         cols = self.schema.fieldNames()
         b = self._bucket(batch.select(*cols)).withColumn("batch_id", F.lit(number).cast("long"))
-        if self.mode != "copy_on_write" and (m["bucket_versions"] or m.get("deltas")):
-            res = self._append_delta(m, b, number)
-        else:
-            # These feed more than one job: keep the batch for their duration;
-            # a lost block is recomputed from lineage.
-            b = b.persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                first = not m["bucket_versions"] and not m.get("deltas")
-                res = (self._bulk_load if first else self._merge_publish)(m, b, number)
-            finally:
-                b.unpersist()
+        first = not m["bucket_versions"] and not m.get("deltas")
+        return (self._bulk_load if first else self._append_delta)(m, b, number)
+
+    def insert(self, batch: DataFrame, batch_id: int, source: str = "") -> dict:
+        """K2: strict insert.  Raises, and writes nothing, if a key of ``batch``
+        is in the store or occurs twice in the batch; otherwise as ``upsert``."""
+        self.create()
         m = self.manifest()
-        # Bound what a read has to union: pending deltas (merge-on-read) or
-        # distinct bucket versions (copy-on-write).
-        if len(m.get("deltas", [])) >= self.max_deltas or \
-                len(set(m["bucket_versions"].values())) > self.max_deltas:
-            self.compact()
-        return res
+        if batch_id > m.get("sources", {}).get(source, -1):
+            kept = batch.select(*self.schema.fieldNames())
+            if not U.strict_append_conflicts(self.read().select(*self.key), kept, self.key).isEmpty():
+                raise ValueError("strict insert rejected: duplicate keys")
+        return self.upsert(batch, batch_id, source)
 
     def _bulk_load(self, m: dict, b: DataFrame, batch_id: int) -> dict:
-        """Empty store: rule 1 alone -- the first copy of every key."""
+        """Empty store: rule 1 alone -- the first copy of every key (J5), in one
+        job that also counts the rows that came and the keys that stayed."""
         version = m["version"] + 1
-        obs = Observation(f"load-{uuid.uuid4().hex[:8]}")
-        firsts = U.upsert(self._empty(), b.select(*self.data_cols, "bucket"), self.key, self.order,
-                          self.compare, self.replace, self.replace_if_reddit,
-                          within_batch=self.within_batch, refresh=self.refresh)
-        self._write_base(firsts.observe(obs, F.count(F.lit(1)).alias("n")), version)
-        n = obs.get.get("n", 0)
-        agg = b.agg(F.count(F.lit(1)).alias("n"), *_platform_exprs()).first().asDict()
-        incoming = agg["n"]
-        res = {"batch_id": batch_id, "incoming": int(incoming), "inserted": int(n),
-               "updated": 0, "unchanged": 0}
-        self._record_outcomes(version, [res])
-        res["incoming_by_platform"] = _by_platform(agg, incoming)
-        nm = dict(m, version=version, last_batch_id=batch_id,
-                  bucket_versions={str(i): version for i in range(self.buckets)})
-        self._publish(nm)
-        return dict(res, skipped=False)
+        came, stayed = (Observation(f"{n}-{uuid.uuid4().hex[:8]}") for n in ("came", "stayed"))
+        b = b.observe(came, F.count(F.lit(1)).alias("n"), *_platform_exprs())
+        if self.within_batch == "first" and not self.refresh:
+            rows = U.first_copies(b, self.key, self.order)
+        else:
+            rows = self._resolve(self._steps(b.withColumn("_version_order", F.col("batch_id"))))
+        self._write_base(rows.select(*self.data_cols, "bucket").observe(
+            stayed, F.count(F.lit(1)).alias("n"), *_platform_exprs()), version)
+        got, kept = came.get, stayed.get
+        incoming, inserted = int(got.get("n") or 0), int(kept.get("n") or 0)
+        by_platform, kept_by = _by_platform(got, incoming), _by_platform(kept, inserted)
+        self._record_outcomes(version, [
+            {"batch_id": batch_id, "platform": p, "incoming": n, "inserted": kept_by[p], "updated": 0, "unchanged": 0}
+            for p, n in by_platform.items() if n])
+        self._publish(dict(m, version=version, last_batch_id=batch_id,
+                           bucket_versions={str(i): version for i in range(self.buckets)}))
+        return {"batch_id": batch_id, "incoming": incoming, "inserted": inserted, "updated": 0, "unchanged": 0,
+                "incoming_by_platform": by_platform, "skipped": False}
 
     def _append_delta(self, m: dict, b: DataFrame, batch_id: int) -> dict:
         path = f"deltas/delta={batch_id:010d}-{uuid.uuid4().hex[:8]}"
@@ -311,65 +299,23 @@ class Store:
         return {"skipped": False, "batch_id": batch_id, "incoming": rows,
                 "incoming_by_platform": by_platform}
 
-    def _merge_publish(self, m: dict, b: DataFrame, batch_id: int) -> dict:
-        # Bounded by the bucket count, not by the data.
-        touched = sorted(r[0] for r in b.select("bucket").distinct().collect())
-        if not touched:
-            return {"skipped": False, "batch_id": batch_id, "touched": 0}
-        cur = self._read_buckets(m, set(touched)).select(*self.data_cols, "bucket")
-        merged = U.upsert(cur, b.select(*self.data_cols, "bucket"), self.key, self.order,
-                          self.compare, self.replace, self.replace_if_reddit, with_outcome=True,
-                          within_batch=self.within_batch, refresh=self.refresh)
-        version = m["version"] + 1
-        path = f"{self.root}/data/v={version:08d}"
-        # The outcome counts are observed while the write runs (no second
-        # job over the merge).
-        obs = Observation(f"upsert-{uuid.uuid4().hex[:8]}")
-        observed = merged.observe(
-            obs,
-            F.count_if(F.col("_outcome") == "inserted").alias("inserted"),
-            F.count_if(F.col("_outcome") == "updated").alias("updated"),
-            F.count_if(F.col("_outcome") == "unchanged").alias("unchanged"),
-            F.coalesce(F.sum("_copies"), F.lit(0)).alias("incoming"),
-            *_platform_exprs(F.col("_copies")))
-        (observed.repartition("platform", "bucket")
-                 .write.mode("overwrite").partitionBy("platform", "bucket").parquet(path))
-        counts = obs.get
-        res = {"batch_id": batch_id, "incoming": int(counts.get("incoming", 0)),
-               "inserted": int(counts.get("inserted", 0)), "updated": int(counts.get("updated", 0)),
-               "unchanged": int(counts.get("unchanged", 0))}
-        self._record_outcomes(version, [res])
-        res["incoming_by_platform"] = _by_platform(counts, res["incoming"])
-        nm = dict(m, version=version, last_batch_id=batch_id)
-        bv = dict(m["bucket_versions"])
-        for t in touched:
-            bv[str(t)] = version
-        nm["bucket_versions"] = bv
-        self._publish(nm)
-        return dict(res, skipped=False, touched=len(touched))
-
     def compact(self) -> None:
-        """Fold every delta and bucket version into one new base version
-        (bounds the paths a read unions and the keys it resolves).  The same
-        replay yields the outcome counts of the folded delta batches."""
+        """Fold every delta into new versions of the buckets that it touches.
+        The same replay yields the outcome counts of the folded batches."""
         m = self.manifest()
-        if not m or (not m["bucket_versions"] and not m.get("deltas")):
+        if not m or not m.get("deltas"):
             return
         version = m["version"] + 1
-        untouched, versions = self._split(m)
-        if versions is None:
-            self._write_base(untouched, version)
-        else:
-            steps = self._steps(versions).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                rows = [dict(r.asDict(), batch_id=int(r["_version_order"])) for r in
-                        U.batch_outcomes(steps, "_version_order", skip_batch=-1).collect()]
-                for r in rows:
-                    r.pop("_version_order", None)
-                self._write_base(untouched.unionByName(self._resolve(steps)), version)
-                self._record_outcomes(version, rows)
-            finally:
-                steps.unpersist()
-        nm = dict(m, version=version, deltas=[],
-                  bucket_versions={str(i): version for i in range(self.buckets)})
-        self._publish(nm)
+        # Bounded by the bucket count, not by the data.
+        touched = sorted(r[0] for r in self._read_deltas(m).select("bucket").distinct().collect())
+        untouched, versions = self._split(m, set(touched))
+        steps = self._steps(versions).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            done = U.batch_outcomes(steps, "_version_order", skip_batch=-1, by=("platform",))
+            rows = [r.asDict() for r in done.withColumnRenamed("_version_order", "batch_id").collect()]
+            self._write_base(untouched.unionByName(self._resolve(steps)), version)
+            self._record_outcomes(version, rows)
+        finally:
+            steps.unpersist()
+        self._publish(dict(m, version=version, deltas=[], bucket_versions={
+            **m["bucket_versions"], **{str(b): version for b in touched}}))

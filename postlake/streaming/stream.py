@@ -197,14 +197,19 @@ def run_with_retry(start, attempts: int = 3, backoff_s: float = ERROR_PAUSE_S,
     raise RuntimeError(f"stream failed after {attempts} attempts") from last
 
 
-def stop_and_report(spark: SparkSession, query: StreamingQuery, store: Store) -> DataFrame:
+def totals_by_platform(store: Store) -> DataFrame:
+    """Rows that came and what became of them, per platform, over all
+    compacted batches."""
+    return store.outcomes().groupBy("platform").agg(
+        *[F.sum(c).alias(c) for c in ("incoming", "inserted", "updated", "unchanged")])
+
+
+def stop_and_report(query: StreamingQuery, store: Store) -> DataFrame:
     """Stop gracefully, fold pending deltas (which also settles their
-    outcome counts), then totals from the store's outcome table."""
+    outcome counts), then the totals per platform."""
     query.stop()
     store.compact()
-    o = store.outcomes()
-    return o.agg(F.sum("incoming").alias("incoming"), F.sum("inserted").alias("inserted"),
-                 F.sum("updated").alias("updated"), F.sum("unchanged").alias("unchanged"))
+    return totals_by_platform(store)
 
 
 def read_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
@@ -212,14 +217,6 @@ def read_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
     return spark.read.schema(METRICS_SCHEMA).json(metrics_path)
 
 
-def progress_summary(query: StreamingQuery) -> dict:
-    """Rates from the last progress report."""
-    p = query.lastProgress or {}
-    return {"batch_id": p.get("batchId"), "input_rows_per_s": p.get("inputRowsPerSecond"),
-            "processed_rows_per_s": p.get("processedRowsPerSecond"),
-            "num_input_rows": p.get("numInputRows")}
-
-
 def live_counters(metrics: DataFrame) -> DataFrame:
     """Rows received per platform so far and the last update, from the
     per-batch metrics of a unioned stream."""
@@ -227,6 +224,16 @@ def live_counters(metrics: DataFrame) -> DataFrame:
     return per.groupBy("platform").agg(F.sum("n").alias("incoming"), F.max("ts").alias("last_update"))
 
 
+def platform_status(metrics: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The last status and update time of every platform that a unioned
+    stream has brought rows of, the rows received and the posts stored."""
+    per = metrics.select("ts", "status", F.explode("incoming_by_platform").alias("platform", "incoming")).where("incoming > 0")
+    now = per.groupBy("platform").agg(F.max("ts").alias("last_update"), F.max_by("status", "ts").alias("status"),
+                                      F.sum("incoming").alias("incoming"))
+    posts = outcomes.groupBy("platform").agg(F.sum("inserted").alias("posts"))
+    return now.join(posts, "platform", "left")
+
+
 def alerts(metrics: DataFrame, slow_s: float = 60.0) -> DataFrame:
     """Micro-batches that failed or took longer than ``slow_s``."""
     return metrics.where((F.col("status") != "ok") | (F.col("duration_s") > slow_s)) \

@@ -1,5 +1,7 @@
 """Store snapshots, idempotent batches, paging and export."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +14,15 @@ from postlake.sources.store import Store
 from tests.conftest import SF_SMALL
 
 
-@pytest.mark.parametrize("mode", ["merge_on_read", "copy_on_write"])
-def test_store_upsert_idempotent_and_atomic(spark, mode):
+def total(store):
+    """Outcomes per batch, over all platforms."""
+    sums = [F.sum(c).alias(c) for c in ("incoming", "inserted", "updated", "unchanged")]
+    return store.outcomes().groupBy("batch_id").agg(*sums)
+
+
+def test_store_upsert_idempotent_and_atomic(spark):
     posts = unified(spark, SF_SMALL)
-    st = Store(spark, scratch_path(spark, "t-store"), buckets=4, mode=mode).create()
+    st = Store(spark, scratch_path(spark, "t-store"), buckets=4).create()
     assert st.read().count() == 0
     r = st.upsert(posts, 0)
     n = posts.count()
@@ -29,7 +36,7 @@ def test_store_upsert_idempotent_and_atomic(spark, mode):
         .withColumn("text", F.lit("edited")).withColumn("seq", F.lit(10**9))
     st.upsert(edited, 2)
     st.compact()
-    o = {r.batch_id: r for r in st.outcomes().collect()}
+    o = {r.batch_id: r for r in total(st).collect()}
     assert o[2].updated == 3 and o[2].inserted == 0 and o[0].inserted == n
     assert st.read().where(F.col("text") == "edited").count() == 3
     assert st.read().count() == n
@@ -40,7 +47,8 @@ def test_platform_filter_prunes_partitions(spark):
     st = Store(spark, scratch_path(spark, "t-store"), buckets=2).create()
     st.upsert(posts, 0)
     plan = st.read().where(F.col("platform") == "reddit")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(platform" in plan or "PartitionFilters: [(platform" in plan
+    scans = re.findall(r"FileScan parquet .*?PartitionFilters: \[([^\]]*)\]", plan)
+    assert scans and all("(platform" in s for s in scans)
 
 
 def test_page_none_vs_zero(spark):
@@ -77,7 +85,7 @@ def _model(batches):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_merge_on_read_equals_copy_on_write_and_model(spark, seed):
+def test_store_equals_model_however_often_it_is_compacted(spark, seed):
     import random
     from tests.test_upsert import SCHEMA, random_batches
     schema = T.StructType([T.StructField("platform", T.StringType()), T.StructField("object_id", T.StringType()),
@@ -85,29 +93,54 @@ def test_merge_on_read_equals_copy_on_write_and_model(spark, seed):
                            T.StructField("value", T.DoubleType())])
     rng = random.Random(seed)
     batches = [(b, rows) for b, rows in random_batches(rng, n_batches=7, n_keys=6) if rows]
-    stores = [Store(spark, scratch_path(spark, "t-mor"), schema, buckets=3, replace=("text", "seq", "value"),
-                    replace_if_reddit=(), mode="merge_on_read", max_deltas=3),
-              Store(spark, scratch_path(spark, "t-cow"), schema, buckets=3, replace=("text", "seq", "value"),
-                    replace_if_reddit=(), mode="copy_on_write")]
+    stores = [Store(spark, scratch_path(spark, "t-fold"), schema, buckets=3, replace=("text", "seq", "value"),
+                    replace_if_reddit=()) for _ in range(2)]
     for b, rows in batches:
         df = spark.createDataFrame(rows, SCHEMA).drop("batch")
         for st in stores:
             st.upsert(df, b)
+        stores[1].compact()                                  # after every batch
     want = _model(batches)
-    got_mid = {(r.platform, r.object_id): (r.text, r.seq) for r in stores[0].read().collect()}
-    assert got_mid == want                                   # read with pending deltas
+    rows_of = lambda st: {(r.platform, r.object_id): (r.text, r.seq) for r in st.read().collect()}
+    assert rows_of(stores[0]) == want                        # read with pending deltas
     stores[0].compact()
-    outs = [sorted(tuple(r) for r in st.outcomes().select(
-        "batch_id", "incoming", "inserted", "updated", "unchanged").collect()) for st in stores]
+    outs = [sorted(tuple(r) for r in total(st).collect()) for st in stores]
     assert outs[0] == outs[1] and len(outs[0]) == len(batches)
-    for st in stores:
-        got = {(r.platform, r.object_id): (r.text, r.seq) for r in st.read().collect()}
-        assert got == want
+    assert rows_of(stores[0]) == rows_of(stores[1]) == want
     assert stores[0].manifest()["deltas"] == []
 
 
+def test_compaction_rewrites_only_touched_buckets(spark):
+    posts = unified(spark, SF_SMALL)
+    st = Store(spark, scratch_path(spark, "t-touch"), buckets=16).create()
+    st.upsert(posts, 0)
+    for i in (1, 2):
+        st.upsert(posts.orderBy("object_id").limit(2).withColumn("text", F.lit(f"t{i}")).withColumn("seq", F.lit(10**9 + i)), i)
+    before = st.manifest()
+    assert len(before["deltas"]) == 2
+    st.compact()
+    after = st.manifest()
+    changed = [b for b, v in after["bucket_versions"].items() if v != before["bucket_versions"][b]]
+    assert 1 <= len(changed) <= 2 and st.read().count() == posts.count()
+    assert st.read().where(F.col("text") == "t2").count() == 2
+
+
+def test_strict_insert(spark):
+    posts = unified(spark, SF_SMALL).where(F.col("platform") == "bluesky")
+    n = posts.count()
+    st = Store(spark, scratch_path(spark, "t-strict"), buckets=2).create()
+    st.insert(posts, 0)
+    version = st.manifest()["version"]
+    new = posts.limit(3).withColumn("object_id", F.concat(F.lit("new"), "object_id"))
+    for bad in (posts.limit(1), new.unionAll(posts.limit(1)), new.unionAll(new)):
+        with pytest.raises(ValueError, match="duplicate"):
+            st.insert(bad, 1)
+    assert st.manifest()["version"] == version and st.read().count() == n
+    st.insert(new, 1)
+    assert st.insert(new, 1)["skipped"] and st.read().count() == n + 3
+
+
 def test_platform_filter_prunes_base_and_deltas(spark):
-    import re
     posts = unified(spark, SF_SMALL)
     st = Store(spark, scratch_path(spark, "t-store"), buckets=2).create()
     st.upsert(posts, 0)
@@ -117,7 +150,7 @@ def test_platform_filter_prunes_base_and_deltas(spark):
     assert len(scans) >= 2 and all("platform" in s for s in scans)
 
 
-def test_store_options_both_modes(spark):
+def test_store_options(spark):
     import random
     from tests.test_upsert import SCHEMA, model_opts, random_batches
     schema = T.StructType([T.StructField("platform", T.StringType()), T.StructField("object_id", T.StringType()),
@@ -125,13 +158,12 @@ def test_store_options_both_modes(spark):
                            T.StructField("value", T.DoubleType())])
     batches = [(b, rows) for b, rows in random_batches(random.Random(7), n_batches=5, n_keys=5) if rows]
     want = model_opts(batches, "last", True)
-    for mode in ("merge_on_read", "copy_on_write"):
-        st = Store(spark, scratch_path(spark, "t-opt"), schema, buckets=2, replace=("text", "seq", "value"),
-                   replace_if_reddit=(), mode=mode, within_batch="last", refresh=("value",))
-        for b, rows in batches:
-            st.upsert(spark.createDataFrame(rows, SCHEMA).drop("batch"), b)
-        got = {(r.platform, r.object_id): (r.text, r.seq, r.value) for r in st.read().collect()}
-        assert got == want, mode
+    st = Store(spark, scratch_path(spark, "t-opt"), schema, buckets=2, replace=("text", "seq", "value"),
+               replace_if_reddit=(), within_batch="last", refresh=("value",))
+    for b, rows in batches:
+        st.upsert(spark.createDataFrame(rows, SCHEMA).drop("batch"), b)
+    got = {(r.platform, r.object_id): (r.text, r.seq, r.value) for r in st.read().collect()}
+    assert got == want
 
 
 def test_other_source_starts_its_batch_ids_anew(spark):
