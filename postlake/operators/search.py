@@ -324,6 +324,20 @@ def comments_of(raw_comments: DataFrame, submission_ids: list[str] | None, max_c
     return top_n_per_group(c, ["submission_id"], [F.col("seq"), F.col("id")], max_comments)
 
 
+def submissions_by(raw: DataFrame, flairs: list[str] | None = None, start: str | None = None,
+                   end: str | None = None) -> DataFrame:
+    """landed submissions with one of the flairs (compared without case),
+    created in [start, end); a bound or list not given does not filter."""
+    if flairs is not None:
+        raw = raw.where(F.lower("link_flair_text").isin([f.lower() for f in flairs]))
+    created = F.timestamp_seconds("created_utc")
+    if start is not None:
+        raw = raw.where(created >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        raw = raw.where(created < F.lit(end).cast("timestamp"))
+    return raw
+
+
 def news_search(spark: SparkSession, items: DataFrame, keywords: list[str], domains: list[str] | None,
                 start: str, end: str) -> DataFrame:
     """Landed news items whose title contains a keyword, from the

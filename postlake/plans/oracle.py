@@ -17,7 +17,7 @@ select 'd' || cast(d.doc_id as string) as id,
        case when d.doc_id % 4 = 0 then '' else d.text || ' #topic' || cast(d.doc_id % 9 as string) end as selftext,
        d.text as title,
        1704067200 + d.doc_id % 28 * 86400 + d.doc_id * 37 % 86400 as created_utc,
-       d.source as subreddit,
+       d.source as subreddit, d.lang as flair,
        coalesce(l.toxic, 0) = 1 as over_18,
        '/r/' || d.source || '/comments/d' || cast(d.doc_id as string) || '/' as permalink,
        d.n_chars % 1000 as ups, d.doc_id % 7 as downs,

@@ -13,6 +13,8 @@ PLATFORMS = ["reddit", "bluesky", "mastodon", "lemmy"]
 INSTANCES = ["https://mastodon.social", "mastodon.technology", "nosuch.example"]
 BSKY_AUTHORS = ["u7.bsky.app", "u8.bsky.app", "nobody.bsky.app"]
 MASTO_ACCOUNTS = ["@m7@mastodon.technology", "m8@mastodon.social", "@m7@mastodon.social"]
+FLAIRS = ["EN", "de"]
+FLAIR_WINDOW = ("2024-01-06 00:00:00", "2024-01-21 12:00:00")
 NEWS_KEYWORDS = ["the"]
 NEWS_DOMAINS = ["example.com"]
 NEWS_WINDOW = ("2024-01-05", "2024-01-20")

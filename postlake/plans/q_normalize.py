@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from postlake.operators import normalize as N
+from postlake.functions import scalars as X
 from postlake.plans import oracle as O
 from postlake.plans.common import unified
 from postlake.plans.flat import flat_posts
@@ -91,3 +92,44 @@ from c where errs <> '' or warns is not null"""
 def invalid_posts(spark, sf_dir):
     """Q1/Q2: posts with issues and whether they are quarantined."""
     return QA.issues_report(unified(spark, sf_dir))
+
+
+_RAW_SQL = f"""with {", ".join(f"{v} as ({O.FIX[v]})" for v in O.RAW_OF.values())},
+r as (
+  select 'reddit' as platform, id as object_id, id as raw_id, cast(null as varchar) as raw_text, cast(null as varchar) as raw_author,
+         cast(null as varchar) as raw_time, cast(created_utc as bigint) as raw_seconds, cast(null as varchar) as raw_parent,
+         8 as n_fields, created_utc * 1000000 as us from raw_reddit_submission
+  union all
+  select 'reddit', id, id, null, null, null, cast(created_utc as bigint), submission_id, 9, created_utc * 1000000 from raw_reddit_comment
+  union all
+  select 'bluesky', regexp_extract(uri, '([^/]*)$', 1), uri, text, handle, created_at, null, null, 8,
+         epoch_us(try_cast(created_at as timestamptz)) from raw_bluesky_post
+  union all
+  select 'mastodon', cast(id as varchar), cast(id as varchar), content, acct, created_at, null, cast(in_reply_to_id as varchar), 12,
+         epoch_us(try_cast(created_at as timestamptz)) from raw_mastodon_status)
+select platform, object_id, raw_id, raw_text, raw_author, raw_time, raw_seconds, raw_parent, n_fields,
+       {O.COLLECTED_AT_US} as collected_us,
+       strftime(make_timestamp(coalesce(us, {O.COLLECTED_AT_US})), '%Y-%m-%dT%H:%M:%S') as created_iso
+from r"""
+
+_RAW_SCHEMA = """submission_id string, comment_id string, created_utc double, uri string,
+record struct<text: string, created_at: string>, author struct<handle: string>, id string, content string, created_at string,
+account struct<acct: string>, in_reply_to_id string"""
+
+
+@register("stored_raw_data", _RAW_SQL)
+def stored_raw_data(spark, sf_dir):
+    """The raw payload kept with every post, the collection
+    instant, and the ISO text of exports."""
+    p = unified(spark, sf_dir)
+    r = p.withColumn("r", F.from_json("raw_data", _RAW_SCHEMA))
+    return r.select(
+        "platform", "object_id",
+        F.coalesce("r.comment_id", "r.submission_id", "r.uri", "r.id").alias("raw_id"),
+        F.coalesce("r.record.text", "r.content").alias("raw_text"),
+        F.coalesce("r.author.handle", "r.account.acct").alias("raw_author"),
+        F.coalesce("r.record.created_at", "r.created_at").alias("raw_time"),
+        F.col("r.created_utc").cast("bigint").alias("raw_seconds"),
+        F.coalesce(F.when(F.col("is_comment"), F.col("r.submission_id")), F.col("r.in_reply_to_id")).alias("raw_parent"),
+        F.size(F.json_object_keys("raw_data")).alias("n_fields"),
+        F.unix_micros("collected_at").alias("collected_us"), X.iso_text("created_at").alias("created_iso"))

@@ -286,3 +286,18 @@ def news_domain_window(spark, sf_dir):
     configure(spark)
     r = Q.news_search(spark, FX.news_items(spark, sf_dir), P.NEWS_KEYWORDS, P.NEWS_DOMAINS, *P.NEWS_WINDOW)
     return r.select("page_id", "term", "host", "published")
+
+
+# ---------------------------------------------------------------- flair and date range
+_FL_SQL = f"""with raw_reddit_submission as ({O.FIX["raw_reddit_submission"]})
+select id as object_id, flair, cast(created_utc as bigint) as created_utc from raw_reddit_submission
+where lower(flair) in ({", ".join("'" + f.lower() + "'" for f in P.FLAIRS)})
+  and created_utc * 1000000 >= {P.epoch_us(P.FLAIR_WINDOW[0])} and created_utc * 1000000 < {P.epoch_us(P.FLAIR_WINDOW[1])}"""
+
+
+@register("submissions_by_flair", _FL_SQL)
+def submissions_by_flair(spark, sf_dir):
+    configure(spark)
+    r = Q.submissions_by(FX.raw_reddit_submission(spark, sf_dir), P.FLAIRS, *P.FLAIR_WINDOW)
+    return r.select(F.col("id").alias("object_id"), F.col("link_flair_text").alias("flair"),
+                    F.col("created_utc").cast("bigint").alias("created_utc"))

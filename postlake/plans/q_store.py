@@ -16,10 +16,10 @@ from postlake.sources.store import Store
 
 
 def loaded_store(spark, sf_dir, name="store"):
-    """All fixture posts upserted into a fresh store as batch 0."""
+    """All fixture posts validated and upserted into a fresh store as batch 0."""
     posts = unified(spark, sf_dir)
     st = Store(spark, scratch_path(spark, name)).create()
-    st.upsert(posts, 0)
+    st.ingest(posts, 0)
     return st
 
 

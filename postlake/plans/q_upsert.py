@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postlake.functions import scalars as X
 from postlake.operators import upsert as U
 from postlake.plans import oracle as O
 from postlake.plans.common import unified
@@ -157,17 +156,24 @@ def running_totals(spark, sf_dir):
     return r.select("platform", F.col("batch_day").cast("string").alias("batch_day"), "inserted", "total")
 
 
-_FP_SQL = f"""{O.posts_cte()},
-f as (select platform, object_id, created_us,
-             sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as fingerprint from posts),
+_NORM_SQL = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+
+
+def _fp_sql(value: str) -> str:
+    return f"""{O.posts_cte()},
+f as (select platform, object_id, created_us, sha256({value}) as fingerprint from posts),
 r as (select *, row_number() over (partition by fingerprint order by created_us, platform, object_id) as rn,
              count(*) over (partition by fingerprint) as n_copies from f)
 select fingerprint, platform, object_id, cast(n_copies as bigint) as n_copies from r where rn = 1"""
 
 
-@register("fingerprint_dedup", _FP_SQL)
+@register("fingerprint_dedup", _fp_sql(_NORM_SQL))
 def fingerprint_dedup(spark, sf_dir):
     """Cross-platform duplicate detection by a text fingerprint."""
-    p = unified(spark, sf_dir)
-    fp = p.withColumn("fingerprint", F.sha2(X.norm_text("text"), 256))
-    return U.canonical_by_fingerprint(fp).select("fingerprint", "platform", "object_id", "n_copies")
+    return U.canonical_by_fingerprint(U.fingerprints(unified(spark, sf_dir)))
+
+
+@register("fingerprint_dedup_url", _fp_sql(_NORM_SQL + " || chr(31) || lower(coalesce(url, ''))"))
+def fingerprint_dedup_url(spark, sf_dir):
+    """The same by text and URL."""
+    return U.canonical_by_fingerprint(U.fingerprints(unified(spark, sf_dir), with_url=True))

@@ -22,7 +22,7 @@ SUBREDDIT = T.StructType([_f("display_name", S)])
 REDDIT_SUBMISSION = T.StructType([
     _f("id", S), _f("author", REDDIT_AUTHOR), _f("selftext", S), _f("title", S),
     _f("created_utc", D), _f("subreddit", SUBREDDIT), _f("subreddit_id", S),
-    _f("over_18", B), _f("permalink", S), _f("ups", L), _f("downs", L),
+    _f("over_18", B), _f("link_flair_text", S), _f("permalink", S), _f("ups", L), _f("downs", L),
     _f("score", L), _f("num_comments", L), _f("gilded", L),
     # Reddit sends these as bool-or-number / lists; kept as raw JSON text.
     _f("edited", S), _f("distinguished", S), _f("mod_reports", S), _f("user_reports", S),

@@ -47,6 +47,7 @@ def raw_reddit_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("title"),
         (F.lit(EPOCH_2024) + doc % 28 * 86400 + doc * 37 % 86400).alias("created_utc"),
         F.struct(F.col("source").alias("display_name")).alias("subreddit"),
+        F.col("lang").alias("link_flair_text"),
         (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("over_18"),
         F.concat(F.lit("/r/"), F.col("source"), F.lit("/comments/d"), _s("doc_id"), F.lit("/")).alias("permalink"),
         (F.col("n_chars") % 1000).alias("ups"),

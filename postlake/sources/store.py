@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 
 from postlake import schemas as S
 from postlake.operators import upsert as U
+from postlake.operators.quality import split_valid
 from postlake.session import exists, read_text, write_text
 
 MANIFEST = "_manifest.json"
@@ -249,6 +250,17 @@ class Store:
         first = not m["bucket_versions"] and not m.get("deltas")
         return (self._bulk_load if first else self._append_delta)(m, b, number)
 
+    def ingest(self, posts: DataFrame, batch_id: int, source: str = "") -> dict:
+        """Q1/Q2 on the write path: posts without a required field go to the
+        quarantine folder, the others are upserted."""
+        valid, bad = split_valid(posts)
+        # One folder per batch, overwritten if the batch runs again.
+        bad.write.mode("overwrite").parquet(f"{self.quarantine_path()}/batch={source or 'none'}-{int(batch_id):010d}")
+        return self.upsert(valid, batch_id, source)
+
+    def quarantine_path(self) -> str:
+        return f"{self.root}/_quarantine"
+
     def insert(self, batch: DataFrame, batch_id: int, source: str = "") -> dict:
         """K2: strict insert.  Raises, and writes nothing, if a key of ``batch``
         is in the store or occurs twice in the batch; otherwise as ``upsert``."""

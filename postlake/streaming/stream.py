@@ -30,7 +30,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postlake import schemas as S
 from postlake.operators import normalize as N
-from postlake.operators.quality import split_valid
 from postlake.session import exists, read_text, write_text
 from postlake.sources.landed import parse_lines, split_corrupt
 from postlake.sources.store import Store
@@ -89,17 +88,13 @@ def firehose_posts(messages: DataFrame, collected_at=None) -> DataFrame:
     return N.bluesky_post(N.firehose_to_post_view(messages), collected_at)
 
 
-def quarantine_path(store: Store) -> str:
-    return f"{store.root}/_quarantine"
-
-
 def read_quarantine(spark: SparkSession, store: Store) -> DataFrame:
     """Posts that streams kept out of the store, with ``errors``, ``warnings``
     and the ``batch`` that brought them."""
     schema = T.StructType(S.POST.fields + [
         T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("warnings", T.ArrayType(T.StringType())),
         T.StructField("batch", T.StringType())])
-    path = quarantine_path(store)
+    path = store.quarantine_path()
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
@@ -122,12 +117,8 @@ class UpsertSink:
         status, err, res = "ok", None, {}
         try:
             source = self._source(spark)
-            if self.store.schema == S.POST:
-                df, bad = split_valid(df)
-                # One folder per batch, overwritten if the batch runs again.
-                bad.write.mode("overwrite").parquet(
-                    f"{quarantine_path(self.store)}/batch={source or 'none'}-{int(batch_id):010d}")
-            res = self.store.upsert(df, int(batch_id), source)
+            write = self.store.ingest if self.store.schema == S.POST else self.store.upsert
+            res = write(df, int(batch_id), source)
             if res.get("skipped"):
                 return  # replayed micro-batch: already applied and recorded
             incoming = res.get("incoming", 0)
