@@ -8,8 +8,10 @@ from postlake.plans import params as P
 from postlake.plans.common import raw_frames
 from postlake.plans.q_search import _FEED_ORDERS, _terms_cte, _values
 from postlake.plans.registry import register
-from postlake.session import configure
+from postlake.session import configure, scratch_path
+from postlake.sources.store import Store
 from postlake.spec import CollectSpec, collect
+from postlake.streaming import stream as ST
 
 BATCH_SPEC = CollectSpec(
     as_of=P.SEARCH_AS_OF, subreddits=tuple(P.SUBREDDITS), keywords=tuple(P.KEYWORDS),
@@ -85,3 +87,51 @@ def collect_continuous(spark, sf_dir):
     configure(spark)
     return collect(spark, raw_frames(spark, sf_dir), CONT_SPEC).select(
         "platform", "object_id", "source", "rank")
+
+
+TERM_SPEC = CollectSpec(
+    as_of=P.SEARCH_AS_OF, subreddits=tuple(P.SUBREDDITS), keywords=tuple(P.KEYWORDS),
+    hashtags=("topic2", "#topic5"), instances=tuple(P.INSTANCES), continuous=True)
+_cb = TERM_SPEC.continuous_batch
+_mq = Q.quota(_cb["mastodon"], len(TERM_SPEC.hashtags))
+
+_STREAM_SQL = f"""{O.posts_cte(("reddit_submission", "bluesky"))},
+raw_mastodon_status as ({O.FIX["raw_mastodon_status"]}),
+{_terms_cte(P.KEYWORDS)},
+tk as (select term_pos, lower(regexp_replace(term, '^#+', '')) as tag
+       from (values {", ".join(str(t) for t in enumerate(TERM_SPEC.hashtags))}) v(term_pos, term)),
+subs(sub) as ({_values([(s,) for s in P.SUBREDDITS])}),
+fr as (select platform, object_id, row_number() over (partition by subreddit order by {_FEED_ORDERS["hot"]}) as rank
+       from posts where platform = 'reddit' and not is_comment
+       and subreddit in (select sub from subs) and created_us <= {_asof}),
+bh as (select *, lower(text) as hay from posts where platform = 'bluesky'),
+bm as (select c.object_id, c.created_us, t.term_pos,
+              (length(c.hay) - length(replace(c.hay, lower(t.term), ''))) // length(lower(t.term)) as hits
+       from bh c join terms t on contains(c.hay, lower(t.term))),
+bk as (select object_id, row_number() over (partition by term_pos order by hits desc, created_us desc, object_id) as rank from bm),
+bt as (select b.object_id, row_number() over (partition by tk.term_pos order by b.created_us desc, b.object_id) as rank
+       from bh b join tk on list_contains(regexp_extract_all(b.hay, '#(\\w+)', 1), tk.tag)),
+mm as (select distinct s.*, tk.term_pos, regexp_replace(s.api_base_url, 'https?://', '', 'g') as inst
+       from raw_mastodon_status s join tk on lower(s.tag) = tk.tag),
+mr as (select cast(id as varchar) as object_id,
+              row_number() over (partition by inst, term_pos order by try_cast(created_at as timestamptz) desc nulls last, cast(id as varchar)) as rank
+       from mm where inst in ({", ".join("'" + i + "'" for i in _insts)}))
+select platform, object_id from fr where rank <= {_cb["reddit"]}
+union select 'bluesky', object_id from bk where rank <= {_cb["bluesky"]}
+union select 'bluesky', object_id from bt where rank <= {_cb["bluesky"]}
+union select 'mastodon', object_id from mr where rank <= {_mq}"""
+
+
+@register("collect_stream", _STREAM_SQL)
+def collect_stream(spark, sf_dir):
+    """Continuous collection with terms, one cycle over everything that
+    has landed: community feeds, keyword and hashtag searches, then the store."""
+    configure(spark)
+    paths = {}
+    for name, raw in raw_frames(spark, sf_dir).items():
+        paths[name] = scratch_path(spark, f"landing-{name}")
+        raw.write.json(paths[name])
+    store = Store(spark, scratch_path(spark, "store-collect"))
+    ST.start_collect(ST.lines_stream(spark, paths), store, TERM_SPEC, scratch_path(spark, "ckpt"),
+                     trigger={"availableNow": True}).awaitTermination()
+    return store.read().select("platform", "object_id")

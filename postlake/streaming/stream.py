@@ -30,10 +30,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postlake import schemas as S
 from postlake.operators import normalize as N
+from postlake.operators.upsert import first_copies
 from postlake.session import exists, read_text, write_text
 from postlake.sources.landed import parse_lines, split_corrupt
 from postlake.sources.store import Store
-from postlake.spec import ADAPTERS
+from postlake.spec import ADAPTERS, CollectSpec, collect
 
 log = logging.getLogger(__name__)
 
@@ -167,6 +168,54 @@ def start_upsert(stream: DataFrame, store: Store, checkpoint: str, metrics_path:
     return w.start()
 
 
+def lines_stream(spark: SparkSession, paths: dict[str, str], max_files_per_trigger: int | None = None) -> DataFrame:
+    """The landed lines of many platforms as one stream (payload, value): one
+    query, and so one writer, for collection over all of them."""
+    out = None
+    for payload, path in paths.items():
+        r = spark.readStream.format("text")
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+        lines = r.load(path).select(F.lit(payload).alias("payload"), "value")
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+class CollectSink:
+    """``foreachBatch`` body of continuous collection.  Each micro-batch
+    is one cycle: the spec's selection runs over the payloads that have landed
+    since the last one, and the selected posts are validated and upserted.  A
+    line that does not parse goes to the store's quarantine of lines."""
+
+    def __init__(self, store: Store, spec: CollectSpec, checkpoint: str, metrics_path: str | None = None,
+                 collected_at=None):
+        self.spec, self.collected_at = spec, collected_at
+        self.sink = UpsertSink(store, metrics_path, checkpoint=checkpoint)
+
+    def __call__(self, df: DataFrame, batch_id: int) -> None:
+        spark, raw = df.sparkSession, {}
+        broken = None
+        for payload, adapter in ADAPTERS.items():
+            parsed = parse_lines(df.where(F.col("payload") == payload).select("value"), adapter.raw_schema)
+            raw[payload], bad = split_corrupt(parsed)
+            bad = bad.toDF("line").withColumn("payload", F.lit(payload))
+            broken = bad if broken is None else broken.unionByName(bad)
+        folder = f"{self.sink.store.root}/_broken_lines/batch={self.sink._source(spark) or 'none'}-{int(batch_id):010d}"
+        broken.write.mode("overwrite").parquet(folder)
+        # A post that several terms select is one row for the upsert.
+        chosen = collect(spark, raw, self.spec, self.collected_at).drop("source", "rank")
+        self.sink(first_copies(chosen), batch_id)
+
+
+def start_collect(lines: DataFrame, store: Store, spec: CollectSpec, checkpoint: str,
+                  metrics_path: str | None = None, collected_at=None, trigger: dict | None = None) -> StreamingQuery:
+    """Continuous collection of ``lines`` (see ``lines_stream``)."""
+    store.create()
+    sink = CollectSink(store, spec.check(), checkpoint, metrics_path, collected_at)
+    return lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint) \
+        .trigger(**(trigger or {"processingTime": f"{PAUSE_S} seconds"})).start()
+
+
 def run_with_retry(start, attempts: int = 3, backoff_s: float = ERROR_PAUSE_S,
                    factor: float = 2.0) -> StreamingQuery:
     """Restart a failed query with exponential backoff.  ``start`` is a
