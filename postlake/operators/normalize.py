@@ -35,10 +35,11 @@ def _metrics(pairs: list[tuple[str, Column]]) -> Column:
     return F.create_map(*args)
 
 
-def to_post_schema(df: DataFrame) -> DataFrame:
+def to_post_schema(df: DataFrame, keep=()) -> DataFrame:
     """Conform to the unified schema (N8): missing platform columns null,
     flags false, column order and types fixed.  Built as one SQL projection
-    (one driver call instead of one per expression)."""
+    (one driver call instead of one per expression).  ``keep`` names further
+    columns that pass through."""
     have = set(df.columns)
     exprs = []
     for f in S.POST.fields:
@@ -47,7 +48,7 @@ def to_post_schema(df: DataFrame) -> DataFrame:
         if f.name in _FALSE_DEFAULTS:
             c = f"COALESCE({c}, false)"
         exprs.append(f"{c} AS `{f.name}`")
-    return df.selectExpr(*exprs)
+    return df.selectExpr(*exprs, *[f"`{c}`" for c in keep])
 
 
 def _timestamp(raw: Column, collected: Column) -> tuple[Column, Column]:
@@ -172,15 +173,16 @@ def firehose_to_post_view(messages: DataFrame) -> DataFrame:
     )
 
 
-def mastodon_status(raw: DataFrame, collected_at=None) -> DataFrame:
+def mastodon_status(raw: DataFrame, collected_at=None, keep=()) -> DataFrame:
     """Mastodon status to posts.  Content stays HTML; reply/reblog flags
-    follow the presence of the ids; tags are read but not stored."""
+    follow the presence of the ids; tags are read but not stored.  ``keep``
+    names columns that are no part of the payload and pass through."""
     col = _ts_lit(collected_at)
     acct = F.coalesce(F.col("account.acct"), F.lit(""))
     ts, fell_back = _timestamp(F.col("created_at"), col)
     reply = X.truthy_id("in_reply_to_id")
     reblog = F.col("reblog").isNotNull()
-    payload = [c for c in raw.columns if c not in ("seq", "api_base_url")]
+    payload = [c for c in raw.columns if c not in ("seq", "api_base_url", *keep)]
     df = raw.select(
         F.lit("mastodon").alias("platform"),
         F.coalesce(F.col("id").cast("string"), F.lit("")).alias("object_id"),
@@ -202,9 +204,9 @@ def mastodon_status(raw: DataFrame, collected_at=None) -> DataFrame:
         F.when(reply, F.col("in_reply_to_id").cast("string")).alias("reply_to"),
         F.when(reblog, F.coalesce(F.col("reblog.id").cast("string"), F.lit(""))).alias("reblog_of"),
         F.col("seq"), col.alias("collected_at"),
-        fell_back.alias("created_at_fallback"),
+        fell_back.alias("created_at_fallback"), *[F.col(c) for c in keep],
     )
-    return to_post_schema(df)
+    return to_post_schema(df, keep)
 
 
 def union_posts(*frames: DataFrame) -> DataFrame:

@@ -153,16 +153,19 @@ class KeywordSearch:
         return self
 
 
-def keyword_search(spark: SparkSession, posts: DataFrame, spec: KeywordSearch) -> DataFrame:
+def keyword_search(spark: SparkSession, posts: DataFrame, spec: KeywordSearch, whole: bool = False) -> DataFrame:
     """S2 (Reddit: submissions, last ``reddit_time_filter``, relevance) and S5
     (Bluesky: quota, at most ``bluesky_cap`` per term), one plan: the term join runs once
-    over both platforms and the cap is a per-(platform, term) window."""
+    over both platforms and the cap is a per-(platform, term) window.
+    ``whole`` keeps all columns of the posts."""
     spec.check()
     q = quota(spec.max_posts, len(spec.terms))
     reddit = (F.col("platform") == "reddit") & ~F.col("is_comment") & \
         in_time_filter(F.col("created_at"), spec.as_of, spec.reddit_time_filter)
     bsky = F.col("platform") == "bluesky"
-    cand = posts.where(reddit | bsky).select("platform", "object_id", "created_at", "title", "text")
+    cand = posts.where(reddit | bsky)
+    if not whole:
+        cand = cand.select("platform", "object_id", "created_at", "title", "text")
     m = substring_matches(spark, cand, list(spec.terms), _hay_title_text())
     ranked = top_n_per_group(m, ["platform", "term_pos"], relevance_order(), max(q, 1))
     least = q if spec.bluesky_cap is None else min(q, spec.bluesky_cap)
@@ -197,10 +200,13 @@ def mastodon_hashtag_search(spark: SparkSession, raw_status: DataFrame, hashtags
         raise ValueError("no hashtags")
     q = quota(max_posts, len(hashtags))
     st = _with_instance(raw_status, instances)
-    ex = st.select("*", F.explode(F.transform(X.tag_names("tags"), lambda x: F.lower(x))).alias("_tag"))
+    own_tags = F.array_distinct(F.transform(X.tag_names("tags"), lambda x: F.lower(x)))
+    ex = st.select("*", F.explode(own_tags).alias("_tag"))
     t = terms_frame(spark, hashtags, "hashtag")
     m = ex.join(F.broadcast(t), ex["_tag"] == t["term_key"]).drop("_tag", "term_key")
-    m = m.dropDuplicates(["instance_key", "term_pos", "id"])
+    # A status that landed more than once counts once: its first copy.
+    first = F.struct(F.coalesce(F.col("seq"), F.lit(-1)), F.xxhash64("content", "created_at"))
+    m = m.groupBy("instance_key", "term_pos", "id").agg(F.min_by(F.struct(*m.columns), first).alias("_r")).select("_r.*")
     ts = F.coalesce(X.parse_iso_ts("created_at"), F.lit(None).cast("timestamp"))
     return top_n_per_group(m, ["instance_key", "term_pos"],
                            [ts.desc_nulls_last(), F.col("id")], q)

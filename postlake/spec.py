@@ -157,9 +157,8 @@ def _registered(adapter: PlatformAdapter, raw: DataFrame, spec: CollectSpec, col
 def _reddit(spark, posts: DataFrame, spec: CollectSpec) -> DataFrame:
     if spec.keywords and not spec.continuous:
         ks = Q.KeywordSearch(tuple(spec.keywords), spec.max_posts_per_subreddit, spec.as_of)
-        m = Q.keyword_search(spark, posts.where(F.col("platform") == "reddit"), ks)
-        keys = m.select("platform", "object_id", "term", "rank")
-        return _sel(posts.join(keys, ["platform", "object_id"]), F.concat(F.lit("keyword:"), F.col("term")))
+        m = Q.keyword_search(spark, posts.where(F.col("platform") == "reddit"), ks, whole=True)
+        return _sel(m, F.concat(F.lit("keyword:"), F.col("term")))
     n = spec.continuous_batch["reddit"] if spec.continuous else spec.max_posts_per_subreddit
     f = Q.community_feed(posts, list(spec.subreddits), spec.sort_by, n, spec.as_of, spec.time_filter)
     return _sel(f, F.concat(F.lit("feed:"), F.col("subreddit")))
@@ -174,8 +173,8 @@ def _bluesky(spark, posts: DataFrame, spec: CollectSpec) -> DataFrame:
         # Continuous mode asks each term for a full batch (no quota split).
         total = n * len(kw) if spec.continuous else n
         ks = Q.KeywordSearch(tuple(kw), total, spec.as_of, bluesky_cap=spec.bluesky_cap)
-        m = Q.keyword_search(spark, posts, ks).select("platform", "object_id", "term", "rank")
-        parts.append(_sel(posts.join(m, ["platform", "object_id"]), F.concat(F.lit("keyword:"), F.col("term"))))
+        m = Q.keyword_search(spark, posts, ks, whole=True)
+        parts.append(_sel(m, F.concat(F.lit("keyword:"), F.col("term"))))
     if tags:
         h = Q.hashtag_search_posts(spark, posts, tags, n * len(tags), spec.bluesky_cap)
         parts.append(_sel(h, F.concat(F.lit("hashtag:"), F.col("term"))))
@@ -198,15 +197,5 @@ def _mastodon(spark, raw_status: DataFrame, spec: CollectSpec, collected_at) ->
                  F.concat(F.lit("hashtag:"), F.regexp_replace(F.lower("term"), "^#+", ""),
                           F.lit("@"), F.col("instance_key"))) \
         .otherwise(F.concat(F.lit("timeline@"), F.col("instance_key")))
-    sel = sel.withColumn("source", src)
-    return _mastodon_keep(sel, [f.name for f in S.MASTODON_STATUS.fields], collected_at)
-
-
-def _mastodon_keep(sel: DataFrame, raw_cols, collected_at) -> DataFrame:
-    """Normalize the selected statuses and carry ``source``/``rank`` along
-    (a join on the status id and instance -- both sides one row per pair)."""
-    meta = sel.select(F.col("id").alias("_id"), F.col("instance_key").alias("_inst"), "source", "rank")
-    posts = N.storage_form(N.mastodon_status(sel.select(*raw_cols).dropDuplicates(["id", "api_base_url"]),
-                                             collected_at))
-    return posts.join(meta, (posts["object_id"] == meta["_id"]) & (posts["instance"] == meta["_inst"])) \
-        .drop("_id", "_inst")
+    raw = sel.select(*[f.name for f in S.MASTODON_STATUS.fields], src.alias("source"), "rank")
+    return N.storage_form(N.mastodon_status(raw, collected_at, keep=("source", "rank")))

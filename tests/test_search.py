@@ -122,3 +122,20 @@ def test_continuous_collect_term_limit(spark):
     reddit = [r for r in rows if r.platform == "reddit"]
     assert reddit and all(r.source.startswith("feed:") for r in reddit)   # Reddit ignores keywords
     assert max(r.rank for r in reddit) <= 50
+
+
+def test_repeated_statuses_and_tags_count_once(spark):
+    from postlake import schemas as S
+    from postlake.sources import fixtures as FX
+    raw = FX.raw_mastodon_status(spark, SF_SMALL).orderBy("seq").limit(1) \
+        .withColumn("tags", F.expr("array(named_struct('name', 'A'), named_struct('name', 'a'))")).withColumn("seq", F.lit(7))
+    later = raw.withColumn("seq", F.lit(9)).withColumn("content", F.lit("later"))
+    rows = Q.mastodon_hashtag_search(spark, later.unionByName(raw), ["#a"], 10).collect()
+    assert [(r.seq, r["rank"]) for r in rows] == [(7, 1)]
+    assert set(f.name for f in S.MASTODON_STATUS.fields) <= set(rows[0].asDict())
+
+
+def test_collection_scans_every_table_once(spark):
+    from postlake.plans import q_collect
+    plan = q_collect.collect_batch(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 4             # documents of three platforms, labels of one

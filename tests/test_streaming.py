@@ -146,3 +146,49 @@ def test_dedup_over_many_micro_batches_loses_nothing(spark):
     got = run_dedup(spark, path, events, max_files_per_trigger=1)
     want = events.select("user_id", "event_type", F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp")))).distinct()
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_collection_over_cycles(spark):
+    """Each micro-batch is a cycle of its own; broken lines are kept apart."""
+    import os
+    from postlake.session import local_path
+    from postlake.spec import CollectSpec
+    path = scratch_path(spark, "land-cycles")
+    os.makedirs(local_path(path), exist_ok=True)
+    line = '{"uri": "at://x/app.bsky.feed.post/%s", "record": {"text": "%s", "created_at": "2024-01-0%dT00:00:00Z"}, ' \
+           '"author": {"handle": "h"}, "seq": %d}\n'
+    spec = CollectSpec(as_of="2024-02-01 00:00:00", platforms=("bluesky",), keywords=("spark",), hashtags=("tag",),
+                       continuous=True, continuous_batch={"bluesky": 1})
+    store = Store(spark, scratch_path(spark, "cy-store"), buckets=2)
+    ckpt = scratch_path(spark, "ckpt")
+    cycles = ([("a", "spark one", 1), ("b", "spark two", 2), ("c", "nothing", 3)],
+              [("d", "SPARK #tag", 4), ("a", "spark edited", 5), ("e", "a #Tag", 6)])
+    for n, rows in enumerate(cycles):
+        with open(os.path.join(local_path(path), f"part-{n}.json"), "w") as f:
+            f.writelines(line % (i, text, day, day + 10 * n) for i, text, day in rows)
+            f.write("{broken\n")
+        ST.start_collect(ST.lines_stream(spark, {"bluesky": path}), store, spec, ckpt,
+                         trigger={"availableNow": True}).awaitTermination()
+    # One newest post per term and cycle: b, then a (keyword) and e (hashtag).
+    assert {r.object_id: r.text for r in store.read().collect()} == {"b": "spark two", "a": "spark edited", "e": "a #Tag"}
+    broken = spark.read.schema("line string, payload string").parquet(f"{store.root}/_broken_lines")
+    assert [(r.payload, r.line) for r in broken.collect()] == [("bluesky", "{broken")] * 2
+
+
+def test_status_and_totals_per_platform(spark):
+    raw = raw_frames(spark, SF_SMALL)
+    streams = {}
+    for p in ("bluesky", "mastodon"):
+        path = scratch_path(spark, f"land-{p}")
+        raw[p].write.json(path)
+        streams[p] = ST.landed_stream(spark, path, RAW_SCHEMAS[p])
+    store = Store(spark, scratch_path(spark, "st-store"), buckets=2)
+    metrics = scratch_path(spark, "metrics")
+    q = ST.start_upsert(ST.posts_stream(streams), store, scratch_path(spark, "ckpt"), metrics, trigger={"availableNow": True})
+    q.awaitTermination()
+    totals = {r.platform: (r.incoming, r.inserted) for r in ST.stop_and_report(q, store).collect()}
+    n = {p: raw[p].count() for p in streams}
+    assert totals == {p: (n[p], n[p]) for p in streams}
+    got = {r.platform: (r.status, r.incoming, r.posts) for r in
+           ST.platform_status(ST.read_metrics(spark, metrics), store.outcomes()).collect()}
+    assert got == {p: ("ok", n[p], n[p]) for p in streams}
