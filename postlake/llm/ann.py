@@ -10,9 +10,12 @@ Candidates are ranked by exact distances on the original vectors.
 Equal vectors form one class, of which only the smallest ids can ever be among
 the nearest; so the index holds each distinct vector once, with as many ids as a
 result can need, and a vector that a third of all rows share costs no more than
-another.  Queries with equal vectors are searched once.  Buckets are dealt in
-``salts`` parts; a task streams the vectors of a part past its queries and keeps
-the best of each, so no list of candidate pairs is ever made.
+another.  Queries with equal vectors are searched once.  A task streams the
+vectors of a bucket past its queries and keeps the best of each, so no list of
+candidate pairs is ever made.  Buckets are counted first: one of more than
+``slot_vectors`` vectors or ``slot_queries`` queries (a dense cluster) is split
+into a grid of cells, each with a part of the vectors and a part of the queries,
+so no task holds or streams more than that.
 
 A query with fewer candidates than asked for is searched against all rows, in
 blocks.  Recall depends on the data: on evenly spread directions more probes are
@@ -35,10 +38,12 @@ from pyspark.sql import functions as F
 
 from postlake.llm.common import stored
 
-TABLES, PROBES, BUCKET_ROWS, SALTS = 4, 24, 400, 2
+TABLES, PROBES, BUCKET_ROWS = 4, 24, 400
+SLOT_VECTORS, SLOT_QUERIES = 20_000, 5_000
 SEED = 20
 BLOCK_QUERIES = 20_000
 CELLS = 1 << 21  # differences held at a time
+CELL = ["slot", "vpart", "qpart"]
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -109,8 +114,9 @@ def _best(dist: np.ndarray, first: np.ndarray, ref: np.ndarray, most: int) -> tu
 
 
 def nearest_in_slots(rows: DataFrame, most: int) -> DataFrame:
-    """``rows``: (slot, is_vector, key, vec, ids), dealt and sorted by slot with
-    the queries first.  Per query and slot the nearest classes (qkey, score, ids)."""
+    """``rows``: (slot, vpart, qpart, is_vector, key, vec, ids), dealt and sorted
+    by cell (slot, vpart, qpart) with the queries first.  Per query and cell the
+    nearest classes (qkey, score, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, queries, keys, best, lists = None, None, None, None, None
@@ -125,14 +131,14 @@ def nearest_in_slots(rows: DataFrame, most: int) -> DataFrame:
                 names=["qkey", "score", "ids"])
 
         for batch in batches:
-            slots = batch.column("slot").to_numpy()
+            cells = np.stack([batch.column(c).to_numpy() for c in CELL], axis=1)
             kinds = batch.column("is_vector").to_numpy()
             all_keys = batch.column("key").to_numpy()
-            cuts = np.flatnonzero((np.diff(slots) != 0) | (np.diff(kinds) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(slots)]):
-                if slots[a] != slot:
+            cuts = np.flatnonzero((np.diff(cells, axis=0) != 0).any(axis=1) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(kinds)]):
+                if a < b and tuple(cells[a]) != slot:
                     yield from flush()
-                    slot, queries, keys, best, lists = slots[a], None, None, None, []
+                    slot, queries, keys, best, lists = tuple(cells[a]), None, None, None, []
                 part = batch.slice(a, b - a)
                 vec = _matrix(part.column("vec"), np.float64)
                 if not kinds[a]:
@@ -165,12 +171,13 @@ def nearest_in_slots(rows: DataFrame, most: int) -> DataFrame:
                     best[2][best[2] >= 0] = np.searchsorted(used, best[2][best[2] >= 0])
         yield from flush()
 
-    return (rows.repartition("slot").sortWithinPartitions("slot", "is_vector")
+    return (rows.repartition(*CELL).sortWithinPartitions(*CELL, "is_vector")
             .mapInArrow(run, "qkey bigint, score double, ids array<bigint>"))
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding",
-            tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS, salts: int = SALTS) -> DataFrame:
+            tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS,
+            slot_vectors: int = SLOT_VECTORS, slot_queries: int = SLOT_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row
     whose id is divisible by ``every``, ties to the smaller id."""
     v = F.col("vec")
@@ -190,34 +197,50 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     spans = {dim: int(np.prod([2 * m for m in axes])) for dim, axes in plans.items()}
     starts, total = {}, 0
     for dim in plans:
-        starts[dim], total = total, total + spans[dim] * tables * salts
+        starts[dim], total = total, total + spans[dim] * tables
 
-    def slots(is_vector: bool):
+    def slots(is_vector: bool, count_only: bool):
+        """Deals rows to the slots of all tables; or only counts them."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 dims = batch.column("dim").to_numpy()
                 for dim in np.unique(dims):
                     part = batch.filter(pa.array(dims == dim))
                     own, axes = _matrix(part.column("vec"), np.float64), plans[int(dim)]
-                    keys = part.column("key").to_numpy()
                     for table in range(tables):
-                        base = starts[int(dim)] + table * spans[int(dim)] * salts
-                        if is_vector:
-                            code = buckets_of(own, table, axes)[:, None] * salts + (keys % salts)[:, None]
-                        else:
-                            probe = probes_of(own, table, axes, probes)
-                            code = (probe[:, :, None] * salts + np.arange(salts)).reshape(len(own), -1)
-                        who = np.repeat(np.arange(len(own)), code.shape[1])
-                        moved = part.take(pa.array(who))
+                        base = starts[int(dim)] + table * spans[int(dim)]
+                        code = buckets_of(own, table, axes)[:, None] if is_vector else probes_of(own, table, axes, probes)
+                        if count_only:
+                            at, n = np.unique(code, return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(n)], names=["slot", "n"])
+                            continue
+                        moved = part.take(pa.array(np.repeat(np.arange(len(own)), code.shape[1])))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(base + code.ravel()), pa.array(np.full(len(who), int(is_vector), np.int32)),
-                             moved.column("key"), moved.column("vec"), moved.column("ids")],
-                            names=["slot", "is_vector", "key", "vec", "ids"])
+                            [pa.array(base + code.ravel()), moved.column("key"), moved.column("vec"), moved.column("ids")],
+                            names=["slot", "key", "vec", "ids"])
         return run
 
     item = dict(classes.dtypes)["vec"]
-    out = f"slot bigint, is_vector int, key bigint, vec {item}, ids array<bigint>"
+    out = f"slot bigint, key bigint, vec {item}, ids array<bigint>"
     blank = F.lit(None).cast("array<bigint>").alias("ids")
+    both = [(True, classes.select("key", "dim", "vec", "ids")), (False, queries.select("key", "dim", "vec", blank))]
+    # Slots too large for one task, and into how many parts each side is cut.
+    held = [rows.select("dim", "vec").mapInArrow(slots(side, True), "slot bigint, n bigint")
+            .select("slot", F.lit(side).alias("v"), "n") for side, rows in both]
+    n_of = [F.sum(F.when(F.col("v") == F.lit(side), F.col("n")).otherwise(0)) for side in (True, False)]
+    large = stored(held[0].unionAll(held[1]).groupBy("slot").agg(
+        F.ceil(n_of[0] / slot_vectors).alias("vparts"), F.ceil(n_of[1] / slot_queries).alias("qparts"))
+        .where("vparts > 0 and qparts > 0 and vparts + qparts > 2"), "large-slots")
+
+    def dealt(is_vector: bool, rows: DataFrame) -> DataFrame:
+        """Rows by cell: a vector lies in one part of the vectors and meets
+        every part of the queries, and the other way round."""
+        own, other = ("vpart", "qpart") if is_vector else ("qpart", "vpart")
+        at = rows.mapInArrow(slots(is_vector, False), out).join(large, "slot", "left")
+        parts = {c: F.coalesce(F.col(c + "s"), F.lit(1)) for c in (own, other)}
+        return (at.withColumn(own, F.pmod(F.xxhash64("key"), parts[own]))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), parts[other] - 1)))
+                .select(*CELL, F.lit(int(is_vector)).alias("is_vector"), "key", "vec", "ids"))
 
     def ranked(found: DataFrame) -> DataFrame:
         """The best k rows of every query row, own row left out."""
@@ -231,9 +254,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
         return nearest_of.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    dealt = (classes.select("key", "dim", "vec", "ids").mapInArrow(slots(True), out)
-             .unionAll(queries.select("key", "dim", "vec", blank).mapInArrow(slots(False), out)))
-    result = stored(ranked(nearest_in_slots(dealt, k + 1)), "nearest")
+    result = stored(ranked(nearest_in_slots(dealt(*both[0]).unionAll(dealt(*both[1])), k + 1)), "nearest")
 
     short = (asked.join(result.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
              .where(F.coalesce("n", F.lit(0)) < k))
@@ -244,12 +265,13 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         return result
     # Too few candidates: these queries against all rows, in blocks.
     blocks, parts = -(-n_short // BLOCK_QUERIES), 64
+    whole_cell = [F.lit(0).cast("bigint").alias(c) for c in CELL[1:]]
     wide = (classes.select("key", "dim", "vec", "ids", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
             .select(((F.col("dim").cast("bigint") * blocks + F.col("block")) * parts + F.pmod("key", F.lit(parts))).alias("slot"),
-                    F.lit(1).alias("is_vector"), "key", "vec", "ids"))
+                    *whole_cell, F.lit(1).alias("is_vector"), "key", "vec", "ids"))
     probing = (short_queries.select("key", "dim", "vec", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
                .select(((F.col("dim").cast("bigint") * blocks + F.pmod(F.xxhash64("key"), F.lit(blocks))) * parts + F.col("part")).alias("slot"),
-                       F.lit(0).alias("is_vector"), "key", "vec", blank))
+                       *whole_cell, F.lit(0).alias("is_vector"), "key", "vec", blank))
     whole = ranked(nearest_in_slots(wide.unionAll(probing), k + 1))
     ids = short.select("query_id").distinct()
     return result.join(ids, "query_id", "left_anti").unionAll(whole.join(ids, "query_id", "left_semi"))

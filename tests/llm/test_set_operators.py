@@ -246,6 +246,16 @@ def test_nearest_recall_and_scores(spark):
     assert found / (10 * len(queried)) >= 0.9
 
 
+def test_nearest_splits_a_dense_cluster(spark):
+    rng = np.random.default_rng(3)
+    dense = np.array([3.0] + [0.0] * 15) + rng.normal(size=(900, 16)) * 0.01
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([dense, rng.normal(size=(100, 16))]))],
+                                  "vec_id bigint, embedding array<double>")
+    whole, split = ([tuple(r) for r in ann.nearest(table, every=10, bucket_rows=50, **sizes).orderBy("query_id", "rank").collect()]
+                    for sizes in ({}, {"slot_vectors": 70, "slot_queries": 20}))
+    assert len(whole) == 1000 and whole == split
+
+
 def test_nearest_awkward(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (100, [1.0, 0.0, 0.0]), (1, [0.0, 0.0, 0.0]), (2, None), (3, [1.0, None, 0.0]), (4, [float("nan"), 1.0, 0.0]),
             (5, [float("inf"), 0.0, 0.0]), (6, [0.5, 0.5, 0.0]), (6, [0.5, 0.5, 0.0]), (7, [2.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]),
