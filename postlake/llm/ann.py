@@ -18,8 +18,11 @@ into a grid of cells, each with a part of the vectors and a part of the queries,
 so no task holds or streams more than that.
 
 A query with fewer candidates than asked for is searched against all rows, in
-blocks.  Recall depends on the data: on evenly spread directions more probes are
-needed than on clustered ones (the README has figures).
+blocks.  Recall depends on the data and on the number of rows, so it is measured
+first: ``sample`` evenly drawn queries are compared with all rows, and the probes
+are raised from ``probes`` until the sample finds ``least_recall`` of its true
+neighbours, with two standard errors to spare.  If ``most_probes`` are too few,
+buckets are made twice as large, in the end so large that all rows are compared.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows without an id.  Vectors are compared with
@@ -42,7 +45,9 @@ TABLES, PROBES, BUCKET_ROWS = 4, 24, 400
 SLOT_VECTORS, SLOT_QUERIES = 20_000, 5_000
 SEED = 20
 BLOCK_QUERIES = 20_000
+LEAST_RECALL, SAMPLE, MOST_PROBES = 0.9, 400, 128
 CELLS = 1 << 21  # differences held at a time
+DEALT_ROWS = 50_000  # in one batch
 CELL = ["slot", "vpart", "qpart"]
 
 
@@ -94,6 +99,9 @@ def buckets_of(vectors: np.ndarray, table: int, axes: list[int]) -> np.ndarray:
 
 def probes_of(vectors: np.ndarray, table: int, axes: list[int], probes: int) -> np.ndarray:
     """The buckets of least loss for each vector, the own bucket among them."""
+    step = max(1, CELLS // (probes * 2 * max(axes)))
+    if len(vectors) > step:
+        return np.concatenate([probes_of(vectors[i:i + step], table, axes, probes) for i in range(0, len(vectors), step)])
     loss, code = np.zeros((len(vectors), 1)), np.zeros((len(vectors), 1), np.int64)
     for signed in projections(vectors, table, axes):
         gap = (signed.max(axis=1, keepdims=True) - signed) ** 2
@@ -104,6 +112,34 @@ def probes_of(vectors: np.ndarray, table: int, axes: list[int], probes: int) ->
     return code
 
 
+def probes_needed(queries: np.ndarray, at: np.ndarray, near: np.ndarray, tables: int, axes: list[int], most: int) -> np.ndarray:
+    """For each neighbour, a row of ``near`` of the query numbered in ``at``: how
+    many probes in every table find it; ``most + 1`` if ``most`` do not."""
+    needed = np.full(len(near), most + 1)
+    for table in range(tables):
+        probed = probes_of(queries, table, axes, most)
+        hit = probed[at] == buckets_of(near, table, axes)[:, None]
+        needed = np.minimum(needed, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, most + 1))
+    return needed
+
+
+def plan_of(rows: int, queries: np.ndarray, at: np.ndarray, near: np.ndarray, whole: bool, tables: int, probes: int,
+            bucket_rows: int, least_recall: float, most_probes: int) -> tuple[list[int], int]:
+    """The axes and the fewest probes, ``probes`` at least, that find
+    ``least_recall`` of the neighbours ``near`` of the drawn queries."""
+    most = max(probes, most_probes)
+    size = np.bincount(at, minlength=len(queries))
+    while True:
+        axes = shape_of(rows, queries.shape[1], bucket_rows)
+        needed = probes_needed(queries, at, near, tables, axes, most)
+        for n in range(probes, most + 1):
+            found = np.bincount(at, needed <= n, minlength=len(queries))[size > 0] / size[size > 0]
+            error = 0.0 if whole or not len(found) else found.std() / np.sqrt(len(found))
+            if not len(found) or found.mean() - 2 * error >= least_recall:
+                return axes, n
+        bucket_rows *= 2
+
+
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(len(column), -1).astype(np.float64)
 
@@ -175,9 +211,43 @@ def nearest_in_slots(rows: DataFrame, most: int) -> DataFrame:
             .mapInArrow(run, "qkey bigint, score double, ids array<bigint>"))
 
 
+def true_neighbours(classes: DataFrame, dim: int, queries: np.ndarray, most: int) -> DataFrame:
+    """(q, score, vec, ids): the nearest ``most`` classes of each row of
+    ``queries`` among all classes of their length."""
+    item = dict(classes.dtypes)["vec"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held = None, None
+        step = max(1, CELLS // len(queries))
+        for batch in batches:
+            for s in range(0, len(batch), step):
+                part = batch.slice(s, step)
+                vec = _matrix(part.column("vec"), np.float64)
+                dist = (queries ** 2).sum(axis=1)[:, None] + (vec ** 2).sum(axis=1) - 2 * queries @ vec.T
+                rows = pa.Table.from_batches([part])
+                if held is not None:
+                    dist, rows = np.concatenate([best, dist], axis=1), pa.concat_tables([held, rows])
+                if dist.shape[1] > most:  # forget what is not among the best of any query
+                    near = np.argpartition(dist, most - 1, axis=1)[:, :most]
+                    used = np.unique(near)
+                    dist, rows = dist[:, used], rows.take(pa.array(used))
+                best, held = dist, rows
+        if held is not None:
+            near = np.argsort(best, axis=1, kind="stable")[:, :most]
+            taken = held.take(pa.array(near.ravel())).combine_chunks()
+            for rows in taken.append_column("q", pa.array(np.repeat(np.arange(len(queries)), near.shape[1]), pa.int32())).append_column(
+                    "score", pa.array(np.take_along_axis(best, near, 1).ravel())).select(["q", "score", "vec", "ids"]).to_batches():
+                yield rows
+
+    found = classes.where(F.col("dim") == dim).select("vec", "ids").mapInArrow(run, f"q int, score double, vec {item}, ids array<bigint>")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", F.col("ids")[0]))
+    return found.withColumn("n", rank).where(F.col("n") <= most).drop("n")
+
+
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding",
             tables: int = TABLES, probes: int = PROBES, bucket_rows: int = BUCKET_ROWS,
-            slot_vectors: int = SLOT_VECTORS, slot_queries: int = SLOT_QUERIES) -> DataFrame:
+            slot_vectors: int = SLOT_VECTORS, slot_queries: int = SLOT_QUERIES, least_recall: float = LEAST_RECALL,
+            sample: int = SAMPLE, most_probes: int = MOST_PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for every row
     whose id is divisible by ``every``, ties to the smaller id."""
     v = F.col("vec")
@@ -194,6 +264,27 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     queries = asked.groupBy("vec").agg(F.first("qkey").alias("key")).select("key", "vec", F.size("vec").alias("dim"))
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().orderBy(F.desc("count")).collect()}
     plans = {dim: shape_of(rows, dim, bucket_rows) for dim, rows in sizes.items()}
+    probes_at = dict.fromkeys(plans, probes)
+
+    def drawn(dim: int) -> tuple[list[int], int]:
+        """Axes and probes by the recall of evenly drawn queries."""
+        rows = (asked.where(F.size("vec") == dim).orderBy(F.xxhash64("query_id", F.lit(SEED)), "query_id").limit(sample)
+                .select("query_id", "vec").collect())
+        if not rows:
+            return plans[dim], probes
+        own = np.array([r["vec"] for r in rows], np.float64)
+        at, near, left = [], [], [k] * len(rows)
+        for r in sorted(true_neighbours(classes, dim, own, k + 1).collect(), key=lambda r: (r["q"], r["score"], r["ids"][0])):
+            others = min(left[r["q"]], sum(i != rows[r["q"]]["query_id"] for i in r["ids"]))
+            left[r["q"]] -= others
+            at += [r["q"]] * others
+            near += [r["vec"]] * others
+        return plan_of(sizes[dim], own, np.array(at, np.int64), np.array(near, np.float64).reshape(-1, dim), len(rows) < sample,
+                       tables, probes, bucket_rows, least_recall, most_probes)
+
+    for dim, axes in plans.items():
+        if np.prod([2 * m for m in axes]) > probes:  # else every bucket is probed
+            plans[dim], probes_at[dim] = drawn(dim)
     spans = {dim: int(np.prod([2 * m for m in axes])) for dim, axes in plans.items()}
     starts, total = {}, 0
     for dim in plans:
@@ -206,18 +297,21 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
                 dims = batch.column("dim").to_numpy()
                 for dim in np.unique(dims):
                     part = batch.filter(pa.array(dims == dim))
-                    own, axes = _matrix(part.column("vec"), np.float64), plans[int(dim)]
+                    own, axes, most = _matrix(part.column("vec"), np.float64), plans[int(dim)], probes_at[int(dim)]
                     for table in range(tables):
                         base = starts[int(dim)] + table * spans[int(dim)]
-                        code = buckets_of(own, table, axes)[:, None] if is_vector else probes_of(own, table, axes, probes)
+                        code = buckets_of(own, table, axes)[:, None] if is_vector else probes_of(own, table, axes, most)
                         if count_only:
                             at, n = np.unique(code, return_counts=True)
                             yield pa.RecordBatch.from_arrays([pa.array(base + at), pa.array(n)], names=["slot", "n"])
                             continue
-                        moved = part.take(pa.array(np.repeat(np.arange(len(own)), code.shape[1])))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(base + code.ravel()), moved.column("key"), moved.column("vec"), moved.column("ids")],
-                            names=["slot", "key", "vec", "ids"])
+                        step = max(1, DEALT_ROWS // code.shape[1])
+                        for s in range(0, len(own), step):
+                            some = code[s:s + step]
+                            moved = part.take(pa.array(s + np.repeat(np.arange(len(some)), code.shape[1])))
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(base + some.ravel()), moved.column("key"), moved.column("vec"), moved.column("ids")],
+                                names=["slot", "key", "vec", "ids"])
         return run
 
     item = dict(classes.dtypes)["vec"]

@@ -246,6 +246,28 @@ def test_nearest_recall_and_scores(spark):
     assert found / (10 * len(queried)) >= 0.9
 
 
+def test_nearest_recall_on_many_rows(spark, tmp_path):
+    """Evenly spread vectors, buckets far more than the least probes (500 to 24)."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(200_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(data)), "embedding": pa.FixedSizeListArray.from_arrays(
+        pa.array(data.ravel()), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet", row_group_size=20_000)
+    got = {}
+    for r in ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), every=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 500
+    found = 0
+    for q, rows in got.items():
+        dist = ((data - data[q]) ** 2).sum(axis=1)
+        dist[q] = np.inf
+        found += len(rows & set(np.argpartition(dist, 10)[:10].tolist()))
+    print("recall", found / 5000)
+    assert found / 5000 >= 0.9
+
+
 def test_nearest_splits_a_dense_cluster(spark):
     rng = np.random.default_rng(3)
     dense = np.array([3.0] + [0.0] * 15) + rng.normal(size=(900, 16)) * 0.01
