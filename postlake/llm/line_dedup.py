@@ -1,20 +1,20 @@
-"""Line dedup by pairwise alignment: documents that share a rare line are
-aligned by patience diff, and aligned common blocks go from the later document.
-
-Lines are compared after trimming, by 128-bit hashes that include the number of
-the occurrence in the document (the second copy of a line matches the second
-copy elsewhere).  A line hash that more than one document holds belongs to the
-document of the smallest id, its owner.  It is rare if at most ``rare_docs``
-documents hold it or it has ``rare_words`` words or more (such lines do not
-recur by chance).  A later document is aligned with every owner of its rare
-lines, never with all holders, so a line that n documents hold gives n - 1 pairs
-and each later copy is still found.  Lines that are common only join in an
-alignment: they are matched with the owners of the rare lines around them.
-
-Alignment of a pair: the longest run of rare lines that stand in the same order
-in both documents, then, in each gap, the longest run of the others.  A block is
-a maximal run of aligned lines that are neighbours in both documents (blank
-lines aside); it goes if it holds a rare line and has ``min_words`` words.
+"""Line dedup by pairwise alignment: documents that share a run of lines are
+aligned by patience diff, and aligned runs go from the later document.
+
+Lines are compared after trimming; blank lines do not count.  A run is a shortest
+sequence of neighbouring lines with ``min_words`` words, counted from its first
+line or from its last; together the runs cover every longer common block.  A run
+that more than one document holds, whatever their number, belongs to the document
+of the smallest id, its owner.  A later document is aligned with every owner of
+its runs, never with all holders, so a run that n documents hold gives n - 1
+pairs.
+
+Alignment of a pair: runs that both documents hold once must stand in the same
+order in both, the longest such sequence is taken.  Runs that either document
+holds several times have no place of their own and always go.
+
+Words are separated by white space; in scripts that are written without spaces
+(Chinese, Japanese, Thai and others) two characters count as a word.
 
 Defined results: null texts stay null, texts without a repeated block stay as
 they are, byte for byte.  Documents with equal ids are never aligned with each
@@ -25,52 +25,87 @@ other columns pass through.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlake.llm.common import chunks, map_arrow, stored
 
-RARE_DOCS, RARE_WORDS, MIN_WORDS = 8, 8, 5
-
-LINES = "doc_id bigint, th bigint, pos int, h1 bigint, h2 bigint, words int"
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line that is not blank: its number among those, hashes, words."""
-    for batch in chunks(batches, "text"):
-        row, pos, words, digests = [], [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            seen: dict[bytes, int] = {}
-            n = 0
-            for line in (text or b"").split(b"\n"):
-                line = line.strip()
-                if not line:
-                    continue
-                copy = seen.get(line, 0)
-                seen[line] = copy + 1
-                row.append(i)
-                pos.append(n)
-                words.append(line.count(b" ") + 1)
-                digests.append(xxhash.xxh3_128_digest(line, copy))
-                n += 1
-        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        taken = batch.take(pa.array(row, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [taken.column("doc_id"), taken.column("th"), pa.array(pos, pa.int32()), pa.array(both[:, 0]),
-             pa.array(both[:, 1]), pa.array(words, pa.int32())],
-            names=["doc_id", "th", "pos", "h1", "h2", "words"])
+MIN_WORDS = 5
+
+RUNS = "doc_id bigint, th bigint, pos int, size int, copies int, h1 bigint, h2 bigint"
+
+# Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                      "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def words_of(line: bytes) -> int:
+    if line.isascii():
+        return len(line.split())
+    spaced, n = UNSPACED.subn(" ", line.decode("utf-8", "replace"))
+    return max(1, len(spaced.split()) + (n + 1) // 2)
+
+
+def runs_of(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the shortest runs of ``min_words`` words that start
+    or end at each line."""
+    found, end, held = [], 0, 0
+    for start in range(len(words)):  # words[start:end] is the run from start
+        while end < len(words) and held < min_words:
+            held += words[end]
+            end += 1
+        if held < min_words:
+            break
+        found.append((start, end - start))
+        held -= words[start]
+    known, start, held = set(found), 0, 0
+    for end, n in enumerate(words):
+        held += n
+        while held - words[start] >= min_words:
+            held -= words[start]
+            start += 1
+        if held >= min_words and (start, end + 1 - start) not in known:
+            found.append((start, end + 1 - start))
+    return found
+
+
+def _runs(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every run: its first line among those that are not blank, its number of
+        lines, how often the document holds it, hashes."""
+        for batch in chunks(batches, "text"):
+            row, pos, sizes, copies, digests = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                lines = [x for x in (line.strip() for line in (text or b"").split(b"\n")) if x]
+                found = runs_of([words_of(x) for x in lines], min_words)
+                own = [xxhash.xxh3_128_digest(b"\n".join(lines[at:at + n])) for at, n in found]
+                times = Counter(own)
+                row += [i] * len(found)
+                pos += [at for at, _ in found]
+                sizes += [n for _, n in found]
+                copies += [times[x] for x in own]
+                digests += own
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            taken = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [taken.column("doc_id"), taken.column("th"), pa.array(pos, pa.int32()), pa.array(sizes, pa.int32()),
+                 pa.array(copies, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])],
+                names=["doc_id", "th", "pos", "size", "copies", "h1", "h2"])
+    return run
 
 
-def longest_increasing(values: list[int]) -> list[int]:
+def longest_increasing(values: list) -> list[int]:
     """Indexes of a longest strictly increasing subsequence."""
-    tails: list[int] = []
+    tails: list = []
     at: list[int] = []
     back = [-1] * len(values)
     for i, v in enumerate(values):
@@ -88,76 +123,42 @@ def longest_increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(rows: list[tuple[int, int, int, bool]], min_words: int) -> list[int]:
-    """Line numbers of the later document that go.  ``rows``: (own line, line in
-    the owner, words, rare) by own line, without repeats."""
-    anchors = [r for r in rows if r[3]]
-    if any(a[1] >= b[1] for a, b in zip(anchors, anchors[1:])):
-        anchors = [anchors[i] for i in longest_increasing([r[1] for r in anchors])]
-    aligned, low, i = [], -1, 0
-    rest = [r for r in rows if not r[3]]
-    for anchor in [*anchors, None]:
-        gap = []
-        while i < len(rest) and (anchor is None or rest[i][0] < anchor[0]):
-            if rest[i][1] > low and (anchor is None or rest[i][1] < anchor[1]):
-                gap.append(rest[i])
-            i += 1
-        aligned += [gap[k] for k in longest_increasing([r[1] for r in gap])]
-        if anchor:
-            aligned.append(anchor)
-            low = anchor[1]
-    gone: list[int] = []
-    block: list[tuple[int, int, int, bool]] = []
-    for r in [*aligned, None]:
-        if block and (r is None or r[0] != block[-1][0] + 1 or r[1] != block[-1][1] + 1):
-            if any(x[3] for x in block) and sum(x[2] for x in block) >= min_words:
-                gone += [x[0] for x in block]
-            block = []
-        if r is not None:
-            block.append(r)
-    return gone
-
-
-def _align(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = [patience([(x["pos"], x["owner_pos"], x["words"], x["rare"]) for x in rows], min_words)
-                    for rows in batch.column("rows").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array(gone, pa.list_(pa.int32()))],
-                names=["doc_id", "th", "gone"])
-    return run
+def patience(rows: list[tuple[int, int, int, bool]]) -> list[int]:
+    """Line numbers of the later document that go.  ``rows``: (first line, lines,
+    first line in the owner, held once by both) of the shared runs, in order."""
+    once = [r for r in rows if r[3]]
+    if any(a[2] > b[2] for a, b in zip(once, once[1:])):
+        once = [once[i] for i in longest_increasing([(r[2], r[1]) for r in once])]
+    return sorted({line for r in [*once, *(r for r in rows if not r[3])] for line in range(r[0], r[0] + r[1])})
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gone = [patience([(x["pos"], x["size"], x["owner_pos"], x["once"]) for x in rows])
+                for rows in batch.column("rows").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("th"), pa.array(gone, pa.list_(pa.int32()))],
+            names=["doc_id", "th", "gone"])
 
 
-def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_docs: int = RARE_DOCS,
-                    rare_words: int = RARE_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, gone): for documents with blocks to delete, the sorted
     numbers of those lines, counted from 0 among the lines that are not blank."""
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"),
                          F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    lines = stored(map_arrow(narrow, _lines, LINES), "lines")
-    # The owner of every shared line, and whether the line is rare.
-    shared = (lines.groupBy("h1", "h2")
-              .agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.max("doc_id").alias("last"),
-                   F.count("*").alias("docs"), F.max("words").alias("words"))
+    runs = stored(map_arrow(narrow, _runs(min_words), RUNS), "runs")
+    # The owner of every shared run.
+    shared = (runs.groupBy("h1", "h2")
+              .agg(F.min(F.struct("doc_id", "th", "pos", "copies")).alias("own"), F.max("doc_id").alias("last"))
               .where("last > own.doc_id")
-              .select("h1", "h2", F.col("own.doc_id").alias("owner"), F.col("own.pos").alias("owner_pos"),
-                      ((F.col("docs") <= rare_docs) | (F.col("words") >= rare_words)).alias("rare")))
-    # Stored, so that the join deals both sides itself and can split a common line.
-    held = stored(lines.join(stored(shared, "shared"), ["h1", "h2"]), "held")
-    later = held.where("doc_id > owner")
-    rare = later.where("rare").select("doc_id", "th", "owner", "pos", "owner_pos", "words", "rare")
-    # Common lines: with the owners of the rare lines before and after them.
-    line_order = Window.partitionBy("doc_id", "th").orderBy("pos")
-    before = F.last(F.when(F.col("rare"), F.col("owner")), True).over(line_order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(F.col("rare"), F.col("owner")), True).over(line_order.rowsBetween(1, Window.unboundedFollowing))
-    around = later.withColumn("near", F.array_distinct(F.array_compact(F.array(before, after)))).where("not rare")
-    common = around.select("doc_id", "th", "pos", "h1", "h2", "words", "rare", F.explode("near").alias("owner"))
-    places = held.where("not rare").groupBy("h1", "h2", F.col("doc_id").alias("owner")).agg(F.min("pos").alias("owner_pos"))
-    matched = common.join(places, ["h1", "h2", "owner"]).select(*rare.columns)
-    rows = F.array_sort(F.collect_set(F.struct("pos", "owner_pos", "words", "rare")))
-    pairs = rare.unionByName(matched).groupBy("doc_id", "th", "owner").agg(rows.alias("rows"))
-    gone = map_arrow(pairs, _align(min_words), "doc_id bigint, th bigint, gone array<int>").where("size(gone) > 0")
+              .select("h1", "h2", F.col("own.doc_id").alias("owner"), F.col("own.th").alias("owner_th"),
+                      F.col("own.pos").alias("owner_pos"), F.col("own.copies").alias("owner_copies")))
+    # Stored, so that the join deals both sides itself and can split a common run.
+    later = runs.join(stored(shared, "shared"), ["h1", "h2"]).where("doc_id > owner")
+    once = ((F.col("copies") == 1) & (F.col("owner_copies") == 1)).alias("once")
+    rows = F.array_sort(F.collect_set(F.struct("pos", "size", "owner_pos", once)))
+    pairs = later.groupBy("doc_id", "th", "owner", "owner_th").agg(rows.alias("rows"))
+    gone = map_arrow(pairs, _align, "doc_id bigint, th bigint, gone array<int>")
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

@@ -49,6 +49,28 @@ def test_common_lines_go_only_with_a_rare_block(spark):
     assert got[100] == ""
 
 
+def test_frequent_short_lines_go_whatever_their_number(spark):
+    verse = "\n".join(f"short verse{i}" for i in range(8))
+    han = "天地玄黄宇宙洪荒日月盈昃"
+    texts = [(i, f"own{i} line{i}\n{verse}\nend{i}") for i in range(30)] + [(100 + i, f"{han}\nown{i}") for i in range(30)]
+    texts += [(200 + i, f"five plain words stand here\nown{i} line{i}") for i in range(30)]
+    got = dedup(spark, texts)
+    assert all(got[x] == texts[at][1] for x, at in ((0, 0), (100, 30), (200, 60)))
+    assert all(got[i] == f"own{i} line{i}\nend{i}" and got[100 + i] == f"own{i}" and got[200 + i] == f"own{i} line{i}" for i in range(1, 30))
+
+
+def test_runs_cover_every_common_block():
+    draw = random.Random(6)
+    for _ in range(300):
+        words = [draw.randrange(1, 7) for _ in range(draw.randrange(12))]
+        runs = line_dedup.runs_of(words, 5)
+        assert len(runs) == len(set(runs))
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                inside = {x for at, n in runs if a <= at and at + n <= b for x in range(at, at + n)}
+                assert inside == (set(range(a, b)) if sum(words[a:b]) >= 5 else set())
+
+
 def test_line_dedup_properties_on_documents(spark):
     docs = {r.doc_id: r.text for r in read(spark, SF_MED, "documents").collect()}
     got = {r.doc_id: r for r in line_dedup.line_dedup(read(spark, SF_MED, "documents")).collect()}
