@@ -59,6 +59,19 @@ def test_frequent_short_lines_go_whatever_their_number(spark):
     assert all(got[i] == f"own{i} line{i}\nend{i}" and got[100 + i] == f"own{i}" and got[200 + i] == f"own{i} line{i}" for i in range(1, 30))
 
 
+def test_blocks_with_lines_of_several_owners(spark):
+    passage = [f"four plain words {i}" for i in range(12)]
+    whole = "\n".join(passage)
+    texts = [(1, "three short words"), (2, "three short words\nand four more words"), (3, "three short words\nand four more words")]
+    texts += [(10 + i, f"{line}\nelse{i}") for i, line in enumerate(passage) if i % 2]
+    texts += [(50, whole), (51, f"mine\n{whole}\nown\n{whole}\nown\n{passage[0]}"), (52, f"{passage[3]}\n{whole}")]
+    got = dedup(spark, texts)
+    assert got[2] == texts[1][1] and got[3] == "" and got[50] == whole
+    assert got[51] == f"mine\nown\nown\n{passage[0]}" and got[52] == passage[3]
+    moved = [(1, f"{A}\n{B}\n{A}\n{C}"), (2, f"{B}\n{A}\n{C}"), (3, f"{D}\n{C}\n{C}")]
+    assert dedup(spark, moved) == {1: moved[0][1], 2: "", 3: D}
+
+
 def test_runs_cover_every_common_block():
     draw = random.Random(6)
     for _ in range(300):
