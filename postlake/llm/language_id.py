@@ -2,7 +2,7 @@
 
 Text likelihood: hashed byte trigrams under a multinomial model per language,
 trained here on a bounded sample of labelled rows (``sample_rows`` per language,
-chosen by a hash of the id).  Trigrams of one text are far from independent, so
+chosen by a hash of the id) for every label that occurs.  Trigrams of one text are far from independent, so
 the log likelihood counts for ``effective`` trigrams at most.  It is combined
 with the language that the page declares, the country suffix of its address,
 and the prior of its host.  Host priors come from grouped counts of the text
@@ -31,7 +31,7 @@ from postlake.llm.common import ASCII_LOWER, chunks, map_arrow, stored
 
 CELLS = 1 << 14  # hashed trigrams
 SAMPLE_ROWS = 500
-LANGUAGES = 64  # the most frequent labels at most
+DENSE = 64  # languages; of more, tasks get only the cells that a language's texts have
 EFFECTIVE = 60
 LEAST = 0.5
 PRIOR_WEIGHT = 20.0
@@ -75,29 +75,45 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_r
     """Languages, and log probabilities of the cells (languages x cells)."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")).where(
         "lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     table = np.full((len(languages), CELLS), 0.5)
     if languages:
-        share = F.lit(0.0)
-        for lang in languages:
-            share = F.when(F.col("lang") == lang, F.lit(sample_rows / sizes[lang])).otherwise(share)
+        shares = labelled.sparkSession.createDataFrame([(x, sample_rows / sizes[x]) for x in languages], "lang string, share double")
+        place = {x: i for i, x in enumerate(languages)}
         draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
-        sums = (map_arrow(rows.where(draw < share).select("lang", "text"), _counts, "lang string, cell bigint, n bigint")
+        sums = (map_arrow(rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text"), _counts, "lang string, cell bigint, n bigint")
                 .groupBy("lang", "cell").agg(F.sum("n").alias("n")).groupBy("lang")
                 .agg(F.collect_list(F.struct("cell", "n")).alias("cells")))
-        for r in sums.collect():  # at most LANGUAGES rows of CELLS numbers
+        for r in sums.collect():  # a row of CELLS numbers at most for each language
             cells = np.array([tuple(x) for x in r["cells"]], np.int64)
-            table[languages.index(r["lang"]), cells[:, 0]] += cells[:, 1]
+            table[place[r["lang"]], cells[:, 0]] += cells[:, 1]
     return languages, np.log(table / table.sum(axis=1, keepdims=True))
 
 
+def scorer(table: np.ndarray):
+    """Log likelihoods of the languages for cells and their counts."""
+    if len(table) <= DENSE:
+        table32 = np.ascontiguousarray(table.T.astype(np.float32))
+        return lambda at, n: n @ table32[at]
+    floor = table.min(axis=1)  # of a cell that a language's texts do not have
+    above = (table - floor[:, None]).T
+    cell, lang = np.nonzero(above)
+    start, lang, gain = np.searchsorted(cell, np.arange(CELLS + 1)), lang.astype(np.int32), above[cell, lang].astype(np.float32)
+
+    def score(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        sizes = start[at + 1] - start[at]
+        held = np.repeat(start[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return n.sum() * floor + np.bincount(lang[held], gain[held] * np.repeat(n, sizes), len(floor))
+    return score
+
+
 def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], effective: int) -> DataFrame:
     """Adds ``__loglik`` (array<double>, tempered, best is 0) and ``__letters`` to
     the columns of ``rows``, whose column ``body`` holds the text as binary and goes."""
     languages, table = model
     kept = [c for c in rows.columns if c != "body"]
-    table32 = np.ascontiguousarray(table.T.astype(np.float32))
+    score = scorer(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "body"):
@@ -111,7 +127,7 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], effective:
                     continue
                 cells = np.bincount(trigrams(text), minlength=CELLS)
                 at = np.flatnonzero(cells)
-                total = cells[at].astype(np.float64) @ table32[at]
+                total = score(at, cells[at].astype(np.float64))
                 total = total * min(1.0, effective / cells.sum())
                 scores.append((total - total.max()).tolist())
             yield pa.RecordBatch.from_arrays(
@@ -136,8 +152,13 @@ def host_domain(host: Column) -> Column:
 
 
 def host_priors(decided: DataFrame, n: int) -> DataFrame:
+    return priors_of(decided, n)[0]
+
+
+def priors_of(decided: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
     """(host, counts, up): counts of the text decisions at the host, and the
-    smoothed distribution of the level above it.  ``decided``: (host, best)."""
+    smoothed distribution of the level above it; and the smoothed distribution
+    of all rows.  ``decided``: (host, best)."""
     cell = [F.sum((F.col("best") == i + 1).cast("double")).alias(f"c{i}") for i in range(n)]
     names = [f"c{i}" for i in range(n)]
     hosts = stored(decided.groupBy("host").agg(*cell).withColumn("suffix", host_suffix(F.col("host")))
@@ -161,8 +182,8 @@ def host_priors(decided: DataFrame, n: int) -> DataFrame:
     domain = level("domain").where("domain is not null").withColumn("suffix", host_suffix(F.col("domain")))
     by_domain = domain.join(by_suffix, "suffix", "left").select(
         "domain", smoothed(F.coalesce("ps", root)).alias("pd"))
-    return (hosts.join(by_domain, "domain", "left")
-            .select("host", F.array(*names).alias("counts"), F.coalesce("pd", root).alias("up")))
+    return (hosts.where("host is not null").join(by_domain, "domain", "left")
+            .select("host", F.array(*names).alias("counts"), F.coalesce("pd", root).alias("up"))), top
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source",
@@ -180,8 +201,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     body = F.col(text_col).cast("binary").alias("body")
     host = (F.lower(F.col(host_col)) if host_col else F.lit(None).cast("string")).alias("host")
     decided = text_scores(docs.select(host, body), model, effective).where("__letters > 0").select(
-        "host", argmax(F.col("__loglik")).alias("best")).where("host is not null")
-    priors = host_priors(decided, n).toDF("__host", "__counts", "__up")
+        "host", argmax(F.col("__loglik")).alias("best"))
+    priors, top = priors_of(decided, n)
+    priors = priors.toDF("__host", "__counts", "__up")
     scored = text_scores(own.withColumns({"__host": host, "body": body}) if "body" not in names else
                          own.withColumnRenamed("body", "__body").withColumns({"__host": host, "body": body}), model, effective)
     if priors.count() <= BROADCAST_HOSTS:
@@ -192,7 +214,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     # The row's own decision does not count for its own prior.
     others = F.transform("__counts", lambda c, i: F.greatest(c - (i + 1 == best_text).cast("double"), F.lit(0.0)))
     size = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
-    prior = F.coalesce(F.zip_with(others, "__up", lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT)), flat)
+    prior = F.coalesce(F.zip_with(others, "__up", lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT)), F.array(*map(F.lit, top)))
     log = F.zip_with("__loglik", prior, lambda l, p: l + F.log(p))
 
     def says(value: Column, right: float) -> Column:

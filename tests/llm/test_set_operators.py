@@ -167,6 +167,27 @@ def test_host_prior_by_hand(spark):
     assert got["s"].up == pytest.approx(top)
 
 
+def test_every_label_is_a_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i, j: letters[i % 26] * 2 + letters[i // 26] + letters[j]
+    rows = [(100 * i + j, " ".join(word(i, (j + x) % 5) for x in range(12)), f"l{i:02}", None) for i in range(80) for j in range(3 + i % 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    languages, table = language_id.fit(docs, "doc_id", "text", "lang")
+    assert languages == [f"l{i:02}" for i in range(80)]
+    found = language_id.identify(docs, declared_col=None).collect()
+    assert all(r.id_best == r.lang and not r.id_rejected for r in found)
+    at, n = np.array([3, 70, 900, 16383]), np.array([1.0, 4.0, 2.0, 1.0])
+    assert language_id.scorer(table)(at, n) == pytest.approx(n @ table.T[at], rel=1e-5)
+
+
+def test_null_host_has_the_prior_of_all_rows(spark):
+    model = language_id.fit(read(spark, SF_MED, "documents"), "doc_id", "text", "lang", 200)
+    rows = [(i, "été " * 30, None, "h.example.org") for i in range(60)] + [(100, "q", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in language_id.identify(docs, model=model, least=0.0).collect()}
+    assert got[100].id_best == "fr" and got[100].id_probability > 0.6
+
+
 def test_language_awkward(spark):
     rows = language_id.identify(H.awkward(spark)).collect()
     assert len(rows) == len(H.ROWS) and rows[0].body == "x"
