@@ -5,7 +5,11 @@ with weights from labelled pages: pages whose authors marked the content with
 an article or main element.  A linear scan finds the contiguous region of the
 highest score; blocks that it touches are taken whole.  Elements that never hold
 content (scripts, styles, forms, navigation, headers, footers, adverts, notices,
-reader comments and the like, by element name, role or class) are left out.
+reader comments and the like, by element name, role or class) are left out.  A class
+or id counts only as a whole ("sidebar", "sidebar-box", not "with-sidebar"); an
+element that it names stays, for the scan to judge, if it lies outside marked
+content and holds an article or main element or most of the page's words.  The
+same holds for forms, which may wrap a page.
 
 Weights: for the words, the log odds of lying in content given where they stand
 (inside, outside or without a marked element), the innermost block and the
@@ -59,6 +63,10 @@ MARKS = frozenset(
 STRONG_MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion "
     "comment comments reply replies respond disqus commentlist reader".split())
+# Words that may stand beside them in one name ("sidebar-left").
+PARTS = frozenset(
+    "area bar block bottom box button buttons container form group holder icon icons inner item items left link links "
+    "list main outer page panel post posts primary right secondary section site slot top unit wrap wrapper".split())
 STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor", "navbar", "navigation")
 
 TOKEN = re.compile(
@@ -70,22 +78,30 @@ NAME = re.compile(r"[a-z]+")
 ENDS = {name: re.compile(f"</{name}", re.I) for name in RAW}
 
 
-def _drops(name: str, attributes: str) -> tuple[bool, list[str]]:
-    """Whether an element holds no content, and the words of its class and id."""
+def _strong(word: str) -> bool:
+    return word in STRONG_MARKS or word.startswith(("advert", "comment", "sponsor"))
+
+
+def _marked(word: str) -> bool:
+    return word in MARKS or word.startswith(STARTS) or _strong(word)
+
+
+def _drops(name: str, attributes: str) -> tuple[bool, bool, list[str]]:
+    """Whether an element holds no content, whether that is by its class, id or
+    being a form only, and the words of its class and id."""
     marks: list[str] = []
-    dropped = name in DROPPED
+    sure, named = name in DROPPED and name != "form", name == "form"
     for key, a, b, c in ATTRIBUTE.findall(attributes):
-        found = NAME.findall((a or b or c).lower())
+        value = (a or b or c).lower()
         if key.lower() == "role":
-            dropped |= any(x in ROLES for x in found)
-        else:
+            sure |= any(x in ROLES for x in NAME.findall(value))
+            continue
+        for token in value.split():
+            found = NAME.findall(token)
             marks += found
-    strong = any(x in STRONG_MARKS or x.startswith(("advert", "comment", "sponsor")) for x in marks)
-    if name in CONTENT:
-        dropped |= strong
-    elif name not in ("html", "body"):
-        dropped |= strong or any(x in MARKS or x.startswith(STARTS) for x in marks)
-    return dropped, marks
+            if name not in ("html", "body") and any(map(_strong if name in CONTENT else _marked, found)):
+                named |= all(x in PARTS or _marked(x) for x in found)
+    return sure or named, named and not sure, marks
 
 
 class Page:
@@ -95,10 +111,18 @@ class Page:
     def __init__(self, html: str):
         self.events: list[tuple] = []
         self.marked = False
-        self._read(html)
-
-    def _read(self, html: str) -> None:
-        stack: list[tuple] = []  # (name, dropped, is content, marks)
+        large = self._read(html, frozenset())
+        if large:
+            self.events, self.marked = [], False
+            self._read(html, large)
+
+    def _read(self, html: str, large: frozenset[int]) -> frozenset[int]:
+        """Reads the events; the elements numbered in ``large`` stay outside
+        content.  Numbers of the elements dropped by name only that hold an
+        article or main element or most of the words."""
+        stack: list[tuple] = []  # (name, dropped, is content, marks, held if dropped by name)
+        opened = total = contents = 0
+        held: list[tuple[int, int, int]] = []  # (element, words, content elements)
         count: Counter = Counter()
         dropped = content = 0
         block, at, end = 0, 0, len(html)
@@ -107,7 +131,9 @@ class Page:
 
         def pop() -> None:
             nonlocal dropped, content, marks
-            name, was, inside, own = stack.pop()
+            name, was, inside, own, at_open = stack.pop()
+            if at_open:
+                held.append((at_open[0], total - at_open[1], contents - at_open[2]))
             count[name] -= 1
             dropped -= was
             content -= inside
@@ -115,8 +141,10 @@ class Page:
                 marks = marks[:len(marks) - len(own)]
 
         def say(text: str) -> None:
+            nonlocal total
+            n = len(text.split())
+            total += n
             if text and not dropped:
-                n = len(text.split())
                 self.events.append(("w", ("in" if content else "out", where, tuple(marks)), n, block, text))
 
         while at < end:
@@ -155,16 +183,23 @@ class Page:
                     pop()
                 if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                     pop()
-                drop, own = _drops(name, attributes)
+                drop, by_name, own = _drops(name, attributes)
+                opened += 1
+                at_open = (opened, total, contents) if by_name else None
+                contents += name in CONTENT and not drop
+                drop &= bool(content or opened not in large)
                 inside = name in CONTENT and not drop and not dropped
                 self.marked |= inside
-                stack.append((name, drop, inside, own))
+                stack.append((name, drop, inside, own, at_open))
                 count[name] += 1
                 dropped += drop
                 content += inside
                 marks = marks + own if own else marks
             if is_block:
                 where = next((x[0] for x in reversed(stack[-8:]) if x[0] in BLOCK), "body")
+        while stack:
+            pop()
+        return frozenset(i for i, words, inner in held if inner or 2 * words > total)
 
     def features(self) -> Iterator[tuple[str, int, int]]:
         """(feature, words or tags inside the content, and outside): the counts

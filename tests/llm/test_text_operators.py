@@ -66,6 +66,24 @@ def test_hand_made_pages(name):
     assert html_extract.extract(html, {}) == text
 
 
+WORDS = "the story has many words and " * 5
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content with-sidebar'>", "<div id=page class='has-sidebar'>", "<div class='no-header'>", "<section class='social news'>",
+    "<div class='ad-free'>", "<div class=sidebar>", "<form id=aspnet>", "<div class=widget><div class='modal'>"])
+@pytest.mark.parametrize("inner", ["<article><p>{}</p></article>", "<main><p>{}</p></main>", "<p>{}</p>",
+                                   "<article class='post comments-open'><p>{}</p></article>", "<article class='ad-free'><p>{}</p></article>"])
+def test_wrappers_keep_their_content(wrapper, inner):
+    html = f"<body><div class=menu>home</div>{wrapper}{inner.format(WORDS)}<div class='comment-list'>first!</div>"
+    assert html_extract.extract(html, {}) == WORDS.strip()
+
+
+def test_named_elements_in_content_stay_out():
+    html = f"<article><p>short text</p><div class='comments'><article class=comment>{WORDS}</article></div><div class=related><article>{WORDS}</article></div></article>"
+    assert html_extract.extract(html, {}) == "short text"
+
+
 def test_awkward_pages(spark):
     rows = [(None, None, None), (1, None, "<p>hello there</p>"), (1, None, "<p>hello there</p>"), (2, "u", "<" * 20000),
             (3, "u", "<p class='" * 5000), (4, "u", "<div>" * 20000 + "deep"), (5, "u", "<p>w</p>" * 20000)]
