@@ -30,7 +30,8 @@ from postlake.llm.common import chunks, map_arrow
 NO_RANK = np.int32(2**31 - 1)
 BUCKETS = (4, 8, 16, 32, 64, 128, 256)
 CELLS = 1 << 20  # of one matrix
-CACHED = 200_000  # pieces that a worker remembers
+CACHED_BYTES = 24 << 20  # of pieces, with their ids, that a task remembers
+OVERHEAD = 160  # bytes of a remembered piece besides its text and ids
 
 SCHEMA = "doc_id bigint, ids array<int>, decoded binary"
 
@@ -205,19 +206,31 @@ def splitter(pattern: str):
     return regex.compile(pattern).findall
 
 
-_CACHE: dict[str, dict[str, bytes]] = {}
+class Pieces:
+    """Ids of the pieces seen so far, forgotten beyond a number of bytes."""
+
+    def __init__(self, vocab: Vocabulary, pattern: str, limit: int = CACHED_BYTES):
+        self.vocab, self.split, self.limit = vocab, splitter(pattern), limit
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, as the bytes of 32-bit integers."""
+        cut = [self.split(x) for x in texts]
+        new = list(set().union(*cut).difference(self.known))
+        coded = self.vocab.encode_pieces([x.encode("utf-8") for x in new])
+        self.known.update(zip(new, coded))
+        self.size += sum(map(len, new)) + sum(map(len, coded)) + OVERHEAD * len(new)
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        if self.size > self.limit:
+            self.known.clear()
+            self.size = 0
+        return out
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     """Ids of every text, as the bytes of 32-bit integers."""
-    vocab, split = vocabulary(path), splitter(pattern)
-    cut = [split(x) for x in texts]
-    cache = _CACHE.setdefault(path, {})
-    if len(cache) > CACHED:
-        cache.clear()
-    new = list(set().union(*cut).difference(cache))
-    cache.update(zip(new, vocab.encode_pieces([x.encode("utf-8") for x in new])))
-    return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+    return Pieces(vocabulary(path), pattern).encode(texts)
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -228,9 +241,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
+        pieces = Pieces(vocab, pattern)
         for batch in chunks(batches, "text"):
             texts = [(x or b"").decode("utf-8", "replace") for x in batch.column("text").to_pylist()]
-            coded = encode_texts(texts, path, pattern)
+            coded = pieces.encode(texts)
             ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
             flat = np.frombuffer(b"".join(coded), np.int32)
             decoded = [vocab.decode(flat[a:b]) if with_decoded else None for a, b in zip(ends[:-1], ends[1:])]

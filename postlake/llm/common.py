@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postlake.session import scratch_path
 
@@ -55,12 +58,52 @@ def words(text: Column) -> Column:
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
-def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
-    """``mapInArrow`` with small batches; sets the session's batch limits."""
+def map_arrow(df: DataFrame, f, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with small batches; sets the session's batch limits.
+    Python workers serve many tasks: what a task leaves unused goes back to the
+    system at its end."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... by place, and their own names.
+    No name that an operator adds can clash with these, whatever the table's
+    are; ``toDF(*names, ...)`` brings the own names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
+def place(names: list[str], name: str) -> str:
+    """Name in ``plain`` of a column: the exact name, else the one that equals
+    it without regard to case, as Spark resolves names."""
+    exact = [i for i, x in enumerate(names) if x == name] or [i for i, x in enumerate(names) if x.lower() == name.lower()]
+    if len(exact) != 1:
+        raise ValueError(f"column {name!r} occurs {len(exact)} times in {names}")
+    return f"c{exact[0]}"
+
+
+def free_name(names: list[str], wanted: str) -> str:
+    """``wanted``, or with a number behind if the table has a column of that
+    name (in any case)."""
+    taken, n = {x.lower() for x in names}, 1
+    while (name := wanted if n == 1 else f"{wanted}_{n}").lower() in taken:
+        n += 1
+    return name
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

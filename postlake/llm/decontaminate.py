@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import stored, words
+from postlake.llm.common import place, plain, stored, words
 
 WINDOW_WORDS = 10
 BLOCK_WINDOWS = 200_000
@@ -94,7 +94,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs."""
-    hit = (decontaminate(docs, items, id_col, text_col, **options).where("n_hit > 0")
+    own, names = plain(docs)
+    id_at, text_at = place(names, id_col), place(names, text_col)
+    hit = (decontaminate(own, items, id_at, text_at, **options).where("n_hit > 0")
            .select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th")).distinct())
-    same = (F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("hit_id"))) & (F.xxhash64(text_col) == F.col("hit_th"))
-    return docs.join(hit, same, "left_anti")
+    same = (F.col(id_at).cast("bigint").eqNullSafe(F.col("hit_id"))) & (F.xxhash64(text_at) == F.col("hit_th"))
+    return own.join(hit, same, "left_anti").toDF(*names)

@@ -15,7 +15,9 @@ Rows are rejected if they have no letters or their best language stays below
 Defined results: null texts count as empty and are rejected, with language null;
 null hosts use the prior of all rows; unknown declared languages and suffixes
 say nothing.  Repeated rows get equal results.  Without any labelled row no
-language is known and every row is rejected.
+language is known and every row is rejected; an empty table gives an empty one.
+Of languages with equal probability the first by name wins.  Texts of any length
+are scored whole.  Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postlake.llm.common import ASCII_LOWER, chunks, map_arrow, stored
+from postlake.llm.common import ASCII_LOWER, chunks, free_name, map_arrow, place, plain, stored
 
 CELLS = 1 << 14  # hashed trigrams
 SAMPLE_ROWS = 500
@@ -109,8 +112,8 @@ def scorer(table: np.ndarray):
 
 
 def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], effective: int) -> DataFrame:
-    """Adds ``__loglik`` (array<double>, tempered, best is 0) and ``__letters`` to
-    the columns of ``rows``, whose column ``body`` holds the text as binary and goes."""
+    """Adds ``loglik`` (array<double>, tempered, best is 0) and ``letters`` to the
+    columns of ``rows``, whose column ``body`` holds the text as binary and goes."""
     languages, table = model
     kept = [c for c in rows.columns if c != "body"]
     score = scorer(table)
@@ -132,10 +135,10 @@ def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray], effective:
                 scores.append((total - total.max()).tolist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(scores, pa.list_(pa.float64())), pa.array(letters, pa.int64())],
-                names=[*kept, "__loglik", "__letters"])
+                names=[*kept, "loglik", "letters"])
 
-    types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "__loglik array<double>", "__letters bigint"])
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("loglik", T.ArrayType(T.DoubleType())),
+                           T.StructField("letters", T.LongType())])
     return map_arrow(rows, run, schema)
 
 
@@ -188,34 +191,38 @@ def priors_of(decided: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source",
              declared_col: str | None = "lang", model: tuple | None = None, label_col: str = "lang",
-             sample_rows: int = SAMPLE_ROWS, effective: int = EFFECTIVE, least: float = LEAST) -> DataFrame:
+             sample_rows: int = SAMPLE_ROWS, effective: int = EFFECTIVE, least: float = LEAST,
+             keep: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` with the columns ``id_lang`` (null if rejected),
-    ``id_best``, ``id_probability`` and ``id_rejected``."""
-    model = model or fit(docs, id_col, text_col, label_col, sample_rows)
+    ``id_best``, ``id_probability`` and ``id_rejected`` (with a number behind a
+    name that the table has already).  ``keep``: return only these columns of the
+    table.  Every text is scored once; the scores are written with the kept columns."""
+    own, names = plain(docs)
+    held = keep or names
+    at = [place(names, c) for c in held]
+    fresh = [free_name(held, c) for c in ("id_lang", "id_best", "id_probability", "id_rejected")]
+    id_at, text_at = place(names, id_col), place(names, text_col)
+    model = model or fit(own, id_at, text_at, place(names, label_col), sample_rows)
     languages, n = model[0], len(model[0])
-    names = [c for c in docs.columns if c not in ("id_lang", "id_best", "id_probability", "id_rejected")]
-    own = docs.select(*[F.col(f"`{c}`") for c in names])
     if not n:
-        return own.withColumns({"id_lang": F.lit(None).cast("string"), "id_best": F.lit(None).cast("string"),
-                                "id_probability": F.lit(0.0), "id_rejected": F.lit(True)})
-    body = F.col(text_col).cast("binary").alias("body")
-    host = (F.lower(F.col(host_col)) if host_col else F.lit(None).cast("string")).alias("host")
-    decided = text_scores(docs.select(host, body), model, effective).where("__letters > 0").select(
-        "host", argmax(F.col("__loglik")).alias("best"))
+        return own.select(*at, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0.0), F.lit(True)).toDF(*held, *fresh)
+    host = F.lower(F.col(place(names, host_col))) if host_col else F.lit(None).cast("string")
+    declared = F.lower(F.substring(F.col(place(names, declared_col)), 1, 2)) if declared_col else F.lit(None).cast("string")
+    rows = own.select(*at, host.alias("host"), declared.alias("declared"), F.col(text_at).cast("binary").alias("body"))
+    scored = stored(text_scores(rows, model, effective), "scores")
+    decided = scored.where("letters > 0").select("host", argmax(F.col("loglik")).alias("best"))
     priors, top = priors_of(decided, n)
-    priors = priors.toDF("__host", "__counts", "__up")
-    scored = text_scores(own.withColumns({"__host": host, "body": body}) if "body" not in names else
-                         own.withColumnRenamed("body", "__body").withColumns({"__host": host, "body": body}), model, effective)
+    priors = priors.toDF("host", "counts", "up")
     if priors.count() <= BROADCAST_HOSTS:
         priors = F.broadcast(priors)
-    joined = scored.join(priors, "__host", "left")
-    best_text = F.when(F.col("__letters") > 0, argmax(F.col("__loglik"))).otherwise(F.lit(0))
+    joined = scored.join(priors, "host", "left")
+    best_text = F.when(F.col("letters") > 0, argmax(F.col("loglik"))).otherwise(F.lit(0))
     flat = F.array(*[F.lit(1.0 / n)] * n)
     # The row's own decision does not count for its own prior.
-    others = F.transform("__counts", lambda c, i: F.greatest(c - (i + 1 == best_text).cast("double"), F.lit(0.0)))
+    others = F.transform("counts", lambda c, i: F.greatest(c - (i + 1 == best_text).cast("double"), F.lit(0.0)))
     size = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
-    prior = F.coalesce(F.zip_with(others, "__up", lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT)), F.array(*map(F.lit, top)))
-    log = F.zip_with("__loglik", prior, lambda l, p: l + F.log(p))
+    prior = F.coalesce(F.zip_with(others, "up", lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT)), F.array(*map(F.lit, top)))
+    log = F.zip_with("loglik", prior, lambda l, p: l + F.log(p))
 
     def says(value: Column, right: float) -> Column:
         """Log likelihood of a declared value under each language."""
@@ -224,20 +231,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                                        for lang in languages])).otherwise(flat)
 
     if declared_col:
-        log = F.zip_with(log, says(F.lower(F.substring(F.col(declared_col), 1, 2)), DECLARED_RIGHT), lambda a, p: a + F.log(p))
-    suffix = host_suffix(F.col("__host"))
+        log = F.zip_with(log, says(F.col("declared"), DECLARED_RIGHT), lambda a, p: a + F.log(p))
+    suffix = host_suffix(F.col("host"))
     for code, lang in SUFFIX_LANGUAGE.items():
-        suffix = F.when(host_suffix(F.col("__host")) == code, F.lit(lang)).otherwise(suffix)
+        suffix = F.when(host_suffix(F.col("host")) == code, F.lit(lang)).otherwise(suffix)
     log = F.zip_with(log, says(suffix, SUFFIX_RIGHT), lambda a, p: a + F.log(p))
-    out = joined.withColumn("__log", log)
-    weights = F.transform("__log", lambda x: F.exp(x - F.array_max("__log")))
-    probability = F.when(F.col("__letters") > 0, 1 / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
-    best = F.when(F.col("__letters") > 0, F.element_at(F.array(*map(F.lit, languages)), argmax(F.col("__log"))))
-    out = out.withColumn("id_best", best).withColumn("id_probability", probability)
-    rejected = F.col("id_best").isNull() | (F.col("id_probability") < least)
-    out = out.withColumn("id_rejected", rejected).withColumn("id_lang", F.when(~F.col("id_rejected"), F.col("id_best")))
-    back = [F.col("__body").alias("body") if c == "body" else F.col(f"`{c}`") for c in names]
-    return out.select(*back, "id_lang", "id_best", "id_probability", "id_rejected")
+    out = joined.withColumn("log", log)
+    weights = F.transform("log", lambda x: F.exp(x - F.array_max("log")))
+    probability = F.when(F.col("letters") > 0, 1 / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
+    best = F.when(F.col("letters") > 0, F.element_at(F.array(*map(F.lit, languages)), argmax(F.col("log"))))
+    out = out.withColumn("best", best).withColumn("probability", probability)
+    rejected = F.col("best").isNull() | (F.col("probability") < least)
+    out = out.withColumn("rejected", rejected).withColumn("lang", F.when(~F.col("rejected"), F.col("best")))
+    return out.select(*at, "lang", "best", "probability", "rejected").toDF(*held, *fresh)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -20,7 +20,12 @@ Defined results: null texts stay null, texts without a repeated block stay as
 they are, byte for byte.  Documents with equal ids are never aligned with each
 other, so repeated rows get equal results; rows of one id with different texts
 are told apart by a hash of the text.  Rows with a null id are left alone.  All
-other columns pass through.
+other columns pass through, whatever their names.  A tie between runs of equal
+hashes does not arise within an owner: its first copy counts; of equally long
+sequences in the same order the one that ends first in the owner is taken.  A very
+long text is read whole; the memory of a task is that of its longest text and a
+bounded number of runs.  A lone common line of ``min_words`` words is a block like
+any other: every copy but the owner's goes, in however many documents it stands.
 """
 
 from __future__ import annotations
@@ -36,8 +41,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postlake.llm.common import chunks, map_arrow, stored
+from postlake.llm.common import chunks, free_name, map_arrow, place, plain, stored
 
 MIN_WORDS = 5
 
@@ -78,28 +84,40 @@ def runs_of(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return found
 
 
+#: Runs in one record batch; texts of a batch are held once, runs never with them.
+RUN_ROWS = 20_000
+
+
 def _runs(min_words: int):
+    def records(rows: pa.RecordBatch, row: list[int], pos, sizes, copies, digests) -> pa.RecordBatch:
+        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        taken = rows.take(pa.array(row, pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [*taken.columns, pa.array(pos, pa.int32()), pa.array(sizes, pa.int32()), pa.array(copies, pa.int32()),
+             pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "th", "pos", "size", "copies", "h1", "h2"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every run: its first line among those that are not blank, its number of
         lines, how often the document holds it, hashes."""
         for batch in chunks(batches, "text"):
-            row, pos, sizes, copies, digests = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                lines = [x for x in (line.strip() for line in (text or b"").split(b"\n")) if x]
+            ids, texts = batch.select(["doc_id", "th"]), batch.column("text")
+            held: tuple[list, ...] = ([], [], [], [], [])
+            for i in range(len(ids)):
+                lines = [x for x in (line.strip() for line in (texts[i].as_py() or b"").split(b"\n")) if x]
                 found = runs_of([words_of(x) for x in lines], min_words)
                 own = [xxhash.xxh3_128_digest(b"\n".join(lines[at:at + n])) for at, n in found]
                 times = Counter(own)
-                row += [i] * len(found)
-                pos += [at for at, _ in found]
-                sizes += [n for _, n in found]
-                copies += [times[x] for x in own]
-                digests += own
-            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            taken = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [taken.column("doc_id"), taken.column("th"), pa.array(pos, pa.int32()), pa.array(sizes, pa.int32()),
-                 pa.array(copies, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                names=["doc_id", "th", "pos", "size", "copies", "h1", "h2"])
+                for start in range(0, len(found), RUN_ROWS):
+                    part = found[start:start + RUN_ROWS]
+                    digests = own[start:start + RUN_ROWS]
+                    for column, values in zip(held, ([i] * len(part), [at for at, _ in part], [n for _, n in part],
+                                                     [times[x] for x in digests], digests)):
+                        column += values
+                    if len(held[0]) >= RUN_ROWS:
+                        yield records(ids, *held)
+                        held = ([], [], [], [], [])
+            if held[0]:
+                yield records(ids, *held)
     return run
 
 
@@ -177,25 +195,25 @@ def without_lines(text: bytes, gone: set[int]) -> bytes:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with repeated blocks deleted from ``text_col``, and a
-    column ``lines_gone`` (bigint) with the number of deleted lines."""
-    gone = repeated_blocks(docs, id_col, text_col, **options).select(
-        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    names = [c for c in docs.columns if c != "lines_gone"]
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(
-        gone.hint("shuffle_hash"),
-        (F.col(f"`{id_col}`").cast("bigint") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
+    column ``lines_gone`` (bigint; ``lines_gone_2`` and so on if the table has one
+    of that name) with the number of deleted lines."""
+    own, names = plain(docs)
+    id_at, text_at = place(names, id_col), place(names, text_col)
+    gone = repeated_blocks(own, id_at, text_at, **options).withColumnsRenamed({"doc_id": "gone_id", "th": "gone_th"})
+    joined = own.join(gone.hint("shuffle_hash"), (F.col(id_at).cast("bigint") == F.col("gone_id"))
+                      & (F.xxhash64(text_at) == F.col("gone_th")), "left")
+    rest = [c for c in own.columns if c != text_at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "body"):
             texts = [without_lines(t, set(g)) if g else t
-                     for t, g in zip(batch.column("__text").to_pylist(), batch.column("__gone").to_pylist())]
-            sizes = pc.fill_null(pc.list_value_length(batch.column("__gone")), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names if c != text_col), pa.array(texts, pa.binary()), sizes],
-                names=[*(c for c in names if c != text_col), "__text", "lines_gone"])
-
-    types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names if c != text_col), "__text binary", "lines_gone bigint"])
-    sent = joined.select(*[F.col(f"`{c}`") for c in names if c != text_col], F.col(text_col).cast("binary").alias("__text"), "__gone")
-    done = map_arrow(sent, run, schema)
-    return done.select(*[F.col("__text").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], "lines_gone")
+                     for t, g in zip(batch.column("body").to_pylist(), batch.column("gone").to_pylist())]
+            sizes = pc.fill_null(pc.list_value_length(batch.column("gone")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.binary()), sizes],
+                                             names=[*rest, "body", "lines"])
+
+    schema = T.StructType([*(own.schema[c] for c in rest), T.StructField("body", T.BinaryType()),
+                           T.StructField("lines", T.LongType())])
+    done = map_arrow(joined.select(*rest, F.col(text_at).cast("binary").alias("body"), "gone"), run, schema)
+    return done.select(*[F.col("body").cast("string") if c == text_at else F.col(c) for c in own.columns], "lines") \
+        .toDF(*names, free_name(names, "lines_gone"))

@@ -63,7 +63,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: text, declared language, and the source as host."""
-    found = language_id.identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    found = language_id.identify(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "id_lang", "id_best", F.round("id_probability", 6).alias("id_probability"), "id_rejected")
 
 
@@ -73,7 +73,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the text model fitted on the labelled documents."""
     model = language_id.fit(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     found = language_id.identify(language_id.page_evidence(read(spark, sf_dir, "pages")), "page_id", "text", "host",
-                                 "declared", model)
+                                 "declared", model, keep=["page_id", "host", "declared"])
     return found.select("page_id", "host", "declared", "id_lang", "id_best",
                         F.round("id_probability", 6).alias("id_probability"), "id_rejected")
 

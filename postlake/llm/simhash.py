@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.common import ASCII_LOWER, chunks, map_arrow, stored
+from postlake.llm.common import ASCII_LOWER, chunks, map_arrow, place, plain, stored
 from postlake.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -146,15 +146,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` without near duplicates: of every component the row
     with the smallest id stays (then the smallest text hash; rows that agree in
     both are repeats, of which one stays)."""
-    found = near_duplicates(docs, id_col, text_col, shingle_words, max_bits)
+    own, names = plain(docs)
+    id_at, text_at = place(names, id_col), place(names, text_col)
+    found = near_duplicates(own, id_at, text_at, shingle_words, max_bits)
     # Rows without any id have no component of their own: their print stands in.
     group = F.coalesce(F.col("component_id"), F.col("fp"))
     first = found.groupBy(group.alias("g"), F.col("component_id").isNull().alias("none")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th"))
-    from pyspark.sql import Window
-
-    marked = docs.withColumn("__th", F.xxhash64(text_col)).withColumn("__id", F.col(id_col).cast("bigint"))
-    once = F.row_number().over(Window.partitionBy("__id", "__th").orderBy(F.lit(0)))
-    joined = marked.join(kept, F.col("__id").eqNullSafe(F.col("kept_id")) & (F.col("__th") == F.col("kept_th")), "left_semi")
-    return joined.withColumn("__n", once).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = own.withColumns({"th": F.xxhash64(text_at), "id": F.col(id_at).cast("bigint")})
+    once = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(0)))
+    joined = marked.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left_semi")
+    return joined.withColumn("n", once).where("n = 1").select(*own.columns).toDF(*names)

@@ -35,9 +35,10 @@ def awkward(spark):
 
     docs = spark.createDataFrame(ROWS, SCHEMA)
     for name in ("th", "fp", "ids", "spans", "pos", "w", "word", "n", "key", "label", "host", "body", "best", "gone",
-                 "item_id", "n_words", "a", "b", "score", "value", "counts", "up"):
+                 "item_id", "n_words", "a", "b", "score", "value", "counts", "up", "a.b", "back`tick", "Bo dy", "__th",
+                 "__text", "Lines_Gone", "c0", "C1", "id_best"):
         docs = docs.withColumn(name, F.lit("x"))
-    return docs
+    return docs.withColumn("parts", F.struct(F.lit(1).alias("a-b"), F.lit("y").alias("c.d")))
 
 
 def empty(spark):
@@ -102,3 +103,55 @@ def windows(items):
         w = words(text)
         out += [(item, w[i:i + 10]) for i in range(max(1, len(w) - 9))] if w else []
     return out
+
+
+def others(df):
+    """The distinct values of all columns but the text, as text."""
+    return {str(tuple(r)) for r in df.drop("text").collect()}
+
+
+def line_dedup(texts, min_words=5):
+    """Line dedup by comparing every pair of runs of every pair of documents;
+    the longest common order is found among all subsets of the runs held once."""
+    lines = {d: [x.strip() for x in t.split("\n") if x.strip()] for d, t in texts.items()}
+    runs = {}
+    for d, rows in lines.items():
+        size = [len(x.split()) for x in rows]
+        spans = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows) + 1) if sum(size[a:b]) >= min_words]
+        runs[d] = sorted((a, b) for a, b in spans if sum(size[a:b - 1]) < min_words or sum(size[a + 1:b]) < min_words)
+    content = {d: [tuple(lines[d][a:b]) for a, b in runs[d]] for d in runs}
+    owner = {}
+    for d in sorted(texts):
+        for i, c in enumerate(content[d]):
+            owner.setdefault(c, (d, runs[d][i][0]))
+    out = {}
+    for d, text in texts.items():
+        gone = set()
+        for e in {owner[c][0] for c in content[d]} - {d}:
+            shared = [(a, b, owner[c][1], content[d].count(c) == 1 == content[e].count(c))
+                      for (a, b), c in zip(runs[d], content[d]) if owner[c][0] == e]
+            once = sorted((a, b - a, o) for a, b, o, x in shared if x)
+            gone |= {i for a, b, o, x in shared if not x for i in range(a, b)}
+            gone |= {i for a, n, o in ordered(once) for i in range(a, a + n)}
+        kept, n = [], 0
+        for line in text.split("\n"):
+            if not line.strip() or n not in gone:
+                kept.append(line)
+            n += bool(line.strip())
+        out[d] = "\n".join(kept)
+    return out
+
+
+def ordered(once):
+    """All of ``once`` if the owner has the runs in the same order, else a longest
+    part of it whose places (and lengths) in the owner ascend; of several the one
+    that patience sorting ends with."""
+    if all(x[2] <= y[2] for x, y in zip(once, once[1:])):
+        return once
+    best = [()] * len(once)  # the longest that ends in each
+    tails = []
+    for i, x in enumerate(once):
+        at = next((k for k, t in enumerate(tails) if (once[t][2], once[t][1]) >= (x[2], x[1])), len(tails))
+        best[i] = (best[tails[at - 1]] if at else ()) + (x,)
+        tails[at:at + 1] = [i]
+    return list(best[tails[-1]])

@@ -1,9 +1,11 @@
 """Line dedup, language, URL filter, SimHash, search, decontamination."""
 
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,32 @@ def test_line_dedup_awkward(spark):
     assert got[3] is None and got[4] == "" and got[9] == "" and got[6] != H.ROWS[7][1]
     assert sorted(r.text for r in rows if r.doc_id == 2) == [H.ROWS[1][1]] * 2
     assert line_dedup.line_dedup(H.empty(spark)).count() == 0
+    assert H.others(line_dedup.line_dedup(H.awkward(spark)).drop("lines_gone_2")) == H.others(H.awkward(spark))
+
+
+def test_memory_of_a_long_document_of_short_lines():
+    """A document of 1 MB in 40,000 lines: the runs leave in bounded batches that
+    never hold a text, and the task holds 60 MB of Python objects at most."""
+    draw = random.Random(1)
+    text = "\n".join(" ".join(f"w{draw.randrange(1000)}" for _ in range(5)) for _ in range(40_000)).encode()[:1_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text], pa.binary())], names=["doc_id", "th", "text"])
+    start, rows = pa.total_allocated_bytes(), 0
+    tracemalloc.start()
+    for out in line_dedup._runs(5)(iter([batch])):
+        assert len(out) <= 2 * line_dedup.RUN_ROWS and out.nbytes <= 50 * len(out)
+        assert pa.total_allocated_bytes() - start < 8 << 20
+        rows += len(out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 30_000 and peak < 60 << 20
+
+
+def test_line_dedup_against_a_brute_force_aligner(spark):
+    draw = random.Random(12)
+    for _ in range(3):
+        pool = [" ".join(f"{draw.choice('abcdefgh')}{draw.randrange(9)}" for _ in range(draw.randrange(1, 8))) for _ in range(14)]
+        texts = [(i, "\n".join(draw.choice([*pool, f"own {i} {j}", ""]) for j in range(draw.randrange(12)))) for i in range(25)]
+        assert dedup(spark, texts) == H.line_dedup(dict(texts))
 
 
 def test_longest_increasing_against_brute_force():
@@ -194,6 +222,8 @@ def test_language_awkward(spark):
     rejected = sorted((r.doc_id or 0) for r in rows if r.id_rejected)
     assert set(rejected) >= {3, 4, 7}
     assert language_id.identify(H.empty(spark)).count() == 0
+    got = language_id.identify(H.awkward(spark)).drop("id_lang", "id_best_2", "id_probability", "id_rejected")
+    assert H.others(got) == H.others(H.awkward(spark))
     assert language_id.identify(H.empty(spark).unionByName(frame(spark, [(1, "abc")]).selectExpr(
         "doc_id", "text", "null lang", "null source", "0L n_chars"))).where("id_rejected").count() == 1
 
@@ -273,6 +303,7 @@ def test_simhash_awkward(spark):
     ids = sorted((r.doc_id or 0) for r in kept.collect())
     assert len(ids) == len(set(ids)) and set(ids) >= {0, 1, 2, 3, 7, 8} and not {4, 9} & set(ids)
     assert kept.columns == H.awkward(spark).columns
+    assert H.others(kept) <= H.others(H.awkward(spark))
     assert simhash.near_duplicates(H.empty(spark)).count() == 0 and simhash.keep_one(H.empty(spark)).count() == 0
 
 
