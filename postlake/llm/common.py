@@ -58,12 +58,12 @@ def words(text: Column) -> Column:
 BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
-def map_arrow(df: DataFrame, f, schema: str | StructType) -> DataFrame:
+def map_arrow(df: DataFrame, f, schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` with small batches; sets the session's batch limits.
     Python workers serve many tasks: what a task leaves unused goes back to the
     system at its end."""
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

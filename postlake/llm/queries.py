@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import (ann, bpe, decontaminate, html_extract, language_id, licenses, line_dedup, pii, simhash,
-                          url_filter)
+from postlake.llm import (ann, bpe, collocations, decontaminate, html_extract, language_id, licenses, line_dedup, mixing, pii, simhash,
+                          url_filter, whitening)
 from postlake.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,74 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op11_collocations", r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] as w
+  from (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+f1 as (select lang, x, cast(count(*) as hugeint) as f from (select lang, unnest(w) as x from p) group by all),
+n as (select lang, cast(sum(f) as bigint) as n from f1 group by lang),
+f2 as (select lang, w[i] as x, w[i + 1] as y, cast(count(*) as hugeint) as f
+  from (select lang, w, unnest(generate_series(1, len(w) - 1)) as i from p) group by all),
+f3 as (select lang, w[i] as x, w[i + 1] as y, w[i + 2] as z, cast(count(*) as hugeint) as f
+  from (select lang, w, unnest(generate_series(1, len(w) - 2)) as i from p) group by all having count(*) >= 10),
+c2 as (select f2.lang, f2.x, f2.y, f2.f as a, p.f as l, q.f as r from f2 join f1 p on p.lang = f2.lang and p.x = f2.x
+  join f1 q on q.lang = f2.lang and q.x = f2.y where f2.f >= 10),
+s3 as (select f3.*, p.f as f1, q.f as f23, s.f as f12, t.f as f3,
+    1000000 * f3.f * f3.f // (p.f * q.f) as s1, 1000000 * f3.f * f3.f // (s.f * t.f) as s2
+  from f3 join f1 p on p.lang = f3.lang and p.x = f3.x join f2 q on q.lang = f3.lang and q.x = f3.y and q.y = f3.z
+  join f2 s on s.lang = f3.lang and s.x = f3.x and s.y = f3.y join f1 t on t.lang = f3.lang and t.x = f3.z),
+longer as (select lang, x, y, max(f) as f from (select lang, x, y, f from f3 union all select lang, y, z, f from f3) group by all),
+c as (
+  select c2.lang, c2.x || ' ' || c2.y as phrase, a, l, r, 1000000 * a * a // (l * r) as score
+  from c2 left join longer g on g.lang = c2.lang and g.x = c2.x and g.y = c2.y where g.f is null or 100 * g.f < 50 * a
+  union all
+  select lang, x || ' ' || y || ' ' || z, f, case when s1 <= s2 then f1 else f12 end,
+    case when s1 <= s2 then f23 else f3 end, least(s1, s2) from s3),
+k as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from c)
+select k.lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, n,
+  cast(score as bigint) as score from k join n on n.lang = k.lang where rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op12_source_mix", r"""
+with w as (
+  select doc_id, source is null as none, coalesce(source, '') as key,
+    cast(len([x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']) as bigint) as size,
+    substr(sha256('12|' || coalesce(cast(doc_id as varchar), '-') || '|' || sha256(coalesce(text, ''))), 1, 32) as draw from documents),
+s as (
+  select none, key, cast(sum(size) as bigint) as source_size, 2 * cast(sum(size) as bigint) as cap,
+    [3, 1, 2][cast((row_number() over (order by none, encode(key)) - 1) % 3 + 1 as integer)] as weight from w group by none, key),
+-- In the order of cap / weight the first k sources are clamped.
+o as (
+  select *, coalesce(sum(cap) over (order by cap / weight, none, key rows between unbounded preceding and 1 preceding), 0) as clamped,
+    sum(weight) over (order by cap / weight, none, key rows between current row and unbounded following) as rest,
+    (select 1.5 * sum(source_size) from s) as mix from s),
+level as (select min(cap / weight) as least from o where cap * rest >= weight * (mix - clamped)),
+f as (
+  select none, key, source_size, case when cap / weight < least then cast(cap as double)
+    else cast(weight * (select any_value(mix) - coalesce(sum(cap) filter (cap / weight < least), 0) from o, level) as double)
+      / cast((select sum(weight) filter (cap / weight >= least) from o, level) as double) end as target
+  from s, level),
+g as (
+  select *, least(floor(target + 0.5), 2 * source_size)::bigint as whole,
+    case when source_size > 0 then least(floor(target + 0.5), 2 * source_size)::bigint // source_size else 0 end as reps from f),
+d as (
+  select w.*, g.source_size, target, reps, whole - reps * source_size as rest,
+    coalesce(sum(size) over (partition by w.none, w.key order by draw rows between unbounded preceding and 1 preceding), 0) as before
+  from w join g on w.none = g.none and w.key = g.key)
+select doc_id, size, source_size, target, cast(reps * size + greatest(least(rest - before, size), 0) as bigint) as taken from d
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    weights = mixing.cycled_weights(mixing.ranked_sources(docs))
+    return mixing.mix(docs, weights, keep=["doc_id"])
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))

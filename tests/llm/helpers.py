@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import duckdb
 import xxhash
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -105,6 +106,14 @@ def windows(items):
     return out
 
 
+def oracle(sf_dir, sql):
+    """The rows of DuckDB SQL over the tables."""
+    con = duckdb.connect()
+    for name in ("documents", "pages", "benchmark", "embeddings"):
+        con.execute(f"create view {name} as select * from read_parquet('{sf_dir}/{name}.parquet')")
+    return con.execute(sql).df()
+
+
 def others(df):
     """The distinct values of all columns but the text, as text."""
     return {str(tuple(r)) for r in df.drop("text").collect()}
