@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written to the shared folder and read again as the next stage's documents.  All
 stages but the last return the columns of documents.
+
+Defined results: a null text has no letters, so the first stage drops its row, as it
+does empty texts; given to another stage, a null or empty text has no lines, no
+windows, fingerprint zero and no tokens.  Rows without an id are kept apart from each
+other by their texts.  Repeated rows are treated alike, and of those the near-duplicate
+stage keeps one.  Texts of any length are taken whole.  An empty table passes every
+stage.  Columns beyond those of documents are dropped.
 """
 
 from __future__ import annotations

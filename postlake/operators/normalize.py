@@ -16,6 +16,9 @@ from postlake.functions import scalars as X
 
 DEFAULT_COLLECTED_AT = "2024-02-01 00:00:00"
 
+# Fixed value: the collection whose commits are posts.
+POST_COLLECTION = "app.bsky.feed.post"
+
 _FALSE_DEFAULTS = ["is_comment", "is_nsfw", "is_reply", "is_repost", "is_reblog",
                    "is_sensitive", "created_at_fallback"]
 
@@ -155,7 +158,7 @@ def firehose_to_post_view(messages: DataFrame) -> DataFrame:
     """F9 + N5: keep commit messages of the post collection and map the
     envelope to a post view; engagement 0, indexedAt from ``time_us``."""
     m = messages.where((F.col("kind") == "commit") &
-                       (F.col("commit.collection") == "app.bsky.feed.post"))
+                       (F.col("commit.collection") == POST_COLLECTION))
     return m.select(
         F.col("commit.uri").alias("uri"),
         F.col("commit.cid").alias("cid"),
@@ -283,3 +286,10 @@ def to_record_json(posts: DataFrame) -> DataFrame:
 def from_record_json(records: DataFrame, col: str = "record") -> DataFrame:
     """JSON objects back to posts, parsed with the explicit schema."""
     return records.select(F.from_json(F.col(col), S.POST).alias("_p")).select("_p.*")
+
+
+def raw_field(path: str, kind: str = "string", raw="raw_data") -> Column:
+    """One nested field of the raw payload (``$.account.acct``) as ``kind``;
+    null where the payload has no such field or it does not convert.  The text is
+    parsed as VARIANT, so no schema of the payload is needed."""
+    return F.try_variant_get(F.try_parse_json(F.col(raw) if isinstance(raw, str) else raw), path, kind)

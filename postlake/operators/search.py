@@ -4,8 +4,10 @@ The remote services of the reference did the matching, ranking and capping;
 here they are DataFrame plans over landed posts:
 
 * term match (J4) is a theta join of posts with the term table of a job spec,
-  which the driver program holds as a list.  Every list length takes the same
-  JVM plan: the table is broadcast, the posts are read once and never shuffled.
+  which the driver program holds as a list.  A long list is made an equi join on runs
+  of three bytes (``substring_matches``), so that the cost does not grow with posts x
+  terms; a short one is checked as literals.  Both are JVM plans without a shuffle of
+  the posts and without a nested-loop join.
 * per-group caps (L1) are ``row_number() <= n`` windows; Spark plans them as
   WindowGroupLimit, which keeps at most n rows per group in every map task
   before the shuffle, so a hot group never ships all its rows to one task.
@@ -85,18 +87,99 @@ def terms_frame(spark: SparkSession, terms: list[str], kind: str = "keyword") ->
     return df.withColumn("term_key", key)
 
 
+#: Up to so many terms are checked one by one in each post.  Measured, the gram join
+#: costs about as much as 120 rare terms, however many there are, and more if many
+#: places hold a key.
+DIRECT_TERMS = 256
+
+#: Terms that one broadcast carries; a longer list takes one pass over the posts for
+#: each such block, never a larger broadcast.
+BLOCK_TERMS = 20_000
+GRAM = 3  # bytes
+COUNTED_SHARE = 0.05  # of the posts, for the counts that choose a term's gram
+
+
+def _grams(rows: DataFrame, text: str, sizes: list[int]) -> DataFrame:
+    """A row for each place (``_at``, a byte, from 1) of a text and each of ``sizes``:
+    a hash of the run of that many bytes there (``_gram``).  Bytes, because a place in
+    them is found at once; in UTF-8 a text contains another if its bytes do.  The runs
+    are generated inside one codegen stage, no array of them is ever built."""
+    least = min(sizes)
+    bytes_ = rows.withColumn("_bytes", F.col(text).cast("binary")).where(F.octet_length("_bytes") >= least)
+    at = bytes_.withColumn("_at", F.explode(F.sequence(F.lit(1), F.octet_length("_bytes") - (least - 1))))
+    size = F.lit(sizes[0])
+    if len(sizes) > 1:
+        at = at.withColumn("_size", F.explode(F.array(*map(F.lit, sizes))))
+        size = F.col("_size")
+        at = at.where(F.col("_at") + size - 1 <= F.octet_length("_bytes"))
+    return at.withColumn("_gram", F.xxhash64(F.substring(F.col("_bytes"), F.col("_at"), size))).drop("_size")
+
+
+def keyed_terms(terms: DataFrame, hay: DataFrame) -> DataFrame:
+    """``terms`` (with ``term_key``) with ``_term`` (its bytes), ``_gram`` and ``_off``:
+    of the runs of three bytes in a term the one that is rarest in the posts (``hay``:
+    their lower-cased text, column ``_hay``), and where it first stands in the term; a
+    shorter term is its own.  Counts are grouped over a share of the posts, drawn by the
+    hash of the text: they choose between grams that are all right."""
+    own = terms.withColumn("_term", F.col("term_key").cast("binary"))
+    size = F.least(F.octet_length("_term"), F.lit(GRAM))
+    places = own.select("term_pos", "_term", size.alias("_size"), F.explode(
+        F.sequence(F.lit(0), F.octet_length("_term") - size)).alias("_off"))
+    grams = places.groupBy("term_pos", F.xxhash64(F.substring(F.col("_term"), F.col("_off") + 1, F.col("_size"))).alias("_gram")) \
+        .agg(F.min("_off").alias("_off"))
+    drawn = hay.where(F.pmod(F.xxhash64("_hay"), F.lit(1000)) < int(1000 * COUNTED_SHARE))
+    met = _grams(drawn, "_hay", [GRAM]).join(F.broadcast(grams.select("_gram").distinct()), "_gram")
+    counts = met.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+    best = grams.join(counts, "_gram", "left").groupBy("term_pos").agg(
+        F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("held"), "_off", "_gram")).alias("b"))
+    return own.join(best, "term_pos").select("term_pos", "term", "term_key", "_term", "b._off", "b._gram")
+
+
+def _direct_matches(rows: DataFrame, terms: list[tuple[int, str]]) -> DataFrame:
+    """The terms one by one, as literals of one expression."""
+    named = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("term"), F.lower(F.lit(t)).alias("key"))
+                      for i, t in terms])
+    m = rows.withColumn("_t", F.explode(F.filter(named, lambda t: (t["key"] != "") & F.contains(F.col("_hay"), t["key"]))))
+    return m.withColumns({"term_pos": F.col("_t.pos"), "term": F.col("_t.term"), "term_key": F.col("_t.key")}).drop("_t")
+
+
+def _gram_matches(spark: SparkSession, rows: DataFrame, terms: list[tuple[int, str]]) -> DataFrame:
+    """An inverted gram join: each term is keyed by its rarest gram, the places of the
+    posts meet the keys in an equi join, the term's bytes are compared there, and only
+    the first place of a term in a post counts, so a pair comes once.  The cost is that
+    of the posts' bytes, plus the places where a key stands; a post is copied only where
+    a term is found."""
+    # Lower-casing never makes a text shorter.
+    sizes = list(range(min(GRAM, *(len(t.encode()) for _, t in terms)), GRAM + 1))
+    t = spark.createDataFrame(terms, "term_pos int, term string").withColumn("term_key", F.lower("term"))
+    met = _grams(rows, "_hay", sizes).join(F.broadcast(keyed_terms(t, rows.select("_hay"))), "_gram")
+    start = F.col("_at") - F.col("_off")
+    here = (start >= 1) & (F.substring(F.col("_bytes"), start, F.octet_length("_term")) == F.col("_term"))
+    first_at = F.octet_length(F.call_function("substring_index", F.col("_hay"), F.col("term_key"), F.lit(1))) + 1
+    return met.where(F.when(here, start == first_at).otherwise(F.lit(False))).drop("_bytes", "_at", "_gram", "_off", "_term")
+
+
 def substring_matches(spark: SparkSession, posts: DataFrame, terms: list[str],
                       hay: Column) -> DataFrame:
     """Posts x terms where the lower-case ``hay`` contains the term;
     adds ``term``, ``term_pos`` and ``hits`` (non-overlapping occurrences).
-    A post matching two terms appears twice (U1).  Empty terms match nothing."""
+    A post matching two terms appears twice (U1).  Empty terms match nothing.
+
+    A short list is checked term by term, a long one takes the gram join, in blocks
+    of a bounded size that are broadcast (its terms of one or two bytes, which stand
+    nearly everywhere, are checked one by one too, if they are few); either way the
+    posts are not shuffled and there is no nested-loop join."""
     if not terms:
         raise ValueError("no terms")
-    t = terms_frame(spark, list(terms)).where(F.col("term_key") != "")
-    m = posts.withColumn("_hay", F.lower(hay)).join(
-        F.broadcast(t), F.col("_hay").contains(F.col("term_key")))
-    return (m.withColumn("hits", X.count_hits(F.col("_hay"), F.col("term_key")))
-            .drop("_hay", "term_key"))
+    rows = posts.withColumn("_hay", F.lower(hay))
+    named = [(i, t) for i, t in enumerate(terms) if t]
+    short = [x for x in named if len(x[1].encode()) < GRAM]
+    direct = named if len(named) <= DIRECT_TERMS else short if len(short) <= DIRECT_TERMS else []
+    out = _direct_matches(rows, direct or [(0, "")])
+    rest = [x for x in named if x not in set(direct)]
+    for start in range(0, len(rest), BLOCK_TERMS):
+        out = out.unionByName(_gram_matches(spark, rows, rest[start:start + BLOCK_TERMS]))
+    return out.select(*posts.columns, "term_pos", "term", X.count_hits(F.col("_hay"), F.col("term_key")).alias("hits"))
 
 
 def _hay_title_text() -> Column:
@@ -356,5 +439,4 @@ def news_search(spark: SparkSession, items: DataFrame, keywords: list[str], doma
             cond = c if cond is None else cond | c
         it = it.where(cond)
     it = it.where(F.col("published").between(start, end))
-    t = terms_frame(spark, keywords)
-    return it.join(F.broadcast(t), F.lower(F.col("title")).contains(F.col("term_key"))).drop("term_key")
+    return substring_matches(spark, it, keywords, F.col("title")).drop("hits")

@@ -35,7 +35,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlake.operators import keys as K
 from postlake.schemas import KEY
+from postlake.session import free_names, staged
 
 POST_REPLACE = ("text", "raw_data", "metrics")
 POST_REPLACE_IF_REDDIT = ("title",)
@@ -94,12 +96,16 @@ def _edit_winner(summary_alias: str, stored_compare: Column, compare: str) -> Co
 def upsert(cur: DataFrame, batch: DataFrame, key: list[str] | None = None, order: str = "seq",
            compare: str = "text", replace=POST_REPLACE,
            replace_if_reddit=POST_REPLACE_IF_REDDIT, with_outcome: bool = False,
-           within_batch: str = "first", refresh=()) -> DataFrame:
+           within_batch: str = "first", refresh=(), blocks: int | None = None) -> DataFrame:
     """The store after applying ``batch`` to ``cur`` (same columns as
     ``cur``).  ``with_outcome`` adds ``_outcome`` in
     {inserted, updated, unchanged, untouched} and ``_copies`` (rows of the
     batch for the key).
 
+    ``blocks``: for a store that is much larger than the batch.  A Bloom filter
+    of that many blocks is built from the batch's keys; rows of ``cur`` that it
+    rules out pass straight through, only the others are shuffled for the join.
+
     Options (ours; the defaults are the reference's observable rule):
     ``within_batch='last'`` inserts a new key's latest copy instead of its
     first (D7); ``refresh`` names columns taken from the latest copy of
@@ -110,46 +116,64 @@ def upsert(cur: DataFrame, batch: DataFrame, key: list[str] | None = None, order
     missing = [c for c in cols if c not in batch.columns]
     if missing:
         raise ValueError(f"batch lacks store columns {missing}")
+    if blocks:
+        near, far = split_by_keys(cur, batch, key, blocks)
+        far = far.withColumns({"_outcome": F.lit("untouched"), "_copies": F.lit(0).cast("long")}) if with_outcome else far
+        return upsert(near, batch, key, order, compare, replace, replace_if_reddit, with_outcome, within_batch,
+                      refresh).unionByName(far)
     s = batch_summary(batch.select(*cols), key, order, compare).alias("s")
-    c = cur.withColumn("_in_cur", F.lit(True)).alias("c")
+    mark, = free_names(cols, ["in_cur"])
+    c = cur.withColumn(mark, F.lit(True)).alias("c")
     j = c.join(s, key, "full_outer")
-    in_cur = F.col("c._in_cur").isNotNull()
-    win = _edit_winner("s", F.col(f"c.{compare}"), compare)
+    # The winning version is worked out once per row, not once per column.
+    won, found, copies, added, newest = free_names(cols, ["won", "found", "copies", "added", "newest"])
+    j = j.select(*[F.col(k) for k in key], *[F.col(f"c.{c}").alias(c) for c in cols if c not in key],
+                 F.col(f"c.{mark}").isNotNull().alias(found), F.col("s.n").alias(copies), F.col("s.last").alias(newest),
+                 F.col(f"s.{_insert_side(within_batch)}").alias(added), _edit_winner("s", F.col(f"c.{compare}"), compare).alias(won))
+    in_cur, win, latest = F.col(found), F.col(won), F.col(newest)
     out_cols = []
     for col in cols:
         if col in key:
             out_cols.append(F.col(col))
             continue
-        stored = F.col(f"c.{col}")
         if col in refresh:
-            kept = F.when(F.col("s.n").isNotNull(), F.col("s.last")[col]).otherwise(stored)
+            kept = F.when(F.col(copies).isNotNull(), latest[col]).otherwise(F.col(col))
         elif col in replace:
-            kept = F.when(win.isNotNull(), win[col]).otherwise(stored)
+            kept = F.when(win.isNotNull(), win[col]).otherwise(F.col(col))
         elif col in replace_if_reddit:
-            kept = F.when(win.isNotNull() & (F.col("platform") == "reddit"), win[col]).otherwise(stored)
+            kept = F.when(win.isNotNull() & (F.col("platform") == "reddit"), win[col]).otherwise(F.col(col))
         else:
-            kept = stored
-        inserted = F.col(f"s.{_insert_side(within_batch)}")[col]
-        if col in refresh:
-            inserted = F.col("s.last")[col]
+            kept = F.col(col)
+        inserted = (latest if col in refresh else F.col(added))[col]
         out_cols.append(F.when(in_cur, kept).otherwise(inserted).alias(col))
     if with_outcome:
         out_cols.append(
             F.when(~in_cur, F.lit("inserted"))
-             .when(F.col("s.n").isNull(), F.lit("untouched"))
+             .when(F.col(copies).isNull(), F.lit("untouched"))
              .when(win.isNotNull(), F.lit("updated"))
              .otherwise(F.lit("unchanged")).alias("_outcome"))
-        out_cols.append(F.coalesce(F.col("s.n"), F.lit(0)).cast("long").alias("_copies"))
+        out_cols.append(F.coalesce(F.col(copies), F.lit(0)).cast("long").alias("_copies"))
     return j.select(*out_cols)
 
 
+def split_by_keys(cur: DataFrame, batch: DataFrame, key: list[str] | None = None,
+                  blocks: int = K.BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``cur`` whose key may be in ``batch``, rows whose key is not)."""
+    key = list(key or KEY)
+    flag, = free_names(cur.columns, ["might"])
+    marked = K.might_hold(cur, batch, key, flag, blocks)
+    return marked.where(F.col(flag)).drop(flag), marked.where(~F.col(flag)).drop(flag)
+
+
 def outcome_counts(cur: DataFrame, batch: DataFrame, key: list[str] | None = None,
-                   order: str = "seq", compare: str = "text") -> DataFrame:
+                   order: str = "seq", compare: str = "text", blocks: int | None = None) -> DataFrame:
     """Incoming, inserted, updated, unchanged, duplicate counts of one
-    batch (duplicate = copies beyond the first per key inside the batch)."""
+    batch (duplicate = copies beyond the first per key inside the batch).
+    ``blocks`` as for ``upsert``."""
     key = list(key or KEY)
     s = batch_summary(batch.select(*key, order, compare), key, order, compare).alias("s")
-    c = cur.select(*key, F.col(compare).alias("_stored")).withColumn("_in_cur", F.lit(True))
+    narrow = cur.select(*key, F.col(compare).alias("_stored"))
+    c = (K.lookup(narrow, batch, key, blocks) if blocks else narrow).withColumn("_in_cur", F.lit(True))
     j = s.join(c, key, "left")
     win = _edit_winner("s", F.col("_stored"), compare)
     outcome = (F.when(F.col("_in_cur").isNull(), F.lit("inserted"))
@@ -166,12 +190,14 @@ def outcome_counts(cur: DataFrame, batch: DataFrame, key: list[str] | None = Non
         .select("outcome", F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n"))
 
 
-def strict_append_conflicts(cur: DataFrame, batch: DataFrame, key: list[str] | None = None) -> DataFrame:
+def strict_append_conflicts(cur: DataFrame, batch: DataFrame, key: list[str] | None = None,
+                            blocks: int | None = None) -> DataFrame:
     """K2/Q4: batch rows that a strict insert would reject: the key exists in
     the store, or appears more than once in the batch.  Empty means the
-    batch may be appended as is."""
+    batch may be appended as is.  ``blocks`` as for ``upsert``."""
     key = list(key or KEY)
-    exists = batch.join(cur.select(*key), key, "left_semi").withColumn("reason", F.lit("exists"))
+    known = K.lookup(cur.select(*key), batch, key, blocks) if blocks else cur.select(*key)
+    exists = batch.join(known, key, "left_semi").withColumn("reason", F.lit("exists"))
     dup_keys = batch.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*key)
     dups = batch.join(dup_keys, key, "left_semi").withColumn("reason", F.lit("duplicate_in_batch"))
     return exists.unionByName(dups)
@@ -206,9 +232,10 @@ def _replay_steps(versions: DataFrame, batch_col: str, key: list[str], order: st
     Five window passes over the same sorted partitions (no re-sort, no
     extra shuffle): neighbours, running count of "not" transitions, last
     reset, previous state, last applied version."""
-    clash = {c.lower() for c in versions.columns} & _INTERNAL
+    # Columns of a version travel inside structs, so their names do not matter.
+    clash = {c.lower() for c in [*key, batch_col]} & _INTERNAL
     if clash:
-        raise ValueError(f"column names reserved by the replay: {sorted(clash)}")
+        raise ValueError(f"key and batch columns must not be named {sorted(clash)}")
     s = batch_summary(versions, key + [batch_col], order, compare)
     w = Window.partitionBy(*key).orderBy(batch_col)
     wr = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -283,14 +310,16 @@ def edit_history(versions: DataFrame, batch_col: str, key: list[str] | None = No
                     F.when(F.col("_first"), F.lit("insert")).otherwise(F.lit("edit")).alias("change"))
 
 
-def first_copies(batch: DataFrame, key: list[str] | None = None, order: str = "seq") -> DataFrame:
+def first_copies(batch: DataFrame, key: list[str] | None = None, order: str = "seq",
+                 copies: str | None = None) -> DataFrame:
     """In-batch de-duplication, first arrival wins (``min_by`` per key,
-    a partial aggregation -- unlike ``dropDuplicates`` it is deterministic)."""
+    a partial aggregation -- unlike ``dropDuplicates`` it is deterministic).
+    ``copies`` names a column for the number of rows of the key."""
     key = list(key or KEY)
     cols = batch.columns
     compare = "text" if "text" in cols else cols[0]
-    agg = batch.groupBy(*key).agg(F.min_by(_row(cols), _arrival(order, compare)).alias("_r"))
-    return agg.select(*[F.col("_r")[c].alias(c) for c in cols])
+    agg = batch.groupBy(*key).agg(F.min_by(_row(cols), _arrival(order, compare)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    return agg.select(*[F.col("_r")[c].alias(c) for c in cols], *([F.col("_n").alias(copies)] if copies else []))
 
 
 def fingerprints(posts: DataFrame, with_url: bool = False) -> DataFrame:
@@ -304,15 +333,19 @@ def fingerprints(posts: DataFrame, with_url: bool = False) -> DataFrame:
 
 def canonical_by_fingerprint(posts: DataFrame) -> DataFrame:
     """One canonical post per fingerprint -- earliest created_at, then
-    (platform, object_id) -- and the number of copies.  ``min_by`` is a
-    partial aggregation, so a fingerprint shared by a third of all rows is
-    combined map-side instead of being sorted in one task."""
-    order = F.struct("created_at", "platform", "object_id")
-    agg = posts.groupBy("fingerprint").agg(
-        F.min_by(F.struct("platform", "object_id"), order).alias("_c"),
-        F.count(F.lit(1)).alias("n_copies"))
-    return agg.select("fingerprint", F.col("_c.platform").alias("platform"),
-                      F.col("_c.object_id").alias("object_id"), "n_copies")
+    (platform, object_id) -- and the number of copies.
+
+    Two steps over a narrow table that is written once (the texts are hashed
+    once): the earliest instant and the count of each fingerprint are numbers, so
+    the partial aggregation hashes in place and a fingerprint that a third of all
+    rows share collapses map-side; then the smallest key among the rows of that
+    instant, where a window keeps one row per fingerprint in every map task."""
+    narrow = staged(posts.select("fingerprint", F.unix_micros("created_at").alias("us"), "platform", "object_id"), "fingerprints")
+    earliest = narrow.groupBy("fingerprint").agg(F.min("us").alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    tied = narrow.join(earliest, "fingerprint").where(F.col("us").eqNullSafe(F.col("least"))).select(
+        "fingerprint", "platform", "object_id", "n_copies")
+    w = Window.partitionBy("fingerprint").orderBy("platform", "object_id")
+    return tied.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def resolve(versions: DataFrame, batch_col: str, key: list[str] | None = None, order: str = "seq",

@@ -7,6 +7,8 @@ import datetime as _dt
 KEYWORDS = ["the", "license", "zzz"]
 # All pairs of ten consonants and ten vowels or endings: 100 terms.
 MANY_KEYWORDS = [a + b for a in "bcdfglmnrt" for b in ("a", "e", "i", "o", "u", "an", "en", "er", "es", "on")]
+# All triples of eight consonants, five vowels and ten consonants: 400 terms.
+LONG_KEYWORDS = [a + b + c for a in "bcdlmprt" for b in "aeiou" for c in "bcdgklmnrs"]
 HASHTAGS = ["topic1", "#topic2"]
 SUBREDDITS = ["src0", "src1", "nosuch"]
 PLATFORMS = ["reddit", "bluesky", "mastodon", "lemmy"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from postlake import schemas as S
+from postlake.operators import normalize as N
 from postlake.operators import search as Q
 from postlake.plans import oracle as O
 from postlake.plans import params as P
@@ -10,7 +12,7 @@ from postlake.plans.q_search import _FEED_ORDERS, _terms_cte, _values
 from postlake.plans.registry import register
 from postlake.session import configure, scratch_path
 from postlake.sources.store import Store
-from postlake.spec import CollectSpec, collect
+from postlake.spec import ADAPTERS, CollectSpec, PlatformAdapter, collect, register_platform
 from postlake.streaming import stream as ST
 
 BATCH_SPEC = CollectSpec(
@@ -89,6 +91,25 @@ def collect_continuous(spark, sf_dir):
         "platform", "object_id", "source", "rank")
 
 
+_UNKNOWN_SQL = f"""{O.posts_cte(("bluesky",))}
+select 'bluesky' as platform, object_id, 'timeline:sky2' as source, cast(row_number() over (order by seq, object_id) as integer) as rank
+from posts order by seq, object_id limit 40"""
+
+
+@register("collect_registered_platform", _UNKNOWN_SQL)
+def collect_registered_platform(spark, sf_dir):
+    """A platform plugged in by name is collected, an unknown one of the
+    same spec is skipped."""
+    configure(spark)
+    raw = {"sky2": raw_frames(spark, sf_dir)["bluesky"]}
+    register_platform(PlatformAdapter("sky2", S.BLUESKY_POST, N.bluesky_post))
+    try:
+        spec = CollectSpec(as_of=P.AS_OF, platforms=("sky2", "nosuch"), max_posts=40)
+        return collect(spark, raw, spec).select("platform", "object_id", "source", "rank")
+    finally:
+        del ADAPTERS["sky2"]
+
+
 TERM_SPEC = CollectSpec(
     as_of=P.SEARCH_AS_OF, subreddits=tuple(P.SUBREDDITS), keywords=tuple(P.KEYWORDS),
     hashtags=("topic2", "#topic5"), instances=tuple(P.INSTANCES), continuous=True)

@@ -133,3 +133,27 @@ def stored_raw_data(spark, sf_dir):
         F.coalesce(F.when(F.col("is_comment"), F.col("r.submission_id")), F.col("r.in_reply_to_id")).alias("raw_parent"),
         F.size(F.json_object_keys("raw_data")).alias("n_fields"),
         F.unix_micros("collected_at").alias("collected_us"), X.iso_text("created_at").alias("created_iso"))
+
+
+_FIELD_SQL = _RAW_SQL.split("select platform, object_id, raw_id")[0] + """
+select platform, object_id, coalesce(raw_author, '') as author, coalesce(raw_text, '') as text, raw_seconds as seconds,
+  coalesce(raw_parent, '') as parent from r"""
+
+
+@register("raw_field_lookup", _FIELD_SQL)
+def raw_field_lookup(spark, sf_dir):
+    """Nested fields of the stored raw payload of all four payload
+    kinds, read as VARIANT without a schema of the payloads."""
+    p = unified(spark, sf_dir)
+    first = lambda *paths: F.coalesce(*[N.raw_field(x) for x in paths], F.lit(""))
+    parent = F.when(F.col("is_comment"), N.raw_field("$.submission_id"))
+    return p.select(
+        "platform", "object_id", first("$.author.handle", "$.account.acct").alias("author"),
+        first("$.record.text", "$.content").alias("text"), N.raw_field("$.created_utc", "bigint").alias("seconds"),
+        F.coalesce(parent, N.raw_field("$.in_reply_to_id"), F.lit("")).alias("parent"))
+
+
+@register("record_roundtrip", f"{O.posts_cte()}\nselect * from posts")
+def record_roundtrip(spark, sf_dir):
+    """Posts as JSON records and back."""
+    return flat_posts(N.from_record_json(N.to_record_json(unified(spark, sf_dir))))

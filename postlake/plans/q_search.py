@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postlake.operators import normalize as N
 from postlake.operators import search as Q
 from postlake.plans import oracle as O
 from postlake.plans import params as P
@@ -54,7 +55,6 @@ def keyword_search(spark, sf_dir):
     return r.select("platform", "term", "object_id", "hits", "rank")
 
 
-# A long list takes the same plan.
 KW_MANY_MAX = 300
 _kmq = Q.quota(KW_MANY_MAX, len(P.MANY_KEYWORDS))
 
@@ -66,6 +66,17 @@ def keyword_search_many(spark, sf_dir):
     return r.select("platform", "term", "object_id", "hits", "rank")
 
 
+# A list long enough for the gram join.
+KW_LONG_MAX = 5 * len(P.LONG_KEYWORDS)
+
+
+@register("keyword_search_long", _keyword_sql(P.LONG_KEYWORDS, 5))
+def keyword_search_long(spark, sf_dir):
+    spec = Q.KeywordSearch(tuple(P.LONG_KEYWORDS), KW_LONG_MAX, P.SEARCH_AS_OF)
+    r = Q.keyword_search(spark, unified(spark, sf_dir), spec)
+    return r.select("platform", "term", "object_id", "hits", "rank")
+
+
 _TERM_HITS_SQL = _KW_SQL.replace(
     "select platform, term, object_id, hits, cast(rank as integer) as rank from r",
     "select platform, term, count(*) as n from r").replace(
@@ -80,6 +91,17 @@ def term_hits(spark, sf_dir):
     return r.groupBy("platform", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The quota of 100 is above Bluesky's cap of 30 a term (L3).
+KW_CAPPED_MAX = 100 * len(P.KEYWORDS)
+
+
+@register("keyword_search_capped", _keyword_sql(P.KEYWORDS, 100))
+def keyword_search_capped(spark, sf_dir):
+    spec = Q.KeywordSearch(tuple(P.KEYWORDS), KW_CAPPED_MAX, P.SEARCH_AS_OF)
+    r = Q.keyword_search(spark, unified(spark, sf_dir), spec)
+    return r.select("platform", "term", "object_id", "hits", "rank")
+
+
 # ---------------------------------------------------------------- hashtag search
 HT_MAX = 20
 _hq = Q.quota(HT_MAX, len(P.HASHTAGS))
@@ -149,6 +171,17 @@ def term_matrix(spark, sf_dir):
     return r.select("subreddit", "term", "object_id", "rank")
 
 
+TM_FIRST = (2, 1)
+
+
+@register("term_matrix_first", _TM_SQL.replace(_values([(s,) for s in P.SUBREDDITS]), _values([(s,) for s in P.SUBREDDITS[:TM_FIRST[0]]]))
+          .replace(_terms_cte(P.KEYWORDS), _terms_cte(P.KEYWORDS[:TM_FIRST[1]])))
+def term_matrix_first(spark, sf_dir):
+    """L4: only the first communities and terms of the lists."""
+    r = Q.term_matrix(spark, unified(spark, sf_dir), P.SUBREDDITS, P.KEYWORDS, TM_MAX, *TM_FIRST)
+    return r.select("subreddit", "term", "object_id", "rank")
+
+
 # ---------------------------------------------------------------- community feeds
 FEED_MAX = 10
 _feed_asof = P.epoch_us(P.AS_OF)
@@ -198,6 +231,20 @@ def timeline_public(spark, sf_dir):
     return Q.timeline(unified(spark, sf_dir), "bluesky", TL_MAX).select("platform", "object_id", "seq")
 
 
+_FI_SQL = f"""{O.posts_cte(("bluesky",))}
+select platform, object_id, seq from posts where seq % 5 <> 0"""
+
+
+@register("feed_items", _FI_SQL)
+def feed_items(spark, sf_dir):
+    """feed items of which every fifth has no post."""
+    configure(spark)
+    raw = FX.raw_bluesky_post(spark, sf_dir)
+    post = F.struct(*[c for c in raw.columns if c != "seq"])
+    items = raw.select(F.when(F.col("seq") % 5 != 0, post).alias("post"), "seq")
+    return N.bluesky_feed_items(items).select("platform", "object_id", "seq")
+
+
 IT_MAX = 15
 _insts = [Q.strip_scheme_text(i) for i in P.INSTANCES]
 _IT_SQL = f"""with raw_mastodon_status as ({O.FIX["raw_mastodon_status"]}),

@@ -10,7 +10,7 @@ from postlake.plans import params as P
 from postlake.plans.common import unified
 from postlake.plans.flat import flat_posts
 from postlake.plans.registry import register
-from postlake.session import scratch_path
+from postlake.session import exists, scratch_path
 from postlake.sources import export as EX
 from postlake.sources.store import Store
 
@@ -53,6 +53,50 @@ def posts_page(spark, sf_dir):
     return flat_posts(st.page(*PAGE))
 
 
+AFTER = (3, 20)  # pages of twenty rows, the third
+_AFTER_SQL = f"""{O.posts_cte()}
+select platform, object_id, seq from posts where object_id <> '' order by seq, platform, object_id
+limit {AFTER[1]} offset {(AFTER[0] - 1) * AFTER[1]}"""
+
+
+@register("posts_page_after", _AFTER_SQL)
+def posts_page_after(spark, sf_dir):
+    """Pages by cursor, each behind the last row of the one before."""
+    st = loaded_store(spark, sf_dir)
+    page = st.page_after(None, AFTER[1])
+    for _ in range(AFTER[0] - 1):
+        page = st.page_after(st.cursor(page), AFTER[1])
+    return page.select("platform", "object_id", "seq")
+
+
+_DISPATCH_SQL = f"""{O.posts_cte()},
+f(suffix) as (values ('.json'), ('.csv'), ('.parquet'), ('.xml'), ('')),
+n as (select count(*) as n from posts)
+select suffix, case when suffix in ('.xml', '') then 'refused' else 'written' end as outcome,
+  case when suffix in ('.xml', '') then 0 else n end as n from f, n
+union all select '.json of nothing', 'skipped', 0"""
+
+
+@register("export_dispatch", _DISPATCH_SQL)
+def export_dispatch(spark, sf_dir):
+    """K7: the format follows the suffix; an unknown one is refused before anything
+    is written, and nothing is written for no rows."""
+    posts = unified(spark, sf_dir)
+    out = []
+    for suffix in (".json", ".csv", ".parquet", ".xml", ""):
+        path = scratch_path(spark, "dispatch") + suffix
+        try:
+            EX.export_posts(posts, path)
+        except ValueError:
+            out.append((suffix, "refused", int(exists(spark, path))))
+        else:
+            out.append((suffix, "written", EX.read_export(spark, path).count()))
+    path = scratch_path(spark, "dispatch") + ".json"
+    nothing = EX.export_posts(posts.where(F.lit(False)), path)
+    out.append((".json of nothing", "skipped" if nothing is None else "written", int(exists(spark, path))))
+    return spark.createDataFrame(out, "suffix string, outcome string, n bigint")
+
+
 def _roundtrip(suffix):
     def run(spark, sf_dir):
         posts = unified(spark, sf_dir)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from postlake.operators import keys as K
 from postlake.operators import upsert as U
 from postlake.plans import oracle as O
 from postlake.plans.common import unified
 from postlake.plans.registry import register
-from postlake.session import configure
+from postlake.session import configure, scratch_path
 from postlake.sources import fixtures as FX
+from postlake.sources.store import Store
 
 VCOLS = ["platform", "object_id", "text", "seq", "value"]
 REPLACE = ("text", "seq", "value")
@@ -17,12 +20,11 @@ REPLACE = ("text", "seq", "value")
 
 def day_batches(spark, sf_dir):
     """(cur, batch): the store after the first half of the days, and the
-    versions of all later days.  The middle is a scalar subquery, not a
-    driver-side value."""
+    versions of all later days.  The middle day is one value, computed once."""
     configure(spark)
     v = FX.post_versions(spark, sf_dir)
     span = F.datediff(F.max("batch_day"), F.min("batch_day"))
-    mid = v.agg(F.date_add(F.min("batch_day"), F.floor(span / 2).cast("int"))).scalar()
+    mid = F.lit(v.agg(F.date_add(F.min("batch_day"), F.floor(span / 2).cast("int"))).first()[0])
     cur = U.first_copies(v.where(F.col("batch_day") <= mid).select(*VCOLS))
     batch = v.where(F.col("batch_day") > mid).select(*VCOLS)
     return cur, batch
@@ -54,7 +56,7 @@ select platform, object_id, text, seq, value from n where rn = 1"""
 @register("upsert_batch", _UPSERT_SQL)
 def upsert_batch(spark, sf_dir):
     cur, batch = day_batches(spark, sf_dir)
-    return U.upsert(cur, batch, replace=REPLACE, replace_if_reddit=())
+    return U.upsert(cur, batch, replace=REPLACE, replace_if_reddit=(), blocks=K.BLOCKS)
 
 
 _OUTCOME_SQL = _DAYS + """,
@@ -73,7 +75,7 @@ union all select 'duplicate', cast(sum(n) - count(*) as bigint) from cls"""
 @register("upsert_outcomes", _OUTCOME_SQL)
 def upsert_outcomes(spark, sf_dir):
     cur, batch = day_batches(spark, sf_dir)
-    return U.outcome_counts(cur, batch)
+    return U.outcome_counts(cur, batch, blocks=K.BLOCKS)
 
 
 _CONFLICT_SQL = _DAYS + """
@@ -87,7 +89,31 @@ where (select count(*) from batch x where x.platform = b.platform and x.object_i
 @register("strict_append_conflicts", _CONFLICT_SQL)
 def strict_append_conflicts(spark, sf_dir):
     cur, batch = day_batches(spark, sf_dir)
-    return U.strict_append_conflicts(cur, batch).select("platform", "object_id", "seq", "reason")
+    return U.strict_append_conflicts(cur, batch, blocks=K.BLOCKS).select("platform", "object_id", "seq", "reason")
+
+
+_INSERT_SQL = _DAYS + """
+select * from cur
+union all
+select platform, object_id, text, seq, value from (
+  select b.*, count(*) over (partition by platform, object_id) as copies from batch b) x
+where copies = 1 and not exists (select 1 from cur c where c.platform = x.platform and c.object_id = x.object_id)"""
+
+
+@register("strict_insert", _INSERT_SQL)
+def strict_insert(spark, sf_dir):
+    """K2: the whole batch is refused, because of its conflicts, and leaves the store
+    as it was; the rows without a conflict are then inserted."""
+    cur, batch = day_batches(spark, sf_dir)
+    store = Store(spark, scratch_path(spark, "store-strict"), T.StructType([cur.schema[c] for c in VCOLS]),
+                  replace=REPLACE, replace_if_reddit=(), parts=4)
+    store.insert(cur, 0)
+    try:
+        store.insert(batch, 1)
+    except ValueError:
+        bad = U.strict_append_conflicts(store.read(), batch, blocks=K.BLOCKS).select("platform", "object_id").distinct()
+        store.insert(batch.join(bad, ["platform", "object_id"], "left_anti"), 1)
+    return store.read().select(*VCOLS)
 
 
 # A.2: many batches, recursive, with the state after every batch.

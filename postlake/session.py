@@ -93,6 +93,57 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def free_names(columns: list[str], wanted: list[str]) -> list[str]:
+    """The wanted names, each with a number behind if a column has it already
+    (Spark names are case insensitive)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        free, n = name, 1
+        while free.lower() in taken:
+            n += 1
+            free = f"{name}_{n}"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
+def staged(df, name: str):
+    """Write ``df`` once to the shared folder and read it back: for results that a
+    plan uses several times.  The caller may drop the folder (``delete``)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own, through Hadoop FS."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hpath)
+    return path
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, so that all its files appear at once."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(path(source), path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none if it does not exist."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return []
+    return sorted(str(s.getPath().getName()) for s in fs.listStatus(hpath) if s.isDirectory())
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for local filesystem helpers."""
     if p.startswith("file://"):

@@ -22,6 +22,18 @@ def parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     return lines.where(F.trim("value") != "").select(parsed.alias("p")).select("p.*")
 
 
+def parse_payloads(lines: DataFrame, schemas: dict[str, T.StructType]) -> DataFrame:
+    """Lines (payload, value) of many payload kinds, each parsed once: (payload,
+    line, and for each kind a struct that is null for other kinds).  ``line`` is the
+    raw text of a line that does not parse or is of an unknown kind, else null."""
+    known = {name: T.StructType(s.fields + [T.StructField(CORRUPT, T.StringType())]) for name, s in schemas.items()}
+    parsed = lines.where(F.trim("value") != "").select("payload", "value", *[
+        F.when(F.col("payload") == name, F.from_json("value", s, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})).alias(name)
+        for name, s in known.items()])
+    bad = F.coalesce(*[F.col(name)[CORRUPT] for name in known], F.when(~F.col("payload").isin(list(known)), F.col("value")))
+    return parsed.select("payload", bad.alias("line"), *[F.col(name).dropFields(CORRUPT).alias(name) for name in known])
+
+
 def split_corrupt(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, corrupt lines with their raw text): two filters."""
     good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)

@@ -1,217 +1,147 @@
-"""The post store (K1, K3, K8, S14, L6): Parquet files plus a manifest.
+"""The post store (K1-K3, K8, S14, L6): partitioned Parquet snapshots and a pointer.
 
 Layout::
 
-    <root>/_manifest.json              the current state (published by rename)
-    <root>/_manifests/<version>.json   every published manifest (history)
-    <root>/data/v=<version>/platform=<p>/bucket=<b>/part-*.parquet   base buckets
-    <root>/deltas/delta=<batch_id>-<tag>/platform=<p>/part-*.parquet deltas
-
-Base rows are spread over ``buckets`` hash buckets of the key
-(``pmod(xxhash64(platform, object_id), buckets)``) and partitioned by
-``platform``, so platform filters prune directories (F1) and key lookups read
-only the buckets they need.
-
-A batch is appended as a delta: its cost is that of the batch, whatever the
-store size.  A read resolves only the keys that occur in deltas: base rows of
-other keys pass through, the rest are replayed with the base row as the first
-version (the window recurrence of ``upsert.resolve``).  ``compact()`` is a job
-of its own, never part of a write: it folds the deltas into new versions of the
-buckets that they touch and leaves all other buckets as they are.
-
-A new manifest is published by write-and-rename only after all
-files are written: a failed batch leaves the store as it was (K3), and a
-``batch_id`` that its source (a stream's query id) has already applied is
-skipped (idempotent ``foreachBatch``).  A new source starts its ids anew; rows
-carry the store's own ascending batch number.  Readers never read a path that a
-writer overwrites.  The settings that decide where a row lies and how it is
-merged are part of the manifest; opening a store with others is an error.
+    <root>/_current.json                                  which snapshot is current
+    <root>/snapshot=<i>/platform=<p>/part=<h>/part-*.parquet
+    <root>/_quarantine/batch=<source>-<id>/               posts without required fields
+
+A snapshot is a plain Parquet dataset, partitioned by ``platform`` and by a hash of
+the key (``pmod(xxhash64(platform, object_id), parts)``), so platform filters prune
+folders (F1) and a key names its partition.
+
+A batch is one Spark job from the current snapshot to the other one: the batch's keys
+name the partitions they fall in; the rows of these partitions meet the batch in the
+keyed upsert, and dynamic partition overwrite replaces just these partitions in the
+other snapshot.  Then one pointer change publishes it.  There are two copies of the
+data, used in turn.  The one that was current before lacks the partitions of the last
+batch; the pointer lists them as stale, and the next batch brings them along.  They
+are listed before a write begins, so a write that fails half-way leaves the current
+snapshot as it was, and what it may have spoilt in the other is rewritten by the next
+(K3).  A DataFrame read from the store stays valid until the second batch after it
+begins.
+
+Of a large store, rows that the batch's Bloom filter rules out go from scan to file
+without a shuffle; only the others take part in the join (``operators.keys``).  The cost of a batch is
+that of the partitions its keys fall in, so batches should be large against ``parts``.
+
+Input is evaluated once: it is written to a staging folder, split by validity,
+platform and partition, and the staged rows are read for everything that follows.  A
+``batch_id`` that its source (a stream's query id) has already applied is skipped
+(idempotent ``foreachBatch``).  A new source starts its ids anew; rows carry the
+store's own ascending batch number.  The settings that decide where a row lies and how
+it is merged are part of the pointer; opening a store with others is an error.  One
+writer per store.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake import schemas as S
+from postlake.operators import keys as K
 from postlake.operators import upsert as U
-from postlake.operators.quality import split_valid
-from postlake.session import exists, read_text, write_text
+from postlake.operators.quality import with_issues
+from postlake.session import delete, exists, folders, read_text, write_text
 
-MANIFEST = "_manifest.json"
-OUTCOMES_SCHEMA = T.StructType([
-    T.StructField("batch_id", T.LongType()), T.StructField("platform", T.StringType()),
-    T.StructField("incoming", T.LongType()), T.StructField("inserted", T.LongType()), T.StructField("updated", T.LongType()),
-    T.StructField("unchanged", T.LongType())])
-# The platforms the per-platform counters name ("other" for the rest).
-KNOWN_PLATFORMS = ("reddit", "bluesky", "mastodon")
-
-
-def _platform_exprs():
-    """Rows per platform as aggregate expressions, for observations."""
-    return [F.count_if(F.col("platform") == p).alias(f"p_{p}") for p in KNOWN_PLATFORMS]
-
-
-def _by_platform(row: dict, total: int) -> dict:
-    out = {p: int(row.get(f"p_{p}") or 0) for p in KNOWN_PLATFORMS}
-    out["other"] = int(total) - sum(out.values())
-    return out
+POINTER = "_current.json"
+COPIES = 2
+SMALL_ROWS = 1_000_000  # of a store that is joined whole: the filter would cost more than it saves
+COUNTS = ("incoming", "inserted", "updated", "unchanged")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # how Spark names the folder of null
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType = S.POST,
-                 key: list[str] | None = None, buckets: int = 16, order: str = "seq",
+                 key: list[str] | None = None, parts: int = 16, order: str = "seq",
                  compare: str = "text", replace=U.POST_REPLACE,
-                 replace_if_reddit=U.POST_REPLACE_IF_REDDIT, within_batch: str = "first", refresh=()):
+                 replace_if_reddit=U.POST_REPLACE_IF_REDDIT, within_batch: str = "first", refresh=(),
+                 on_step: Callable[[str, int], None] | None = None, small_rows: int = SMALL_ROWS):
         if "platform" not in schema.fieldNames():
             raise ValueError("store schema needs a platform column")
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
         self.key = list(key or S.KEY)
-        self.buckets = buckets
+        self.parts = parts
         self.order, self.compare = order, compare
         self.replace, self.replace_if_reddit = tuple(replace), tuple(replace_if_reddit)
         # Upsert options (D7, D8); the defaults are the reference's rule.
         self.within_batch, self.refresh = within_batch, tuple(refresh)
+        self.small_rows = small_rows
+        # Called with "write", "publish" and "done" and the source's batch id before
+        # the snapshot is written, before it is published, and after.
+        self.on_step = on_step or (lambda step, batch_id: None)
         self.data_cols = schema.fieldNames() + ["batch_id"]
 
-    # ------------------------------------------------------------ manifest
-    def manifest(self) -> dict | None:
-        txt = read_text(self.spark, f"{self.root}/{MANIFEST}")
-        m = json.loads(txt) if txt else None
-        if m and m.get("settings") not in (None, self._settings()):
-            wrong = [k for k, v in self._settings().items() if m["settings"].get(k) != v]
+    # ------------------------------------------------------------ pointer
+    def pointer(self) -> dict | None:
+        txt = read_text(self.spark, f"{self.root}/{POINTER}")
+        at = json.loads(txt) if txt else None
+        if at and at["settings"] != self._settings():
+            wrong = [k for k, v in self._settings().items() if at["settings"].get(k) != v]
             raise ValueError(f"the store at {self.root} was created with other values of {wrong}")
-        return m
+        return at
 
     def _settings(self) -> dict:
-        return {"buckets": self.buckets, "key": self.key, "order": self.order, "compare": self.compare,
+        return {"parts": self.parts, "key": self.key, "order": self.order, "compare": self.compare,
                 "replace": list(self.replace), "replace_if_reddit": list(self.replace_if_reddit),
                 "within_batch": self.within_batch, "refresh": list(self.refresh)}
 
-    def _publish(self, m: dict) -> None:
-        body = json.dumps(m, sort_keys=True)
-        write_text(self.spark, f"{self.root}/_manifests/{m['version']:08d}.json", body)
-        write_text(self.spark, f"{self.root}/{MANIFEST}", body)
+    def _publish(self, at: dict) -> None:
+        write_text(self.spark, f"{self.root}/{POINTER}", json.dumps(at, sort_keys=True))
 
     def exists(self) -> bool:
-        return exists(self.spark, f"{self.root}/{MANIFEST}")
+        return exists(self.spark, f"{self.root}/{POINTER}")
 
     def create(self) -> "Store":
-        """K1: idempotent; an empty store has version 0 and no data."""
+        """K1: idempotent; an empty store has a pointer and no snapshot."""
         if not self.exists():
-            self._publish({"version": 0, "buckets": self.buckets, "last_batch_id": -1,
-                           "bucket_versions": {}, "deltas": [],
-                           "sources": {}, "settings": self._settings()})
+            self._publish({"snapshot": None, "batches": 0, "rows": 0, "last_batch_id": -1, "sources": {},
+                           "stale": {str(i): [] for i in range(COPIES)}, "settings": self._settings()})
         return self
 
     # ------------------------------------------------------------ read
-    def _file_schema(self, partitioned_by_bucket: bool = True) -> T.StructType:
+    def _file_schema(self, extra: tuple[T.StructField, ...] = ()) -> T.StructType:
         fields = [f for f in self.schema.fields if f.name != "platform"]
-        fields.append(T.StructField("batch_id", T.LongType()))
-        if not partitioned_by_bucket:
-            fields.append(T.StructField("bucket", T.IntegerType()))
-        fields.append(T.StructField("platform", T.StringType()))
-        if partitioned_by_bucket:
-            fields.append(T.StructField("bucket", T.IntegerType()))
-        return T.StructType(fields)
-
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], self._file_schema()).select(*self.data_cols, "bucket")
-
-    def _read_buckets(self, m: dict, only: set[int] | None = None) -> DataFrame:
-        """The current version of every bucket (of ``only``, if given), as one
-        scan whose partition filter names the buckets of each version."""
-        by_version: dict[int, list[int]] = {}
-        for b, v in m["bucket_versions"].items():
-            if only is None or int(b) in only:
-                by_version.setdefault(int(v), []).append(int(b))
-        if not by_version:
-            return self._empty()
-        schema = T.StructType(self._file_schema().fields + [T.StructField("v", T.IntegerType())])
-        df = self.spark.read.schema(schema).option("basePath", f"{self.root}/data") \
-            .parquet(*[f"{self.root}/data/v={v:08d}" for v in sorted(by_version)])
-        current = F.lit(False)
-        for v, buckets in sorted(by_version.items()):
-            current = current | ((F.col("v") == v) & F.col("bucket").isin(sorted(buckets)))
-        return df.where(current).select(*self.data_cols, "bucket")
-
-    def _read_deltas(self, m: dict) -> DataFrame | None:
-        """All pending deltas in one multi-path scan."""
-        paths = [f"{self.root}/{d['path']}" for d in m.get("deltas", [])]
-        if not paths:
-            return None
-        schema = T.StructType(self._file_schema(False).fields[:-1] + [
-            T.StructField("delta", T.StringType()), T.StructField("platform", T.StringType())])
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/deltas") \
-            .parquet(*paths).select(*self.data_cols, "bucket")
-
-    def _split(self, m: dict, only: set[int] | None = None):
-        """(rows untouched by deltas, versions to replay or None)."""
-        base = self._read_buckets(m, only)
-        deltas = self._read_deltas(m)
-        if deltas is None:
-            return base, None
-        dk = deltas.select(*self.key).distinct()
-        untouched = base.join(dk, self.key, "left_anti")
-        touched = base.join(dk, self.key, "left_semi")
-        versions = touched.withColumn("_version_order", F.lit(-1).cast("long")) \
-            .unionByName(deltas.withColumn("_version_order", F.col("batch_id")))
-        return untouched, versions
-
-    def _resolve(self, steps: DataFrame) -> DataFrame:
-        return U.resolve_steps(steps, self.data_cols + ["bucket"], "_version_order", self.key,
-                               self.replace, self.replace_if_reddit, self.within_batch,
-                               self.refresh).select(*self.data_cols, "bucket")
-
-    def _steps(self, versions: DataFrame) -> DataFrame:
-        return U.replay_steps(versions, "_version_order", self.key, self.order, self.compare,
-                              self.within_batch)
-
-    def _state(self, m: dict) -> DataFrame:
-        """Current rows (data columns + bucket)."""
-        untouched, versions = self._split(m)
-        if versions is None:
-            return untouched
-        return untouched.unionByName(self._resolve(self._steps(versions)))
-
-    def outcomes(self) -> DataFrame:
-        """Inserted / updated / unchanged keys and incoming rows per
-        applied batch and platform (appended batches appear once compacted)."""
-        path = f"{self.root}/_outcomes"
-        if not exists(self.spark, path):
-            return self.spark.createDataFrame([], OUTCOMES_SCHEMA)
-        return self.spark.read.schema(OUTCOMES_SCHEMA).json(path)
-
-    def _record_outcomes(self, version: int, rows: list[dict]) -> None:
-        if rows:
-            write_text(self.spark, f"{self.root}/_outcomes/v={version:08d}.json",
-                       "\n".join(json.dumps(r, sort_keys=True) for r in rows))
-
-    def read(self, with_meta: bool = False) -> DataFrame:
-        """The current rows (lazy; Catalyst pushes filters and prunes
-        the platform and bucket directories of the base)."""
-        m = self.manifest()
-        if m is None:
+        return T.StructType([*fields, T.StructField("batch_id", T.LongType()), *extra,
+                             T.StructField("platform", T.StringType()), T.StructField("part", T.IntegerType())])
+
+    def _snapshot(self, at: dict, only: set[tuple[str | None, int]] | None = None) -> DataFrame:
+        """Data columns and ``part`` of the current snapshot (of the partitions ``only``)."""
+        if at["snapshot"] is None or only == set():
+            return self.spark.createDataFrame([], self._file_schema()).select(*self.data_cols, "part")
+        df = self.spark.read.schema(self._file_schema()).parquet(f"{self.root}/snapshot={at['snapshot']}")
+        if only is not None:
+            by_platform: dict[str | None, list[int]] = {}
+            for p, h in sorted(only, key=repr):
+                by_platform.setdefault(p, []).append(h)
+            named = [(F.col("platform").isNull() if p is None else F.col("platform") == p) & F.col("part").isin(parts)
+                     for p, parts in by_platform.items()]
+            df = df.where(reduce(Column.__or__, named))
+        return df.select(*self.data_cols, "part")
+
+    def read(self, with_batch: bool = False) -> DataFrame:
+        """The current rows (lazy; Catalyst pushes filters and prunes folders)."""
+        at = self.pointer()
+        if at is None:
             raise FileNotFoundError(f"no store at {self.root}")
-        df = self._state(m)
-        cols = self.data_cols + (["bucket"] if with_meta else [])
-        if not with_meta:
-            cols = [c for c in cols if c != "batch_id"]
-        return df.select(*cols)
+        return self._snapshot(at).select(*(self.data_cols if with_batch else self.schema.fieldNames()))
 
     def page(self, platform: str | None = None, offset: int | None = None,
              limit: int | None = None) -> DataFrame:
-        """One page in insertion order (batch, seq, key).  ``None``
-        means not set; 0 means 0 (D9).  Catalyst plans a top-k
-        (TakeOrderedAndProject) that keeps offset+limit rows per task."""
-        df = self.read(with_meta=True)
+        """One page in insertion order (batch, seq, key).  ``None`` means
+        not set; 0 means 0 (D9).  A top-k that keeps offset + limit rows in a task:
+        for deep pages see ``page_after``."""
+        df = self.read(with_batch=True)
         if platform is not None:
             df = df.where(F.col("platform") == platform)
         df = df.orderBy("batch_id", self.order, *self.key)
@@ -219,115 +149,162 @@ class Store:
             df = df.offset(offset)
         if limit is not None:
             df = df.limit(limit)
-        return df.drop("bucket")
+        return df
+
+    def page_after(self, cursor: dict | None, limit: int, platform: str | None = None) -> DataFrame:
+        """The ``limit`` rows behind ``cursor`` in insertion order; the first
+        page if it is None.  A page costs the same however deep it lies: the batch
+        number is pushed to the scan, whose files are sorted by it, so row groups
+        before the cursor are skipped, and a task keeps ``limit`` rows."""
+        df = self.read(with_batch=True)
+        if platform is not None:
+            df = df.where(F.col("platform") == platform)
+        names = ["batch_id", self.order, *self.key]
+        if cursor is not None:
+            later, same = F.lit(False), F.lit(True)
+            for c in names:
+                value = cursor[c]
+                # In this order null comes first.
+                later = later | (same & (F.col(c).isNotNull() if value is None else F.coalesce(F.col(c) > F.lit(value), F.lit(False))))
+                same = same & F.col(c).eqNullSafe(F.lit(value))
+            df = df.where(F.col("batch_id") >= F.lit(cursor["batch_id"])).where(later)
+        return df.orderBy(*names).limit(limit)
+
+    def cursor(self, page: DataFrame) -> dict | None:
+        """The cursor of the last row of a page, for the page behind it; None if
+        the page is empty."""
+        names = ["batch_id", self.order, *self.key]
+        last = page.select(*names).orderBy(*[F.col(c).desc_nulls_last() for c in names]).first()
+        return last.asDict() if last else None
 
     # ------------------------------------------------------------ write
-    def _bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
-
-    def _write_base(self, df: DataFrame, version: int) -> None:
-        # Rebalancing puts a bucket into as many files as its size asks for, so
-        # neither a platform nor a bucket is bound to one task.
-        df.hint("rebalance", "platform", "bucket").write.mode("overwrite") \
-            .partitionBy("platform", "bucket").parquet(f"{self.root}/data/v={version:08d}")
-
     def upsert(self, batch: DataFrame, batch_id: int, source: str = "") -> dict:
-        """K3: apply one batch with the upsert rule; returns what happened.
-        Skips a ``batch_id`` that ``source`` has already applied.  The store
-        numbers its batches itself: by ``batch_id`` as long as that ascends,
-        else by the next number.  A write is a pure append of the batch; its
-        outcome counts are derived when the deltas are compacted
-        (``outcomes()``)."""
-        self.create()
-        m = self.manifest()
-        sources = m.get("sources", {"": m["last_batch_id"]})
-        if batch_id <= sources.get(source, -1):
-            return {"skipped": True, "batch_id": batch_id}
-        m["sources"] = {**sources, source: batch_id}
-        number = max(batch_id, m["last_batch_id"] + 1)
-        cols = self.schema.fieldNames()
-        b = self._bucket(batch.select(*cols)).withColumn("batch_id", F.lit(number).cast("long"))
-        first = not m["bucket_versions"] and not m.get("deltas")
-        return (self._bulk_load if first else self._append_delta)(m, b, number)
+        """K3: apply one batch with the upsert rule; returns what became of its rows,
+        in all and ``by_platform``.  Skips a ``batch_id`` that ``source`` has already
+        applied.  The store numbers its batches itself: by ``batch_id`` as long as
+        that ascends, else by the next number."""
+        return self._write(batch, batch_id, source)
 
     def ingest(self, posts: DataFrame, batch_id: int, source: str = "") -> dict:
         """Q1/Q2 on the write path: posts without a required field go to the
         quarantine folder, the others are upserted."""
-        valid, bad = split_valid(posts)
-        # One folder per batch, overwritten if the batch runs again.
-        bad.write.mode("overwrite").parquet(f"{self.quarantine_path()}/batch={source or 'none'}-{int(batch_id):010d}")
-        return self.upsert(valid, batch_id, source)
-
-    def quarantine_path(self) -> str:
-        return f"{self.root}/_quarantine"
+        return self._write(posts, batch_id, source, check=True)
 
     def insert(self, batch: DataFrame, batch_id: int, source: str = "") -> dict:
         """K2: strict insert.  Raises, and writes nothing, if a key of ``batch``
         is in the store or occurs twice in the batch; otherwise as ``upsert``."""
-        self.create()
-        m = self.manifest()
-        if batch_id > m.get("sources", {}).get(source, -1):
-            kept = batch.select(*self.schema.fieldNames())
-            if not U.strict_append_conflicts(self.read().select(*self.key), kept, self.key).isEmpty():
-                raise ValueError("strict insert rejected: duplicate keys")
-        return self.upsert(batch, batch_id, source)
-
-    def _bulk_load(self, m: dict, b: DataFrame, batch_id: int) -> dict:
-        """Empty store: rule 1 alone -- the first copy of every key (J5), in one
-        job that also counts the rows that came and the keys that stayed."""
-        version = m["version"] + 1
-        came, stayed = (Observation(f"{n}-{uuid.uuid4().hex[:8]}") for n in ("came", "stayed"))
-        b = b.observe(came, F.count(F.lit(1)).alias("n"), *_platform_exprs())
-        if self.within_batch == "first" and not self.refresh:
-            rows = U.first_copies(b, self.key, self.order)
-        else:
-            rows = self._resolve(self._steps(b.withColumn("_version_order", F.col("batch_id"))))
-        self._write_base(rows.select(*self.data_cols, "bucket").observe(
-            stayed, F.count(F.lit(1)).alias("n"), *_platform_exprs()), version)
-        got, kept = came.get, stayed.get
-        incoming, inserted = int(got.get("n") or 0), int(kept.get("n") or 0)
-        by_platform, kept_by = _by_platform(got, incoming), _by_platform(kept, inserted)
-        self._record_outcomes(version, [
-            {"batch_id": batch_id, "platform": p, "incoming": n, "inserted": kept_by[p], "updated": 0, "unchanged": 0}
-            for p, n in by_platform.items() if n])
-        self._publish(dict(m, version=version, last_batch_id=batch_id,
-                           bucket_versions={str(i): version for i in range(self.buckets)}))
-        return {"batch_id": batch_id, "incoming": incoming, "inserted": inserted, "updated": 0, "unchanged": 0,
-                "incoming_by_platform": by_platform, "skipped": False}
-
-    def _append_delta(self, m: dict, b: DataFrame, batch_id: int) -> dict:
-        path = f"deltas/delta={batch_id:010d}-{uuid.uuid4().hex[:8]}"
-        obs = Observation(f"delta-{uuid.uuid4().hex[:8]}")
-        # Rows per platform are observed during the write (no extra job).
-        (b.select(*self.data_cols, "bucket").observe(obs, F.count(F.lit(1)).alias("n"), *_platform_exprs())
-          .write.mode("overwrite").partitionBy("platform")
-          .parquet(f"{self.root}/{path}"))
-        got = obs.get
-        rows = int(got.get("n", 0))
-        by_platform = _by_platform(got, rows)
-        nm = dict(m, version=m["version"] + 1, last_batch_id=batch_id,
-                  deltas=list(m.get("deltas", [])) + [{"batch_id": batch_id, "path": path, "rows": rows}])
-        self._publish(nm)
-        return {"skipped": False, "batch_id": batch_id, "incoming": rows,
-                "incoming_by_platform": by_platform}
-
-    def compact(self) -> None:
-        """Fold every delta into new versions of the buckets that it touches.
-        The same replay yields the outcome counts of the folded batches."""
-        m = self.manifest()
-        if not m or not m.get("deltas"):
-            return
-        version = m["version"] + 1
-        # Bounded by the bucket count, not by the data.
-        touched = sorted(r[0] for r in self._read_deltas(m).select("bucket").distinct().collect())
-        untouched, versions = self._split(m, set(touched))
-        steps = self._steps(versions).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._write(batch, batch_id, source, strict=True)
+
+    def quarantine_path(self) -> str:
+        return f"{self.root}/_quarantine"
+
+    def _write(self, batch: DataFrame, batch_id: int, source: str, check: bool = False, strict: bool = False) -> dict:
+        at = self.create().pointer()
+        applied = at["sources"].get(source)
+        if applied and batch_id <= applied["batch_id"]:
+            # The counts of the last batch are known, in case its report got lost.
+            return self._report(batch_id, applied["counts"] if batch_id == applied["batch_id"] else {}, skipped=True)
+        number = max(batch_id, at["last_batch_id"] + 1)
+        path = f"{self.root}/_staged/{number:010d}-{uuid.uuid4().hex[:8]}"
         try:
-            done = U.batch_outcomes(steps, "_version_order", skip_batch=-1, by=("platform",))
-            rows = [r.asDict() for r in done.withColumnRenamed("_version_order", "batch_id").collect()]
-            self._write_base(untouched.unionByName(self._resolve(steps)), version)
-            self._record_outcomes(version, rows)
+            rows = self._stage(batch, number, path, check)
+            if "valid=false" in folders(self.spark, path):
+                # One folder per batch, overwritten if the batch runs again.
+                bad = self._staged(path, "false", check)
+                bad.write.mode("overwrite").parquet(f"{self.quarantine_path()}/batch={source or 'none'}-{int(batch_id):010d}")
+            good = self._staged(path, "true", check).select(*self.data_cols, "part")
+            if strict:
+                known = self._snapshot(at, set(self._partitions(f"{path}/valid=true"))).select(*self.key)
+                if not U.strict_append_conflicts(known, good, self.key, K.blocks_for(rows)).isEmpty():
+                    raise ValueError("strict insert rejected: duplicate keys")
+            self.on_step("write", batch_id)
+            counts = self._merge(at, good, set(self._partitions(f"{path}/valid=true")), K.blocks_for(rows))
+            self.on_step("publish", batch_id)
+            at["batches"] += 1
+            at["rows"] += sum(c["inserted"] for c in counts.values())
+            at["last_batch_id"] = number
+            at["sources"][source] = {"batch_id": batch_id, "counts": counts}
+            self._publish(at)
+            self.on_step("done", batch_id)
         finally:
-            steps.unpersist()
-        self._publish(dict(m, version=version, deltas=[], bucket_versions={
-            **m["bucket_versions"], **{str(b): version for b in touched}}))
+            delete(self.spark, path)
+        return self._report(batch_id, counts, skipped=False)
+
+    @staticmethod
+    def _report(batch_id: int, counts: dict, skipped: bool) -> dict:
+        total = {c: sum(v[c] for v in counts.values()) for c in COUNTS}
+        return {"skipped": skipped, "batch_id": batch_id, **total, "by_platform": counts}
+
+    def _stage(self, batch: DataFrame, number: int, path: str, check: bool) -> int:
+        """Write the batch once, split by validity, platform and partition; its rows."""
+        kept = batch.select(*self.schema.fieldNames())
+        part = F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
+        kept = (with_issues(kept) if check else kept).withColumns({"batch_id": F.lit(number).cast("long"), "part": part})
+        seen = Observation(f"staged-{uuid.uuid4().hex[:8]}")
+        (kept.withColumn("valid", F.size("errors") == 0 if check else F.lit(True)).observe(seen, F.count(F.lit(1)).alias("n"))
+         .write.partitionBy("valid", "platform", "part").parquet(path))
+        return int(seen.get.get("n") or 0)
+
+    def _staged(self, path: str, valid: str, check: bool) -> DataFrame:
+        texts = T.ArrayType(T.StringType())
+        extra = (T.StructField("errors", texts), T.StructField("warnings", texts)) if check else ()
+        if f"valid={valid}" not in folders(self.spark, path):
+            return self.spark.createDataFrame([], self._file_schema(extra))
+        out = self.spark.read.schema(self._file_schema(extra)).parquet(f"{path}/valid={valid}")
+        return out.drop("part", "batch_id") if valid == "false" else out
+
+    def _partitions(self, path: str) -> dict[tuple[str | None, int], str]:
+        """The partitions in a folder, from the names of their folders."""
+        out = {}
+        for p in folders(self.spark, path):
+            if p.startswith("platform="):
+                platform = unquote(p.removeprefix("platform="))
+                for h in folders(self.spark, f"{path}/{p}"):
+                    out[None if platform == _NO_VALUE else platform, int(h.removeprefix("part="))] = f"{path}/{p}/{h}"
+        return out
+
+    def _merge(self, at: dict, batch: DataFrame, touched: set[tuple[str | None, int]], blocks: int) -> dict:
+        """Write the touched partitions, merged, and the stale ones into the other
+        snapshot; ``at`` then points to it.  Returns the counts per platform."""
+        if not touched:
+            return {}
+        now = at["snapshot"]
+        target = 0 if now is None else (now + 1) % COPIES
+        stale = {tuple(x) for x in at["stale"][str(target)]}
+        # Until it is published, whatever this write may replace counts as stale.
+        self._publish({**at, "stale": {**at["stale"], str(target): sorted(map(list, stale | touched), key=repr)}})
+        # A stale partition may have no rows now, and would not be overwritten.
+        for partition, folder in self._partitions(f"{self.root}/snapshot={target}").items():
+            if partition in stale:
+                delete(self.spark, folder)
+        platforms = sorted({p for p, _ in touched if p is not None})
+        counted = Observation(f"merged-{uuid.uuid4().hex[:8]}")
+        exprs = [F.count(F.lit(1)).alias("rows")]
+        for i, p in enumerate([*platforms, None]):
+            own = F.col("platform").isNull() if p is None else F.col("platform") == p
+            exprs.append(F.sum(F.when(own, F.col("_copies"))).alias(f"incoming_{i}"))
+            exprs += [F.count_if(own & (F.col("_outcome") == o)).alias(f"{o}_{i}") for o in COUNTS[1:]]
+        # Rebalancing splits a large partition over tasks and gathers small ones.  The
+        # counts are taken behind it, in the task that writes, so that a stage that
+        # runs again does not count twice.
+        settle = lambda df: df.hint("rebalance", "platform", "part").observe(counted, *exprs).select(*self.data_cols, "part")
+        if now is None and self.within_batch == "first" and not self.refresh:
+            new = U.first_copies(batch, self.key, self.order, copies="_copies").withColumn("_outcome", F.lit("inserted"))
+            rows = settle(new)
+        else:
+            near, far = self._snapshot(at, stale | touched), None
+            if at["rows"] > self.small_rows:
+                near, far = U.split_by_keys(near, batch, self.key, blocks)
+            done = U.upsert(near, batch, self.key, self.order, self.compare, self.replace, self.replace_if_reddit,
+                            with_outcome=True, within_batch=self.within_batch, refresh=self.refresh)
+            rows = settle(done) if far is None else settle(done).unionByName(far)
+        (rows.sortWithinPartitions("platform", "part", "batch_id", self.order).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("platform", "part").parquet(f"{self.root}/snapshot={target}"))
+        got = counted.get
+        at["stale"][str(target)] = []
+        for i in range(COPIES):
+            if i != target:
+                at["stale"][str(i)] = sorted(map(list, {tuple(x) for x in at["stale"][str(i)]} | touched), key=repr)
+        at["snapshot"] = target
+        return {p or "": {c: int(got.get(f"{c}_{i}") or 0) for c in COUNTS}
+                for i, p in enumerate([*platforms, None]) if p is not None or got.get(f"incoming_{i}")}

@@ -40,14 +40,15 @@ def test_split_valid_quarantines_missing_fields(spark):
 def test_metrics_views(spark):
     t = dt.datetime(2024, 1, 1)
     m = spark.createDataFrame([
-        (0, "all", t, 10, 5, 1, 0, 2.0, "ok", None, {"reddit": 10}),
-        (1, "all", t + dt.timedelta(seconds=5), 20, 2, 3, 1, 90.0, "error", "boom", {"reddit": 5, "bluesky": 15}),
+        (0, "all", t, 10, 5, 1, 0, 2.0, "ok", None, {"reddit": (10, 5, 1, 0)}),
+        (1, "all", t + dt.timedelta(seconds=5), 20, 2, 3, 1, 90.0, "error", "boom " * 20, {"reddit": (5, 1, 3, 1), "bluesky": (15, 1, 0, 0)}),
     ], STR.METRICS_SCHEMA)
     s = ST.latest_status(m).collect()[0]
     assert s.status == "error" and s.posts == 7 and s.incoming == 30
     tp = ST.throughput(m).collect()[0]
     assert tp.failures == 1 and tp.success_rate == 0.5
-    assert [r.batch_id for r in STR.alerts(m, slow_s=60).collect()] == [1]
+    assert [(r.batch_id, r.error) for r in STR.alerts(m, slow_s=60).collect()] == [(1, ("boom " * 20)[:30])]
+    assert {r.platform: r.inserted for r in STR.totals_by_platform(m).collect()} == {"reddit": 5}
     live = {r.platform: r.incoming for r in STR.live_counters(m).collect()}
     assert live == {"reddit": 15, "bluesky": 15}
 

@@ -171,3 +171,48 @@ def test_options_match_model(spark, seed, within_batch, refresh):
                         within_batch=within_batch, refresh=ref)
         cur = spark.createDataFrame(step.collect(), bdf.schema)
     assert {(r.platform, r.object_id): (r.text, r.seq, r.value) for r in cur.collect()} == want
+
+
+def test_key_filter_stands_below_the_exchange_of_the_store(spark):
+    """The batch's keys reach the scan of the store; rows that they rule out
+    are not shuffled.  Joins on keys are exact, whatever the filter lets through."""
+    from postlake.operators import keys as K
+    from postlake.session import staged
+    rows = spark.range(5000).select(F.lit("p").alias("platform"), F.col("id").cast("string").alias("object_id"),
+                                    F.concat(F.lit("t"), F.col("id")).alias("text"), F.col("id").alias("seq"))
+    base = staged(rows, "t-base")
+    batch = staged(rows.where("id % 100 = 7").withColumn("text", F.lit("new")).unionAll(rows.limit(1).withColumn("object_id", F.lit("x"))), "t-batch")
+    key = ["platform", "object_id"]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = K.lookup(base, batch, key)
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        at = lambda text, start=0: next(i for i in range(start, len(plan)) if text in plan[i])
+        exchange = at("Exchange hashpartitioning(platform")
+        assert exchange < at("BroadcastHashJoin", exchange) < at("FileScan", exchange)
+        assert found.count() == 50
+        for blocks in (K.BLOCKS, 1):                               # one block lets more through
+            near, far = U.split_by_keys(base, batch, key, blocks)
+            assert near.count() + far.count() == 5000 and near.join(batch, key, "left_semi").count() == 50
+            assert far.count() > 4900 and (far.count() == 4950) == (blocks > 1)
+            whole, split = (U.upsert(base, batch, replace=("text", "seq"), replace_if_reddit=(), with_outcome=True, blocks=b) for b in (None, blocks))
+            assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert [K.blocks_for(n) for n in (0, 10**5, 10**6, 10**12)] == [256, 4096, 32768, K.MOST_BLOCKS]
+
+
+def test_columns_named_like_internal_ones(spark):
+    """Columns named n, first, last, version and the like travel through replay and
+    upsert unchanged."""
+    names = ["n", "first", "last", "version", "alt", "in_cur", "won", "found", "copies", "added", "might", "block", "w0"]
+    schema = "platform string, object_id string, text string, seq bigint, batch int, " + ", ".join(f"`{c}` string" for c in names)
+    rows = [("p", k, t, s, b, *[f"{c}{s}" for c in names]) for k, t, s, b in (("a", "x", 1, 0), ("a", "y", 2, 1), ("b", "x", 3, 1), ("b", "x", 4, 2))]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.object_id: r for r in U.replay(df, "batch").collect()}
+    assert {k: r.seq for k, r in got.items()} == {"a": 2, "b": 3} and got["a"].asDict()["version"] == "version2"
+    done = U.upsert(df.where("batch = 0").drop("batch"), df.where("batch > 0").drop("batch"), replace=("text", "seq"),
+                    replace_if_reddit=(), blocks=256)
+    got = {r.object_id: r for r in done.collect()}
+    assert (got["a"].text, got["a"].n, got["b"].found) == ("y", "n1", "found3")
