@@ -6,10 +6,12 @@ an article or main element.  A linear scan finds the contiguous region of the
 highest score; blocks that it touches are taken whole.  Elements that never hold
 content (scripts, styles, forms, navigation, headers, footers, adverts, notices,
 reader comments and the like, by element name, role or class) are left out.  A class
-or id counts only as a whole ("sidebar", "sidebar-box", not "with-sidebar"); an
-element that it names stays, for the scan to judge, if it lies outside marked
-content and holds an article or main element or most of the page's words.  The
-same holds for forms, which may wrap a page.
+or id counts only as a whole ("sidebar", "sidebar-box", not "with-sidebar"), but words
+of adverts, sponsors, comments and cookies also as a part of one ("google-ad",
+"user-comments"), unless the element holds three quarters of the words of the article
+(or page) that it stands in.  An element named as a whole stays, for the scan to judge,
+if it lies outside marked content and holds an article or main element or most of the
+page's words.  The same holds for forms, which may wrap a page.
 
 Weights: for the words, the log odds of lying in content given where they stand
 (inside, outside or without a marked element), the innermost block and the
@@ -22,7 +24,8 @@ space, blocks are trimmed and joined in page order by two line feeds; nothing
 else is changed, dropped or cut.
 
 Defined results: a null or empty page, or one without words, has the empty text.
-Truncated and badly nested pages are read as far as they go.  Repeated rows get
+Truncated and badly nested pages are read as far as they go.  Of regions with equal
+scores the first is taken.  Pages of any length are read whole.  Repeated rows get
 equal results.  Extra columns are ignored.
 """
 
@@ -45,14 +48,14 @@ CLIP = 3.0
 TAG_COST = -0.3  # of a tag that no labelled page has
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas select xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
-    "thead tr ul".split())
+    "thead tr ul xmp".split())
 CONTENT = frozenset(("article", "main"))
 DROPPED = frozenset(
-    "nav header footer aside form menu dialog button head audio video datalist fieldset label map".split())
+    "nav header footer aside form menu dialog button head audio video datalist fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 # Words in class and id names of elements without content; the second list also
 # marks an article (a reader's comment, an advert).
@@ -67,6 +70,9 @@ STRONG_MARKS = frozenset(
 PARTS = frozenset(
     "area bar block bottom box button buttons container form group holder icon icons inner item items left link links "
     "list main outer page panel post posts primary right secondary section site slot top unit wrap wrapper".split())
+# Words that tell even as a part of a name ("google-ad", "user-comments").
+TELLING = STRONG_MARKS | {"cookie", "cookies", "newsletter"}
+WHOLE = 0.75  # of the words around it: an element that holds more is no part of them
 STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor", "navbar", "navigation")
 
 TOKEN = re.compile(
@@ -86,11 +92,15 @@ def _marked(word: str) -> bool:
     return word in MARKS or word.startswith(STARTS) or _strong(word)
 
 
-def _drops(name: str, attributes: str) -> tuple[bool, bool, list[str]]:
-    """Whether an element holds no content, whether that is by its class, id or
-    being a form only, and the words of its class and id."""
+def _telling(word: str) -> bool:
+    return word in TELLING or _strong(word)
+
+
+def _drops(name: str, attributes: str) -> tuple[bool, str, list[str]]:
+    """Whether an element holds no content for sure; else how its class, id or being a
+    form says so ("whole" names, a "part" of one, or ""); the words of class and id."""
     marks: list[str] = []
-    sure, named = name in DROPPED and name != "form", name == "form"
+    sure, named = name in DROPPED and name != "form", "whole" if name == "form" else ""
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if key.lower() == "role":
@@ -100,8 +110,11 @@ def _drops(name: str, attributes: str) -> tuple[bool, bool, list[str]]:
             found = NAME.findall(token)
             marks += found
             if name not in ("html", "body") and any(map(_strong if name in CONTENT else _marked, found)):
-                named |= all(x in PARTS or _marked(x) for x in found)
-    return sure or named, named and not sure, marks
+                if all(x in PARTS or _marked(x) for x in found):
+                    named = "whole"
+            if not named and name not in CONTENT and name not in ("html", "body") and any(map(_telling, found)):
+                named = "part"
+    return sure, "" if sure else named, marks
 
 
 class Page:
@@ -117,12 +130,15 @@ class Page:
             self._read(html, large)
 
     def _read(self, html: str, large: frozenset[int]) -> frozenset[int]:
-        """Reads the events; the elements numbered in ``large`` stay outside
-        content.  Numbers of the elements dropped by name only that hold an
-        article or main element or most of the words."""
-        stack: list[tuple] = []  # (name, dropped, is content, marks, held if dropped by name)
+        """Reads the events; the elements numbered in ``large`` stay.  Numbers of the
+        elements dropped by name only that are no part of what they stand in: outside
+        content those that hold an article or main element or most of the words, and
+        those named in part only if they hold nearly all words around them."""
+        stack: list[tuple] = []  # (name, dropped, is content, marks, held if dropped by name, words before, around)
         opened = total = contents = 0
-        held: list[tuple[int, int, int]] = []  # (element, words, content elements)
+        held: list[tuple] = []  # (element, how named, words, content elements, around)
+        around: dict[int, int] = {}  # words of each content element
+        inside_of: list[int] = []  # the content elements that are open
         count: Counter = Counter()
         dropped = content = 0
         block, at, end = 0, 0, len(html)
@@ -131,9 +147,12 @@ class Page:
 
         def pop() -> None:
             nonlocal dropped, content, marks
-            name, was, inside, own, at_open = stack.pop()
+            name, was, inside, own, at_open, number, before = stack.pop()
             if at_open:
-                held.append((at_open[0], total - at_open[1], contents - at_open[2]))
+                held.append((number, at_open[0], total - before, contents - at_open[1], at_open[2]))
+            if inside:
+                around[number] = total - before
+                inside_of.pop()
             count[name] -= 1
             dropped -= was
             content -= inside
@@ -161,6 +180,9 @@ class Page:
             if name in RAW and not closing:
                 if not attributes.endswith("/"):
                     stop = ENDS[name].search(html, at)
+                    if name == "xmp":  # its text is literal
+                        block += 1
+                        say(html[at:stop.start() if stop else end].replace("&", "&amp;"))
                     at = stop.start() if stop else end
                 continue
             if name == "br":
@@ -183,14 +205,16 @@ class Page:
                     pop()
                 if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
                     pop()
-                drop, by_name, own = _drops(name, attributes)
+                sure, named, own = _drops(name, attributes)
                 opened += 1
-                at_open = (opened, total, contents) if by_name else None
-                contents += name in CONTENT and not drop
-                drop &= bool(content or opened not in large)
+                at_open = (named, contents, inside_of[-1] if inside_of else 0) if named else None
+                contents += name in CONTENT and not sure and not named
+                drop = sure or named == "whole" and bool(content or opened not in large) or named == "part" and opened not in large
                 inside = name in CONTENT and not drop and not dropped
                 self.marked |= inside
-                stack.append((name, drop, inside, own, at_open))
+                stack.append((name, drop, inside, own, at_open, opened, total))
+                if inside:
+                    inside_of.append(opened)
                 count[name] += 1
                 dropped += drop
                 content += inside
@@ -199,7 +223,9 @@ class Page:
                 where = next((x[0] for x in reversed(stack[-8:]) if x[0] in BLOCK), "body")
         while stack:
             pop()
-        return frozenset(i for i, words, inner in held if inner or 2 * words > total)
+        return frozenset(
+            i for i, named, words, inner, where_ in held
+            if inner or (2 * words > total if named == "whole" else words > WHOLE * (around.get(where_, 0) if where_ else total)))
 
     def features(self) -> Iterator[tuple[str, int, int]]:
         """(feature, words or tags inside the content, and outside): the counts
@@ -266,6 +292,7 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
 
 def fit(pages: DataFrame, id_col: str, html_col: str, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from a sample of the pages with a marked element."""
+    pages = pages.where(F.lower(html_col).rlike("<(article|main)[\\s>/]"))
     n = pages.count()
     share = 2.0 if not n else sample_pages / n
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1_000_000)) / 1_000_000

@@ -12,6 +12,10 @@ if the classifier gives them ``threshold`` or more and no base span overlaps.
 The only rows that reach the driver are counts of feature patterns, at most
 ``len(KINDS) * 2 ** len(LABELERS) * 3`` of them whatever the input.
 
+Kinds beyond the base ones: IBANs, social security numbers, local phone numbers, and
+secrets (keys, tokens and passwords of 16 characters or more that are assigned to a
+name that says so, or begin as their issuers begin them).
+
 Spans are code points, end exclusive.  Patterns that repeat groups are rewritten
 to character classes over equally long texts, so that long runs neither
 backtrack nor overflow the stack.
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from postlake.llm.common import stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "ssn", "local_phone")
+EXTRA_KINDS = ("iban", "ssn", "local_phone", "secret")
 KINDS = BASE_KINDS + EXTRA_KINDS
 LABELERS = ("strict", "gazetteer", "own_context", "contact_context", "against")
 CONTEXT = 30  # characters before and after a span
@@ -46,9 +50,14 @@ OWN_WORDS = {
     "email": "e-?mail|mail|write to|contact", "ip": r"\bip\b|address|host|server|login", "card": "card|visa|mastercard|amex|payment",
     "phone": "phone|tel|call|mobile|fax|cell|contact", "iban": "iban|account|bank|konto|cuenta|compte",
     "ssn": "ssn|social security", "local_phone": "phone|tel|call|mobile|fax|cell|contact",
+    "secret": "token|secret|key|passw|bearer|auth|credential",
 }
 CONTACT_WORDS = "name|contact|address|reach|call|phone|mail|customer|patient|mr|mrs|dr"
-AGAINST_WORDS = "version|release|isbn|issn|order|invoice|serial|build|figure|section|doi"
+AGAINST_WORDS = "version|release|isbn|issn|order|invoice|serial|build|figure|section|doi|commit|checksum|md5|sha1|sha256|digest|etag"
+# How issuers of keys begin them, and what a key is assigned to.
+KEY_STARTS = "AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|sk_|rk_|pk_|xox[abprs]-|AIza|eyJ|ya29"
+KEY_NAMES = (r"(token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth[_ -]?key|passw(or)?d|passwd|pwd|bearer|authorization|credentials?)"
+             r"[a-z_-]{0,12}[\"']?\s*(=>?|:|\bis\b)?\s*[\"']?$")
 
 # The base patterns, in a form that cannot backtrack far.  A match may start
 # where the last one ended, or where no earlier start would have matched too.
@@ -60,6 +69,9 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 
+# A run that could be a key or a token; longer ones are data.
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,256}+(?![A-Za-z0-9+/_-])"
+
 SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
 CHUNK = 256
 
@@ -126,9 +138,23 @@ def candidates(text: Column) -> list[Column]:
         _only(text.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), matches(text, IBAN)),
         _only(text.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), matches(text, SSN)),
         _only(text.rlike(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"), matches(text, LOCAL_PHONE)),
+        _only(text.rlike(f"(?i)token|secret|key|passw|pwd|bearer|auth|credential|{KEY_STARTS}"), F.filter(matches(text, SECRET), _secret)),
     ]
 
 
+def _letters(value: Column) -> Column:
+    """The number of different characters."""
+    return F.size(F.array_distinct(F.split(value, "")))
+
+
+def _secret(x: Column) -> Column:
+    """Whether a run may be a secret at all: letters and digits that hardly repeat,
+    begun as an issuer begins its keys, or assigned to a name of a secret."""
+    value = x["value"]
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (_letters(value) >= 8)
+    return mixed & (value.rlike(f"^({KEY_STARTS})") | F.lower(x["before"]).rlike(KEY_NAMES))
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): every candidate span of every row, ordered by start and
     kind, with the kind's place in KINDS."""
@@ -158,11 +184,12 @@ def votes(x: Column) -> list[Column]:
     strict = _by_kind(kind, {
         "email": value.rlike(r"\.[A-Za-z]{2,}$"), "ip": ~value.rlike(r"^(0|127|255)\."), "card": value.rlike("^[3-6]"),
         "phone": F.length(number).between(10, 13), "ssn": ~value.rlike("^(000|666|9)"),
-        "iban": F.length(value).between(15, 42), "local_phone": value.rlike(r"^\(?[2-9]")}, yes)
+        "iban": F.length(value).between(15, 42), "local_phone": value.rlike(r"^\(?[2-9]"), "secret": _letters(value) >= 10}, yes)
     gazetteer = _by_kind(kind, {
         "email": value.rlike(rf"\.({MAIL_SUFFIXES})$"), "ip": ~value.rlike(r"^(10|192\.168)\."),
         "card": number.rlike("^(4|5[1-5]|3[47]|6011|65)"), "phone": number.rlike(f"^({COUNTRY_CODES})"),
-        "iban": value.rlike(f"^({IBAN_COUNTRIES})"), "ssn": ~value.rlike("-0000$"), "local_phone": ~value.rlike(r"^\(?(911|555)")}, yes)
+        "iban": value.rlike(f"^({IBAN_COUNTRIES})"), "ssn": ~value.rlike("-0000$"), "local_phone": ~value.rlike(r"^\(?(911|555)"),
+        "secret": value.rlike(f"^({KEY_STARTS})") | value.rlike("^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$")}, yes)
     own = _by_kind(kind, {k: F.lower(x["before"]).rlike(w) for k, w in OWN_WORDS.items()}, yes)
     contact = around.rlike(rf"\b({CONTACT_WORDS})\b")
     against = F.lower(x["before"]).rlike(rf"\b({AGAINST_WORDS})\b")

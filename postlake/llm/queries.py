@@ -57,7 +57,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, sf_dir, "documents"))
     held = [pii.count_kind(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(pii.BASE_KINDS)]
     return found.select("doc_id", *held, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"),
-                        pii.digest(F.col("spans")).alias("spans"))
+                        pii.digest(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"),
+                        pii.count_kind(F.col("spans"), pii.KINDS.index("secret")).alias("n_secret"))
 
 
 @query("op6_language_id")
@@ -89,11 +90,13 @@ p as (
 r(h, q, v, own) as (values
   ('net', '/', 'block', true), ('example.net', '/en/', 'allow', true), ('example.com', '/de/', 'block', true), ('org', '/fr/', 'allow', true),
   LISTED),
-x as (select distinct host, path from p),
+x as (select distinct host, path,
+  regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') as plain from p),
 m as (
   select host, path, max(struct_pack(n := length(h) + length(q), h := h, q := q, v := v)) filter (own) as a,
     max(struct_pack(n := length(h) + length(q), h := h, q := q, v := v)) filter (not own) as b
-  from x join r on (host = h or host like '%.' || h) and starts_with(path, q) group by host, path)
+  from x join r on (case when own then host else plain end = h or case when own then host else plain end like '%.' || h)
+    and starts_with(path, q) group by host, path)
 select p.page_id, p.url, p.host, p.path, m.a.h || m.a.q as rule, coalesce(m.a.v, m.b.v, 'allow') as verdict
 from p left join m on p.host = m.host and p.path = m.path
 """.replace("LISTED", ", ".join(f"('{h}', '{p}', '{v}', false)" for h, p, v in url_filter.LISTED)))

@@ -9,7 +9,8 @@ has; longer lists of keys could not hit.  The filter has a fixed number of
 bounded whatever the list; a longer list only passes more candidates on.
 
 Defined results: a null URL, or one without "://", has empty host and path and
-fits no entry.  Distinct (host, path) pairs are judged once; repeated rows get
+fits no entry.  Listed hosts are compared without user, port and trailing dots, so
+that none of these hides a host.  Distinct (host, path) pairs are judged once; repeated rows get
 equal results.  Extra columns are ignored.
 """
 
@@ -25,7 +26,8 @@ BLOCKS = 1 << 13  # of 64 bytes: half a megabyte
 # The rules of the contract (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-# The method's own list, for URLs that no rule fits.
+# The method's own list, for URLs that no rule fits: a sample, of the spam hosts that
+# the generated pages have.  A user passes their own list as a table.
 SPAM_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED = [(f"{name}.example.{top}", "/", "block") for name in SPAM_NAMES for top in ("com", "net", "org")]
 
@@ -39,6 +41,11 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
+def canonical_host(host: Column) -> Column:
+    """A host as lists name it: without user, port and the dot of the root."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), "[.]+$", "")
+
+
 def _bits(key: Column, blocks: int) -> list[Column]:
     """The block of a key, and its bit in each of the block's eight words."""
     second = F.xxhash64(key, F.lit(7))
@@ -89,11 +96,14 @@ def judge(urls: DataFrame, entries: DataFrame, blocks: int = BLOCKS) -> DataFram
 def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 blocks: int = BLOCKS) -> DataFrame:
     """One row per input row: (page_id, url, host, path, rule, verdict).  The
-    longest fitting rule decides; else the longest listed entry; else allow."""
+    longest fitting rule decides; else the longest listed entry; else allow.  Rules
+    see the host as it stands in the URL, the list its canonical form."""
     host, path = host_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     ruled = judge(rows, rules, blocks).select(
         "host", "path", F.concat("entry_host", "entry_path").alias("rule"), F.col("verdict").alias("ruled"))
-    known = judge(rows, listed, blocks).select("host", "path", F.col("verdict").alias("known"))
-    return (rows.join(ruled, ["host", "path"], "left").join(known, ["host", "path"], "left")
+    rows = rows.withColumn("plain", canonical_host(F.col("host")))
+    known = judge(rows.select(F.col("plain").alias("host"), "path"), listed, blocks).select(
+        F.col("host").alias("plain"), "path", F.col("verdict").alias("known"))
+    return (rows.join(ruled, ["host", "path"], "left").join(known, ["plain", "path"], "left")
             .select("page_id", "url", "host", "path", "rule", F.coalesce("ruled", "known", F.lit("allow")).alias("verdict")))

@@ -216,6 +216,72 @@ def test_null_host_has_the_prior_of_all_rows(spark):
     assert got[100].id_best == "fr" and got[100].id_probability > 0.6
 
 
+def test_language_of_pages(spark):
+    """Every page gets a row; null urls and pages, and the declared language, as evidence."""
+    got = queries.QUERIES["language_id_pages"](spark, SF_SMALL).collect()
+    pages = {r.page_id: r for r in read(spark, SF_SMALL, "pages").collect()}
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    told = [r for r in got if r.declared and not r.id_rejected]
+    assert told and sum(r.id_lang == r.declared for r in told) / len(told) > 0.9
+    odd = spark.createDataFrame([(1, None, "<html lang='de'><p>und der die das nicht</p>"), (2, "http://u:p@h.example.fr:80/x", None),
+                                 (3, "no scheme", ""), (None, "http://a.fr", "<p>le la les des est une</p>")], "page_id bigint, url string, html string")
+    seen = {r.page_id: r for r in language_id.page_evidence(odd).collect()}
+    assert (seen[1].host, seen[1].declared) == (None, "de") and seen[2].text is not None and seen[3].host == ""
+    model = language_id.fit(read(spark, SF_SMALL, "documents"), "doc_id", "text", "lang")
+    rows = {r.page_id: r for r in language_id.identify(language_id.page_evidence(odd), "page_id", "text", "host", "declared", model).collect()}
+    assert rows[1].id_lang == "de" and rows[2].id_rejected and rows[3].id_rejected and rows[None].id_lang == "fr"
+
+
+def test_language_against_a_brute_force_fusion(spark):
+    """Text score, host prior without the own row, declared language and suffix, put
+    together row by row in plain Python."""
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in read(spark, SF_SMALL, "documents").limit(60).collect()]
+    hosts = ["a.example.fr", "b.example.fr", "c.de", "plain", None]
+    rows = [(i, t, lang if i % 3 else None, hosts[i % 5]) for i, (_, t, lang, _) in enumerate(docs)]
+    model = language_id.fit(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"), "doc_id", "text", "lang")
+    langs, table = model
+    n, score = len(langs), language_id.scorer(table)
+    texts = {}
+    for i, t, _, _ in rows:
+        cells = np.bincount(language_id.trigrams(t.encode()), minlength=language_id.CELLS)
+        at = np.flatnonzero(cells)
+        total = score(at, cells[at].astype(float)) * min(1.0, language_id.EFFECTIVE / cells.sum())
+        texts[i] = total - total.max()
+    suffix = lambda h: h.rsplit(".", 1)[-1] if h and "." in h else None
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h and "." in h else None
+
+    def held(keep):
+        out = np.zeros(n)
+        for i, _, _, h in rows:
+            if keep(h):
+                out[int(texts[i].argmax())] += 1
+        return out
+
+    smooth = lambda c, p: (c + language_id.PRIOR_WEIGHT * p) / (c.sum() + language_id.PRIOR_WEIGHT)
+    everything = held(lambda h: True)
+    top = (everything + 1) / (everything.sum() + n)
+    want = {}
+    for i, _, declared, h in rows:
+        prior = top
+        if h is not None:
+            up = top
+            if domain(h):
+                up = smooth(held(lambda x: domain(x) == domain(h)), smooth(held(lambda x: suffix(x) == suffix(h)), top))
+            own = held(lambda x: x == h)
+            own[int(texts[i].argmax())] -= 1
+            prior = smooth(own, up)
+        log = texts[i] + np.log(prior)
+        for value, right in ((declared, language_id.DECLARED_RIGHT), (language_id.SUFFIX_LANGUAGE.get(suffix(h)), language_id.SUFFIX_RIGHT)):
+            if value in langs:
+                log = log + np.log([right if x == value else (1 - right) / (n - 1) for x in langs])
+        p = np.exp(log - log.max())
+        want[i] = (langs[int(log.argmax())], 1 / p.sum())
+    frame_ = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: (r.id_best, r.id_probability) for r in language_id.identify(frame_, model=model, least=0.0).collect()}
+    assert {i: b for i, (b, _) in got.items()} == {i: b for i, (b, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-4) for i in want)
+
+
 def test_language_awkward(spark):
     rows = language_id.identify(H.awkward(spark)).collect()
     assert len(rows) == len(H.ROWS) and rows[0].body == "x"

@@ -84,6 +84,52 @@ def test_named_elements_in_content_stay_out():
     assert html_extract.extract(html, {}) == "short text"
 
 
+def test_boilerplate_inside_an_article_goes():
+    body = "".join(f"<p>real sentence number {i} of the article body</p>" for i in range(6))
+    for mark in ('class="user-comments"', 'class="article-comments"', 'id="comments-v2"', 'class="ad-300x250"', 'class="sponsored-content"',
+                 'class="cookie-policy"', 'class="google-ad"', 'class="comments"', 'class="ad"'):
+        text = html_extract.extract(f"<body><article><h1>Head line</h1>{body}<div {mark}><p>not part of it</p></div></article></body>", {})
+        assert "not part" not in text and text.count("real sentence") == 6 and text.startswith("Head line")
+    # A wrapper of nearly all words is no part, whatever its name; and long comments are.
+    for mark in ('class="ad-free"', 'class="post comments-open"', 'class="no-ads content"'):
+        assert html_extract.extract(f"<article><div {mark}>{body}</div></article>", {}).count("real sentence") == 6
+        assert html_extract.extract(f"<body><div {mark}><article>{body}</article></div></body>", {}).count("real sentence") == 6
+    many = "".join(f"<p>comment number {i} by some reader of it all</p>" for i in range(7))
+    text = html_extract.extract(f"<article>{body}<div class='user-comments'>{many}</div></article>", {})
+    assert text.count("real sentence") == 6 and "reader" not in text
+
+
+def test_content_elements_stay():
+    for tag in ("math", "object", "label", "map", "figure", "details"):
+        text = html_extract.extract(f"<article><p>words before it</p><{tag}>held inside it</{tag}><p>words after it</p></article>", {})
+        assert "held inside it" in text
+    assert "a <b>literal</b> &amp; text" in html_extract.extract("<article><p>one</p><xmp>a <b>literal</b> &amp; text</xmp><p>two</p></article>", {})
+
+
+def test_scan_takes_the_best_of_all_regions():
+    """Against the score of every run of events, on pages without a marked element."""
+    draw = random.Random(17)
+    for _ in range(60):
+        html = "".join(f"<{t}>{' '.join(['word'] * draw.randrange(6))}{i}</{t}>" for i, t in enumerate(draw.choice(["p", "li", "td", "span", "h2"]) for _ in range(draw.randrange(1, 9))))
+        weights = {f"tag:{t}": -draw.random() * 3 for t in ("p", "li", "td", "span", "h2")}
+        weights |= {f"block:{t}": draw.uniform(-2, 1) for t in ("p", "li", "td", "span", "h2", "body")}
+        page = html_extract.Page(html)
+        gains = [weights.get(f"tag:{v}", html_extract.TAG_COST) if k == "t" else n * (1.0 + weights.get(f"block:{v[1]}", 0.0)) for k, v, n, _, _ in page.events]
+        best = max((sum(gains[a:b]) for a in range(len(gains)) for b in range(a + 1, len(gains) + 1)), default=0.0)
+        if best <= 0:
+            continue
+        regions = [(a, b) for a in range(len(gains)) for b in range(a + 1, len(gains) + 1) if sum(gains[a:b]) > best - 1e-9]
+        texts = set()
+        for a, b in regions:
+            touched = {page.events[i][3] for i in range(a, b) if page.events[i][0] == "w" and page.events[i][2]}
+            blocks = {}
+            for k, _, _, block, text in page.events:
+                if k == "w" and block in touched:
+                    blocks.setdefault(block, []).append(text)
+            texts.add("\n\n".join(x for x in (" ".join("".join(p).split()) for p in blocks.values()) if x))
+        assert html_extract.extract(html, weights) in texts
+
+
 def test_awkward_pages(spark):
     rows = [(None, None, None), (1, None, "<p>hello there</p>"), (1, None, "<p>hello there</p>"), (2, "u", "<" * 20000),
             (3, "u", "<p class='" * 5000), (4, "u", "<div>" * 20000 + "deep"), (5, "u", "<p>w</p>" * 20000)]
@@ -215,6 +261,27 @@ def test_personal_data_base_spans(spark):
         assert set(map(tuple, r.base)) <= set(map(tuple, r.spans))
 
 
+def test_secrets(spark):
+    """Keys and tokens that are named or begin as such; not hashes, ids and long words."""
+    draw = random.Random(9)
+    key = lambda n, letters="0123456789abcdef": "".join(draw.choice(letters) for _ in range(n))
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    held = [f'some words token = "{key(40)}" and more' for _ in range(30)] + [f"api_key={key(32)}" for _ in range(30)]
+    held += [f"use AKIA{key(16, wide[:26] + wide[-10:])} here" for _ in range(30)] + [f"Authorization: Bearer {key(48, wide)}" for _ in range(30)]
+    held += [f"my password is {key(18, wide)}7q" for _ in range(20)]
+    clean = [f"commit {key(40)} fixed it" for _ in range(30)] + [f"see https://x.example/a/{key(24)}/b" for _ in range(30)]
+    clean += ["the key to unquestionablylongwords is practice", "token token token", "secret = aaaaaaaaaaaaaaaaaaaaaaaa1", "x" * 100_000 + "1"]
+    clean += ["plain words without any of it"] * 50
+    rows = list(enumerate(held + clean))
+    got = {r.doc_id: [(x.name, x.start, x.end) for x in r.spans] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        if i < len(held):
+            (name, start, end), = got[i]
+            assert name == "secret" and re.fullmatch("[A-Za-z0-9]{16,}", text[start:end]) and not text[end:end + 1].isalnum()
+        else:
+            assert got[i] == []
+
+
 def test_personal_data_added_kinds_and_awkward_rows(spark):
     rows = [(i, f"please call my phone {200 + i}-555-{1000 + i} or write to a{i}@example.com today") for i in range(100)]
     rows += [(100 + i, f"version release {200 + i}-555-{1000 + i} of order") for i in range(100)]
