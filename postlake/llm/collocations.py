@@ -46,7 +46,9 @@ from postlake.llm.common import chunks, map_arrow, stored
 TOP, LEAST, DROP_SHARE, MOST_WORDS = 2000, 10, 50, 3
 FIRST, STEP = 4, 8  # pairs admitted by the first threshold, in multiples of ``top``, and the growth from wave to wave
 TOKENS = 1 << 17  # counted at a time
-WORDS, KEYS = 200_000, 400_000  # that a task holds before it hands them on
+# That a task holds before it hands them on: smaller tables keep an executor's memory
+# down, and cost more rows to combine after the shuffle.
+WORDS, KEYS = 200_000, 400_000
 OUT_ROWS = 50_000
 BITS_AN_ITEM, MOST_BITS = 16, 1 << 27  # of a filter: 16 MB at most
 NAMED_LANGUAGES = 1000  # that a scan is told to skip to; with more it reads all
