@@ -84,7 +84,8 @@ def runs_of(words: list[int], min_words: int) -> list[tuple[int, int]]:
     return found
 
 
-#: Runs in one record batch; texts of a batch are held once, runs never with them.
+#: Runs in one record batch.  Texts of a batch are held once, runs never with them: a
+#: long document has as many runs as lines.
 RUN_ROWS = 20_000
 
 
