@@ -470,3 +470,20 @@ def test_decontamination_awkward(spark):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
     assert {r.n_hit for r in decontaminate.decontaminate(docs, bench.limit(0)).collect()} == {0}
     assert decontaminate.decontaminate(H.awkward(spark), bench).count() == len(H.ROWS)
+
+
+def test_windows_of_many_items_are_one_class(spark, monkeypatch):
+    """Items that share a passage: places are counted once, all items are listed."""
+    shared = " ".join(f"s{i}" for i in range(14))
+    items = [(i, f"{shared} own{i} tail{i}") for i in range(60)]
+    texts = [(1, f"intro {shared} outro"), (2, f"{shared} own7 tail7 {shared}"), (3, "s1 s2 s3"), (4, " ".join(f"s{i}" for i in range(9, 14)))]
+    wins = H.windows([(str(i), t) for i, t in items])
+    want = []
+    for d, t in texts:
+        n, places, found = H.hits(t, wins)
+        want.append((d, n, len(places), sorted(found)))
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    for limit in (decontaminate.BLOCK_BYTES, 10_000):  # in one broadcast, and in several
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", limit)
+        got = decontaminate.decontaminate(docs, bench).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got) == want
