@@ -161,32 +161,32 @@ def host_priors(decided: DataFrame, n: int) -> DataFrame:
 def priors_of(decided: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
     """(host, counts, up): counts of the text decisions at the host, and the
     smoothed distribution of the level above it; and the smoothed distribution
-    of all rows.  ``decided``: (host, best)."""
-    cell = [F.sum((F.col("best") == i + 1).cast("double")).alias(f"c{i}") for i in range(n)]
-    names = [f"c{i}" for i in range(n)]
-    hosts = stored(decided.groupBy("host").agg(*cell).withColumn("suffix", host_suffix(F.col("host")))
-                   .withColumn("domain", host_domain(F.col("host"))), "hosts")
-
-    def level(key: str | None) -> DataFrame:
-        sums = [F.sum(c).alias(c) for c in names]
-        return hosts.groupBy(key).agg(*sums) if key else hosts.agg(*sums)
-
-    everything = level(None).first()
-    total = sum(everything[c] or 0 for c in names)
-    top = [((everything[c] or 0) + 1) / (total + n) for c in names]
+    of all rows.  ``decided``: (host, best), best from 1 to ``n``.  The plan does
+    not grow with the number of languages: counts are rows (host, best, c) and
+    become one array a host, suffix or domain at the end."""
+    cells = stored(decided.groupBy("host", "best").agg(F.count(F.lit(1)).cast("double").alias("c"))
+                   .withColumn("suffix", host_suffix(F.col("host"))).withColumn("domain", host_domain(F.col("host"))), "hosts")
+
+    def held(*key: str) -> DataFrame:
+        """``counts`` of each key, in the order of the languages."""
+        rows = cells.where(F.col(key[0]).isNotNull()).groupBy(*key, "best").agg(F.sum("c").alias("c"))
+        counts = F.map_from_entries(F.collect_list(F.struct("best", "c")))
+        return rows.groupBy(*key).agg(counts.alias("m")).select(
+            *key, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("counts"))
+
+    everything = {r["best"]: r["c"] for r in cells.groupBy("best").agg(F.sum("c").alias("c")).collect()}
+    total = sum(everything.values())
+    top = [(everything.get(i + 1, 0) + 1) / (total + n) for i in range(n)]
 
     def smoothed(parent: Column) -> Column:
-        held = F.array(*names)
-        size = F.aggregate(held, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(held, parent, lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT))
-
-    root = F.array(*map(F.lit, top))
-    by_suffix = level("suffix").where("suffix is not null").select("suffix", smoothed(root).alias("ps"))
-    domain = level("domain").where("domain is not null").withColumn("suffix", host_suffix(F.col("domain")))
-    by_domain = domain.join(by_suffix, "suffix", "left").select(
+        size = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with("counts", parent, lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT))
+
+    root = F.lit(top)
+    by_suffix = held("suffix").select("suffix", smoothed(root).alias("ps"))
+    by_domain = held("domain", "suffix").join(by_suffix, "suffix", "left").select(
         "domain", smoothed(F.coalesce("ps", root)).alias("pd"))
-    return (hosts.where("host is not null").join(by_domain, "domain", "left")
-            .select("host", F.array(*names).alias("counts"), F.coalesce("pd", root).alias("up"))), top
+    return held("host", "domain").join(by_domain, "domain", "left").select("host", "counts", F.coalesce("pd", root).alias("up")), top
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source",
@@ -217,18 +217,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         priors = F.broadcast(priors)
     joined = scored.join(priors, "host", "left")
     best_text = F.when(F.col("letters") > 0, argmax(F.col("loglik"))).otherwise(F.lit(0))
-    flat = F.array(*[F.lit(1.0 / n)] * n)
+    known = F.lit(languages)
     # The row's own decision does not count for its own prior.
     others = F.transform("counts", lambda c, i: F.greatest(c - (i + 1 == best_text).cast("double"), F.lit(0.0)))
     size = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
-    prior = F.coalesce(F.zip_with(others, "up", lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT)), F.array(*map(F.lit, top)))
+    prior = F.coalesce(F.zip_with(others, "up", lambda c, p: (c + PRIOR_WEIGHT * p) / (size + PRIOR_WEIGHT)), F.lit(top))
     log = F.zip_with("loglik", prior, lambda l, p: l + F.log(p))
 
     def says(value: Column, right: float) -> Column:
         """Log likelihood of a declared value under each language."""
-        known = value.isin(languages)
-        return F.when(known, F.array(*[F.when(value == lang, F.lit(right)).otherwise((1 - right) / max(1, n - 1))
-                                       for lang in languages])).otherwise(flat)
+        at = F.coalesce(F.array_position(known, value), F.lit(0))
+        rest = F.when(at > 0, F.lit((1 - right) / max(1, n - 1))).otherwise(F.lit(1.0 / n))
+        return F.transform(F.array_repeat(rest, n), lambda p, i: F.when(i + 1 == at, F.lit(right)).otherwise(p))
 
     if declared_col:
         log = F.zip_with(log, says(F.col("declared"), DECLARED_RIGHT), lambda a, p: a + F.log(p))
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     out = joined.withColumn("log", log)
     weights = F.transform("log", lambda x: F.exp(x - F.array_max("log")))
     probability = F.when(F.col("letters") > 0, 1 / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(0.0))
-    best = F.when(F.col("letters") > 0, F.element_at(F.array(*map(F.lit, languages)), argmax(F.col("log"))))
+    best = F.when(F.col("letters") > 0, F.element_at(known, argmax(F.col("log"))))
     out = out.withColumn("best", best).withColumn("probability", probability)
     rejected = F.col("best").isNull() | (F.col("probability") < least)
     out = out.withColumn("rejected", rejected).withColumn("lang", F.when(~F.col("rejected"), F.col("best")))

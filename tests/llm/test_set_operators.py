@@ -195,6 +195,17 @@ def test_host_prior_by_hand(spark):
     assert got["s"].up == pytest.approx(top)
 
 
+def test_host_prior_of_thousands_of_languages(spark):
+    """Counts are rows: the plan has as many expressions for 3,000 languages as for two."""
+    decided = spark.createDataFrame([("a.com", 1 + i % 3000) for i in range(4000)] + [("b.com", 3000)], "host string, best int")
+    few, many = (language_id.host_priors(decided, n) for n in (2, 3000))
+    nodes = [df._jdf.queryExecution().optimizedPlan().numberedTreeString().count("#") for df in (few, many)]
+    assert nodes[0] == nodes[1]
+    got = {r.host: r for r in many.collect()}
+    assert len(got["a.com"].counts) == 3000 and sum(got["a.com"].counts) == 4000 and got["b.com"].counts[2999] == 1
+    assert got["a.com"].counts[:1000] == [2] * 1000 and sum(got["b.com"].up) == pytest.approx(1)
+
+
 def test_every_label_is_a_language(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda i, j: letters[i % 26] * 2 + letters[i // 26] + letters[j]
