@@ -32,13 +32,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the cluster's shared folder and read it again: cuts the
-    lineage and survives the loss of executors."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the folder, which the caller deletes when all that was
+    derived from it is itself written."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the cluster's shared folder and read it again: cuts the
+    lineage and survives the loss of executors."""
+    return written(df, name)[0]
 
 
 def ascii_lower(text: Column) -> Column:

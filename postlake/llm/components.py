@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import stored
+from postlake.llm.common import written
+from postlake.session import delete
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,9 +16,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps (each node links its larger,
     then its smaller neighbours to the least one) until no edge changes; the
     number of rounds grows with the logarithm of the graph.  Every step writes
-    its edges to the shared folder; the driver sees two numbers per round.
+    its edges to the shared folder and then deletes those of the step before; the
+    driver sees two numbers per round.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now, at = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,7 +31,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")),
                                            F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
                  .select("x.*").where("a <> b").distinct())
-        now = stored(small, "edges")
+        used = at
+        now, at = written(small, "edges")
+        delete(edges.sparkSession, used)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before:
             break

@@ -43,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.llm.common import chunks, free_name, map_arrow, place, plain, stored
+from postlake.llm.common import chunks, free_name, map_arrow, place, plain, stored, written
+from postlake.session import delete
 
 MIN_WORDS = 5
 
@@ -162,10 +163,11 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, gone): for documents with blocks to delete, the sorted
-    numbers of those lines, counted from 0 among the lines that are not blank."""
+    numbers of those lines, counted from 0 among the lines that are not blank.  The
+    tables of runs are deleted before it returns."""
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"),
                          F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    runs = stored(map_arrow(narrow, _runs(min_words), RUNS), "runs")
+    runs, runs_at = written(map_arrow(narrow, _runs(min_words), RUNS), "runs")
     # The owner of every shared run.
     shared = (runs.groupBy("h1", "h2")
               .agg(F.min(F.struct("doc_id", "th", "pos", "copies")).alias("own"), F.max("doc_id").alias("last"))
@@ -173,12 +175,17 @@ def repeated_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("h1", "h2", F.col("own.doc_id").alias("owner"), F.col("own.th").alias("owner_th"),
                       F.col("own.pos").alias("owner_pos"), F.col("own.copies").alias("owner_copies")))
     # Stored, so that the join deals both sides itself and can split a common run.
-    later = runs.join(stored(shared, "shared"), ["h1", "h2"]).where("doc_id > owner")
+    shared, shared_at = written(shared, "shared")
+    later = runs.join(shared, ["h1", "h2"]).where("doc_id > owner")
     once = ((F.col("copies") == 1) & (F.col("owner_copies") == 1)).alias("once")
     rows = F.array_sort(F.collect_set(F.struct("pos", "size", "owner_pos", once)))
     pairs = later.groupBy("doc_id", "th", "owner", "owner_th").agg(rows.alias("rows"))
     gone = map_arrow(pairs, _align, "doc_id bigint, th bigint, gone array<int>")
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    lines = stored(gone.groupBy("doc_id", "th").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
+    for path in (runs_at, shared_at):
+        delete(docs.sparkSession, path)
+    return lines
 
 
 def without_lines(text: bytes, gone: set[int]) -> bytes:

@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.common import ASCII_LOWER, chunks, map_arrow, place, plain, stored
+from postlake.llm.common import ASCII_LOWER, chunks, map_arrow, place, plain, stored, written
+from postlake.session import delete
 from postlake.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -132,12 +133,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the smallest id reachable over links; ``th`` is xxhash64 of the text."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     prints = stored(add_fingerprints(own, "text", shingle_words), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = stored(trie_links(classes.select("fp"), max_bits), "links")
+    classes, classes_at = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    links, links_at = written(trie_links(classes.select("fp"), max_bits), "links")
     roots = connected_components(links).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(least, "root").select("fp", "component_id"), "components")
+    for path in (classes_at, links_at):
+        delete(docs.sparkSession, path)
     return prints.join(named, "fp").select("doc_id", "th", "fp", "component_id")
 
 

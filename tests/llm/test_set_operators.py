@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postlake.llm import ann, components, decontaminate, language_id, line_dedup, queries, simhash, url_filter
 from postlake.llm.common import read
+from postlake.session import folders, shared_dir
 from tests.conftest import SF_MED, SF_SMALL
 from tests.llm import helpers as H
 from tools.check_oracle import rows_of
@@ -20,6 +21,20 @@ def frame(spark, texts):
     return spark.createDataFrame(list(texts), "doc_id bigint, text string")
 
 
+def left_by(spark, work):
+    """Kinds of folders that ``work`` leaves in the shared folder."""
+    before = set(folders(spark, shared_dir(spark)))
+    work()
+    return sorted(x.rsplit("-", 1)[0] for x in set(folders(spark, shared_dir(spark))) - before)
+
+
+def test_finished_tables_are_deleted(spark):
+    """What a result is still read from stays, everything else goes."""
+    docs = frame(spark, [(i, "\n".join(f"line {j} of some five words {i % 2}" for j in range(i))) for i in range(8)])
+    assert left_by(spark, lambda: line_dedup.line_dedup(docs).collect()) == ["llm-gone"]
+    assert left_by(spark, lambda: simhash.near_duplicates(docs).collect()) == ["llm-components", "llm-edges", "llm-prints"]
+
+
 # --- Line dedup ---------------------------------------------------------
 
 def dedup(spark, texts):
