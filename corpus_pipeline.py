@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from postlake.llm.common import read, stored
+from postlake.llm.common import read, written
+from postlake.session import delete
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -70,7 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """A stage's table is deleted once the next stage's is written; the last one stays,
+    since the result is read from it."""
+    docs, at = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        used = at
+        docs, at = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if used:
+            delete(spark, used)
     return STAGES[-1][1](spark, docs, sf_dir)
