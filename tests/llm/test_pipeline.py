@@ -8,6 +8,7 @@ import tiktoken
 import corpus_pipeline as P
 from postlake.llm import line_dedup
 from postlake.llm.common import read, stored
+from postlake.session import folders, shared_dir
 from tests.conftest import SF_SMALL
 from tests.llm import helpers as H
 
@@ -44,8 +45,12 @@ def test_stages_and_run(spark):
     for d, t in texts(clean).items():
         assert got[d].ids == library.encode_ordinary(t) and got[d].decoded_sha256 == H.sha(t)
 
+    known = set(folders(spark, shared_dir(spark)))
     again = {r.doc_id: r.ids for r in P.run(spark, SF_SMALL).collect()}
     assert again == {d: r.ids for d, r in got.items()}
+    # Of the stages' tables only the one that the result is read from is left.
+    stages = {x.rsplit("-", 1)[0] for x in set(folders(spark, shared_dir(spark))) - known if "llm-stage" in x}
+    assert stages == {f"llm-stage-{P.STAGES[-2][0]}"}
 
 
 def test_stages_on_awkward_and_empty_tables(spark):
