@@ -3,6 +3,10 @@
 Exports are distributed writes (a directory of part files), never a
 driver-side list.  JSON is JSON Lines (one object per line); nested values
 stay nested.  CSV cannot hold arrays or maps, so those become JSON text.
+
+Part files are compressed: a record holds its text twice and more (``raw_data``,
+``title``), and an export as plain text is several times its posts.  Readers go by the
+suffix of the part files (``.json.gz``); ``compression="none"`` writes plain ones.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import types as T
 from postlake import schemas as S
 from postlake.functions.scalars import json_of
 from postlake.operators.normalize import export_record
+from postlake.session import PACKED_TABLE, PACKED_TEXT
 
 log = logging.getLogger(__name__)
 
@@ -45,27 +50,28 @@ def _csv_ready(df: DataFrame) -> DataFrame:
 
 
 def export_posts(posts: DataFrame, path: str, platform: str | None = None,
-                 mode: str = "errorifexists") -> int | None:
+                 mode: str = "errorifexists", compression: str | None = None) -> int | None:
     """K4-K7: write the export records of ``posts`` (optionally one
     platform) to ``path``.  Returns None when there is nothing to write (a
-    warning, no files), else the format used."""
+    warning, no files), else the format used.  ``compression`` of the part files,
+    if not that of the format."""
     fmt = format_of(path)
     df = posts if platform is None else posts.where(F.col("platform") == platform)
     if df.isEmpty():
         log.warning("no posts to export to %s", path)
         return None
     rec = export_record(df)
-    w = None
+    packed = PACKED_TABLE if fmt == "parquet" else PACKED_TEXT
+    w = (_csv_ready(rec) if fmt == "csv" else rec).write.mode(mode).options(**{**packed, **({"compression": compression} if compression else {})})
     if fmt == "json":
-        w = rec.write.mode(mode).option("ignoreNullFields", "false")
-        w.json(path)
+        w.option("ignoreNullFields", "false").json(path)
     elif fmt == "csv":
         # Nulls as \N so that empty strings survive a round trip.
-        _csv_ready(rec).write.mode(mode).option("header", True).option("escape", '"') \
+        w.option("header", True).option("escape", '"') \
             .option("nullValue", CSV_NULL).option("emptyValue", '""') \
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
-        rec.write.mode(mode).parquet(path)
+        w.parquet(path)
     return fmt
 
 

@@ -76,6 +76,24 @@ def test_export_round_trip(spark, suffix):
     assert back.count() == posts.count()
 
 
+@pytest.mark.parametrize("suffix", [".json", ".csv", ".parquet"])
+def test_exports_are_compressed(spark, suffix):
+    """A record holds its text several times: written plain it is larger by far."""
+    import glob
+    import os
+    from postlake.session import local_path
+    posts = unified(spark, SF_SMALL)
+    size = {}
+    for compression in (None, "none"):
+        path = scratch_path(spark, "e") + suffix
+        EX.export_posts(posts, path, compression=compression)
+        files = glob.glob(f"{local_path(path)}/part-*")
+        size[compression] = sum(os.path.getsize(f) for f in files)
+        assert all(f.endswith({".parquet": ".zstd.parquet"}.get(suffix, f"{suffix}.gz")) for f in files) == (compression is None)
+        assert EX.read_export(spark, path).count() == posts.count()
+    assert size[None] < 0.6 * size["none"]
+
+
 def _model(batches):
     from tests.test_upsert import model
     state, _ = model(batches)
