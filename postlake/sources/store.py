@@ -25,6 +25,12 @@ Of a large store, rows that the batch's Bloom filter rules out go from scan to f
 without a shuffle; only the others take part in the join (``operators.keys``).  The cost of a batch is
 that of the partitions its keys fall in, so batches should be large against ``parts``.
 
+The first batch has nothing to meet.  A partition in which every key stands once is
+published as it was staged: its folder is moved into the snapshot, neither shuffled nor
+written again (its files also hold the columns ``errors`` and ``warnings``, which reads
+leave out).  In the others only rows whose key may come again are shuffled, if they are
+few.
+
 Input is evaluated once: it is written to a staging folder, split by validity,
 platform and partition, and the staged rows are read for everything that follows.  A
 ``batch_id`` that its source (a stream's query id) has already applied is skipped
@@ -50,7 +56,7 @@ from postlake import schemas as S
 from postlake.operators import keys as K
 from postlake.operators import upsert as U
 from postlake.operators.quality import with_issues
-from postlake.session import delete, exists, folders, read_text, write_text
+from postlake.session import PACKED_TABLE, delete, exists, folders, make_folder, move, read_text, write_text
 
 POINTER = "_current.json"
 COPIES = 2
@@ -121,14 +127,18 @@ class Store:
             return self.spark.createDataFrame([], self._file_schema()).select(*self.data_cols, "part")
         df = self.spark.read.schema(self._file_schema()).parquet(f"{self.root}/snapshot={at['snapshot']}")
         if only is not None:
-            by_platform: dict[str | None, list[int]] = {}
-            for p, h in sorted(only, key=repr):
-                by_platform.setdefault(p, []).append(h)
-            named = [(F.col("platform").isNull() if p is None else F.col("platform") == p) & F.col("part").isin(parts)
-                     for p, parts in by_platform.items()]
-            df = df.where(reduce(Column.__or__, named))
+            df = df.where(self._among(only))
         return df.select(*self.data_cols, "part")
 
+    @staticmethod
+    def _among(only: set[tuple[str | None, int]]) -> Column:
+        by_platform: dict[str | None, list[int]] = {}
+        for p, h in sorted(only, key=repr):
+            by_platform.setdefault(p, []).append(h)
+        named = [(F.col("platform").isNull() if p is None else F.col("platform") == p) & F.col("part").isin(parts)
+                 for p, parts in by_platform.items()]
+        return reduce(Column.__or__, named)
+
     def read(self, with_batch: bool = False) -> DataFrame:
         """The current rows (lazy; Catalyst pushes filters and prunes folders)."""
         at = self.pointer()
@@ -211,14 +221,15 @@ class Store:
             if "valid=false" in folders(self.spark, path):
                 # One folder per batch, overwritten if the batch runs again.
                 bad = self._staged(path, "false", check)
-                bad.write.mode("overwrite").parquet(f"{self.quarantine_path()}/batch={source or 'none'}-{int(batch_id):010d}")
+                bad.write.mode("overwrite").options(**PACKED_TABLE).parquet(f"{self.quarantine_path()}/batch={source or 'none'}-{int(batch_id):010d}")
             good = self._staged(path, "true", check).select(*self.data_cols, "part")
+            staged = self._partitions(f"{path}/valid=true")
             if strict:
-                known = self._snapshot(at, set(self._partitions(f"{path}/valid=true"))).select(*self.key)
+                known = self._snapshot(at, set(staged)).select(*self.key)
                 if not U.strict_append_conflicts(known, good, self.key, K.blocks_for(rows)).isEmpty():
                     raise ValueError("strict insert rejected: duplicate keys")
             self.on_step("write", batch_id)
-            counts = self._merge(at, good, set(self._partitions(f"{path}/valid=true")), K.blocks_for(rows))
+            counts = self._merge(at, good, staged, K.blocks_for(rows))
             self.on_step("publish", batch_id)
             at["batches"] += 1
             at["rows"] += sum(c["inserted"] for c in counts.values())
@@ -242,7 +253,7 @@ class Store:
         kept = (with_issues(kept) if check else kept).withColumns({"batch_id": F.lit(number).cast("long"), "part": part})
         seen = Observation(f"staged-{uuid.uuid4().hex[:8]}")
         (kept.withColumn("valid", F.size("errors") == 0 if check else F.lit(True)).observe(seen, F.count(F.lit(1)).alias("n"))
-         .write.partitionBy("valid", "platform", "part").parquet(path))
+         .write.options(**PACKED_TABLE).partitionBy("valid", "platform", "part").parquet(path))
         return int(seen.get.get("n") or 0)
 
     def _staged(self, path: str, valid: str, check: bool) -> DataFrame:
@@ -263,11 +274,30 @@ class Store:
                     out[None if platform == _NO_VALUE else platform, int(h.removeprefix("part="))] = f"{path}/{p}/{h}"
         return out
 
-    def _merge(self, at: dict, batch: DataFrame, touched: set[tuple[str | None, int]], blocks: int) -> dict:
-        """Write the touched partitions, merged, and the stale ones into the other
-        snapshot; ``at`` then points to it.  Returns the counts per platform."""
-        if not touched:
+    def _census(self, batch: DataFrame) -> dict[tuple[str | None, int], tuple[int, int]]:
+        """Rows and keys of each partition of a batch."""
+        keys = batch.groupBy(*dict.fromkeys(["platform", "part", *self.key])).agg(F.count(F.lit(1)).alias("_n"))
+        per = keys.groupBy("platform", "part").agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("keys"))
+        return {(r["platform"], r["part"]): (r["rows"], r["keys"]) for r in per.collect()}
+
+    def _firsts(self, batch: DataFrame, rows: int, keys: int) -> DataFrame:
+        """The first copies of a batch and their number (``_copies``).  If copies are
+        few, only rows whose key may come again are shuffled (``rows`` and ``keys``: of
+        ``batch``)."""
+        near, far = batch, None
+        if rows > self.small_rows and 4 * (rows - keys) < rows:
+            again = batch.groupBy(*self.key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*self.key)
+            near, far = U.split_by_keys(batch, again, self.key, K.blocks_for(rows - keys))
+        firsts = U.first_copies(near, self.key, self.order, copies="_copies").hint("rebalance", "platform", "part")
+        return firsts if far is None else firsts.unionByName(far.withColumn("_copies", F.lit(1).cast("long")))
+
+    def _merge(self, at: dict, batch: DataFrame, staged: dict[tuple[str | None, int], str], blocks: int) -> dict:
+        """Write the touched partitions (those of ``staged``, the folders of the batch),
+        merged, and the stale ones into the other snapshot; ``at`` then points to it.
+        Returns the counts per platform."""
+        if not staged:
             return {}
+        touched = set(staged)
         now = at["snapshot"]
         target = 0 if now is None else (now + 1) % COPIES
         stale = {tuple(x) for x in at["stale"][str(target)]}
@@ -288,9 +318,15 @@ class Store:
         # counts are taken behind it, in the task that writes, so that a stage that
         # runs again does not count twice.
         settle = lambda df: df.hint("rebalance", "platform", "part").observe(counted, *exprs).select(*self.data_cols, "part")
+        whole: dict[tuple[str | None, int], int] = {}  # partitions that are published as staged: their rows
         if now is None and self.within_batch == "first" and not self.refresh:
-            new = U.first_copies(batch, self.key, self.order, copies="_copies").withColumn("_outcome", F.lit("inserted"))
-            rows = settle(new)
+            # The folder of null also has the rows of the empty string.
+            census = self._census(batch) if "platform" in self.key else {}
+            whole = {x: n for x, (n, keys) in census.items() if n == keys and x[0] is not None and x in staged}
+            n, keys = (sum(v[i] for x, v in census.items() if x not in whole) for i in (0, 1))
+            rest = touched - set(whole)
+            rows = self._firsts(batch.where(self._among(rest)), n, keys).withColumn("_outcome", F.lit("inserted")) \
+                .observe(counted, *exprs).select(*self.data_cols, "part") if rest else None
         else:
             near, far = self._snapshot(at, stale | touched), None
             if at["rows"] > self.small_rows:
@@ -298,13 +334,22 @@ class Store:
             done = U.upsert(near, batch, self.key, self.order, self.compare, self.replace, self.replace_if_reddit,
                             with_outcome=True, within_batch=self.within_batch, refresh=self.refresh)
             rows = settle(done) if far is None else settle(done).unionByName(far)
-        (rows.sortWithinPartitions("platform", "part", "batch_id", self.order).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("platform", "part").parquet(f"{self.root}/snapshot={target}"))
-        got = counted.get
+        got = {}
+        if rows is not None:
+            (rows.sortWithinPartitions("platform", "part", "batch_id", self.order).write.mode("overwrite").options(**PACKED_TABLE)
+             .option("partitionOverwriteMode", "dynamic").partitionBy("platform", "part").parquet(f"{self.root}/snapshot={target}"))
+            got = counted.get
+        for x in whole:
+            platform, part = staged[x].split("/")[-2:]
+            move(self.spark, staged[x], f"{make_folder(self.spark, f'{self.root}/snapshot={target}/{platform}')}/{part}")
         at["stale"][str(target)] = []
         for i in range(COPIES):
             if i != target:
                 at["stale"][str(i)] = sorted(map(list, {tuple(x) for x in at["stale"][str(i)]} | touched), key=repr)
         at["snapshot"] = target
-        return {p or "": {c: int(got.get(f"{c}_{i}") or 0) for c in COUNTS}
-                for i, p in enumerate([*platforms, None]) if p is not None or got.get(f"incoming_{i}")}
+        counts = {p or "": {c: int(got.get(f"{c}_{i}") or 0) for c in COUNTS}
+                  for i, p in enumerate([*platforms, None]) if p is not None or got.get(f"incoming_{i}")}
+        for (p, _), n in whole.items():
+            counts[p]["incoming"] += n
+            counts[p]["inserted"] += n
+        return counts

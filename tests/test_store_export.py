@@ -178,6 +178,40 @@ def test_a_batch_writes_only_its_partitions(spark):
     assert set(os.listdir(local_path(st.root))) <= {"_current.json", "._current.json.crc", "_staged", "snapshot=0", "snapshot=1"}
 
 
+def test_a_first_batch_is_written_once(spark, monkeypatch):
+    """Partitions whose keys stand once are published as staged; of the others the
+    first copies count, joined whole or with the filter of the keys that come again."""
+    import glob
+    import os
+    import pyarrow.parquet as pq
+    from postlake.operators import upsert as U
+    from postlake.session import local_path
+    from postlake.sources import store as store_module
+    rows = [("a b/c", f"k{i}", f"t{i}", i, 0.0) for i in range(60)]
+    rows += [("b", f"k{i % 55}", f"t{i}", 100 - i, 0.0) for i in range(60)] + [("b", None, "x", 7, 0.0), ("b", None, "y", 5, 0.0)]
+    rows += [(None, "n", "x", 3, 0.0), (None, "n", "y", 2, 0.0), (None, "m", "z", None, 0.0)]
+    batch = spark.createDataFrame(rows, SMALL).repartition(3)
+    want = {(r.platform, r.object_id): (r.text, r.seq) for r in U.first_copies(batch).collect()}
+    moved, move = [], store_module.move
+    monkeypatch.setattr(store_module, "move", lambda spark, a, b: (moved.append(b), move(spark, a, b)))
+    for small_rows in (10**6, 0):
+        moved.clear()
+        st = _versions(spark, "t-first", small_rows=small_rows)
+        got = st.upsert(batch, 0)
+        assert _rows(st) == want and st.read().count() == len(want) == st.pointer()["rows"]
+        assert got["by_platform"] == {"a b/c": {"incoming": 60, "inserted": 60, "updated": 0, "unchanged": 0},
+                                      "b": {"incoming": 62, "inserted": 56, "updated": 0, "unchanged": 0},
+                                      "": {"incoming": 3, "inserted": 2, "updated": 0, "unchanged": 0}}
+        assert len([x for x in moved if "platform=a b%2Fc" in x]) == 3
+        files = glob.glob(f"{local_path(st.root)}/snapshot=0/*/*/*.parquet")
+        assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+        assert not os.listdir(f"{local_path(st.root)}/_staged")
+        assert st.upsert(batch.limit(0), 1)["incoming"] == 0
+        again = st.upsert(spark.createDataFrame([("a b/c", "k1", "new", 999, 0.0), ("b", "z", "t", 1, 0.0)], SMALL), 2)
+        assert (again["inserted"], again["updated"]) == (1, 1)
+        assert _rows(st) == {**want, ("a b/c", "k1"): ("new", 999), ("b", "z"): ("t", 1)}
+
+
 def test_pages_by_cursor(spark):
     posts = unified(spark, SF_SMALL)
     st = Store(spark, scratch_path(spark, "t-pages"), parts=2)
