@@ -11,7 +11,7 @@ from postlake.plans.common import raw_frames
 from postlake.plans.flat import flat_posts
 from postlake.plans.q_upsert import _REPLAY_SQL, _STATES
 from postlake.plans.registry import register
-from postlake.session import configure, folders, make_folder, move, scratch_path
+from postlake.session import PACKED_TEXT, configure, folders, make_folder, move, scratch_path
 from postlake.sources import fixtures as FX
 from postlake.sources.store import Store
 from postlake.sources.tables import table
@@ -263,7 +263,7 @@ def land_payloads(spark, sf_dir) -> dict[str, str]:
     paths = {}
     for name, raw in raw_frames(spark, sf_dir).items():
         paths[name] = scratch_path(spark, f"landing-{name}")
-        raw.write.json(paths[name])
+        raw.write.options(**PACKED_TEXT).json(paths[name])
     return paths
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from postlake import schemas as S
-from postlake.session import make_folder
+from postlake.session import PACKED_TABLE, make_folder
 from postlake.sources.store import Store
 from postlake.streaming.stream import ERROR_PAUSE_S, PAUSE_S, posts_stream, start_upsert
 
@@ -94,7 +94,8 @@ def start_source(raw: dict[str, DataFrame], folder: str, checkpoint: str, trigge
                  collected_at=None, name: str | None = None) -> StreamingQuery:
     """One source (payload: its stream) normalized into its staging folder, exactly
     once by the file sink's log."""
-    w = posts_stream(raw, collected_at).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    w = posts_stream(raw, collected_at).writeStream.format("parquet").options(**PACKED_TABLE) \
+        .option("path", folder).option("checkpointLocation", checkpoint)
     w = w.queryName(name) if name else w
     return w.trigger(**(trigger or {"processingTime": f"{PAUSE_S} seconds"})).start()
 

@@ -50,6 +50,23 @@ def test_firehose_stream(spark):
     assert spark.read.parquet(out).count() == batch.count() > 0
 
 
+def test_landed_and_staged_files_are_packed(spark):
+    import glob
+    from postlake.plans.q_stream import land_payloads
+    from postlake.session import local_path
+    paths = land_payloads(spark, SF_SMALL)
+    for name, raw in raw_frames(spark, SF_SMALL).items():
+        files = glob.glob(f"{local_path(paths[name])}/part-*")
+        assert files and all(f.endswith(".json.gz") for f in files)
+        assert spark.read.schema(RAW_SCHEMAS[name]).json(paths[name]).exceptAll(raw).count() == 0
+    staged = scratch_path(spark, "staged")
+    src = ST.landed_stream(spark, paths["bluesky"], RAW_SCHEMAS["bluesky"])
+    SV.start_source({"bluesky": src}, staged, scratch_path(spark, "ckpt"), {"availableNow": True}).awaitTermination()
+    files = glob.glob(f"{local_path(staged)}/part-*")
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    assert spark.read.parquet(staged).count() == raw_frames(spark, SF_SMALL)["bluesky"].count()
+
+
 def test_dedup_within_watermark_batch_semantics(spark):
     df = spark.createDataFrame([("k", "2024-01-01 00:00:00"), ("k", "2024-01-01 00:10:00"),
                                 ("j", "2024-01-01 00:00:00")], "key string, ts string") \
