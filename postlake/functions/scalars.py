@@ -119,8 +119,9 @@ def norm_text(c) -> Column:
 
 def count_hits(haystack_lower, needle_lower) -> Column:
     """Non-overlapping occurrences of ``needle`` in ``haystack`` (both already
-    lower case); 0 for a null haystack."""
+    lower case); 0 for a null haystack.  Counted in bytes, which every string knows the
+    number of; characters would be counted anew for each pair."""
     h, n = _c(haystack_lower), _c(needle_lower)
     return F.coalesce(
-        ((F.length(h) - F.length(F.replace(h, n, F.lit("")))) / F.length(n)).cast("long"),
+        ((F.octet_length(h) - F.octet_length(F.replace(h, n, F.lit("")))) / F.octet_length(n)).cast("long"),
         F.lit(0).cast("long"))

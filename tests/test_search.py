@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from postlake.functions import scalars as X
 from postlake.operators import search as Q
 from postlake.plans.common import unified
 from tests.conftest import SF_SMALL
@@ -82,6 +83,16 @@ def test_core_plans_stay_in_the_jvm(spark):
         assert "EvalPython" not in plan and "MapInPandas" not in plan and "PythonUDF" not in plan
 
 
+def test_hits_are_counted_in_bytes(spark):
+    """The characters of a text are not counted anew for each term."""
+    rows = spark.createDataFrame([(1, "ababa é日é日é", "aba"), (2, "é日é日é", "é日é"), (3, "", "x"), (4, None, "x"), (5, "日日日", "日")],
+                                 "id int, hay string, term string")
+    got = rows.select("id", X.count_hits("hay", "term").alias("n"))
+    assert {r.id: r.n for r in got.collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 3}
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "octet_length(" in plan and " length(" not in plan and "(length(" not in plan
+
+
 def test_term_plans(spark):
     """Never a nested-loop join; a long list is an equi join on grams that stands below
     any exchange of the posts."""
