@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake.operators import keys as K
 from postlake.schemas import KEY
@@ -43,6 +44,11 @@ POST_REPLACE = ("text", "raw_data", "metrics")
 POST_REPLACE_IF_REDDIT = ("title",)
 
 
+# Types whose values an aggregation keeps in place.
+_IN_PLACE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType,
+             T.TimestampType, T.TimestampNTZType)
+
+
 def _row(cols: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
@@ -55,18 +61,38 @@ def _arrival(order: str, compare: str) -> Column:
                     F.xxhash64(F.col(compare)).alias("tie"))
 
 
+def _per_text(batch: DataFrame, key: list[str], order: str, compare: str) -> DataFrame:
+    """Per key and ``compare`` value: the rows of the lowest and the highest arrival,
+    these arrivals, and the number of rows."""
+    cols, arrival = batch.columns, _arrival(order, compare)
+    ends = (("_first", F.min_by, F.min), ("_last", F.max_by, F.max))
+    rest = [c for c in cols if c not in key and c != compare]
+    if not all(isinstance(batch.schema[c].dataType, _IN_PLACE) for c in rest):
+        return batch.groupBy(*key, compare).agg(
+            *[x for name, by, end in ends for x in (by(_row(cols), arrival).alias(name), end(arrival).alias(f"{name}_seq"))],
+            F.count(F.lit(1)).alias("_n"))
+    # Columns of a fixed width are aggregated one by one, in hash tables, where a row as
+    # a whole needs a sort.  Within a group the value compared, and so the tie, is the
+    # same; all the columns see the same rows in the same order, and keep the same one.
+    at = arrival["seq"]
+    found = batch.groupBy(*key, compare).agg(
+        *[by(F.col(c), at).alias(f"{name}_of_{i}") for name, by, _ in ends for i, c in enumerate(rest)],
+        *[end(at).alias(f"{name}_at") for name, _, end in ends], F.count(F.lit(1)).alias("_n"))
+    out = [F.col(k) for k in key]
+    for name, _, _ in ends:
+        values = {c: F.col(f"{name}_of_{i}") for i, c in enumerate(rest)}
+        out.append(F.struct(*[values.get(c, F.col(c)).alias(c) for c in cols]).alias(name))
+        out.append(F.struct(F.col(f"{name}_at").alias("seq"), F.xxhash64(F.col(compare)).alias("tie")).alias(f"{name}_seq"))
+    return found.select(*out, "_n")
+
+
 def batch_summary(batch: DataFrame, key: list[str], order: str = "seq",
                   compare: str = "text") -> DataFrame:
     """Per key of ``key`` (which may include a batch column): ``first`` (row
     with the lowest seq), ``last`` (highest seq), ``alt`` (highest seq among
     rows whose ``compare`` value differs from ``last``'s, or null) and ``n``
     (rows)."""
-    cols = batch.columns
-    row = _row(cols)
-    per_text = batch.groupBy(*key, compare).agg(
-        F.max_by(row, _arrival(order, compare)).alias("_last"), F.max(_arrival(order, compare)).alias("_last_seq"),
-        F.min_by(row, _arrival(order, compare)).alias("_first"), F.min(_arrival(order, compare)).alias("_first_seq"),
-        F.count(F.lit(1)).alias("_n"))
+    per_text = _per_text(batch, key, order, compare)
     firsts = per_text.groupBy(*key).agg(
         F.min_by("_first", F.col("_first_seq")).alias("first"),
         F.sum("_n").alias("n"))

@@ -216,3 +216,28 @@ def test_columns_named_like_internal_ones(spark):
                     replace_if_reddit=(), blocks=256)
     got = {r.object_id: r for r in done.collect()}
     assert (got["a"].text, got["a"].n, got["b"].found) == ("y", "n1", "found3")
+
+
+def test_fixed_width_columns_are_summarised_without_a_sort(spark):
+    """Narrow rows are aggregated column by column in hash tables, and the columns of a
+    summary come from one row, also among rows of the same arrival."""
+    from postlake.operators import upsert as U
+    cols = "platform string, object_id string, text string, seq bigint, value double, flag boolean, n int"
+    rows = [("p", f"k{i % 7}", f"t{i % 3}", None if i % 5 == 0 else i % 4, float(i), i % 2 == 0, i if i % 6 else None) for i in range(200)]
+    rows += [("p", "z", None, 3, 0.5, True, 1), ("p", "z", "a", 3, 0.25, None, 2)]
+    batch = spark.createDataFrame(rows, cols).repartition(5)
+    per_text = U._per_text(batch, ["platform", "object_id"], "seq", "text")
+    plan = per_text._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    got = U.batch_summary(batch, ["platform", "object_id"]).collect()
+    lowest = lambda s: -(2**63) if s is None else s
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r[:2], []).append(r)
+    assert {(r.platform, r.object_id): r.n for r in got} == {k: len(v) for k, v in by_key.items()}
+    for r in got:
+        mine = by_key[r.platform, r.object_id]
+        assert {tuple(r["first"]), tuple(r["last"]), tuple(r["alt"])} <= set(mine)
+        assert lowest(r["first"].seq) == min(lowest(x[3]) for x in mine) and lowest(r["last"].seq) == max(lowest(x[3]) for x in mine)
+        assert r["alt"].text != r["last"].text
+        assert lowest(r["alt"].seq) == max(lowest(x[3]) for x in mine if x[2] != r["last"].text)
